@@ -82,7 +82,7 @@ def pair_sums(entries: DataFrame, key: str, extra: bool = False) -> DataFrame:
     """
     entries = entries.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     rows = entries.groupBy(key, F.expr(f"idx div {BLOCK}").cast("int").alias("blk")).agg(
-        F.collect_list(F.struct(F.col("idx").cast("int"), "value")).alias("e")
+        F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "value")).alias("e")
     )
     rows = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("blk", "e"))).alias("blocks"))
     left = rows.select("blocks", F.explode("blocks").alias("p"))

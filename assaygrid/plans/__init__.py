@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["qc", "filters"]
+MODULES = ["qc", "filters", "compare", "meta"]
 
 
 def catalogs():
