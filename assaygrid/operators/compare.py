@@ -25,7 +25,7 @@ def working_cells(assay: Assay, transform: str = "log10p1", rule: str = "zero")
 def _sums(assay: Assay, cells: DataFrame, extra: bool = False) -> tuple[DataFrame, DataFrame]:
     index = index_samples(assay.samples)
     entries = cells.join(assay.per_sample(index), "sample_id").select("feature_id", "idx", "value")
-    return pair_sums(entries, "feature_id", extra), assay.per_sample(index)
+    return pair_sums(entries, "feature_id", assay.n_samples, extra), assay.per_sample(index)
 
 
 def corr_matrix(assay: Assay, transform: str = "log10p1", rule: str = "zero") -> DataFrame:

@@ -24,16 +24,16 @@ def index_samples(samples: DataFrame, by: str = "sample_id") -> DataFrame:
     return ids.select(F.posexplode("ids").alias("idx", by))
 
 
-def _accumulate(extra: bool):
+def _accumulate(extra: bool, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple[int, int], list[np.ndarray]] = {}
         for pdf in batches:
             for (bi, bj), part in pdf.groupby(["bi", "bj"], sort=False):
                 if (bi, bj) not in acc:
                     yield from _flush(acc, extra)  # rows come sorted by block pair
-                    acc = {(bi, bj): [np.zeros((BLOCK, BLOCK)) for _ in range(8 if extra else 6)]}
-                x, wx = _dense(part["xi"], part["xv"])
-                y, wy = (x, wx) if bi == bj else _dense(part["yi"], part["yv"])
+                    acc = {(bi, bj): [np.zeros((width, width)) for _ in range(8 if extra else 6)]}
+                x, wx = _dense(part["xi"], part["xv"], width)
+                y, wy = (x, wx) if bi == bj else _dense(part["yi"], part["yv"], width)
                 sums = acc[(bi, bj)]
                 sums[0] += wx.T @ wy
                 sums[1] += x.T @ wy
@@ -51,13 +51,13 @@ def _accumulate(extra: bool):
     return run
 
 
-def _dense(idx: pd.Series, val: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _dense(idx: pd.Series, val: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = idx.map(len).to_numpy()
     rows = np.repeat(np.arange(len(idx)), lengths)
     cols = np.concatenate([np.asarray(i, dtype=int) for i in idx]) if len(idx) else np.zeros(0, int)
     vals = np.concatenate([np.asarray(v, dtype=float) for v in val]) if len(val) else np.zeros(0)
-    x = np.zeros((len(idx), BLOCK))
-    w = np.zeros((len(idx), BLOCK))
+    x = np.zeros((len(idx), width))
+    w = np.zeros((len(idx), width))
     x[rows, cols % BLOCK] = vals
     w[rows, cols % BLOCK] = 1.0
     return x, w
@@ -74,10 +74,10 @@ def _flush(acc: dict, extra: bool) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out)
 
 
-def pair_sums(entries: DataFrame, key: str, extra: bool = False) -> DataFrame:
+def pair_sums(entries: DataFrame, key: str, n_items: int, extra: bool = False) -> DataFrame:
     """Sums over shared keys for every index pair i <= j.
 
-    ``entries(key, idx, value)`` holds one non-null value per (key, idx). Result: ``i, j, n`` and the
+    ``entries(key, idx, value)`` holds at most one value per (key, idx), with idx < ``n_items``. Result: ``i, j, n`` and the
     sums of x, y, x2, y2, xy over keys seen in both; with ``extra`` also of abs(x-y) and min(x, y).
     """
     entries = entries.filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -97,7 +97,7 @@ def pair_sums(entries: DataFrame, key: str, extra: bool = False) -> DataFrame:
     )
     names = SUMS + (EXTRA if extra else [])
     schema = "i int, j int, " + ", ".join(f"{n} double" for n in names)
-    partial = pairs.sortWithinPartitions("bi", "bj").mapInPandas(_accumulate(extra), schema)
+    partial = pairs.sortWithinPartitions("bi", "bj").mapInPandas(_accumulate(extra, min(BLOCK, n_items)), schema)
     return partial.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
 
 

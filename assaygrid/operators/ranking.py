@@ -62,6 +62,10 @@ class Ordered:
             total = F.least(a, b) if fn == "min" else F.greatest(a, b)
         return replace(self, df=joined.withColumn(out, total).drop("_local", "_carry"))
 
+    def on(self, df: DataFrame) -> Ordered:
+        """The same layout over ``df``, which was derived row by row from this frame."""
+        return replace(self, df=df)
+
     def result(self) -> DataFrame:
         return self.df.drop(PART)
 

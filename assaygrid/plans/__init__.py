@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["qc", "filters", "compare", "meta"]
+MODULES = ["qc", "filters", "compare", "meta", "diff"]
 
 
 def catalogs():

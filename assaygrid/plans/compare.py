@@ -78,7 +78,7 @@ def shared_distances(spark, sf):
     a = assay(spark, sf)
     index = pairs.index_samples(a.samples)
     entries = cmp.working_cells(a).join(a.per_sample(index), "sample_id")
-    sums = pairs.pair_sums(entries, "feature_id", extra=True).filter("i < j")
+    sums = pairs.pair_sums(entries, "feature_id", a.n_samples, extra=True).filter("i < j")
     out = None
     for metric in ("euclidean", "manhattan", "pearson", "cosine"):
         one = pairs.named(cmp.shared_distance(sums, metric, 10), index, "a", "b").withColumn("metric", F.lit(metric))
