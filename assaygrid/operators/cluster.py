@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from assaygrid.functions.missing import is_missing
 from assaygrid.model import Assay
 from assaygrid.operators import blocks
+from assaygrid.operators.filters import keep_rows
 from assaygrid.operators.ordination import pca
-from assaygrid.runtime import materialize, shuffle_partitions
+from assaygrid.operators.ranking import row_numbers
+from assaygrid.runtime import materialize
 
 VIEW_SIZES = [500, 250, 100, 50, 20, 10]
 LEVELS = 11
@@ -266,10 +268,11 @@ def threshold_clusters(vectors: DataFrame, height: float, tree: DataFrame | None
 
 def cut_heights(tree: DataFrame, levels: int = LEVELS) -> list[float]:
     """Heights from below the lowest merge to above the highest, evenly spread over the distinct merges."""
-    heights = [r[0] for r in tree.select("distance").distinct().orderBy("distance").collect()]
-    last = len(heights) - 1
-    inner = [heights[min(last, int(math.floor((i - 1) / (levels - 2) * last + 0.5)))] for i in range(1, levels - 1)]
-    return [heights[0] - 1e-9, *inner, heights[-1] + 1e-9]
+    ranked = row_numbers(tree.select("distance").distinct(), [("distance", True)])
+    n = ranked.count()
+    wanted = [1 + min(n - 1, int(math.floor((i - 1) / (levels - 2) * (n - 1) + 0.5))) for i in range(1, levels - 1)]
+    found = {r["rank"]: r["distance"] for r in ranked.filter(F.col("rank").isin([1, n, *wanted])).collect()}
+    return [found[1] - 1e-9, *[found[w] for w in wanted], found[n] + 1e-9]
 
 
 def level_labels(vectors: DataFrame, levels: int = LEVELS) -> DataFrame:
@@ -306,16 +309,12 @@ def row_views(assay: Assay, sizes: Sequence[int] = VIEW_SIZES) -> DataFrame:
 
 def top_variance(assay: Assay, n: int) -> Assay:
     """Cells of the ``n`` most variable features (population variance, missing as 0)."""
-    from assaygrid.operators.filters import keep_rows
-
     top = row_views(assay, [n]).filter("kind = 'variance'").select("feature_id")
     return keep_rows(assay, F.broadcast(top))
 
 
 def stride_cap(items: DataFrame, cap: int, key: str) -> DataFrame:
     """Every n/cap-th item in key order: positions floor(i n / cap)."""
-    from assaygrid.operators.ranking import row_numbers
-
     placed = row_numbers(items.select(key).distinct(), [(key, True)], out="_pos").withColumn("_pos", F.col("_pos") - 1)
     placed = placed.withColumn("_n", placed.agg(F.count("*")).scalar())
     # position p is taken when some i has floor(i n / cap) = p, i.e. the next multiple of n/cap falls in [p, p + 1)

@@ -104,3 +104,24 @@ DENSE = """dense AS (
   SELECT f.feature_id, s.sample_id, c.value
   FROM (SELECT DISTINCT feature_id FROM cells) f CROSS JOIN samples s
   LEFT JOIN cells c ON c.feature_id = f.feature_id AND c.sample_id = s.sample_id)"""
+
+
+def region_assay(spark: SparkSession, sf: str) -> Assay:
+    """As ``assay`` with a coarser sample: region and nation parity. Most features have every sample."""
+    fine = assay(spark, sf)
+    label = F.concat_ws("_", "grp", "batch")
+    cells = fine.cells.join(fine.per_sample(fine.samples), "sample_id").groupBy("feature_id", label.alias("sample_id"))
+    coarse = fine.samples.select(label.alias("sample_id"), "grp", "batch").distinct()
+    return Assay(cells.agg(F.round(F.sum("value"), 2).alias("value")), coarse)
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+REGION_CELLS = f"""{CELLS}, {SAMPLES}, rcells AS (SELECT feature_id, grp || '_' || batch AS sample_id, round(sum(value), 2) AS value
+  FROM cells JOIN samples USING (sample_id) GROUP BY 1, 2),
+rsamples AS (SELECT DISTINCT grp || '_' || batch AS sample_id, grp, batch FROM samples),
+rdense AS (SELECT f.feature_id, s.sample_id, c.value FROM (SELECT DISTINCT feature_id FROM rcells) f CROSS JOIN rsamples s
+  LEFT JOIN rcells c ON c.feature_id = f.feature_id AND c.sample_id = s.sample_id)"""
