@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import is_missing, transformed
 from assaygrid.model import Assay
-from assaygrid.operators.pairs import index_samples, named, pair_sums, pearson
+from assaygrid.operators.pairs import BLOCK, index_samples, named, pair_sums, pearson, rank_sums, spearman
 from assaygrid.operators.qc import QUARTILES
 from assaygrid.operators.quantiles import group_quantiles
 from assaygrid.operators.ranking import row_numbers
@@ -36,6 +36,34 @@ def corr_matrix(assay: Assay, transform: str = "log10p1", rule: str = "zero") ->
     return named(pairs, index, "a", "b")
 
 
+def spearman_matrix(assay: Assay, transform: str = "log10p1", rule: str = "zero") -> DataFrame:
+    """Spearman r of every sample pair a < b, with ranks taken within the pair's shared features: ``a, b, n, r``.
+
+    The work holds a few samples x samples matrices per task. Above ``pairs.BLOCK`` samples the pairs are
+    done one pair of sample blocks after the other.
+    """
+    index = index_samples(assay.samples)
+    cells = working_cells(assay, transform, rule).join(assay.per_sample(index), "sample_id").select("feature_id", "idx", "value")
+    n_blocks = -(-assay.n_samples // BLOCK)
+    half = BLOCK // 2
+    if n_blocks <= 1:
+        sums = rank_sums(cells, "feature_id", assay.n_samples)
+    else:
+        cells, sums = materialize(cells), None
+        n_half = -(-assay.n_samples // half)
+        for x in range(n_half):
+            for y in range(x + 1, n_half):
+                both = cells.filter((F.col("idx").between(x * half, x * half + half - 1)) | (F.col("idx").between(y * half, y * half + half - 1)))
+                local = F.when(F.col("idx") < (x + 1) * half, F.col("idx") - x * half).otherwise(F.col("idx") - y * half + half)
+                part = rank_sums(both.withColumn("idx", local), "feature_id", 2 * half)
+                back = [F.when(F.col(c) < half, F.col(c) + x * half).otherwise(F.col(c) - half + y * half).alias(c) for c in ("i", "j")]
+                part = part.select(*back, "n", "cross", "square_i", "square_j")
+                sums = part if sums is None else sums.unionByName(part)
+        sums = sums.dropDuplicates(["i", "j"])  # pairs inside a block come up with every partner
+    r = spearman(*[F.col(c) for c in ("n", "cross", "square_i", "square_j")])
+    return named(sums.select("i", "j", F.col("n").cast("bigint").alias("n"), r.alias("r")), assay.per_sample(index), "a", "b")
+
+
 def corr_distance(corr: DataFrame, kind: str = "one_minus_r") -> DataFrame:
     """Distance from a correlation frame: ``one_minus_r`` or ``sqrt`` for sqrt(2 (1 - r))."""
     r = F.col("r")

@@ -10,9 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaygrid.operators.ranking import PART, join_counted, ordered
+from assaygrid.runtime import materialize
+
 BLOCK = 512  # samples per block; a block pair needs a few BLOCK x BLOCK matrices in a task
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 EXTRA = ["sabs", "smin"]
@@ -114,3 +119,85 @@ def named(pairs: DataFrame, index: DataFrame, left: str, right: str, by: str = "
     a = index.select(F.col("idx").alias("i"), F.col(by).alias(left))
     b = index.select(F.col("idx").alias("j"), F.col(by).alias(right))
     return pairs.join(a, "i").join(b, "j").drop("i", "j")
+
+
+# ---- ranks within every pair's shared keys -----------------------------------------
+
+
+def _prefix(width: int):
+    """Running sum of the count vectors before each value, within one laid-out part; rows come sorted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, below = None, None
+        for pdf in batches:
+            rows = []
+            for part, idx, equal in zip(pdf[PART], pdf["idx"], pdf["equal"]):
+                if (part, idx) != current:
+                    current, below = (part, idx), np.zeros(width)
+                rows.append(below)
+                below = below + np.asarray(equal)
+            yield pdf.assign(below=rows)
+
+    return run
+
+
+def _rank_products(width: int):
+    """Sums of rank products and squares over keys, from each key's matrix of pairwise ranks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, cross, square = (np.zeros((width, width)) for _ in range(3))
+        for pdf in batches:
+            for idx, ranks in zip(pdf["idx"], pdf["ranks"]):
+                at = np.asarray(idx, dtype=int)
+                r = np.stack([np.asarray(x, dtype=float) for x in ranks])[:, at]
+                grid = np.ix_(at, at)
+                n[grid] += 1
+                cross[grid] += r * r.T
+                square[grid] += r * r
+        i, j = np.nonzero(n)
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "cross": cross[i, j], "square": square[i, j]})
+
+    return run
+
+
+def rank_sums(entries: DataFrame, key: str, n_items: int) -> DataFrame:
+    """Spearman ingredients of every pair i < j: ``i, j, n, cross, square_i, square_j``.
+
+    A value's rank against item j is the number of smaller values of the same item on keys that j has,
+    plus half of the equal ones: running sums of presence vectors along each item's sorted values.
+    Equal values are merged before they are ordered, and partitions add what earlier ones hold.
+    """
+    entries = entries.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    rows = entries.groupBy(key).agg(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "value")).alias("e"))
+    every = F.sequence(F.lit(0), F.lit(n_items - 1))
+    mask = F.transform(every, lambda i: F.array_contains(F.col("e.idx"), i).cast("double"))
+    spread = materialize(rows.withColumn("mask", mask).select(key, "mask", F.inline("e")))
+    equal = spread.groupBy("idx", "value").agg(vector_to_array(Summarizer.sum(array_to_vector("mask"))).alias("equal"), F.count("*").alias("_n"))
+    laid = ordered(equal, [("value", True)], ["idx"], n_items).df
+    local = materialize(
+        laid.repartition(PART).sortWithinPartitions(PART, "idx", "value").mapInPandas(
+            _prefix(n_items), f"idx int, value double, equal array<double>, _n long, {PART} int, below array<double>"
+        )
+    )
+    last = local.groupBy(PART, "idx").agg(F.max_by(F.struct("below", "equal"), "value").alias("l"))
+    totals = last.select(PART, "idx", F.posexplode(F.zip_with("l.below", "l.equal", lambda a, b: a + b)).alias("j", "t"))
+    before = Window.partitionBy("idx", "j").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("c", F.coalesce(F.sum("t").over(before), F.lit(0.0)))
+    carry = carried.groupBy(PART, "idx").agg(F.sort_array(F.collect_list(F.struct("j", "c"))).alias("c"))
+    placed = local.join(carry, [PART, "idx"])
+    rank = F.transform(F.arrays_zip("below", "equal", F.col("c.c").alias("c")), lambda x: x["c"] + x["below"] + (x["equal"] + 1) / 2)
+    lookup = placed.select("idx", "value", "_n", rank.alias("rank"))
+    ranked = join_counted(spread.select(key, "idx", "value"), lookup, ["idx", "value"], "_n")
+    per_key = ranked.groupBy(key).agg(F.collect_list(F.struct("idx", "rank")).alias("r"))
+    per_key = per_key.select(F.col("r.idx").alias("idx"), F.col("r.rank").alias("ranks"))
+    sums = per_key.mapInPandas(_rank_products(n_items), "i int, j int, n double, cross double, square double")
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "cross", "square")])
+    other = total.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("square").alias("square_j"))
+    return total.filter("i < j").withColumnRenamed("square", "square_i").join(other, ["i", "j"])
+
+
+def spearman(n: Column, cross: Column, square_i: Column, square_j: Column) -> Column:
+    """Correlation of average ranks; their mean is (n + 1) / 2 whatever the ties."""
+    centre = n * (n + 1) * (n + 1) / 4
+    vi, vj = square_i - centre, square_j - centre
+    return F.when((n >= 2) & (vi > 1e-9) & (vj > 1e-9), (cross - centre) / F.sqrt(vi * vj))

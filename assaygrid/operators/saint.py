@@ -18,7 +18,6 @@ from assaygrid.runtime import materialize
 
 TOP_N = 100
 LOG2_4 = 2.0
-SCORE_STEPS = 10_001  # distinct scores at four decimals
 
 
 def assign_status(samples: DataFrame, status: str | None = None, col: str | None = None, control: str = "", treatment: str = "", bait: str = "bait") -> DataFrame:
@@ -169,9 +168,10 @@ def bfdr(scores: DataFrame) -> DataFrame:
     Scores have four decimals, so there are at most 10,001 distinct ones to order.
     """
     counts = scores.filter("avg_p <> 0").groupBy("avg_p").agg(F.count("*").alias("n"))
+    steps = F.round(F.col("avg_p") * 10000).cast("bigint")  # whole units keep the sums exact
     before = Window.orderBy(F.desc("avg_p")).rowsBetween(Window.unboundedPreceding, -1)
-    run = counts.withColumn("s", F.sum(F.col("avg_p") * F.col("n")).over(before)).withColumn("c", F.sum("n").over(before))
-    value = F.when(F.col("c").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("s") / F.col("c")))
+    run = counts.withColumn("s", F.sum(steps * F.col("n")).over(before)).withColumn("c", F.sum("n").over(before))
+    value = F.when(F.col("c").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("s") / (F.col("c") * 10000)))
     lookup = run.select("avg_p", value.alias("bfdr"))
     return scores.join(F.broadcast(lookup), "avg_p", "left")
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["qc", "filters", "compare", "meta", "diff", "impute", "ordination", "precursor", "enrich", "interactions"]
+MODULES = ["qc", "filters", "compare", "meta", "diff", "impute", "ordination", "precursor", "enrich", "interactions", "files"]
 
 
 def catalogs():

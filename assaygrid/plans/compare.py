@@ -23,6 +23,16 @@ def pearson_matrix(spark, sf):
     return cmp.corr_matrix(assay(spark, sf)).withColumn("r", rnd(F.col("r")))
 
 
+@add(
+    "compare_spearman_matrix",
+    f"""WITH {CELLS}, {LOGS}, {PAIRED}, k AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS ry FROM p)
+SELECT a, b, count(*) AS n, {R('corr(rx, ry)')} AS r FROM k GROUP BY a, b""",
+)
+def spearman_matrix(spark, sf):
+    return cmp.spearman_matrix(assay(spark, sf)).withColumn("r", rnd(F.col("r")))
+
+
 @add(
     "compare_corr_distances",
     f"""WITH {CELLS}, {LOGS}, {PAIRED}, c AS (SELECT a, b, corr(x, y) AS r FROM p GROUP BY a, b)

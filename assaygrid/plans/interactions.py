@@ -36,7 +36,7 @@ par AS (SELECT tst.*, cs.mean AS mf, cs.sd AS sf, cs.mean + greatest(ts.mean - c
 lik AS (SELECT feature_id, sample_id, bait, prey, 2 ** (-least(((greatest(x, mf) - mf) / sf) ** 2 / 2, 32)) / sf AS lf, 2 ** (-least(((least(x, mt) - mt) / st) ** 2 / 2, 32)) / st AS lt FROM par)"""
 SCORES = """rep AS (SELECT bait, prey, sample_id, avg(1.5 * lt / (1.5 * lt + lf)) AS s FROM lik GROUP BY 1, 2, 3), nr AS (SELECT bait, count(*) AS n_rep FROM st WHERE status = 'T' GROUP BY 1),
 sc AS (SELECT bait, prey, n_rep, floor(sum(s) / n_rep * 10000 + 0.5) / 10000 AS avg_p FROM rep JOIN nr USING (bait) GROUP BY 1, 2, 3),
-bf AS (SELECT *, CASE WHEN avg_p <> 0 THEN greatest(0, coalesce(1 - (SELECT avg(b.avg_p) FROM sc b WHERE b.avg_p > sc.avg_p), 0)) END AS bfdr FROM sc)"""
+bf AS (SELECT *, CASE WHEN avg_p <> 0 THEN greatest(0, coalesce(1 - (SELECT sum(round(b.avg_p * 10000)::BIGINT)::DOUBLE / (count(*) * 10000) FROM sc b WHERE b.avg_p > sc.avg_p), 0)) END AS bfdr FROM sc)"""
 BETA = 0.4054651081081644  # log 1.5
 
 
@@ -91,11 +91,11 @@ def avg_p(spark, sf):
     return saint.avg_p(lik, a.samples, BETA)
 
 
-@add("saint_bfdr", f"{BASE}, {STATS}, {SCORES} SELECT bait, prey, avg_p, {R('bfdr', 9)} AS bfdr, CASE WHEN bfdr <= 0.01 AND avg_p >= 0.8 THEN 'high' WHEN bfdr <= 0.05 AND avg_p >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM bf")
+@add("saint_bfdr", f"{BASE}, {STATS}, {SCORES} SELECT bait, prey, avg_p, bfdr, CASE WHEN bfdr <= 0.01 AND avg_p >= 0.8 THEN 'high' WHEN bfdr <= 0.05 AND avg_p >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM bf")
 def bfdr(spark, sf):
     a, lik = _lik(spark, sf)
     out = saint.confidence(saint.bfdr(saint.avg_p(lik, a.samples, BETA)))
-    return out.select("bait", "prey", "avg_p", rnd(F.col("bfdr"), 9).alias("bfdr"), "confidence")
+    return out.select("bait", "prey", "avg_p", "bfdr", "confidence")
 
 
 @add("saint_full")
@@ -126,12 +126,12 @@ def bait_log2fc(spark, sf):
     "saint_network",
     f"""{BASE}, {STATS}, {SCORES}, e AS (SELECT bait, prey, bfdr FROM bf WHERE bfdr <= 0.5 AND avg_p >= 0.3), x AS (SELECT bait AS id, bfdr, true AS b, false AS p FROM e UNION ALL SELECT prey, bfdr, false, true FROM e),
 r AS (SELECT feature_id, sum(log10(value)) AS s FROM cells GROUP BY 1), ex AS (SELECT prey AS id, sum(s) / (count(*) * (SELECT count(*) FROM samples)) AS m FROM r JOIN f USING (feature_id) GROUP BY 1)
-SELECT id, {R('min(bfdr)', 9)} AS min_bfdr, bool_or(b) AS is_bait, bool_or(p) AS is_prey, {R('any_value(m)')} AS expression FROM x LEFT JOIN ex USING (id) GROUP BY 1""",
+SELECT id, min(bfdr) AS min_bfdr, bool_or(b) AS is_bait, bool_or(p) AS is_prey, {R('any_value(m)')} AS expression FROM x LEFT JOIN ex USING (id) GROUP BY 1""",
 )
 def network(spark, sf):
     a, lik = _lik(spark, sf)
     _, nodes = saint.network(saint.bfdr(saint.avg_p(lik, a.samples, BETA)), saint.protein_log10(a), 0.5, 0.3)
-    return nodes.select("id", rnd(F.col("min_bfdr"), 9).alias("min_bfdr"), "is_bait", "is_prey", rnd(F.col("expression")).alias("expression"))
+    return nodes.select("id", "min_bfdr", "is_bait", "is_prey", rnd(F.col("expression")).alias("expression"))
 
 
 # ---- presence and intensity --------------------------------------------------------
