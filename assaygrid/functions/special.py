@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SHIFT = 8  # recurrence steps before an asymptotic series is used
 TERMS = 2000  # greatest depth of a continued fraction
@@ -149,22 +150,22 @@ def _t_two_sided_np(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _beta_inc_udf(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series(_beta_inc_np(a.to_numpy(float), b.to_numpy(float), x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gamma_q_udf(a: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series(_gamma_q_np(a.to_numpy(float), x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(_t_two_sided_np(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_critical_udf(alpha: pd.Series, df: pd.Series) -> pd.Series:
     target, d = alpha.to_numpy(float), df.to_numpy(float)
     lo, hi = np.zeros(len(d)), np.ones(len(d))

@@ -66,6 +66,21 @@ def euclidean(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
+def top_k(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the ``k`` smallest finite entries of every row, ties by id, best first."""
+    order = np.argsort(ids, kind="stable")
+    d = dist[:, order]
+    if k < d.shape[1]:
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero((d <= limit) & np.isfinite(d))
+    else:
+        rows, cols = np.nonzero(np.isfinite(d))
+    best = np.lexsort((cols, d[rows, cols], rows))
+    rows, cols = rows[best], cols[best]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], order[cols[place < k]]
+
+
 def per_pair(kernel: Callable[[pd.Series], Iterator[pd.DataFrame]]):
     """Run ``kernel`` on every block pair of a partition."""
 
@@ -91,14 +106,8 @@ def nearest(pairs: DataFrame, k: int, id_type: str = "bigint") -> DataFrame:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
         dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
         dist[q_ids[:, None] == d_ids[None, :]] = np.inf
-        order = np.argsort(d_ids, kind="stable")
-        dist, d_ids = dist[:, order], d_ids[order]
-        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        picked = np.take_along_axis(dist, best, axis=1)
-        out = pd.DataFrame(
-            {"item_id": np.repeat(q_ids, best.shape[1]), "neighbor": d_ids[best].ravel(), "distance": picked.ravel()}
-        )
-        yield out[np.isfinite(out["distance"])]
+        i, j = top_k(dist, d_ids, k)
+        yield pd.DataFrame({"item_id": q_ids[i], "neighbor": d_ids[j], "distance": dist[i, j]})
 
     schema = f"item_id {id_type}, neighbor {id_type}, distance double"
     found = pairs.mapInPandas(per_pair(kernel), schema)
@@ -161,24 +170,18 @@ def nearest_outside(pairs: DataFrame, label: str, id_type: str = "bigint") -> Da
         own, others = np.asarray(row[f"q_{label}"]), np.asarray(row[f"d_{label}"])
         dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
         dist[own[:, None] == others[None, :]] = np.inf
-        low = dist.min(axis=1)
-        frames = []
-        for i in np.flatnonzero(np.isfinite(low)):
-            ties = np.flatnonzero(dist[i] == low[i])
-            frames.append(
-                pd.DataFrame(
-                    {
-                        "label": own[i],
-                        "other": others[ties],
-                        "distance": low[i],
-                        "lo": np.minimum(q_ids[i], d_ids[ties]),
-                        "hi": np.maximum(q_ids[i], d_ids[ties]),
-                    }
-                )
-            )
-        if frames:
-            out = pd.concat(frames).sort_values(["label", "distance", "lo", "hi"])
-            yield out.groupby("label", sort=False).head(1)
+        low = dist.min(axis=1, keepdims=True)
+        i, j = np.nonzero((dist == low) & np.isfinite(dist))
+        out = pd.DataFrame(
+            {
+                "label": own[i],
+                "other": others[j],
+                "distance": dist[i, j],
+                "lo": np.minimum(q_ids[i], d_ids[j]),
+                "hi": np.maximum(q_ids[i], d_ids[j]),
+            }
+        )
+        yield out.sort_values(["label", "distance", "lo", "hi"]).groupby("label", sort=False).head(1)
 
     schema = f"label {id_type}, other {id_type}, distance double, lo {id_type}, hi {id_type}"
     found = pairs.mapInPandas(per_pair(kernel), schema)

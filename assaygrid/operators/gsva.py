@@ -42,6 +42,7 @@ def _log_odds(kernel: str):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            features, samples, scores = [], [], []
             for feature, ids, values in zip(pdf["feature_id"], pdf["ids"], pdf["values"]):
                 x = np.asarray(values, dtype=float)
                 if kernel == "poisson":
@@ -55,7 +56,13 @@ def _log_odds(kernel: str):
                     lt = _phi((x[:, None] - x[None, :]) / width).mean(axis=1)
                 with np.errstate(divide="ignore"):
                     z = -np.log((1 - lt) / lt)
-                yield pd.DataFrame({"feature_id": feature, "sample_id": ids, "value": z})
+                features.append(np.repeat(feature, len(x)))
+                samples.append(np.asarray(ids))
+                scores.append(z)
+            if features:
+                yield pd.DataFrame(
+                    {"feature_id": np.concatenate(features), "sample_id": np.concatenate(samples), "value": np.concatenate(scores)}
+                )
 
     return run
 

@@ -120,14 +120,8 @@ def _distance_kernel(metric: str, min_shared: int, k: int):
                 with np.errstate(all="ignore"):
                     dist = np.where((sqq == 0) | (sdd == 0), 1.0, np.maximum(1 - sqd / np.sqrt(sqq * sdd), 0))
         dist[(n < max(min_shared, 1)).repeat(len(d), 1)] = np.inf
-        order = np.argsort(d_ids, kind="stable")
-        best = order[np.argsort(dist[:, order], axis=1, kind="stable")[:, :k]]
-        for i, picks in enumerate(best):
-            picks = picks[np.isfinite(dist[i, picks])]
-            if len(picks):
-                yield pd.DataFrame(
-                    {"item_id": q_ids[i], "donor": d_ids[picks], "distance": dist[i, picks], "values": list(d[picks])}
-                )
+        i, j = blocks.top_k(dist, d_ids, k)
+        yield pd.DataFrame({"item_id": q_ids[i], "donor": d_ids[j], "distance": dist[i, j], "values": list(d[j])})
 
     return blocks.per_pair(kernel)
 

@@ -233,6 +233,7 @@ def affinities(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            frames = []
             for item, ids, sq in zip(pdf["item_id"], pdf["ids"], pdf["sq"]):
                 ids, sq = np.asarray(ids), np.asarray(sq)
                 target = np.log(min(perplexity, len(ids) - 1))
@@ -248,7 +249,8 @@ def affinities(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
                         break
                     low, high = (sigma, high) if entropy < target else (low, sigma)
                 keep = p > 0
-                yield pd.DataFrame({"item_id": item, "neighbor": ids[keep], "p": p[keep]})
+                frames.append(pd.DataFrame({"item_id": item, "neighbor": ids[keep], "p": p[keep]}))
+            yield pd.concat(frames)
 
     one_way = rows.mapInPandas(weigh, f"item_id {kind}, neighbor {kind}, p double")
     back = one_way.select(F.col("neighbor").alias("item_id"), F.col("item_id").alias("neighbor"), "p")

@@ -1,7 +1,7 @@
-"""Exact quantiles of large groups without sorting them or holding one in a task.
+"""Exact quantiles of groups of any size, none of them sorted or held in a task.
 
-A sketch brackets each wanted rank; a second pass counts what lies below the bracket and keeps
-only the distinct values inside it. Linear interpolation between closest ranks.
+For a large group a sketch brackets each wanted rank; a second pass counts what lies below the
+bracket and keeps only the distinct values inside it. Linear interpolation between closest ranks.
 """
 
 from __future__ import annotations
@@ -33,10 +33,25 @@ def group_quantiles(
     """
     groups = list(groups)
     names, wanted = list(probs), [float(p) for p in probs.values()]
+    data = df.filter(F.col(value).isNotNull())
+    if groups and interpolate:
+        # small groups fit one aggregation buffer; only larger ones go through brackets
+        sizes = data.groupBy(*groups).agg(F.count(value).alias("n"))
+        small = broadcast_if(sizes.filter(F.col("n") <= WHOLE), n_groups)
+        exact = data.join(small, groups).groupBy(*groups, "n").agg(F.percentile(value, F.array(*map(F.lit, wanted))).alias("_p"))
+        done = exact.select(*groups, "n", *[F.col("_p")[i].alias(m) for i, m in enumerate(names)])
+        big = broadcast_if(sizes.filter(F.col("n") > WHOLE), n_groups)
+        rest = data.join(big, groups, "left_semi")
+        return done.unionByName(_bracketed(rest, groups, value, names, wanted, n_groups, interpolate))
+    return _bracketed(data, groups, value, names, wanted, n_groups, interpolate)
+
+
+def _bracketed(
+    data: DataFrame, groups: list[str], value: str, names: list[str], wanted: list[float], n_groups: int, interpolate: bool
+) -> DataFrame:
     margin = 2 / ACCURACY
     low = [max(0.0, p - margin) for p in wanted]
     high = [min(1.0, p + margin) for p in wanted]
-    data = df.filter(F.col(value).isNotNull())
     brackets = data.groupBy(*groups).agg(
         F.count(value).alias("n"),
         F.min(value).alias("_min"),
