@@ -218,26 +218,33 @@ def som_clusters(spark, code: np.ndarray, k: int | None = None, seed: int = 42)
 def components(nodes: DataFrame, edges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Smallest id of each node's connected component: ``item_id, label``.
 
-    Labels move along edges and then jump to their label's label, so long chains shrink geometrically;
-    every round is stored.
+    A round moves labels along edges and then to their label's label, so long chains shrink
+    geometrically; every round is stored.
     """
-    both = edges.select(F.col(lo).alias("a"), F.col(hi).alias("b")).union(edges.select(F.col(hi).alias("a"), F.col(lo).alias("b")))
-    both = materialize(both.distinct())
+    both = edges.select(F.explode(F.array(F.struct(F.col(lo).alias("a"), F.col(hi).alias("b")), F.struct(F.col(hi).alias("a"), F.col(lo).alias("b")))).alias("e"))
+    both = materialize(both.select("e.a", "e.b").distinct())
     state = materialize(nodes.select("item_id", F.col("item_id").alias("label")))
     while True:
         lookup = state.select(F.col("item_id").alias("b"), F.col("label").alias("l"))
         offered = both.join(lookup, "b").groupBy(F.col("a").alias("item_id")).agg(F.min("l").alias("l"))
         moved = state.join(offered, "item_id", "left").select("item_id", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
-        moved = materialize(moved)
-        jump = moved.select(F.col("item_id").alias("new"), F.col("new").alias("far"))
-        stepped = moved.join(jump, "new", "left").select("item_id", "label", F.least("new", F.coalesce("far", "new")).alias("new"))
-        stepped = materialize(stepped)
-        changed = not stepped.filter("new <> label").isEmpty()
+        far = state.select(F.col("item_id").alias("new"), F.col("label").alias("far"))
+        stepped = materialize(moved.join(far, "new", "left").select("item_id", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
         state = stepped.select("item_id", F.col("new").alias("label"))
-        if not changed:
+        if stepped.filter("new <> label").isEmpty():
             return state
 
 
+def merge_labels(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after adding edges: only the labels they connect are components of their own."""
+    a = state.select(F.col("item_id").alias("lo"), F.col("label").alias("la"))
+    b = state.select(F.col("item_id").alias("hi"), F.col("label").alias("lb"))
+    links = materialize(edges.join(a, "lo").join(b, "hi").filter("la <> lb").select("la", "lb").distinct())
+    ends = links.select(F.explode(F.array("la", "lb")).alias("item_id")).distinct()
+    merged = components(ends, links, "la", "lb").select(F.col("item_id").alias("label"), F.col("label").alias("_to"))
+    return materialize(state.join(merged, "label", "left").select("item_id", F.coalesce("_to", "label").alias("label")))
+
+
 def spanning_tree(vectors: DataFrame) -> DataFrame:
     """Minimum spanning tree of the Euclidean distances: ``lo, hi, distance``, ties by ids.
 
@@ -276,11 +283,19 @@ def cut_heights(tree: DataFrame, levels: int = LEVELS) -> list[float]:
 
 
 def level_labels(vectors: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Cluster of every item at ``levels`` cuts from finest to coarsest: ``item_id, level, cluster``."""
+    """Cluster of every item at ``levels`` cuts from finest to coarsest: ``item_id, level, cluster``.
+
+    A cut starts from the labels of the finer one and adds the tree's steps between the two heights.
+    """
     tree = spanning_tree(vectors)
-    out = None
+    state, reached, out = vectors.select("item_id", F.col("item_id").alias("label")), -1.0, None
     for level, height in enumerate(cut_heights(tree, levels)):
-        cut = threshold_clusters(vectors, height, tree).select("item_id", F.lit(level).alias("level"), F.col("label").alias("cluster"))
+        if level:
+            state = merge_labels(state, tree.filter((F.col("distance") > reached) & (F.col("distance") <= height)))
+        else:
+            state = components(vectors, tree.filter(F.col("distance") <= height))
+        reached = height
+        cut = state.select("item_id", F.lit(level).alias("level"), F.col("label").alias("cluster"))
         out = cut if out is None else out.unionByName(cut)
     return out
 

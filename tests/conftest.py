@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return session(4)
+    spark = session(8)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    return spark
 
 
 @pytest.fixture(scope="session")
