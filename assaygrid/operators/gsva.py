@@ -17,6 +17,7 @@ from assaygrid.operators.ranking import average_ranks, row_numbers
 from assaygrid.runtime import materialize
 
 ECDF_SAMPLES = 200
+DIGITS = 9  # log odds are rounded, so that the order of a sum does not decide a rank
 # Abramowitz and Stegun 7.1.26.
 AS_P = 0.3275911
 AS_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
@@ -58,7 +59,7 @@ def _log_odds(kernel: str):
                     z = -np.log((1 - lt) / lt)
                 features.append(np.repeat(feature, len(x)))
                 samples.append(np.asarray(ids))
-                scores.append(z)
+                scores.append(np.round(z, DIGITS))
             if features:
                 yield pd.DataFrame(
                     {"feature_id": np.concatenate(features), "sample_id": np.concatenate(samples), "value": np.concatenate(scores)}

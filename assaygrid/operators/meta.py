@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import is_placeholder
 from assaygrid.model import Assay
 from assaygrid.operators.joins import clean_file_name
+from assaygrid.operators.ranking import row_numbers
+from assaygrid.runtime import BROADCAST_ROWS
 
 SEPARATORS = r"[_\-. ]"
 # Fixed value: what reads as a duration.
@@ -77,12 +79,11 @@ def shorten_names(samples: DataFrame, col: str = "sample_id", out: str = "short"
     return tried.withColumn("_pick", pick).withColumn(out, F.col("_c")[F.col("_pick")]).drop("_base", "_cut", "_c", "_pick")
 
 
-def _suffix_duplicates(df: DataFrame, col: str, order: Sequence[Column], joiner: str = "_") -> DataFrame:
-    """Second and later rows of a name get _2, _3, ..."""
-    rn = F.row_number().over(Window.partitionBy(col).orderBy(*order))
-    return df.withColumn("_rn", rn).withColumn(
-        col, F.when(F.col("_rn") > 1, F.concat_ws(joiner, F.col(col), F.col("_rn").cast("string"))).otherwise(F.col(col))
-    ).drop("_rn")
+def number_duplicates(df: DataFrame, col: str, order: str) -> DataFrame:
+    """Second and later rows of a name, by ``order``, get _2, _3, ... A name may hold any number of rows."""
+    ranked = row_numbers(df, [(order, True)], [col], n_groups=BROADCAST_ROWS + 1, out="_rn")
+    numbered = F.concat_ws("_", F.col(col), F.col("_rn").cast("string"))
+    return ranked.withColumn(col, F.when(F.col("_rn") > 1, numbered).otherwise(F.col(col))).drop("_rn")
 
 
 def simplify_names(samples: DataFrame, col: str = "sample_id", out: str = "name") -> DataFrame:
@@ -99,7 +100,7 @@ def simplify_names(samples: DataFrame, col: str = "sample_id", out: str = "name"
     digits = named.agg(F.bool_and(F.col(out).rlike(r"^\d"))).scalar()
     named = named.withColumn("_d", digits)
     named = named.withColumn(out, F.when(F.col("_d"), F.concat(F.lit("S"), F.col(out))).otherwise(F.col(out)))
-    return _suffix_duplicates(named, out, [F.col(col)]).drop("_base", "_cut", "_t", "_u", "_d")
+    return number_duplicates(named.drop("_cut"), out, col).drop("_base", "_t", "_u", "_d")
 
 
 def _tokens(col: str) -> Column:
@@ -217,7 +218,7 @@ def site_ids(features: DataFrame, gene: str, residue: str, position: str, fallba
     suffix = F.concat(F.lit("_"), F.nullif(F.trim(F.col(residue)), F.lit("")), spot)
     stem = F.coalesce(F.when(suffix.isNotNull(), first(gene)), *[first(c) for c in fallback], first(gene))
     named = features.withColumn("site_id", F.concat(stem, F.coalesce(suffix, F.lit(""))))
-    named = _suffix_duplicates(named, "site_id", [F.col(order)])
+    named = number_duplicates(named, "site_id", order)
     return named.withColumn("site_id", F.coalesce("site_id", F.concat(F.lit("row_"), F.col(order).cast("string"))))
 
 

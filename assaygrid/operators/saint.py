@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from assaygrid.functions.missing import is_missing
 from assaygrid.model import Assay
 from assaygrid.operators.quantiles import group_quantiles
+from assaygrid.operators.ranking import join_counted
 from assaygrid.runtime import materialize
 
 TOP_N = 100
@@ -59,12 +60,12 @@ def impute_controls(assay: Assay, normalise: bool = False) -> DataFrame:
         cells = cells.withColumn("_f", control_scale(assay).scalar()).withColumn("value", F.col("value") * F.col("_f")).drop("_f")
     v = F.when(_present(F.col("value")), F.col("value"))
     cells = cells.withColumn("value", v)
-    by_column = cells.groupBy("prey", "sample_id").agg(F.min("value").alias("_col"))
+    by_column = cells.groupBy("prey", "sample_id").agg(F.min("value").alias("_col"), F.count("*").alias("_n"))
     by_prey = cells.groupBy("prey").agg(F.min("value").alias("_prey"))
     lowest = cells.agg(F.coalesce(F.min("value"), F.lit(1.0))).scalar()
     lookup = by_column.join(by_prey, "prey").withColumn("_all", lowest)
     filled = F.coalesce("value", F.col("_col") * 0.9, F.col("_prey") * 0.9, F.col("_all"))
-    return cells.join(lookup, ["prey", "sample_id"]).select("feature_id", "prey", "sample_id", filled.alias("value"))
+    return join_counted(cells, lookup, ["prey", "sample_id"], "_n").select("feature_id", "prey", "sample_id", filled.alias("value"))
 
 
 def _raised(stats: DataFrame, floor: float) -> DataFrame:

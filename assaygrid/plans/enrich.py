@@ -146,12 +146,12 @@ PHI = """(0.5 * (1 + sign({z}) * (1 - (0.254829592 * {t} - 0.284496736 * {t} **
 _Z = "((a.x - b.x) / (sd / 4))"
 CDF = f"""sdv AS (SELECT feature_id, stddev_samp(x) AS sd FROM uc GROUP BY 1),
 lt AS (SELECT a.feature_id, a.sample_id, avg({PHI.format(z=_Z, t=f'(1 / (1 + 0.3275911 * abs({_Z}) / sqrt(2)))')}) AS lt FROM uc a JOIN uc b USING (feature_id) JOIN sdv USING (feature_id) GROUP BY 1, 2),
-z AS (SELECT feature_id, sample_id, -ln((1 - lt) / lt) AS z FROM lt)"""
+z AS (SELECT feature_id, sample_id, round(-ln((1 - lt) / lt), 9) AS z FROM lt)"""
 
 
-@add("enrich_gene_cdf", f"{USABLE}, {CDF} SELECT feature_id, sample_id, {R('z', 5)} AS value FROM z")
+@add("enrich_gene_cdf", f"{USABLE}, {CDF} SELECT feature_id, sample_id, {R('z', 9)} AS value FROM z")
 def gene_cdf(spark, sf):
-    return gsva.gene_cdf(_usable(spark, sf), "gaussian").withColumn("value", rnd(F.col("value"), 5))
+    return gsva.gene_cdf(_usable(spark, sf), "gaussian").withColumn("value", rnd(F.col("value"), 9))
 
 
 @add("enrich_gene_ecdf", f"{USABLE}, e AS (SELECT feature_id, sample_id, cume_dist() OVER (PARTITION BY feature_id ORDER BY x) AS lt FROM uc) SELECT feature_id, sample_id, CASE WHEN lt < 1 THEN {R('-ln((1 - lt) / lt)')} END AS value FROM e")
@@ -218,7 +218,7 @@ def top_sets(spark, sf):
     return gsva.top_sets(gsva.zscore_sets(a, _members(spark, sf, a)), 20).withColumn("variance", rnd(F.col("variance")))
 
 
-ORA = f"""{SETS}, l AS (SELECT DISTINCT 'G' || p_partkey AS symbol FROM part WHERE p_retailprice > 950 AND p_size % 3 = 1),
+ORA = f"""{SETS}, l AS (SELECT DISTINCT 'G' || p_partkey AS symbol FROM part WHERE p_name LIKE '%widget%'),
 u AS (SELECT count(DISTINCT symbol) AS t FROM sets), n AS (SELECT count(*) AS n FROM l),
 c AS (SELECT set_name, count(*) AS m, count(l.symbol) AS k FROM sets LEFT JOIN l USING (symbol) GROUP BY 1 HAVING count(l.symbol) > 0),
 h AS (SELECT set_name, m, k, n, t, list_sum(list_transform(range(greatest(k, n + m - t), least(m, n) + 1), lambda i: exp(lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0)
@@ -227,7 +227,7 @@ r AS (SELECT *, least(1, p) AS pp, count(*) OVER () * least(1, p) / count(*) OVE
 
 
 def _ora(spark, sf):
-    f = part_features(spark, sf).filter("price > 950 AND size % 3 = 1")
+    f = part_features(spark, sf).filter(F.col("name").contains("widget"))
     genes = f.select(F.concat(F.lit("G"), F.col("feature_id").cast("string")).alias("gene"))
     return enrich.over_representation(genes, gene_sets(spark, sf))
 

@@ -53,10 +53,9 @@ def parse_replicates(spark, sf):
     return meta.parse_replicates(_runs(spark, sf, REP))
 
 
-@add("meta_infer_groups", f"SELECT r_name || '_' || s_suppkey AS sample_id, r_name AS \"Group\" {RUNS} WHERE r_name <> 'MIDDLE EAST'")
+@add("meta_infer_groups", f"SELECT left(r_name, 6) || '_' || s_suppkey AS sample_id, left(r_name, 6) AS \"Group\" {RUNS}")
 def infer_groups(spark, sf):
-    runs = _runs(spark, sf, "case when r_name <> 'MIDDLE EAST' then concat(r_name, '_', s_suppkey) end").dropna()
-    return meta.infer_groups(runs)
+    return meta.infer_groups(_runs(spark, sf, "concat(left(r_name, 6), '_', s_suppkey)"))
 
 
 @add(
@@ -155,16 +154,16 @@ def is_accession(spark, sf):
 
 @add(
     "meta_map_names",
-    f"""WITH a AS (SELECT p_partkey AS key, {ACC} AS q FROM part WHERE p_size % 4 IN (0, 2)),
-l AS (SELECT 'GENE' || p_partkey AS sym, p_name AS pn, 'P' || lpad((p_partkey % 100000)::VARCHAR, 5, '1') AS ac FROM part WHERE p_partkey % 3 <> 0),
+    f"""WITH a AS (SELECT p_partkey AS key, {ACC} AS q FROM part),
+l AS (SELECT 'GENE' || p_partkey AS sym, p_name AS pn, 'P' || lpad((p_partkey % 100000)::VARCHAR, 5, '1') AS ac FROM part WHERE p_type <> 'ECONOMY'),
 h AS (SELECT ac AS k, count(*) AS n, min((sym, pn, ac)) AS hit FROM l GROUP BY 1 UNION ALL SELECT sym, 1, (sym, pn, ac) FROM l)
 SELECT q || ';other x' AS feature_id, q AS query_id, coalesce(hit[1], '') AS gene_symbol, coalesce(hit[2], '') AS protein_name, coalesce(hit[3], '') AS uniprotkb_ac,
 '9606' AS species_taxid, CASE WHEN hit IS NULL THEN 'no hit' WHEN n > 1 THEN 'multiple: ' || n ELSE '' END AS mapping_note FROM a LEFT JOIN h ON k = q""",
 )
 def map_names(spark, sf):
     f = part_features(spark, sf)
-    ids = f.filter("size % 4 in (0, 2)").select(F.concat(F.expr(ACC_SPARK), F.lit(";other x")).alias("feature_id"))
-    lookup = f.filter("feature_id % 3 <> 0").select(
+    ids = f.select(F.concat(F.expr(ACC_SPARK), F.lit(";other x")).alias("feature_id"))
+    lookup = f.filter("kind <> 'ECONOMY'").select(
         F.concat(F.lit("GENE"), F.col("feature_id").cast("string")).alias("gene_symbol"), F.col("name").alias("protein_name"),
         F.expr("concat('P', lpad(cast(feature_id % 100000 as string), 5, '1'))").alias("uniprotkb_ac"), F.lit("9606").alias("species_taxid"),
     )

@@ -282,16 +282,16 @@ def residue_intensity(spark, sf):
     return cov.residue_intensity(quant, _sequences(spark, sf))
 
 
-@add("coverage_subset", "SELECT 'ACC' || item_id AS accession FROM benchmark WHERE item_id % 3 = 0")
+@add("coverage_subset", "SELECT 'ACC' || item_id AS accession FROM benchmark WHERE len(text) > 230")
 def subset(spark, sf):
     s = _sequences(spark, sf)
-    groups = s.filter("item_id % 3 = 0").select(F.concat(F.lit("G"), F.col("item_id").cast("string"), F.lit("-1;x")).alias("protein_group"))
+    groups = s.filter("length(text) > 230").select(F.concat(F.lit("G"), F.col("item_id").cast("string"), F.lit("-1;x")).alias("protein_group"))
     return cov.subset_sequences(s, groups).select("accession")
 
 
 PHO = """sc AS (SELECT l_partkey || '_' || l_returnflag AS feature_id, l_partkey AS part, n_name AS sample_id, log2(round(sum(l_extendedprice), 2)) AS site
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
-tc AS (SELECT feature_id AS part, sample_id, log2(value) AS total FROM cells WHERE feature_id % 4 <> 0)"""
+tc AS (SELECT feature_id AS part, sample_id, log2(value) AS total FROM cells JOIN part ON p_partkey = feature_id WHERE p_type <> 'ECONOMY')"""
 
 
 def _sites(spark, sf):
@@ -301,7 +301,8 @@ def _sites(spark, sf):
     site = rows.groupBy(F.concat_ws("_", part, "l_returnflag").alias("feature_id"), F.col("n_name").alias("sample_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
     total = rows.groupBy(F.col("l_partkey").alias("feature_id"), F.col("n_name").alias("sample_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
     sites = Assay(site, samples(spark, sf), site.select("feature_id").distinct().withColumn("proteins", F.concat(F.regexp_extract("feature_id", r"^\d+", 0), F.lit(";P9"))))
-    kept = total.filter("feature_id % 4 <> 0")
+    known = table(spark, sf, "part").filter("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("feature_id"))
+    kept = total.join(known, "feature_id", "left_semi")
     return sites, Assay(kept, samples(spark, sf), kept.select("feature_id").distinct().withColumn("protein", F.col("feature_id").cast("string")))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import na_to_null
 from assaygrid.model import Assay
+from assaygrid.operators.meta import number_duplicates, site_ids
 
 
 def quoted(name: str) -> Column:
@@ -95,8 +96,6 @@ SITE_NOTES = ["Protein", "Protein.Names", "Gene.Names", "Residue", "Site", "Sequ
 
 def read_diann_sites(spark: SparkSession, path: str, sep: str = "\t") -> Assay:
     """Site matrix: six annotation columns, then intensities; ids like ``AKT1_S473``."""
-    from assaygrid.operators.meta import site_ids
-
     df = read_text_table(spark, path, sep)
     notes = [find_column(df.columns, [c]) for c in SITE_NOTES]
     if None in notes:
@@ -135,11 +134,7 @@ def _first_entry(col: str) -> Column:
 
 
 def _unique(df: DataFrame, order: Column) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("feature_id").orderBy(order))
-    named = df.withColumn("_rn", rn)
-    return named.withColumn(
-        "feature_id", F.when(F.col("_rn") > 1, F.concat_ws("_", "feature_id", F.col("_rn").cast("string"))).otherwise(F.col("feature_id"))
-    ).drop("_rn")
+    return number_duplicates(df.withColumn("_order", order), "feature_id", "_order").drop("_order")
 
 
 def read_mq_proteins(
