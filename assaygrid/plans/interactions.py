@@ -169,13 +169,13 @@ def presence_counts(spark, sf):
     "hybrid_exact_test",
     f"""{HYB}, {EXACT}, e AS (SELECT feature_id, y1, y2, abs(y1 - y2) AS statistic, tail AS p, {pmf('y1', 'n1', '((y1 + y2) / (n1 + n2))')} * {pmf('y2', 'n2', '((y1 + y2) / (n1 + n2))')} AS pmf0,
   {pmf('y1', 'n1', '(y1 / n1)')} * {pmf('y2', 'n2', '(y2 / n2)')} AS pmf1, y1 * n2 = y2 * n1 AS same FROM y, ns JOIN tails ON c = y1 + y2 AND t = abs(y1 - y2))
-SELECT feature_id, statistic, {R('p')} AS p, {R('pmf0')} AS pmf0, {R('pmf1')} AS pmf1, CASE WHEN same OR pmf0 >= pmf1 THEN 1 ELSE 0 END AS w FROM e""",
+SELECT feature_id, statistic, {R('p', 10)} AS p, {R('pmf0', 10)} AS pmf0, {R('pmf1', 10)} AS pmf1, CASE WHEN same OR pmf0 >= pmf1 THEN 1 ELSE 0 END AS w FROM e""",
 )
 def exact_test(spark, sf):
     a = assay(spark, sf)
     n1, n2 = hybrid.group_sizes(a, "grp", A, B)
     out = hybrid.exact_presence_test(hybrid.presence_counts(a, "grp", A, B), n1, n2)
-    return out.select("feature_id", "statistic", *[rnd(F.col(c)).alias(c) for c in ("p", "pmf0", "pmf1")], "w")
+    return out.select("feature_id", "statistic", *[rnd(F.col(c), 10).alias(c) for c in ("p", "pmf0", "pmf1")], "w")
 
 
 @add(
