@@ -79,8 +79,8 @@ def ordered(
     """
     cols = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     back = [F.col(c).desc() if up else F.col(c).asc() for c, up in order]
-    n = shuffle_partitions(df.sparkSession)
-    laid = df.repartitionByRange(n, *[F.col(g) for g in groups], *cols).withColumn(PART, F.spark_partition_id())
+    # without a fixed number of partitions, adaptive execution merges neighbouring small ranges
+    laid = df.repartitionByRange(*[F.col(g) for g in groups], *cols).withColumn(PART, F.spark_partition_id())
     return Ordered(materialize(laid), tuple(cols), tuple(back), tuple(groups), n_groups)
 
 

@@ -58,11 +58,13 @@ def test_ranks_with_hot_ties(spark, parts):
     df = spark.createDataFrame([(int(i), float(v), "a" if i % 5 else "b") for i, v in enumerate(values)], "id long, v double, g string")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         avg = {r["id"]: r["rank"] for r in ranking.average_ranks(df, "v", ["g"], 2).collect()}
         rows = ranking.ordered(df, [("v", False), ("id", True)], ["g"], 2).running("s", "sum", F.col("v")).running("lo", "min", F.col("v"), reverse=True).result().collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for g in "ab":
         ids = [i for i in range(600) if ("a" if i % 5 else "b") == g]
         for i in ids:
