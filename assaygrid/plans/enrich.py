@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaygrid.model import Assay
-from assaygrid.operators import diff, enrich, gsva, joins, multitest
-from assaygrid.plans.bind import CELLS, FEATURES, R, REGION_CELLS, SAMPLES, Catalog, assay, part_features, region_assay, rnd, table
+from assaygrid.operators import diff, enrich, gsva, joins
+from assaygrid.plans.bind import CELLS, R, REGION_CELLS, SAMPLES, Catalog, assay, part_features, region_assay, rnd, table
 from assaygrid.plans.diff import MOMENTS, WELCH, t_tail
 
 catalog = Catalog()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import na_to_null
-from assaygrid.model import Assay
 from assaygrid.plans.bind import CELLS, R, SAMPLES, Catalog, assay, part_features, rnd, samples, table
 from assaygrid.plans.enrich import gene_sets
 from assaygrid.plans.precursor import VALUES, P, chromatograms, precursors

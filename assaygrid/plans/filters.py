@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaygrid.operators import filters as flt
-from assaygrid.plans.bind import CELLS, FEATURES, R, SAMPLES, Catalog, assay, part_features, rnd, samples, table
+from assaygrid.plans.bind import CELLS, FEATURES, R, SAMPLES, Catalog, assay, part_features, rnd, samples
 
 catalog = Catalog()
 add = catalog.add

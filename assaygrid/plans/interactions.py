@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaygrid.functions import special
 from assaygrid.model import Assay
 from assaygrid.operators import hybrid, saint
 from assaygrid.plans.bind import CELLS, DENSE, R, SAMPLES, Catalog, assay, part_features, rnd, samples

@@ -49,8 +49,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when ``rows`` (a proven upper bound) allows it, else leave the choice to Spark."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def value_of(df: DataFrame):
-    """A one-row, one-column frame as a scalar subquery column."""
-    return df.scalar()
