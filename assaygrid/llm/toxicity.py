@@ -5,8 +5,10 @@ logistic curve fitted on documents that the counts left out. Bigrams back off to
 those to shared backoff counts: how many different words a word follows, in both classes together. A rare
 expression is thus about as likely under either model and decides nothing.
 
-Counts are taken over all labelled rows. What is kept of them is bounded: the ``VOCABULARY`` most frequent words
-(all others are one unknown word) and the ``BIGRAMS`` most frequent pairs of them.
+Counts are of documents with the expression, over all labelled rows, so that a repeated line counts once. Where the
+split of an expression over the classes is within chance (below ``TRUST`` standard deviations), the classes share
+its counts. What is kept is bounded: the ``VOCABULARY`` most frequent words (all others are one unknown word) and
+the ``BIGRAMS`` most frequent pairs of them.
 
 Defined results: a null text counts as empty; a text without a word has difference 0; without labels of both
 classes every score is 0; a null id or label teaches nothing; equal texts get equal scores; texts of any length are read
@@ -32,6 +34,8 @@ catalog = Catalog()
 VOCABULARY = 50_000
 BIGRAMS = 300_000
 DISCOUNT = 0.75
+TRUST = 4.0
+FOLDS = 4  # one part of the texts fits the curve, the others are counted
 CALIBRATION = 4000  # expected documents for the logistic curve, at most twice as many
 BETWEEN = r"[^\p{L}\p{N}]+"
 THRESHOLD = 0.3
@@ -67,19 +71,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * difference + self.shift, -50, 50))))
 
 
-def kneser_ney(words: list[str], pairs: np.ndarray, context: np.ndarray, follows: np.ndarray) -> Model:
-    """The model from counts.
+def trusted(ordinary: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Whether the toxic part of the counts is further from its expected share than chance explains."""
+    n = ordinary + toxic
+    return np.abs(toxic - n * share) >= TRUST * np.sqrt(np.maximum(n, 1) * share * (1 - share))
+
+
+def kneser_ney(words: list[str], pairs: np.ndarray, context: np.ndarray, follows: np.ndarray, share: float) -> Model:
+    """The model from counts; ``share`` is that of toxic documents.
 
     ``pairs``: rows (context id, word id, ordinary, toxic). ``context``: (ordinary, toxic) counts per id as a
     context, all pairs included. ``follows``: (ordinary, toxic, different words before) per id. Id 0 is the unknown word.
     """
     size = len(words) + 1
-    shared = (follows[:, 2] + 0.5) / (follows[:, 2] + 0.5).sum()
+    backoff = (follows[:, 2] + 0.5) / (follows[:, 2] + 0.5).sum()
     uni = np.empty((size, 2))
+    own = trusted(follows[:, 0], follows[:, 1], share)
+    pooled = follows[:, :2].sum(1) / max(follows[:, :2].sum(), 1)
     for c in (0, 1):
         n = follows[:, c].astype(float)
         kept = np.maximum(n - DISCOUNT, 0) / max(n.sum(), 1)
-        uni[:, c] = kept + (1 - kept.sum()) * shared
+        uni[:, c] = np.where(own, kept + (1 - kept.sum()) * backoff, np.maximum(pooled, 1e-12))
+    pairs = pairs[trusted(pairs[:, 2], pairs[:, 3], share)]
     key = pairs[:, 0] * size + pairs[:, 1]
     pairs = pairs[np.argsort(key)]
     seen = np.maximum(pairs[:, 2:4] - DISCOUNT, 0) / np.maximum(context[pairs[:, 0]], 1)
@@ -95,9 +108,12 @@ def kneser_ney(words: list[str], pairs: np.ndarray, context: np.ndarray, follows
 
 def counts(labelled: DataFrame) -> Model | None:
     """Fit on ``labelled`` (text, toxic 0 or 1): counted over all rows, None without both classes."""
+    size = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+    if not size.get(0) or not size.get(1):
+        return None
     tokens = labelled.select("toxic", F.concat(F.array(F.lit("")), F.array_remove(F.split(F.lower(whole()), BETWEEN), "")).alias("w"))
     ones = [F.sum(F.when(F.col("toxic") == c, 1).otherwise(0)).alias(n) for c, n in ((0, "n0"), (1, "n1"))]
-    per_word = tokens.select("toxic", F.explode("w").alias("word")).filter("word <> ''").groupBy("word").agg(*ones)
+    per_word = tokens.select("toxic", F.explode(F.array_distinct("w")).alias("word")).filter("word <> ''").groupBy("word").agg(*ones)
     top = per_word.filter("n0 + n1 > 1").orderBy(F.expr("n0 + n1").desc(), "word").limit(VOCABULARY)
     words = [r[0] for r in top.select("word").collect()]
     if not words:
@@ -105,20 +121,17 @@ def counts(labelled: DataFrame) -> Model | None:
     ids = broadcast_small(labelled.sparkSession.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, id int"), F.octet_length("word") + 16)
     id_of = lambda c: ids.select(F.col("word").alias(c), F.col("id").alias(c[0]))
     w = F.col("w")
-    spans = tokens.select("toxic", F.explode(F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("vw"), F.slice(w, 2, F.size(w)).alias("ww"))).alias("p"))
-    coded = spans.select("toxic", "p.vw", "p.ww").join(id_of("vw"), "vw", "left").join(id_of("ww"), "ww", "left")
+    beside = F.array_distinct(F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("vw"), F.slice(w, 2, F.size(w)).alias("ww")))
+    coded = tokens.select("toxic", F.explode(beside).alias("p")).select("toxic", "p.vw", "p.ww").join(id_of("vw"), "vw", "left").join(id_of("ww"), "ww", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     pairs = materialize(coded.select("toxic", zero("v"), zero("w")).groupBy("v", "w").agg(*ones))
-    size = len(words) + 1
-    context, follows = np.zeros((size, 2), np.int64), np.zeros((size, 3), np.int64)
+    context, follows = np.zeros((len(words) + 1, 2), np.int64), np.zeros((len(words) + 1, 3), np.int64)
     for v, a, b in pairs.groupBy("v").agg(F.sum("n0"), F.sum("n1")).collect():
         context[v] = a, b
     for x, a, b, n in pairs.groupBy("w").agg(F.sum("n0"), F.sum("n1"), F.count("*")).collect():
         follows[x] = a, b, n
-    if not follows[:, 0].any() or not follows[:, 1].any():
-        return None
     kept = pairs.filter("n0 + n1 > 1 AND w > 0").orderBy(F.expr("n0 + n1").desc(), "v", "w").limit(BIGRAMS).toPandas()
-    return kneser_ney(words, kept.to_numpy(np.int64).reshape(-1, 4), context, follows)
+    return kneser_ney(words, kept.to_numpy(np.int64).reshape(-1, 4), context, follows, size[1] / (size[0] + size[1]))
 
 
 def differences(text: Column, model: Model, spark: SparkSession) -> Column:
@@ -145,8 +158,8 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """Counts from seven eighths of the texts, by hash; the curve from a sample of the others."""
-    fold = F.pmod(F.xxhash64(whole()), F.lit(8))
+    """Counts from all but one of ``FOLDS`` parts of the texts, by hash; the curve from a sample of that one."""
+    fold = F.pmod(F.xxhash64(whole()), F.lit(FOLDS))
     model = counts(labelled.filter(fold > 0))
     if model is None:
         return None
