@@ -30,8 +30,9 @@ HIDDEN = 8
 SAMPLE = 1500  # training windows per language, as expected value; at most twice as many
 PER_DOC = 3  # windows drawn from one document
 EPOCHS = 4
+STEPS = 400  # training steps at least, however few the windows
 BATCH = 64
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.3
 LETTER = r"\p{L}"
 
 
@@ -139,6 +140,7 @@ class Network:
         rng = np.random.default_rng(seed)
         first = {n: np.zeros_like(a) for n, a in self.w.items()}
         second = {n: np.zeros_like(a) for n, a in self.w.items()}
+        epochs = max(epochs, -(-STEPS * BATCH // max(len(x), 1)))
         batches = [b for _ in range(epochs) for b in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH))]
         for t, b in enumerate(batches):
             pace = rate * (1 - t / len(batches))

@@ -34,7 +34,7 @@ COMMON = {
 VOCABULARY = list(dict.fromkeys(w for ws in COMMON.values() for w in ws))
 CLASSES = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:?]", r"[!'\"()-]"]
 GUARD = {"char": 100, "word": 30}
-LIMIT = {"char": 0.25, "word": 0.5}
+LIMIT = {"char": 0.3, "word": 0.5}
 
 
 def repeat_words(df: DataFrame, w: str, out: str) -> DataFrame:
