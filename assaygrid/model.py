@@ -51,11 +51,11 @@ class Assay:
 
         One shuffle on the feature; a group holds at most one entry per sample.
         """
+        kind = self.cells.schema["value"].dataType
         obs = F.collect_list(F.struct("sample_id", "value"))
         per_feature = self.cells.groupBy("feature_id").agg(obs.alias("obs")).withColumn("ids", self.sample_ids())
-        kind = per_feature.schema["obs"].dataType.elementType
         absent = F.transform(
             F.array_except("ids", F.col("obs.sample_id")),
-            lambda s: F.struct(s.alias("sample_id"), F.lit(None).cast("double").alias("value")).cast(kind),
+            lambda s: F.struct(s.alias("sample_id"), F.lit(None).cast(kind).alias("value")),
         )
         return per_feature.select("feature_id", F.inline(F.concat("obs", absent)))

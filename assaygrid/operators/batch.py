@@ -16,17 +16,11 @@ from assaygrid.runtime import materialize
 R2_HIGH = 0.3
 
 
-def work_scale(assay: Assay, requested: str = "auto", first: int | None = None) -> str:
-    """``log10`` when more than half of the observed values exceed 100, else ``raw``.
-
-    Looks at the whole matrix, or at the ``first`` features in id order.
-    """
+def work_scale(assay: Assay, requested: str = "auto") -> str:
+    """``log10`` when more than half of the observed values of the whole matrix exceed 100, else ``raw``."""
     if requested != "auto":
         return requested
     cells = assay.observed("positive")
-    if first is not None:
-        ids = assay.cells.select("feature_id").distinct().orderBy("feature_id").limit(first)
-        cells = cells.join(F.broadcast(ids), "feature_id", "left_semi")
     share = cells.agg(F.avg((F.col("value") > 100).cast("int"))).first()[0]
     return "log10" if share is not None and share > 0.5 else "raw"
 

@@ -326,13 +326,3 @@ def top_variance(assay: Assay, n: int) -> Assay:
     """Cells of the ``n`` most variable features (population variance, missing as 0)."""
     top = row_views(assay, [n]).filter("kind = 'variance'").select("feature_id")
     return keep_rows(assay, F.broadcast(top))
-
-
-def stride_cap(items: DataFrame, cap: int, key: str) -> DataFrame:
-    """Every n/cap-th item in key order: positions floor(i n / cap)."""
-    placed = row_numbers(items.select(key).distinct(), [(key, True)], out="_pos").withColumn("_pos", F.col("_pos") - 1)
-    placed = placed.withColumn("_n", placed.agg(F.count("*")).scalar())
-    # position p is taken when some i has floor(i n / cap) = p, i.e. the next multiple of n/cap falls in [p, p + 1)
-    first = F.ceil(F.col("_pos") * cap / F.col("_n"))
-    taken = (F.col("_n") <= cap) | ((F.floor(first * F.col("_n") / cap) == F.col("_pos")) & (first < cap))
-    return items.join(placed.filter(taken).select(key), key, "left_semi")

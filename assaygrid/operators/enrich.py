@@ -18,7 +18,7 @@ from assaygrid.operators import diff, multitest
 from assaygrid.operators.meta import strip_species, symbol_index
 from assaygrid.operators.pairs import pair_sums
 from assaygrid.operators.ranking import ordered, row_numbers
-from assaygrid.runtime import BROADCAST_ROWS, materialize
+from assaygrid.runtime import materialize
 
 MIN_GENES = 50
 P_FLOOR = 1e-300
@@ -192,44 +192,17 @@ def _draw(seed: int, size: int, perm: int, n: int) -> np.ndarray:
     return np.sort(rng.choice(n, size=size, replace=False, shuffle=False))
 
 
-def _es_of(pos: np.ndarray, w: np.ndarray, n: int) -> float:
-    total = w.sum()
-    if not total > 0:
-        return 0.0
-    cum = np.cumsum(w)
-    misses = (pos - np.arange(len(pos))) / (n - len(pos))
-    high, low = max(0.0, (cum / total - misses).max()), min(0.0, ((cum - w) / total - misses).min())
-    return high if high >= -low else low
-
-
 def gsea_null(es: DataFrame, placed: DataFrame, n_perm: int = 1000, weight: float = 1.0, seed: int = 42, chunk: int = 50) -> DataFrame:
     """Scores of random sets, one null per distinct set size: ``size, perm, es``.
 
-    Work is split by (size, run of permutations); every draw is seeded by its size and number. The
-    weights are sent to the tasks while the list is short enough; beyond that the drawn positions are
-    joined to the list.
+    Work is split by (size, run of permutations); every draw is seeded by its size and number. The drawn
+    positions are joined to the list, whatever its length.
     """
-    spark = placed.sparkSession
+    if n_perm < 1:
+        raise ValueError("n_perm must be at least 1")
     n = placed.count()
-    n_perm = max(100, min(10_000, n_perm))
     starts = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1), F.lit(chunk))).alias("start")
     work = es.select("size").distinct().select(F.col("size").cast("int").alias("size"), starts).repartition("size", "start")
-    if n <= BROADCAST_ROWS:
-        rows = placed.orderBy("pos").select(F.pow(F.abs("score"), F.lit(float(weight))).alias("w")).toPandas()
-        weights = spark.sparkContext.broadcast(rows["w"].to_numpy())
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            w = weights.value
-            for pdf in batches:
-                for size, start in zip(pdf["size"], pdf["start"]):
-                    perms = np.arange(start, min(start + chunk, n_perm))
-                    found = []
-                    for perm in perms:
-                        pos = _draw(seed, size, perm, n)
-                        found.append(_es_of(pos, w[pos], n))
-                    yield pd.DataFrame({"size": size, "perm": perms, "es": found})
-
-        return work.mapInPandas(score, "size int, perm int, es double")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -350,14 +323,14 @@ def top_terms(
     terms: DataFrame, n: int = 20, by: str = "p_adj", min_overlap: int = 0, max_p: float = 1.0, max_padj: float = 1.0,
     min_combined: float | None = None, min_odds: float | None = None,
 ) -> DataFrame:
-    """Terms inside the cutoffs, the best ``n`` (5-200) by adjusted p, p or combined score."""
+    """Terms inside the cutoffs, the best ``n`` by adjusted p, p or combined score."""
     keep = (F.col("overlap") >= min_overlap) & (F.col("p") <= max_p) & (F.col("p_adj") <= max_padj)
     if min_combined is not None:
         keep = keep & (F.col("combined") >= min_combined)
     if min_odds is not None:
         keep = keep & (F.col("odds_ratio") >= min_odds)
     first = F.desc("combined") if by == "combined" else F.asc(by)
-    return terms.filter(keep).orderBy(first, "p", "set_name").limit(max(5, min(200, n)))
+    return terms.filter(keep).orderBy(first, "p", "set_name").limit(n)
 
 
 def term_jaccard(sets: DataFrame, n_sets: int) -> DataFrame:

@@ -15,8 +15,6 @@ from assaygrid.operators.enrich import walk
 from assaygrid.operators.qc import zscore_rows
 from assaygrid.operators.ranking import average_ranks, row_numbers
 from assaygrid.runtime import materialize
-
-ECDF_SAMPLES = 200
 DIGITS = 9  # log odds are rounded, so that the order of a sum does not decide a rank
 # Abramowitz and Stegun 7.1.26.
 AS_P = 0.3275911
@@ -68,22 +66,15 @@ def _log_odds(kernel: str):
     return run
 
 
-def kernel_for(assay: Assay, kernel: str = "auto") -> str:
-    """``ecdf`` from 200 samples on; ``poisson`` when all values are whole and non-negative; else ``gaussian``."""
-    if kernel != "auto":
-        return kernel
-    if assay.n_samples >= ECDF_SAMPLES:
-        return "ecdf"
-    whole = assay.cells.agg(F.bool_and((F.col("value") >= 0) & (F.col("value") == F.floor("value")))).first()[0]
-    return "poisson" if whole else "gaussian"
-
-
-def gene_cdf(assay: Assay, kernel: str = "auto") -> DataFrame:
+def gene_cdf(assay: Assay, kernel: str = "gaussian") -> DataFrame:
     """Log odds of every usable cell within its gene: ``feature_id, sample_id, value``.
 
+    ``kernel``: ``gaussian``, ``poisson`` (for whole, non-negative values) or ``ecdf``, whatever the number of samples.
+
     A gene's values (one per sample) are one row, so the pairwise kernel stays inside a task.
     """
-    kernel = kernel_for(assay, kernel)
+    if kernel not in ("gaussian", "poisson", "ecdf"):
+        raise ValueError(f"unknown kernel {kernel!r}")
     cells = assay.cells.join(usable_genes(assay), "feature_id", "left_semi")
     if kernel == "ecdf":
         w = Window.partitionBy("feature_id").orderBy("value")
@@ -110,7 +101,7 @@ def feature_sets(sets: DataFrame, features: DataFrame, genes: DataFrame, min_siz
     return members.join(sizes.select("set_name"), "set_name", "left_semi")
 
 
-def gsva(assay: Assay, members: DataFrame, kernel: str = "auto", tau: float = 1.0, max_diff: bool = True, abs_ranking: bool = False) -> DataFrame:
+def gsva(assay: Assay, members: DataFrame, kernel: str = "gaussian", tau: float = 1.0, max_diff: bool = True, abs_ranking: bool = False) -> DataFrame:
     """Classic score of every set and sample: ``set_name, sample_id, score``.
 
     Features are ranked within each sample by their log odds, ties by id; the running sum visits the

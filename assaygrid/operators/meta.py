@@ -12,7 +12,7 @@ from assaygrid.functions.missing import is_placeholder
 from assaygrid.model import Assay
 from assaygrid.operators.joins import clean_file_name
 from assaygrid.operators.ranking import row_numbers
-from assaygrid.runtime import BROADCAST_ROWS
+from assaygrid.runtime import BROADCAST_ROWS, materialize
 
 SEPARATORS = r"[_\-. ]"
 # Fixed value: what reads as a duration.
@@ -20,13 +20,15 @@ DURATION = r"(?i)^\d+(\.\d+)?(ns|us|ms|s|sec|secs|min|mins|h|hr|hrs|hour|hours|d
 # Fixed value: accession pattern of the public protein knowledgebase.
 ACCESSION = r"^[OPQ][0-9][A-Z0-9]{3}[0-9]$|^[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2}$"
 # Organism mnemonics that may follow the last underscore of an identifier.
-SPECIES = (
-    "HUMAN MOUSE RAT BOVIN PIG RABIT CHICK XENLA DROME CAEEL YEAST SCHPO DANRE CANLF MACMU PANTR PONAB MACFA GORGO "
-    "CHLAE PAPHA CALJA CANFA FELIS FELCA HORSE EQUAS SHEEP GOAT MESAU CAVPO CRIGR NORVG HAMST GERBL GUINE ECHGR LOXAF "
-    "ORNAN MONDO DASNO SORAR TUPCH OTOGA MUSPF NEOMU SUS ECOLI ARATH SOYBN MAIZE BRARE ORYZA WHEAT BARJU COTJA SOLLC "
-    "TOBAC PHYPA DICDI ASPOR AJECG BACSU HELPY LACLM STRPN STAAR YERPE PSEAE METJA TRYBR PLAF XENTR LASMU VICPA BISBO "
-    "TAEGU"
-).split()
+SPECIES = [
+    "HUMAN", "MOUSE", "RAT", "BOVIN", "PIG", "RABIT", "CHICK", "XENLA", "DROME", "CAEEL", "YEAST", "SCHPO",
+    "DANRE", "CANLF", "MACMU", "PANTR", "PONAB", "MACFA", "GORGO", "CHLAE", "PAPHA", "CALJA", "CANFA", "FELIS",
+    "FELCA", "HORSE", "EQUAS", "SHEEP", "GOAT", "MESAU", "CAVPO", "CRIGR", "NORVG", "HAMST", "GERBL", "GUINE",
+    "ECHGR", "LOXAF", "ORNAN", "MONDO", "DASNO", "SORAR", "TUPCH", "OTOGA", "MUSPF", "NEOMU", "SUS", "ECOLI",
+    "ARATH", "SOYBN", "MAIZE", "BRARE", "ORYZA", "WHEAT", "BARJU", "COTJA", "SOLLC", "TOBAC", "PHYPA", "DICDI",
+    "ASPOR", "AJECG", "BACSU", "HELPY", "LACLM", "STRPN", "STAAR", "YERPE", "PSEAE", "METJA", "TRYBR", "PLAF",
+    "XENTR", "LASMU", "VICPA", "BISBO", "TAEGU",
+]
 
 
 def _shared_length(a: Column, b: Column) -> Column:
@@ -80,10 +82,20 @@ def shorten_names(samples: DataFrame, col: str = "sample_id", out: str = "short"
 
 
 def number_duplicates(df: DataFrame, col: str, order: str) -> DataFrame:
-    """Second and later rows of a name, by ``order``, get _2, _3, ... A name may hold any number of rows."""
-    ranked = row_numbers(df, [(order, True)], [col], n_groups=BROADCAST_ROWS + 1, out="_rn")
-    numbered = F.concat_ws("_", F.col(col), F.col("_rn").cast("string"))
-    return ranked.withColumn(col, F.when(F.col("_rn") > 1, numbered).otherwise(F.col(col))).drop("_rn")
+    """Second and later rows of a name, by ``order``, get _2, _3, ... A name may hold any number of rows.
+
+    Where such a name is already there, the later row gets a number in turn, until all names differ. Null
+    names stay null.
+    """
+    while True:
+        repeated = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_rn")).filter("_rn > 1").select(col)
+        if repeated.isEmpty():
+            return df
+        repeated = materialize(repeated)
+        ranked = row_numbers(df.join(repeated, col, "left_semi"), [(order, True)], [col], n_groups=BROADCAST_ROWS + 1, out="_rn")
+        numbered = F.concat(F.col(col), F.lit("_"), F.col("_rn").cast("string"))
+        renamed = ranked.withColumn(col, F.when(F.col("_rn") > 1, numbered).otherwise(F.col(col))).drop("_rn")
+        df = df.join(repeated, col, "left_anti").unionByName(renamed)
 
 
 def simplify_names(samples: DataFrame, col: str = "sample_id", out: str = "name") -> DataFrame:
@@ -137,7 +149,7 @@ def parse_replicates(samples: DataFrame, col: str = "sample_id") -> DataFrame:
     df, checks = timed, []
     for letter in AXES:
         df = df.withColumn(f"_{letter}", _axis_token(col, letter))
-        number = F.substring(F.col(f"_{letter}"), 2, 9).cast("int")
+        number = F.col(f"_{letter}").substr(F.lit(2), F.length(f"_{letter}")).try_cast("decimal(38,0)")
         checks.append(F.coalesce(
             (F.count(number) == F.count("*")) & (F.min(number) == 1) & (F.max(number) == F.count_distinct(number)), F.lit(False)
         ).alias(letter))
@@ -209,7 +221,7 @@ def attach_meta(assay: Assay, col: str, default: str = "(unassigned)") -> DataFr
 
 
 def site_ids(features: DataFrame, gene: str, residue: str, position: str, fallback: Sequence[str], order: str) -> DataFrame:
-    """Ids like ``AKT1_S473``: gene, residue and first position; other columns in turn; unique suffix."""
+    """Ids like ``AKT1_S473``: gene, residue and first position; other columns in turn; ``row_`` and the order without any; unique suffix."""
 
     def first(c: str) -> Column:
         return F.nullif(F.trim(F.element_at(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), ";"), 1)), F.lit(""))
@@ -217,9 +229,9 @@ def site_ids(features: DataFrame, gene: str, residue: str, position: str, fallba
     spot = F.nullif(F.trim(F.element_at(F.split(F.col(position).cast("string"), "[;,]"), 1)), F.lit(""))
     suffix = F.concat(F.lit("_"), F.nullif(F.trim(F.col(residue)), F.lit("")), spot)
     stem = F.coalesce(F.when(suffix.isNotNull(), first(gene)), *[first(c) for c in fallback], first(gene))
-    named = features.withColumn("site_id", F.concat(stem, F.coalesce(suffix, F.lit(""))))
-    named = number_duplicates(named, "site_id", order)
-    return named.withColumn("site_id", F.coalesce("site_id", F.concat(F.lit("row_"), F.col(order).cast("string"))))
+    own = F.concat(F.lit("row_"), F.col(order).cast("string"))
+    named = features.withColumn("site_id", F.coalesce(F.concat(stem, F.coalesce(suffix, F.lit(""))), own))
+    return number_duplicates(named, "site_id", order)
 
 
 def group_counts(samples: DataFrame, col: str) -> DataFrame:
@@ -232,7 +244,7 @@ def flow_links(samples: DataFrame, cols: Sequence[str], max_nodes: int = 30) ->
     Rows with a blank level are skipped. Per level the values beyond the ``max_nodes`` - 1 most
     frequent become one node ``(other N)``.
     """
-    limit = max(max_nodes, 5)
+    limit = max_nodes
     blank = [F.col(c).isNull() | (F.trim(F.col(c)) == "") for c in cols]
     kept = samples.filter(~reduce(lambda a, b: a | b, blank))
     for c in cols:

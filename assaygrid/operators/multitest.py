@@ -40,15 +40,20 @@ def bonferroni(df: DataFrame, p: str = "p", out: str = "p_adj") -> DataFrame:
     return df.withColumn("_m", m).withColumn(out, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
 
 
-def pi0_smoother(df: DataFrame, p: str = "p") -> tuple[float, list[float]]:
-    """Share of true nulls: counts at 20 lambdas in one pass, then a cubic smoothing spline with 3 df."""
+def pi0_smoother(df: DataFrame, p: str = "p", method: str = "smoother") -> tuple[float, list[float]]:
+    """Share of true nulls from counts at 20 lambdas, taken in one pass.
+
+    ``smoother``: the last value of a cubic smoothing spline with 3 df; ``minimum``: the smallest of the 20 shares.
+    """
+    if method not in ("smoother", "minimum"):
+        raise ValueError(f"unknown method {method!r}")
     counts = df.filter(F.col(p).isNotNull() & ~F.isnan(p)).agg(
         F.count("*").alias("m"), *[F.count_if(F.col(p) >= x).alias(f"c{i}") for i, x in enumerate(LAMBDAS)]
     ).first()
     if not counts["m"]:
         return float("nan"), []
     curve = [counts[f"c{i}"] / counts["m"] / (1 - x) for i, x in enumerate(LAMBDAS)]
-    at_end = _smooth(np.array(LAMBDAS), np.array(curve), 3.0)[-1] if counts["m"] >= 20 else min(curve)
+    at_end = _smooth(np.array(LAMBDAS), np.array(curve), 3.0)[-1] if method == "smoother" else min(curve)
     return float(min(1.0, max(0.0, at_end))), curve
 
 
@@ -79,10 +84,10 @@ def _smooth(x: np.ndarray, y: np.ndarray, df: float) -> np.ndarray:
     return u @ ((u.T @ y) / (1 + np.exp((low + high) / 2) * d))
 
 
-def storey(df: DataFrame, p: str = "p", out: str = "q") -> DataFrame:
+def storey(df: DataFrame, p: str = "p", out: str = "q", method: str = "smoother") -> DataFrame:
     """q-values: step-up scaled by the estimated share of true nulls."""
     df = materialize(df)
-    pi0, _ = pi0_smoother(df, p)
+    pi0, _ = pi0_smoother(df, p, method)
     return _step_up(df, p, out, factor=pi0)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaygrid.runtime import broadcast_if
+from assaygrid.runtime import broadcast_if, materialize
 
 ACCURACY = 10_000
 # Up to this many values the bracket is the whole group: the sketch's margin would be under one rank.
@@ -33,26 +33,28 @@ def group_quantiles(
     """
     groups = list(groups)
     names, wanted = list(probs), [float(p) for p in probs.values()]
-    data = df.filter(F.col(value).isNotNull())
-    if groups and interpolate:
-        # small groups fit one aggregation buffer; only larger ones go through brackets
-        sizes = data.groupBy(*groups).agg(F.count(value).alias("n"))
-        small = broadcast_if(sizes.filter(F.col("n") <= WHOLE), n_groups)
-        exact = data.join(small, groups).groupBy(*groups, "n").agg(F.percentile(value, F.array(*map(F.lit, wanted))).alias("_p"))
-        done = exact.select(*groups, "n", *[F.col("_p")[i].alias(m) for i, m in enumerate(names)])
-        big = broadcast_if(sizes.filter(F.col("n") > WHOLE), n_groups)
-        rest = data.join(big, groups, "left_semi")
-        return done.unionByName(_bracketed(rest, groups, value, names, wanted, n_groups, interpolate))
-    return _bracketed(data, groups, value, names, wanted, n_groups, interpolate)
+    data = materialize(df.filter(F.col(value).isNotNull()).select(*groups, value))
+    brackets = materialize(_brackets(data, groups, value, names, wanted))
+    if not groups or not interpolate:
+        return _bracketed(data, brackets, groups, value, names, n_groups, interpolate)
+    # small groups fit one aggregation buffer, which gives the same numbers; larger ones go through brackets
+    sizes = brackets.select(*groups, "n")
+    small = broadcast_if(sizes.filter(F.col("n") <= WHOLE), n_groups)
+    exact = data.join(small, groups).groupBy(*groups, "n").agg(F.percentile(value, F.array(*map(F.lit, wanted))).alias("_p"))
+    done = exact.select(*groups, "n", *[F.col("_p")[i].alias(m) for i, m in enumerate(names)])
+    large = brackets.filter(F.col("n") > WHOLE)
+    if large.isEmpty():
+        return done
+    rest = data.join(broadcast_if(large.select(*groups), n_groups), groups, "left_semi")
+    return done.unionByName(_bracketed(rest, large, groups, value, names, n_groups, interpolate))
 
 
-def _bracketed(
-    data: DataFrame, groups: list[str], value: str, names: list[str], wanted: list[float], n_groups: int, interpolate: bool
-) -> DataFrame:
+def _brackets(data: DataFrame, groups: list[str], value: str, names: list[str], wanted: list[float]) -> DataFrame:
+    """Per group its size and, for each quantile, the rank and two values around it."""
     margin = 2 / ACCURACY
     low = [max(0.0, p - margin) for p in wanted]
     high = [min(1.0, p + margin) for p in wanted]
-    brackets = data.groupBy(*groups).agg(
+    sketch = data.groupBy(*groups).agg(
         F.count(value).alias("n"),
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
@@ -67,7 +69,10 @@ def _bracketed(
         )
         for i, (name, p) in enumerate(zip(names, wanted))
     ]
-    brackets = brackets.select(*groups, "n", F.array(*bracket).alias("_b"))
+    return sketch.select(*groups, "n", F.array(*bracket).alias("_b"))
+
+
+def _bracketed(data: DataFrame, brackets: DataFrame, groups: list[str], value: str, names: list[str], n_groups: int, interpolate: bool) -> DataFrame:
     values = data.select(*groups, F.col(value).alias("_v"))
     if groups:
         placed = values.join(broadcast_if(brackets, n_groups), groups)
@@ -91,11 +96,15 @@ def _bracketed(
     upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
     ranked = tally.withColumn("_cum", F.sum("_c").over(upto))
     seen = F.col("_v").isNotNull()
+    # the bracket must hold both ranks it was made for
+    below = F.coalesce(F.sum(F.when(~seen, F.col("_c"))), F.lit(0))
+    held = (below <= F.floor("pos")) & (F.sum("_c") > F.ceil("pos"))
     per_name = ranked.groupBy(*keys, "n", "pos").agg(
+        held.alias("held"),
         F.min(F.when(seen & (F.col("_cum") > F.floor("pos")), F.col("_v"))).alias("a"),
         F.min(F.when(seen & (F.col("_cum") > F.ceil("pos")), F.col("_v"))).alias("b"),
     )
-    at = F.col("a")
+    at = F.when(F.col("held"), F.col("a")).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")))
     if interpolate:
         at = at + (F.col("pos") - F.floor("pos")) * (F.col("b") - F.col("a"))
     return (

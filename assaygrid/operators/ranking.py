@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,9 @@ class Ordered:
         )
         bound = shuffle_partitions(self.df.sparkSession) + self.n_groups
         local = self.df.withColumn("_local", agg(col).over(inside))
-        joined = local.join(broadcast_if(carried, bound), keys, "left")
+        # a null group is a group like the others
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+        joined = local.alias("l").join(broadcast_if(carried, bound).alias("c"), reduce(lambda x, y: x & y, same), "left").select("l.*", "c._carry")
         a, b = F.col("_local"), F.col("_carry")
         if fn == "sum":
             total = F.coalesce(a, a * 0, F.lit(0)) + F.coalesce(b, F.lit(0))

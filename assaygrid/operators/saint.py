@@ -17,7 +17,6 @@ from assaygrid.operators.quantiles import group_quantiles
 from assaygrid.operators.ranking import join_counted
 from assaygrid.runtime import materialize
 
-TOP_N = 100
 LOG2_4 = 2.0
 
 
@@ -75,12 +74,13 @@ def _raised(stats: DataFrame, floor: float) -> DataFrame:
     return stats.withColumn("_m", median).withColumn("sd", F.greatest("sd", F.coalesce("_m", "sd"))).drop("_m")
 
 
-def control_stats(controls: DataFrame, top: int = TOP_N) -> DataFrame:
-    """log2 mean and sd of the ``top`` largest control values per feature."""
+def control_stats(controls: DataFrame, top: int | None = None) -> DataFrame:
+    """log2 mean and sd of the control values per feature, of all or of the ``top`` largest."""
     logs = controls.withColumn("value", F.log2("value")).filter(_present(F.col("value")))
-    w = Window.partitionBy("feature_id").orderBy(F.desc("value"))  # one value per control sample
-    kept = logs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
-    stats = kept.groupBy("feature_id").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
+    if top is not None:
+        w = Window.partitionBy("feature_id").orderBy(F.desc("value"))  # one value per control sample
+        logs = logs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
+    stats = logs.groupBy("feature_id").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
     return _raised(stats, 1e-10)
 
 
@@ -145,21 +145,22 @@ def fit_prior(lik: DataFrame, max_rounds: int = 100, tolerance: float = 0.01) ->
     return {"beta": beta, "cells": used}
 
 
-def avg_p(lik: DataFrame, samples: DataFrame, beta: float, top: int = TOP_N) -> DataFrame:
+def avg_p(lik: DataFrame, samples: DataFrame, beta: float, top: int | None = None) -> DataFrame:
     """``bait, prey, n_rep, avg_p``: mean over replicates of each replicate's mean score, four decimals.
 
     The prior weight enters as e^beta here, although the fit uses 2^beta. A replicate without a score
-    counts as 0; scores of 0 are missing.
+    counts as 0; scores of 0 are missing. ``top`` keeps the largest replicate scores only.
     """
     weight = math.exp(beta)
     up = weight * F.col("lik_true")
     scored = lik.withColumn("score", up / (up + F.col("lik_false")))
     per_rep = scored.groupBy("bait", "prey", "sample_id").agg(F.coalesce(F.avg(F.when(F.col("score") != 0, F.col("score"))), F.lit(0.0)).alias("s"))
     reps = samples.filter("status = 'T'").groupBy("bait").agg(F.count("*").alias("n_rep"))
-    w = Window.partitionBy("bait", "prey").orderBy(F.desc("s"))  # one value per replicate
-    kept = per_rep.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
-    total = kept.groupBy("bait", "prey").agg(F.sum("s").alias("s")).join(F.broadcast(reps), "bait")
-    raw = F.col("s") / F.least("n_rep", F.lit(top))
+    if top is not None:
+        w = Window.partitionBy("bait", "prey").orderBy(F.desc("s"))  # one value per replicate
+        per_rep = per_rep.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
+    total = per_rep.groupBy("bait", "prey").agg(F.sum("s").alias("s")).join(F.broadcast(reps), "bait")
+    raw = F.col("s") / (F.col("n_rep") if top is None else F.least("n_rep", F.lit(top)))
     return total.select("bait", "prey", "n_rep", (F.floor(raw * 10000 + 0.5) / 10000).alias("avg_p"))
 
 
@@ -177,7 +178,7 @@ def bfdr(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(lookup), "avg_p", "left")
 
 
-def saint(assay: Assay, normalise: bool = False, top_control: int = TOP_N, top_rep: int = TOP_N) -> DataFrame:
+def saint(assay: Assay, normalise: bool = False, top_control: int | None = None, top_rep: int | None = None) -> DataFrame:
     """The whole analysis: ``bait, prey, n_rep, avg_p, bfdr, confidence``."""
     control = control_stats(impute_controls(assay, normalise), top_control)
     tests = test_cells(assay)
@@ -202,18 +203,19 @@ def protein_log10(assay: Assay) -> DataFrame:
     return rows.groupBy("prey").agg((F.sum("s") / (F.count("*") * assay.n_samples)).alias("log10_mean"))
 
 
-def bait_log2fc(assay: Assay, top: int = TOP_N) -> DataFrame:
-    """Mean over a prey's rows of (bait mean - mean of the ``top`` controls) on log2; missing counts as 1."""
+def bait_log2fc(assay: Assay, top: int | None = None) -> DataFrame:
+    """Mean over a prey's rows of (bait mean - mean of the controls, or of the ``top`` largest) on log2; missing counts as 1."""
     groups = assay.samples.select("sample_id", "status", "bait")
     v = F.when(~is_missing(F.col("value")), F.log2("value"))
     cells = assay.cells.withColumn("l", v).filter("l IS NOT NULL").join(assay.per_sample(groups), "sample_id")
     controls = assay.samples.filter("status = 'C'").count()
+    used = controls if top is None else min(top, controls)
     # a feature has at most one value per control; absent ones are zeros in the sorted list
     own = F.collect_list(F.when(F.col("status") == "C", F.col("l")))
     base = cells.groupBy("feature_id").agg(own.alias("c"))
     padded = F.concat("c", F.array_repeat(F.lit(0.0), F.lit(controls) - F.size("c")))
-    largest = F.slice(F.sort_array(padded, False), 1, min(top, controls))
-    base = base.select("feature_id", (F.aggregate(largest, F.lit(0.0), lambda a, x: a + x) / min(top, controls)).alias("control"))
+    largest = F.slice(F.sort_array(padded, False), 1, used)
+    base = base.select("feature_id", (F.aggregate(largest, F.lit(0.0), lambda a, x: a + x) / used).alias("control"))
     per_bait = cells.filter("status = 'T'").groupBy("feature_id", "bait").agg(F.sum("l").alias("s"))
     sizes = assay.samples.filter("status = 'T'").groupBy("bait").agg(F.count("*").alias("n"))
     # every row meets every bait, whether or not it was seen there

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations, islice
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from assaygrid.functions.missing import is_missing
 from assaygrid.runtime import materialize
 
-MAX_COMBINATIONS = 5_000_000  # above this, listing every union is refused instead of cut short
 CHUNK = 4096
 
 
@@ -121,9 +119,6 @@ def top_intersections(present: DataFrame, names: Sequence[str], max_members: int
 def unions(present: DataFrame, names: Sequence[str], min_members: int = 1, max_members: int = 5) -> DataFrame:
     """Union size of every combination of ``min_members``..``max_members`` sets."""
     names = sorted(names)
-    total = sum(comb(len(names), d) for d in range(min_members, max_members + 1))
-    if total > MAX_COMBINATIONS:
-        raise ValueError(f"{total} combinations; choose fewer sets or members")
     sigs = _indexed(signatures(present), names)
     kernel = _count_kernel((min_members, max_members, len(names)), "union", len(names))
     counts = sigs.mapInPandas(kernel, "combo array<int>, n long").groupBy("combo").agg(F.sum("n").alias("n"))

@@ -176,7 +176,7 @@ def gsva_scores(spark, sf):
 def gsva_poisson(spark, sf):
     a = region_assay(spark, sf)
     counts = a.with_cells(a.cells.withColumn("value", F.floor(F.col("value") / 1000).cast("double")))
-    return gsva.gsva(counts, _members(spark, sf, counts), "auto", max_diff=False)
+    return gsva.gsva(counts, _members(spark, sf, counts), "poisson", max_diff=False)
 
 
 @add(

@@ -199,12 +199,3 @@ SELECT * FROM cells WHERE feature_id IN (SELECT feature_id FROM s ORDER BY v DES
 )
 def top_variance(spark, sf):
     return cluster.top_variance(assay(spark, sf), 200).cells
-
-
-@add(
-    "cluster_stride_cap",
-    """WITH p AS (SELECT p_partkey AS feature_id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part), n AS (SELECT count(*) AS n FROM part)
-SELECT feature_id FROM p WHERE pos IN (SELECT floor(i * (SELECT n FROM n) / 300) FROM range(300) t(i)) OR (SELECT n FROM n) <= 300""",
-)
-def stride_cap(spark, sf):
-    return cluster.stride_cap(part_features(spark, sf).select("feature_id"), 300, "feature_id")

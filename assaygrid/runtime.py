@@ -15,7 +15,7 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting falls back to a temporary folder.
+    Only a local session without the setting, as in a trial, falls back to a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
@@ -27,8 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the stored tables of this application: for when no result that reads them is needed any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

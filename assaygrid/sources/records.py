@@ -67,7 +67,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_gmt(spark: SparkSession, path: str, leaf: str | None = None) -> DataFrame:
     """Gene sets: name, description and genes separated by tabs; the first definition of a name wins."""
     parts = _lines(spark, path).select(F.split("line", "\t").alias("p"), "place")
-    named = parts.select(F.trim(F.col("p")[0]).alias("set_name"), F.slice("p", 3, 1_000_000).alias("genes"), "place").filter("set_name <> ''")
+    named = parts.select(F.trim(F.col("p")[0]).alias("set_name"), F.slice("p", 3, F.size("p")).alias("genes"), "place").filter("set_name <> ''")
     first = named.groupBy("set_name").agg(F.min_by("genes", "place").alias("genes"))
     genes = first.select(F.lit(leaf or "custom").alias("leaf"), "set_name", F.explode("genes").alias("symbol"))
     return genes.withColumn("symbol", F.trim("symbol")).filter("symbol <> ''").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assaygrid.functions.missing import na_to_null
 from assaygrid.model import Assay
 from assaygrid.operators.meta import number_duplicates, site_ids
+from assaygrid.operators.ranking import row_numbers
 
 
 def quoted(name: str) -> Column:
@@ -27,6 +28,11 @@ def read_text_table(spark: SparkSession, path: str, sep: str = "\t", header: boo
     return spark.read.csv(path, sep=sep, header=header, inferSchema=False, mode="PERMISSIVE")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """A frame just read from text files with ``_place``: file, block and row, which order the lines of the input."""
+    return df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("_place"))
+
+
 def find_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
     """First of ``names`` that occurs, ignoring case."""
     by_lower = {c.strip().lower(): c for c in reversed(columns)}
@@ -41,9 +47,10 @@ def melt(df: DataFrame, ids: Sequence[Column], values: Sequence[str], fill: floa
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Plain matrix: header row, ids in the first column, unparseable cells missing."""
+    """Plain matrix: header row, ids in the first column, unparseable cells missing; later duplicates of an id get a number."""
     df = read_text_table(spark, path, sep)
-    return melt(df, [quoted(df.columns[0]).alias("feature_id")], df.columns[1:])
+    named = number_duplicates(placed(df).withColumn("_id", quoted(df.columns[0])), "_id", "_place")
+    return melt(named, [F.col("_id").alias("feature_id")], df.columns[1:])
 
 
 def read_samples(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -55,6 +62,7 @@ def read_samples(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 # ---- precursor software matrices -----------------------------------------------
 
 
+# Id columns of the report, by preference.
 PG_IDS = ["Protein.Names", "Genes", "First.Protein.Description", "Protein.Group"]
 
 
@@ -62,27 +70,28 @@ def read_diann_pg(spark: SparkSession, path: str, id_col: str = "Protein.Names",
     """Protein-group matrix: six annotation columns, then intensities; non-numeric cells become 0.
 
     Without the wanted id column the next of names, genes, description, group is taken. Rows with a blank
-    id are dropped unless the id is the group.
+    id are dropped unless the id is the group; later duplicates of an id get a number.
     """
     df = read_text_table(spark, path, sep)
     if len(df.columns) < 7:
         raise ValueError("expected at least 7 columns")
     chosen = find_column(df.columns, [id_col, *PG_IDS]) or df.columns[0]
     key = F.trim(F.coalesce(quoted(chosen), F.lit("")))
-    kept = df if chosen.lower() == "protein.group" else df.filter(key != "")
-    return _annotated(kept, key, df.columns[:6], df.columns[6:])
+    return _annotated(df, key, chosen.lower() != "protein.group", df.columns[:6], df.columns[6:])
 
 
 def read_diann_gg(spark: SparkSession, path: str, sep: str = "\t") -> Assay:
-    """Gene-group matrix: ids in the first column, intensities from the fourth."""
+    """Gene-group matrix: ids in the first column, intensities from the fourth; later duplicates of an id get a number."""
     df = read_text_table(spark, path, sep)
     key = F.trim(F.coalesce(quoted(df.columns[0]), F.lit("")))
-    return _annotated(df.filter(key != ""), key, df.columns[:3], df.columns[3:])
+    return _annotated(df, key, True, df.columns[:3], df.columns[3:])
 
 
-def _annotated(df: DataFrame, key: Column, notes: Sequence[str], values: Sequence[str]) -> Assay:
-    cells = melt(df, [key.alias("feature_id")], values, 0.0)
-    features = df.select(key.alias("feature_id"), *[quoted(c).alias(_plain(c)) for c in notes])
+def _annotated(df: DataFrame, key: Column, drop_blank: bool, notes: Sequence[str], values: Sequence[str]) -> Assay:
+    keyed = placed(df).withColumn("_id", key)
+    named = number_duplicates(keyed.filter("_id <> ''") if drop_blank else keyed, "_id", "_place")
+    cells = melt(named, [F.col("_id").alias("feature_id")], values, 0.0)
+    features = named.select(F.col("_id").alias("feature_id"), *[quoted(c).alias(_plain(c)) for c in notes])
     samples = df.sparkSession.createDataFrame([(v,) for v in values], "sample_id string")
     return Assay(cells, samples, features)
 
@@ -91,6 +100,7 @@ def _plain(name: str) -> str:
     return re.sub(r"\W+", "_", name.strip()).strip("_").lower()
 
 
+# Annotation columns of the site report.
 SITE_NOTES = ["Protein", "Protein.Names", "Gene.Names", "Residue", "Site", "Sequence"]
 
 
@@ -100,9 +110,10 @@ def read_diann_sites(spark: SparkSession, path: str, sep: str = "\t") -> Assay:
     notes = [find_column(df.columns, [c]) for c in SITE_NOTES]
     if None in notes:
         raise ValueError(f"expected the columns {SITE_NOTES}")
-    renamed = df.select(*[quoted(c).alias(_plain(n)) for n, c in zip(SITE_NOTES, notes)], *[quoted(c) for c in df.columns if c not in notes])
-    renamed = renamed.withColumn("_order", F.concat_ws("|", "protein", "residue", "site", "sequence"))
-    named = site_ids(renamed, "gene_names", "residue", "site", ["protein_names", "protein"], "_order")
+    renamed = placed(df).select(*[quoted(c).alias(_plain(n)) for n, c in zip(SITE_NOTES, notes)], *[quoted(c) for c in df.columns if c not in notes], "_place")
+    # lines in the order of the input, numbered from 1
+    ordered_lines = row_numbers(renamed, [("_place", True)], out="_line").drop("_place")
+    named = site_ids(ordered_lines, "gene_names", "residue", "site", ["protein_names", "protein"], "_line")
     values = [c for c in df.columns if c not in notes]
     cells = melt(named, [F.col("site_id").alias("feature_id")], values, 0.0)
     features = named.select(F.col("site_id").alias("feature_id"), *[_plain(n) for n in SITE_NOTES])
@@ -112,6 +123,7 @@ def read_diann_sites(spark: SparkSession, path: str, sep: str = "\t") -> Assay:
 # ---- quantification tables with per-experiment columns ------------------------------
 
 
+# Columns whose + marks a row to drop, and id columns by preference.
 FLAGS = ["Reverse", "Potential contaminant", "Only identified by site"]
 PROTEIN_IDS = ["Gene names", "Protein names", "Majority protein IDs", "Protein IDs", "id"]
 
@@ -133,8 +145,8 @@ def _first_entry(col: str) -> Column:
     return F.nullif(F.trim(F.element_at(F.split(quoted(col), ";"), 1)), F.lit(""))
 
 
-def _unique(df: DataFrame, order: Column) -> DataFrame:
-    return number_duplicates(df.withColumn("_order", order), "feature_id", "_order").drop("_order")
+def _unique(df: DataFrame) -> DataFrame:
+    return number_duplicates(df, "feature_id", "_place")
 
 
 def read_mq_proteins(
@@ -146,15 +158,15 @@ def read_mq_proteins(
     """
     df = read_text_table(spark, path, sep)
     experiments = _experiments(df.columns, quant) or _experiments(df.columns, "Intensity")
+    columns, df = df.columns, placed(df)
     if remove_contaminants:
         df = _without_flags(df)
     options = [find_column(df.columns, [c]) for c in [id_col, *PROTEIN_IDS]]
     key = F.coalesce(*[_first_entry(c) for c in options if c])
-    order = quoted(find_column(df.columns, ["id"])).try_cast("bigint") if find_column(df.columns, ["id"]) else F.col("feature_id")
-    named = _unique(df.withColumn("feature_id", key).filter("feature_id IS NOT NULL"), order)
+    named = _unique(df.withColumn("feature_id", key).filter("feature_id IS NOT NULL"))
     entries = [F.struct(F.lit(k).alias("sample_id"), F.coalesce(number(quoted(c)), F.lit(0.0)).alias("value")) for k, c in experiments.items()]
     cells = named.select("feature_id", F.inline(F.array(*entries)))
-    notes = [c for c in df.columns if not any(c.endswith(" " + k) for k in experiments)]
+    notes = [c for c in columns if not any(c.endswith(" " + k) for k in experiments)]
     features = named.select("feature_id", *[quoted(c).alias(_plain(c)) for c in notes if _plain(c) != "feature_id"])
     return Assay(cells, spark.createDataFrame([(k,) for k in experiments], "sample_id string"), features)
 
@@ -165,6 +177,7 @@ def read_mq_sites(spark: SparkSession, path: str, id_mode: str = "gene", remove_
     ``id_mode``: ``gene``, ``protein`` (names with residue and position), ``leading`` (protein and position) or ``id``.
     """
     df = read_text_table(spark, path, sep)
+    columns, df = df.columns, placed(df)
     if remove_contaminants:
         df = _without_flags(df)
     parts: dict[str, list[str]] = {}
@@ -192,9 +205,9 @@ def read_mq_sites(spark: SparkSession, path: str, id_mode: str = "gene", remove_
         "leading": F.concat(leading, F.lit("_"), position),
         "id": own,
     }[id_mode]
-    named = _unique(df.withColumn("feature_id", F.coalesce(key, own)).filter("feature_id IS NOT NULL"), F.coalesce(own.try_cast("bigint"), F.lit(0)))
+    named = _unique(df.withColumn("feature_id", F.coalesce(key, own)).filter("feature_id IS NOT NULL"))
     cells = named.select("feature_id", F.inline(F.array(*entries)))
-    notes = [c for c in df.columns if not c.startswith("Intensity ")]
+    notes = [c for c in columns if not c.startswith("Intensity ")]
     features = named.select("feature_id", *[quoted(c).alias(_plain(c)) for c in notes if _plain(c) != "feature_id"])
     return Assay(cells, spark.createDataFrame([(k,) for k in parts], "sample_id string"), features)
 
@@ -231,25 +244,34 @@ def read_long(spark: SparkSession, path: str, sep: str = ",") -> tuple[Assay, Da
     return Assay(cells, samples), rows.select("feature_id", "group_id").distinct()
 
 
-def _head(spark: SparkSession, path: str, n: int, sep: str) -> tuple[list[str], list[list[str]]]:
-    """First ``n`` lines of a file, as they are and split."""
-    lines = [r["value"] for r in spark.read.text(path).head(n)]
-    return lines, [line.rstrip("\r").split(sep) for line in lines]
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of one file that are not blank, with their place."""
+    return placed(spark.read.text(path)).filter(F.trim("value") != "")
+
 
+def _head(spark: SparkSession, path: str, n: int, sep: str) -> list[tuple]:
+    """The first ``n`` lines: place and cells. A folder is read in the order of its file names."""
+    first = _lines(spark, path).orderBy("_place").limit(n).collect()
+    return [(r["_place"], r["value"].rstrip("\r").split(sep)) for r in first]
 
-def _body(spark: SparkSession, path: str, skip: list[str], width: int, sep: str) -> DataFrame:
-    """All other lines as text columns ``c0..``."""
-    lines = spark.read.text(path).filter(~F.col("value").isin(skip) & (F.trim("value") != ""))
+
+def _body(spark: SparkSession, path: str, last, width: int, sep: str) -> DataFrame:
+    """The lines after the place ``last`` as text columns ``c0..``, with their place."""
     schema = ", ".join(f"c{i} string" for i in range(width))
-    return lines.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
+    # the place is compared as a whole, so a line equal to a header line stays
+    limit = F.struct(F.lit(last["file_path"]).alias("file_path"), F.lit(last["file_block_start"]).alias("file_block_start"), F.lit(last["row"]).alias("row"))
+    lines = _lines(spark, path).filter(F.col("_place") > limit)
+    return lines.select(F.from_csv("value", schema, {"sep": sep}).alias("r"), "_place").select("r.*", "_place")
 
 
 def read_wide_grouped(spark: SparkSession, path: str, sep: str = ",") -> tuple[Assay, DataFrame]:
     """Wide table ``Feature[, Feature group], sample...`` with an optional second row of groups.
 
-    Without that row the group is the last token of the sample name; exactly two groups are needed.
+    Without that row the group is the last token of the sample name; exactly two groups are needed. Later
+    duplicates of a feature get a number.
     """
-    lines, split = _head(spark, path, 2, sep)
+    head = _head(spark, path, 2, sep)
+    split = [cells for _, cells in head]
     header = [h.strip() for h in split[0]]
     with_group_col = len(header) > 1 and header[1].lower() in LONG_ALIASES["group_id"]
     first = 2 if with_group_col else 1
@@ -261,22 +283,23 @@ def read_wide_grouped(spark: SparkSession, path: str, sep: str = ",") -> tuple[A
         groups = [re.split(r"[_\-. ]", n)[-1] for n in names]
     if len(set(groups)) != 2:
         raise ValueError("expected exactly two groups")
-    body = _body(spark, path, lines if marked else lines[:1], len(header), sep)
+    body = _body(spark, path, head[1 if marked else 0][0], len(header), sep)
     entries = [F.struct(F.lit(n).alias("sample_id"), number(F.col(f"c{first + i}")).alias("value")) for i, n in enumerate(names)]
-    cells = body.select(F.trim("c0").alias("feature_id"), F.inline(F.array(*entries)))
-    member = body.select(F.trim("c0").alias("feature_id"), F.trim("c1" if with_group_col else "c0").alias("group_id")).distinct()
+    named = number_duplicates(body.withColumn("_id", F.trim("c0")), "_id", "_place")
+    cells = named.select(F.col("_id").alias("feature_id"), F.inline(F.array(*entries)))
+    member = named.select(F.col("_id").alias("feature_id"), F.trim("c1" if with_group_col else "c0").alias("group_id")).distinct()
     samples = spark.createDataFrame(list(zip(names, groups)), "sample_id string, grp string")
     return Assay(cells, samples), member
 
 
 def read_bait_matrix(spark: SparkSession, path: str, prey: str | None = None, sep: str = "\t") -> Assay:
     """Matrix under three header rows (status, bait, name); data start at the first column with a status."""
-    lines, (status, bait, names) = _head(spark, path, 3, sep)
+    head = _head(spark, path, 3, sep)
+    status, bait, names = (cells for _, cells in head)
     start = next(i for i, s in enumerate(status) if s.strip())
-    body = _body(spark, path, lines, len(names), sep)
+    body = _body(spark, path, head[-1][0], len(names), sep)
     at = names.index(prey) if prey else 0
-    row_id = F.xxhash64(*[f"c{i}" for i in range(len(names))]).cast("string")
-    keyed = body.withColumn("feature_id", row_id)
+    keyed = row_numbers(body, [("_place", True)], out="_line").withColumn("feature_id", F.col("_line").cast("string"))
     entries = [F.struct(F.lit(names[i]).alias("sample_id"), number(F.col(f"c{i}")).alias("value")) for i in range(start, len(names))]
     samples = [(names[i], status[i].strip().upper(), bait[i] if i < len(bait) else "") for i in range(start, len(names))]
     return Assay(
@@ -287,28 +310,41 @@ def read_bait_matrix(spark: SparkSession, path: str, prey: str | None = None, se
 
 
 def read_category_matrix(spark: SparkSession, path: str, sep: str = "\t") -> Assay:
-    """Matrix with sample categories in extra header rows (``title: value`` cells under blank first cells) and feature
-    categories in row names such as ``('GENE', 'Type: kinase')``."""
-    lines, split = _head(spark, path, 12, sep)
-    names = [n.strip() for n in split[0][1:]]
-    extra = [row for row in split[1:] if row and not row[0].strip()]
-    cats: dict[str, list[str]] = {}
-    for row in extra:
-        for i, cell in enumerate(row[1 : len(names) + 1]):
-            title, _, value = cell.partition(":")
-            cats.setdefault(title.strip() or "category", [""] * len(names))[i] = value.strip() or cell.strip()
-    body = _body(spark, path, [lines[0]] + lines[1 : 1 + len(extra)], len(names) + 1, sep)
-    raw = F.regexp_replace(F.trim("c0"), r"^\(|\)$|'", "")
-    pieces = F.transform(F.split(raw, ","), lambda p: F.trim(p))
-    key = F.element_at(pieces, 1)
+    """Matrix with sample categories in rows between the names and the first data row, such as ``cat-0: Subtype`` followed
+    by one value per sample, and feature categories in row names such as ``(GENE, cat-0: kinase)``.
+
+    A row is one of categories if its first cell says ``cat-N:``, or if neither its first cell nor its second is a number.
+    Any number of category rows and of categories per feature is read; later duplicates of a name get a number.
+    """
+    is_number = lambda c: c.try_cast("double").isNotNull()
+    cells = F.split(F.regexp_replace("value", "\r$", ""), sep if sep != "|" else r"\|")
+    lines = _lines(spark, path).withColumn("_c", cells)
+    (top, names_row), *_ = _head(spark, path, 1, sep)
+    names = [n.strip() for n in names_row[1:]]
+    first, second = F.trim(F.col("_c")[0]), na_to_null(F.get("_c", F.lit(1)))
+    category = first.rlike(r"(?i)^cat-\d+:") | ((first != "") & ~is_number(first) & second.isNotNull() & ~is_number(second))
+    at = lambda place: F.struct(*[F.lit(place[k]).alias(k) for k in ("file_path", "file_block_start", "row")])
+    after = lines.filter(F.col("_place") > at(top))
+    data = after.filter(~category).agg(F.min("_place")).first()[0]
+    header = after if data is None else after.filter(F.col("_place") < at(data))
+    extra = [(r["_c"][0].strip(), [v.strip() for v in r["_c"][1:]]) for r in header.orderBy("_place").collect()]
+    titles = []
+    for title, _ in extra:
+        name = re.sub(r"(?i)^cat-\d+:\s*", "", title) or title
+        while name.lower() in ("sample_id", *(t.lower() for t in titles)):
+            name += "_"
+        titles.append(name)
+    last = top if not extra else header.agg(F.max("_place")).first()[0]
+    body = _body(spark, path, last, len(names) + 1, sep)
+    pieces = F.transform(F.split(F.regexp_replace(F.trim("c0"), r"^\(|\)$|'", ""), ","), lambda p: F.trim(p))
+    named = number_duplicates(body.withColumn("_p", pieces).withColumn("feature_id", F.element_at("_p", 1)), "feature_id", "_place")
     entries = [F.struct(F.lit(n).alias("sample_id"), number(F.col(f"c{i + 1}")).alias("value")) for i, n in enumerate(names)]
-    notes = F.transform(F.slice(pieces, 2, 20), lambda p: F.struct(
+    notes = F.transform(F.slice("_p", 2, F.size("_p")), lambda p: F.struct(
         F.trim(F.element_at(F.split(p, ":"), 1)).alias("title"), F.trim(F.element_at(F.split(p, ":"), -1)).alias("value")
     ))
-    titles = list(cats)
-    samples = [(n, *[cats[t][i] for t in titles]) for i, n in enumerate(names)]
+    samples = [(n, *[v[i] if i < len(v) else "" for _, v in extra]) for i, n in enumerate(names)]
     return Assay(
-        body.select(key.alias("feature_id"), F.inline(F.array(*entries))),
+        named.select("feature_id", F.inline(F.array(*entries))),
         spark.createDataFrame(samples, "sample_id string" + "".join(f", `{t}` string" for t in titles)),
-        body.select(key.alias("feature_id"), notes.alias("categories")),
+        named.select("feature_id", notes.alias("categories")),
     )

@@ -317,14 +317,17 @@ def test_gsea(spark):
         assert out[k]["fdr"] == pytest.approx(worst)
 
 
-def test_gsea_null_without_broadcast(spark, monkeypatch):
+def test_gsea_null(spark):
+    """Any number of permutations, one null per size, seeded by size and number."""
     ranked = spark.createDataFrame([(f"g{i}", float(50 - i)) for i in range(100)], "symbol string, score double")
     placed = enrich.positions(ranked)
     sizes = spark.createDataFrame([(15,), (30,)], "size long")
-    one = {(r["size"], r["perm"]): r["es"] for r in enrich.gsea_null(sizes, placed, 100).collect()}
-    monkeypatch.setattr(enrich, "BROADCAST_ROWS", 10)
-    two = {(r["size"], r["perm"]): r["es"] for r in enrich.gsea_null(sizes, placed, 100).collect()}
-    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+    few = {(r["size"], r["perm"]): r["es"] for r in enrich.gsea_null(sizes, placed, 20).collect()}
+    assert len(few) == 40
+    more = {(r["size"], r["perm"]): r["es"] for r in enrich.gsea_null(sizes, placed, 120).collect()}
+    assert len(more) == 240 and all(more[k] == pytest.approx(few[k]) for k in few)
+    with pytest.raises(ValueError):
+        enrich.gsea_null(sizes, placed, 0)
 
 
 def test_sign_flip(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assaygrid.operators import joins, meta
+from assaygrid.operators import impute, joins, meta
 from assaygrid.sources import records, tables
 
 
@@ -38,9 +38,9 @@ def test_wide_without_group_column_keeps_first_sample(spark, tmp_path):
 
 
 def test_category_matrix(spark, tmp_path):
-    text = "\tS1\tS2\n\tcat-1: ctrl\tcat-1: trt\n('AKT1', 'Type: kinase')\t1\t2\nMYC\t3\tNaN\n"
+    text = "\tS1\tS2\ncat-0: Subtype\tctrl\ttrt\n('AKT1', 'Type: kinase')\t1\t2\nMYC\t3\tNaN\n"
     a = tables.read_category_matrix(spark, write(tmp_path, "c.tsv", text))
-    assert {r["sample_id"]: r["cat-1"] for r in a.samples.collect()} == {"S1": "ctrl", "S2": "trt"}
+    assert {r["sample_id"]: r["Subtype"] for r in a.samples.collect()} == {"S1": "ctrl", "S2": "trt"}
     notes = {r["feature_id"]: [tuple(c) for c in r["categories"]] for r in a.features.collect()}
     assert notes == {"AKT1": [("Type", "kinase")], "MYC": []}
 
@@ -94,3 +94,71 @@ def test_protected_columns(spark):
     for edit in (("drop", "sample_id"), ("rename", "g", "sample_id"), ("add", "g")):
         with pytest.raises(ValueError):
             meta.edit_meta(df, [edit])
+
+
+def unique(assay):
+    """One cell per (feature, sample), as the model has it."""
+    assert assay.cells.groupBy("feature_id", "sample_id").count().filter("count > 1").isEmpty()
+    return {r[0] for r in assay.cells.select("feature_id").distinct().collect()}
+
+
+def test_duplicate_ids(spark, tmp_path):
+    """A repeated id gets a number in every matrix reader."""
+    matrix = tables.read_matrix(spark, write(tmp_path, "m.tsv", "id\ts1\ts2\nNX\t1\t2\nNX\t3\t4\nNX_2\t5\t6\n"))
+    assert {r["feature_id"]: r["value"] for r in matrix.filter("sample_id = 's1'").collect()} == {"NX": 1.0, "NX_2": 3.0, "NX_2_2": 5.0}
+    notes = "Protein.Group\tProtein.Names\tGenes\tFirst.Protein.Description\tN1\tN2\ts1\ts2\n"
+    pg = tables.read_diann_pg(spark, write(tmp_path, "pg.tsv", notes + "P1\tNX\tG\td\t1\t1\t5\t6\nP2\tNX\tG\td\t1\t1\tNA\t8\n"))
+    assert unique(pg) == {"NX", "NX_2"}
+    gg = tables.read_diann_gg(spark, write(tmp_path, "gg.tsv", "Genes\ta\tb\ts1\nG\t1\t1\t5\nG\t1\t1\t6\n"))
+    assert unique(gg) == {"G", "G_2"}
+    sites = "Protein\tProtein.Names\tGene.Names\tResidue\tSite\tSequence\ts1\n"
+    ds = tables.read_diann_sites(spark, write(tmp_path, "s.tsv", sites + "P\tN\tG\tS\t4\tAS\t1\nP\tN\tG\tS\t4\tAS\t2\n\t\t\t\t\tX\t3\n\t\t\t\t\tY\t4\n"))
+    assert unique(ds) == {"G_S4", "G_S4_2", "row_3", "row_4"}
+    mq = tables.read_mq_proteins(spark, write(tmp_path, "p.tsv", "Gene names\tLFQ intensity a\tLFQ intensity b\nG\t1\t2\nG\t3\t4\nH\t5\t6\n"))
+    assert unique(mq) == {"G", "G_2", "H"}
+    assert {r["feature_id"]: r["value"] for r in mq.cells.filter("sample_id = 'a'").collect()} == {"G": 1.0, "G_2": 3.0, "H": 5.0}
+    mqs = tables.read_mq_sites(spark, write(tmp_path, "ps.tsv", "Gene names\tAmino acid\tPosition\tIntensity a\nG\tS\t4\t1\nG\tS\t4\t2\n"))
+    assert unique(mqs) == {"G_S4", "G_S4_2"}
+    wide, _ = tables.read_wide_grouped(spark, write(tmp_path, "w2.csv", "Feature,s1_a,s2_b\nf,1,2\nf,3,4\nFeature,s1_a,s2_b\n"))
+    assert unique(wide) == {"f", "f_2", "Feature"}
+
+
+def test_category_rows(spark, tmp_path):
+    """Any number of category rows and of categories per feature; missing cells stay data."""
+    extra = "".join(f"cat-{i}: T{i}\tx{i}\ty{i}\n" for i in range(30))
+    kinds = ", ".join(f"cat-{i}: v{i}" for i in range(30))
+    a = tables.read_category_matrix(spark, write(tmp_path, "k.tsv", f"\tS1\tS2\n{extra}(AKT1, {kinds})\t1\t2\nMYC\tNA\t4\nMYC\t5\t6\n"))
+    assert len(a.samples.columns) == 31 and a.samples.filter("sample_id = 'S2'").first()["T29"] == "y29"
+    got = {r["feature_id"]: r["categories"] for r in a.features.collect()}
+    assert set(got) == {"AKT1", "MYC", "MYC_2"} and tuple(got["AKT1"][29]) == ("cat-29", "v29")
+    assert {r["value"] for r in a.cells.filter("feature_id = 'MYC'").collect()} == {None, 4.0}
+
+
+def test_read_then_impute(spark, tmp_path):
+    """What readers return can be imputed and compared."""
+    rows = "".join(f"G{i % 8}\t{i + 1}\t{'NaN' if i % 3 else i + 2}\t{i * 2 + 1}\n" for i in range(12))
+    mq = tables.read_mq_proteins(spark, write(tmp_path, "q.tsv", "Gene names\tLFQ intensity a\tLFQ intensity b\tLFQ intensity c\n" + rows))
+    for out in (impute.simple(mq, "median"), impute.min_prob(mq), impute.knn(mq, k=2)):
+        cells = out.cells if hasattr(out, "cells") else out
+        assert cells.count() == 36 and cells.filter("value IS NULL OR value <= 0").isEmpty()
+
+
+def test_site_names(spark):
+    rows = spark.createDataFrame([(1, None, None, None), (2, None, None, None), (3, "A", "S", "1"), (4, "A", "S", "1"), (5, "A_S1_2", None, None)], "k int, gene string, res string, pos string")
+    got = {r["k"]: r["site_id"] for r in meta.site_ids(rows, "gene", "res", "pos", ["gene"], "k").collect()}
+    assert got == {1: "row_1", 2: "row_2", 3: "A_S1", 4: "A_S1_2", 5: "A_S1_2_2"}
+
+
+def test_long_replicate_numbers(spark):
+    names = [(f"run_R{n}",) for n in (1, 2, 12345678901234)]
+    got = meta.parse_replicates(spark.createDataFrame(names, "sample_id string"))
+    assert got.filter("Biological_Replicate IS NOT NULL").isEmpty()
+
+
+def test_null_groups_over_partitions(spark):
+    """A null group is numbered through, however many partitions it lies in."""
+    from assaygrid.operators.ranking import row_numbers
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit("a")).alias("g"))
+    got = row_numbers(rows, [("id", True)], ["g"], n_groups=2)
+    assert got.groupBy("g").agg(F.count_distinct("rank").alias("n"), F.max("rank").alias("m")).select("n", "m").distinct().collect() == [(2000, 2000)]
