@@ -7,8 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,17 +112,17 @@ def lattice_distance(topology: str, rows: int, cols: int) -> np.ndarray:
 
 
 def _unit_sums(code: np.ndarray):
-    """Per task: how many items each unit wins and the sum of their vectors."""
+    """Per task: how many items each unit wins and the sum of their vectors, the number last."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = np.zeros(len(code)), np.zeros_like(code)
-        for pdf in batches:
-            x = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, dim = code.shape
+        total = np.zeros((units, dim + 1))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, dim)
             win = ((code**2).sum(1)[None, :] - 2 * x @ code.T).argmin(axis=1)
-            np.add.at(n, win, 1)
-            np.add.at(total, win, x)
-        used = np.flatnonzero(n)
-        yield pd.DataFrame({"unit": used, "n": n[used], "total": list(total[used])})
+            np.add.at(total, win, np.concatenate([x, np.ones((len(x), 1))], axis=1))
+        used = np.flatnonzero(total[:, dim])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))], ["unit", "total"])
 
     return run
 
@@ -140,8 +142,7 @@ def som(
         scores, loadings, variance = pca(data, 2)
         load = np.array([[r["pc1"], r["pc2"]] for r in loadings.orderBy("dim").collect()])
         sd = np.sqrt(np.maximum([r["eigenvalue"] for r in variance.orderBy("component").collect()], 1e-12))
-        dims = data.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()
-        mean = np.array([r["m"] for r in dims])
+        mean = np.array(data.select(Summarizer.mean(array_to_vector(F.col("vec")))).first()[0])
         r, c = np.indices((rows, cols)).reshape(2, -1)
         fy = (r - (rows - 1) / 2) / max((rows - 1) / 2, 0.5)
         fx = (c - (cols - 1) / 2) / max((cols - 1) / 2, 0.5)
@@ -156,12 +157,12 @@ def som(
         frac = epoch / (epochs - 1) if epochs > 1 else 1.0
         radius = max(0.5, start * (1 - 0.75 * frac))
         weight = (steps <= radius).astype(float) if kernel == "bubble" else np.exp(-(steps**2) / (2 * radius**2))
-        parts = data.mapInPandas(_unit_sums(code), "unit int, n double, total array<double>")
-        sums = parts.groupBy("unit").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dim)])
+        parts = data.select("vec").mapInArrow(_unit_sums(code), "unit int, total array<double>")
+        sums = parts.select("unit", array_to_vector(F.col("total")).alias("total")).groupBy("unit").agg(Summarizer.sum(F.col("total")).alias("total"))
         n, total = np.zeros(units), np.zeros_like(code)
         for r in sums.collect():  # at most one row per unit
-            n[r["unit"]] = r["n"]
-            total[r["unit"]] = [r[f"s{i}"] for i in range(dim)]
+            found = r["total"].toArray()
+            n[r["unit"]], total[r["unit"]] = found[dim], found[:dim]
         mass = weight @ n
         code = np.where(mass[:, None] > 1e-12, (weight @ total) / np.maximum(mass, 1e-12)[:, None], code)
     return code

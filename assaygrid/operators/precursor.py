@@ -196,12 +196,17 @@ def run_summary(p: DataFrame, intensity: str = "normalised") -> DataFrame:
         "run", precursor_key().alias("prec"), sequence_key().alias("pep"),
         F.coalesce(blank_to_null("protein_group"), blank_to_null("protein_ids")).alias("pg"), F.col(intensity).alias("x"),
     )
-    out = rows.rollup("run").agg(
-        F.count("*").alias("rows_"), F.count_distinct("prec").alias("prec_"), F.count_distinct("pep").alias("peptides"),
-        F.count_distinct("pg").alias("protein_groups"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("intensity"),
-        F.grouping("run").alias("g"),
-    )
-    return out.select("run", F.when(F.col("g") == 1, F.col("prec_")).otherwise(F.col("rows_")).alias("precursors"), "peptides", "protein_groups", "intensity")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("item")) for k in ("prec", "pep", "pg")])
+    # each item once per run; counts per run and over all runs then come from the same rows
+    seen = rows.select("run", F.inline(kinds)).filter("item IS NOT NULL").distinct()
+    held = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("prec", "prec_"), ("pep", "peptides"), ("pg", "protein_groups"))]
+    sums = rows.groupBy("run").agg(F.count("*").alias("precursors"), F.coalesce(F.sum("x"), F.lit(0.0)).alias("intensity"))
+    per_run = sums.alias("s").join(seen.groupBy("run").agg(*held).alias("i"), F.col("s.run").eqNullSafe(F.col("i.run")), "left")
+    per_run = per_run.select("s.run", "precursors", F.coalesce("peptides", F.lit(0)).alias("peptides"), F.coalesce("protein_groups", F.lit(0)).alias("protein_groups"), "intensity")
+    total = seen.select("kind", "item").distinct().agg(*held)
+    intensity_ = rows.agg(F.coalesce(F.sum("x"), F.lit(0.0))).scalar()
+    total = total.select(F.lit(None).cast(rows.schema["run"].dataType).alias("run"), F.col("prec_").alias("precursors"), "peptides", "protein_groups", intensity_.alias("intensity"))
+    return per_run.unionByName(total)
 
 
 def in_all_runs(p: DataFrame) -> DataFrame:

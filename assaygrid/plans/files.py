@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import na_to_null
+from assaygrid.model import Assay
+from assaygrid.operators import impute
 from assaygrid.plans.bind import CELLS, R, SAMPLES, Catalog, assay, part_features, rnd, samples, table
 from assaygrid.plans.enrich import gene_sets
 from assaygrid.plans.precursor import VALUES, P, chromatograms, precursors
@@ -70,7 +72,7 @@ def read_diann_gg(spark, sf):
 
 @add(
     "read_diann_sites",
-    f"""{GRID}, s AS (SELECT p_partkey, p_brand || '_S' || p_size AS id, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY 'P' || p_partkey || '|S|' || p_size || '|SEQ') AS rn FROM part)
+    f"""{GRID}, s AS (SELECT p_partkey, p_brand || '_S' || p_size AS id, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS rn FROM part)
 SELECT CASE WHEN rn > 1 THEN id || '_' || rn ELSE id END AS feature_id, sample_id, coalesce(value, 0) AS value FROM g JOIN s ON p_partkey = g.feature_id::BIGINT""",
 )
 def read_diann_sites(spark, sf):
@@ -79,7 +81,7 @@ def read_diann_sites(spark, sf):
         "feature_id", F.concat(F.lit("P"), F.col("feature_id").cast("string")).alias("Protein"), F.col("name").alias("Protein.Names"),
         F.col("brand").alias("Gene.Names"), F.lit("S").alias("Residue"), F.col("size").alias("Site"), F.lit("SEQ").alias("Sequence"),
     )
-    return tables.read_diann_sites(spark, _save(f.join(wide, "feature_id").drop("feature_id"))).cells
+    return tables.read_diann_sites(spark, _save(f.join(wide, "feature_id").orderBy("feature_id").drop("feature_id"))).cells
 
 
 @add(
@@ -96,7 +98,7 @@ def read_mq_proteins(spark, sf):
         F.when(size % 4 > 0, F.concat(F.col("brand"), size.cast("string"), F.lit(";OTHER"))).otherwise("").alias("Gene names"),
         F.when(size % 7 == 0, "+").otherwise("").alias("Reverse"), F.when(key % 11 == 0, "+").otherwise("").alias("Potential contaminant"),
     )
-    joined = f.join(wide, "feature_id").drop("feature_id")
+    joined = f.join(wide, "feature_id").orderBy("feature_id").drop("feature_id")
     renamed = joined.select("id", "Protein names", "Gene names", "Reverse", "Potential contaminant", F.lit("9").alias("Intensity"), *[F.col(n).alias(f"LFQ intensity {n}") for n in names], *[F.lit("1").alias(f"Intensity {n}") for n in names])
     return tables.read_mq_proteins(spark, _save(renamed)).cells
 
@@ -112,12 +114,88 @@ def read_mq_sites(spark, sf):
         "feature_id", F.col("feature_id").alias("id"), F.concat("brand", F.lit(";B")).alias("Gene names"), F.lit("T").alias("Amino acid"),
         F.concat(F.col("size").cast("string"), F.lit(";77")).alias("Positions within proteins"), F.lit("").alias("Reverse"),
     )
-    df = f.join(wide, "feature_id").drop("feature_id")
+    df = f.join(wide, "feature_id").orderBy("feature_id").drop("feature_id")
     parts = [c for n in names for c in (F.lit("5").alias(f"Intensity {n}"), F.col(n).alias(f"Intensity {n}___1"), F.lit("1.5").alias(f"Intensity {n}___2"), F.lit("NaN").alias(f"Intensity {n}___3"))]
     sites = tables.read_mq_sites(spark, _save(df.select("id", "Gene names", "Amino acid", tables.quoted("Positions within proteins"), "Reverse", *parts)))
     return sites.cells.withColumn("value", rnd(F.col("value"), 2))
 
 
+def _with_headers(spark, headers, wide, names, sep):
+    """A text file of header lines and one line per feature in order; missing cells stay NA."""
+    body = wide.orderBy("feature_id").select(F.concat_ws(sep, *[F.col("line_id") if "line_id" in wide.columns else F.col("feature_id").cast("string"), *[F.col(n) for n in names]]).alias("value"))
+    path = scratch_path(spark)
+    # the header lines come first in the order of the file names
+    spark.createDataFrame([("\n".join(headers),)], "value string").coalesce(1).write.text(f"{path}/a")
+    body.write.text(f"{path}/b")
+    joined = scratch_path(spark)
+    lines = spark.read.text([f"{path}/a", f"{path}/b"]).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines.orderBy("f", "b", "i").select("value").write.text(joined)
+    return joined
+
+
+def _groups(spark, sf):
+    return {r[0]: r[1] for r in samples(spark, sf).select("sample_id", "batch").collect()}
+
+
+@add("read_wide_grouped", f"{GRID} SELECT feature_id, sample_id, batch AS grp, value FROM g JOIN samples USING (sample_id)")
+def read_wide_grouped(spark, sf):
+    names, wide = _wide(spark, sf)
+    of = _groups(spark, sf)
+    path = _with_headers(spark, [",".join(["Feature", *names]), ",".join(["Group", *(of[n] for n in names)])], wide, names, ",")
+    a, _ = tables.read_wide_grouped(spark, path)
+    return a.cells.join(a.samples, "sample_id").select("feature_id", "sample_id", "grp", "value")
+
+
+@add("read_bait_matrix", f"{GRID} SELECT feature_id AS prey, sample_id, CASE batch WHEN 'B0' THEN 'C' ELSE 'T' END AS status, batch AS bait, value FROM g JOIN samples USING (sample_id)")
+def read_bait_matrix(spark, sf):
+    names, wide = _wide(spark, sf)
+    of = _groups(spark, sf)
+    headers = ["\t".join(["", *("C" if of[n] == "B0" else "T" for n in names)]), "\t".join(["", *(of[n] for n in names)]), "\t".join(["Protein", *names])]
+    a = tables.read_bait_matrix(spark, _with_headers(spark, headers, wide, names, "\t"), "Protein")
+    return a.cells.join(a.samples, "sample_id").join(a.features, "feature_id").select("prey", "sample_id", "status", "bait", "value")
+
+
+@add("read_category_matrix", f"{GRID} SELECT 'F' || feature_id AS feature_id, sample_id, batch, p_brand AS brand, value FROM g JOIN samples USING (sample_id) JOIN part ON p_partkey = feature_id::BIGINT")
+def read_category_matrix(spark, sf):
+    names, wide = _wide(spark, sf)
+    of = _groups(spark, sf)
+    marked = wide.join(part_features(spark, sf).select("feature_id", "brand"), "feature_id")
+    line = F.concat(F.lit("('F"), F.col("feature_id").cast("string"), F.lit("', 'cat-0: "), F.col("brand"), F.lit("')"))
+    headers = ["\t".join(["", *names]), "\t".join(["cat-0: Batch", *(of[n] for n in names)])]
+    a = tables.read_category_matrix(spark, _with_headers(spark, headers, marked.withColumn("line_id", line), names, "\t"))
+    brands = a.features.select("feature_id", F.col("categories")[0]["value"].alias("brand"))
+    return a.cells.join(a.samples, "sample_id").join(brands, "feature_id").select("feature_id", "sample_id", F.col("Batch").alias("batch"), "brand", "value")
+
+
+# a matrix whose ids repeat: the brand names several parts
+REPEATED = f"""{GRID}, ids AS (SELECT p_partkey::VARCHAR AS feature_id, p_brand || CASE WHEN row_number() OVER w > 1 THEN '_' || row_number() OVER w ELSE '' END AS id FROM part WHERE p_partkey IN (SELECT feature_id FROM cells) WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+d AS (SELECT id AS feature_id, sample_id, value FROM g JOIN ids USING (feature_id))"""
+
+
+def _repeated(spark, sf):
+    names, wide = _wide(spark, sf)
+    marked = wide.join(part_features(spark, sf).select("feature_id", "brand"), "feature_id").orderBy("feature_id")
+    return Assay(tables.read_matrix(spark, _save(marked.select(F.col("brand").alias("id"), *names))), samples(spark, sf))
+
+
+@add("read_then_impute_median", f"{REPEATED}, m AS (SELECT sample_id, median(value) AS fill FROM d GROUP BY 1) SELECT feature_id, sample_id, {R('coalesce(value, fill)', 4)} AS value FROM d JOIN m USING (sample_id)")
+def read_then_impute_median(spark, sf):
+    return impute.simple(_repeated(spark, sf), "median").select("feature_id", "sample_id", rnd(F.col("value"), 4).alias("value"))
+
+
+def _uniform(tag):
+    return f"((('0x' || substr(md5('{tag}|7|' || feature_id || '|' || sample_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@add(
+    "read_then_min_prob",
+    f"""{REPEATED}, st AS (SELECT sample_id, avg(log10(1 + value)) AS m, stddev_samp(log10(1 + value)) AS sd FROM d WHERE value IS NOT NULL GROUP BY 1)
+SELECT feature_id, sample_id, {R(f"coalesce(value, greatest(0, 10 ** (m - 1.8 * sd + sqrt(-2 * ln({_uniform('u1')})) * cos(2 * pi() * {_uniform('u2')}) * 0.3 * sd) - 1))", 4)} AS value FROM d JOIN st USING (sample_id)""",
+)
+def read_then_min_prob(spark, sf):
+    return impute.min_prob(_repeated(spark, sf), seed=7).select("feature_id", "sample_id", rnd(F.col("value"), 4).alias("value"))
+
+
 @add("read_precursors", f"WITH {P} SELECT run, count(*) AS n, {R('sum(x)', 2)} AS total, count(DISTINCT pg) AS groups, any_value(typeof(1.0::DOUBLE)) AS charge_type FROM p WHERE pg <> 'Unknown' GROUP BY 1")
 def read_precursors(spark, sf):
     ours = {v: k for k, v in records.REPORT_COLUMNS.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaygrid.model import Assay
-from assaygrid.operators import hybrid, saint
+from assaygrid.operators import enrich, hybrid, saint
 from assaygrid.plans.bind import CELLS, DENSE, R, SAMPLES, Catalog, assay, part_features, rnd, samples
 from assaygrid.plans.diff import t_tail
 from assaygrid.runtime import materialize
@@ -235,6 +235,17 @@ def intensity_welch(spark, sf):
     return out.select("group_id", rnd(F.col("log2fc")).alias("log2fc"), rnd(F.col("t"), 5).alias("t"), rnd(F.col("df"), 5).alias("df"), rnd(F.col("p_int")).alias("p_int"))
 
 
+@add(
+    "enrich_rank_from_hybrid",
+    f"""{INT}, r AS (SELECT group_id, fc, {t_tail('t', 'df')} AS p FROM w) SELECT group_id AS symbol, {R('-log10(greatest(p, 1e-300)) * sign(fc)', 4)} AS score FROM r WHERE p > 0""",
+)
+def rank_from_hybrid(spark, sf):
+    out = hybrid.intensity_stage(assay(spark, sf), membership(spark, sf), "grp", A, B, test="welch")
+    result = out.withColumn("p_bin", F.lit(1.0)).withColumn("statistic", F.lit(0.0)).withColumn("fdr", F.lit(1.0)).withColumn("group_id", F.concat("group_id", F.lit(";other")))
+    ranked = enrich.rank_from_hybrid(result.filter("p_int > 0"), "signed_p")
+    return ranked.withColumn("score", rnd(F.col("score"), 4))
+
+
 @add(
     "hybrid_intensity_centred",
     f"""{HYB}, l AS (SELECT feature_id, sample_id, grp, log2(value) AS x FROM cells JOIN samples USING (sample_id) WHERE grp IN ('AFRICA', 'EUROPE')),

@@ -94,17 +94,18 @@ def attach(spark, sf):
 
 @add(
     "meta_site_ids",
-    """WITH s AS (SELECT p_partkey AS k, 'G' || (p_size % 7) || CASE WHEN p_size % 2 = 0 THEN ';GX' ELSE '' END AS gene, 'G' || (p_size % 7) AS g1,
-  substr('STY', p_size % 3 + 1, 1) AS res, p_size AS pos FROM part),
-n AS (SELECT k, g1 || '_' || res || pos AS id, row_number() OVER (PARTITION BY g1 || '_' || res || pos ORDER BY k) AS rn FROM s)
+    """WITH s AS (SELECT p_partkey AS k, 'G' || (p_size % 7) AS g1, substr('STY', p_size % 3 + 1, 1) AS res, p_size AS pos FROM part),
+i AS (SELECT k, CASE WHEN pos % 11 = 0 THEN 'row_' || k ELSE g1 || '_' || res || pos END AS id FROM s),
+n AS (SELECT k, id, row_number() OVER (PARTITION BY id ORDER BY k) AS rn FROM i)
 SELECT k, CASE WHEN rn > 1 THEN id || '_' || rn ELSE id END AS site_id FROM n""",
 )
 def site_ids(spark, sf):
     size = F.col("size")
     gene = F.concat(F.lit("G"), (size % 7).cast("string"), F.when(size % 2 == 0, ";GX").otherwise(""))
+    named = size % 11 != 0  # the others have no name at all
     rows = part_features(spark, sf).select(
-        F.col("feature_id").alias("k"), gene.alias("gene"), F.substring(F.lit("STY"), size % 3 + 1, F.lit(1)).alias("res"),
-        F.concat(size.cast("string"), F.lit(";9")).alias("pos"), F.lit("P").alias("protein"),
+        F.col("feature_id").alias("k"), F.when(named, gene).alias("gene"), F.when(named, F.substring(F.lit("STY"), size % 3 + 1, F.lit(1))).alias("res"),
+        F.concat(size.cast("string"), F.lit(";9")).alias("pos"), F.when(named, "P").alias("protein"),
     )
     return meta.site_ids(rows, "gene", "res", "pos", ["protein"], "k").select("k", "site_id")
 
