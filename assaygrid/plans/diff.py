@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaygrid.functions import special
@@ -159,7 +160,18 @@ def bonf(spark, sf):
     return multitest.bonferroni(_tied(spark, sf)).select("feature_id", rnd(F.col("p_adj"), 8).alias("p_adj"))
 
 
-@add("diff_storey")
+# the smoother is linear in the curve: its last value is a fixed weighting of the 20 shares
+SMOOTHER = [float(multitest._smooth(np.array(multitest.LAMBDAS), row, 3.0)[-1]) for row in np.eye(len(multitest.LAMBDAS))]
+
+
+@add(
+    "diff_storey",
+    f"""{WELCH}, pv AS (SELECT feature_id, {t_tail('t', 'df')} AS p FROM tt),
+cu AS (SELECT l, count(*) FILTER (WHERE p >= round(l / 20, 2)) / count(*) / (1 - l / 20) AS y FROM pv, range(20) r(l) GROUP BY l),
+pi AS (SELECT greatest(0, least(1, sum(y * [{', '.join(map(repr, SMOOTHER))}][l + 1]))) AS pi0 FROM cu),
+r AS (SELECT *, count(*) OVER () * p / rank() OVER (ORDER BY p) AS raw FROM pv)
+SELECT feature_id, {R('p')} AS p, {R('least(1, min(pi0 * raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM r, pi""",
+)
 def storey(spark, sf):
     out = multitest.storey(diff.ttest(_moments(spark, sf), "welch").filter("t IS NOT NULL"))
     return out.select("feature_id", rnd(F.col("p")).alias("p"), rnd(F.col("q")).alias("q"))
@@ -176,47 +188,60 @@ def storey_curve(spark, sf):
     return spark.createDataFrame(list(zip(multitest.LAMBDAS, curve)), "lambda double, pi0 double").withColumn("pi0", rnd(F.col("pi0")))
 
 
+GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def f_tail(f: str, df1: str, df2: str) -> str:
+    """Upper tail of F for up to four numerator degrees of freedom, from the incomplete beta function's recurrence."""
+    x = f"({df2} / ({df2} + {df1} * {f}))"
+    half = f"({df2} / 2.0)"
+    return f"""CASE {df1} WHEN 1 THEN {t_tail(f"sqrt({f})", df2)} WHEN 2 THEN {x} ** {half}
+  WHEN 3 THEN {t_tail(f"sqrt(3 * {f})", df2)} + 2 * {x} ** {half} * sqrt(1 - {x}) * exp(lgamma({half} + 0.5) - lgamma({half})) / sqrt(pi())
+  WHEN 4 THEN {x} ** {half} * (1 + {half} * (1 - {x})) END"""
+
+
 @add(
     "diff_anova",
     f"""WITH {CELLS}, {SAMPLES}, g AS (SELECT feature_id, grp, count(*) AS n, avg(log2(1 + value)) AS m, var_samp(log2(1 + value)) AS v
-  FROM cells JOIN samples USING (sample_id) WHERE value <> 0 AND grp IN ('AFRICA', 'EUROPE', 'ASIA') GROUP BY 1, 2 HAVING count(*) >= 2),
+  FROM cells JOIN samples USING (sample_id) WHERE value <> 0 GROUP BY 1, 2 HAVING count(*) >= 2),
 t AS (SELECT feature_id, count(*) AS k, sum(n)::BIGINT AS n, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw,
   arg_max(grp, m) AS max_group, max(m) AS max_mean FROM g GROUP BY 1 HAVING count(*) >= 2)
 SELECT feature_id, k, n, {R('(ssb / (k - 1)) / (ssw / (n - k))', 5)} AS f, k - 1 AS df1, n - k AS df2, {R('ssb / (ssb + ssw)')} AS eta2, max_group, {R('max_mean')} AS max_mean FROM t""",
 )
 def anova(spark, sf):
-    out = diff.anova(assay(spark, sf), "grp", ["AFRICA", "EUROPE", "ASIA"])
+    out = diff.anova(assay(spark, sf), "grp", GROUPS)
     return out.select("feature_id", "k", "n", rnd(F.col("f"), 5).alias("f"), "df1", "df2", rnd(F.col("eta2")).alias("eta2"), "max_group", rnd(F.col("max_mean")).alias("max_mean"))
 
 
 @add(
     "diff_anova_p",
     f"""WITH {CELLS}, {SAMPLES}, g AS (SELECT feature_id, grp, count(*) AS n, avg(log2(1 + value)) AS m, var_samp(log2(1 + value)) AS v
-  FROM cells JOIN samples USING (sample_id) WHERE value <> 0 AND grp IN ('AFRICA', 'EUROPE', 'ASIA') GROUP BY 1, 2 HAVING count(*) >= 2),
-t AS (SELECT feature_id, count(*) AS k, sum(n)::BIGINT AS n, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw FROM g GROUP BY 1 HAVING count(*) = 3)
-SELECT feature_id, {R('(1 + 2 * ((ssb / 2) / (ssw / (n - 3))) / (n - 3)) ** (-(n - 3) / 2.0)')} AS p FROM t""",
+  FROM cells JOIN samples USING (sample_id) WHERE value <> 0 GROUP BY 1, 2 HAVING count(*) >= 2),
+t AS (SELECT feature_id, count(*) AS k, sum(n)::BIGINT AS n, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw FROM g GROUP BY 1 HAVING count(*) >= 2),
+f AS (SELECT feature_id, k - 1 AS d1, n - k AS d2, greatest(ssb, 0) / (k - 1) / (ssw / (n - k)) AS f FROM t)
+SELECT feature_id, {R(f_tail('f', 'd1', 'd2'))} AS p FROM f""",
 )
 def anova_p(spark, sf):
-    # with two numerator degrees of freedom the F tail has a closed form
-    out = diff.anova(assay(spark, sf), "grp", ["AFRICA", "EUROPE", "ASIA"]).filter("k = 3")
+    out = diff.anova(assay(spark, sf), "grp", GROUPS)
     return out.select("feature_id", rnd(F.col("p")).alias("p"))
 
 
 @add(
     "diff_kruskal",
     f"""WITH {CELLS}, {SAMPLES}, c AS (SELECT feature_id, grp, floor(log2(1 + value)) AS x, count(*) OVER (PARTITION BY feature_id, grp) AS gs
-  FROM cells JOIN samples USING (sample_id) WHERE value <> 0 AND grp IN ('AFRICA', 'EUROPE', 'ASIA')),
+  FROM cells JOIN samples USING (sample_id) WHERE value <> 0),
 r AS (SELECT *, count(*) OVER (PARTITION BY feature_id, x) AS t, rank() OVER (PARTITION BY feature_id ORDER BY x) + (count(*) OVER (PARTITION BY feature_id, x) - 1) / 2 AS rk FROM c WHERE gs >= 2),
 g AS (SELECT feature_id, grp, count(*) AS n, sum(rk) AS s, sum(t * t - 1) AS ties FROM r GROUP BY 1, 2),
 h AS (SELECT feature_id, count(*) AS k, sum(n)::BIGINT AS n, (12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / nullif(1 - sum(ties) / (sum(n) ** 3 - sum(n)), 0) AS h FROM g GROUP BY 1 HAVING count(*) >= 2)
-SELECT feature_id, k, n, {R('h', 5)} AS h, {R('exp(-h / 2)')} AS p FROM h WHERE k = 3""",
+SELECT feature_id, k, n, {R('h', 5)} AS h, {R('CASE k WHEN 3 THEN exp(-h / 2) WHEN 5 THEN exp(-h / 2) * (1 + h / 2) END')} AS p FROM h""",
 )
 def kruskal(spark, sf):
     a = assay(spark, sf)
     # whole log2 units, so that ties occur
     a = a.with_cells(a.cells.withColumn("value", F.floor(F.log2(1 + F.col("value"))).cast("double")))
-    out = diff.kruskal(a, "grp", ["AFRICA", "EUROPE", "ASIA"], log2=False).filter("k = 3")
-    return out.select("feature_id", "k", "n", rnd(F.col("h"), 5).alias("h"), rnd(F.col("p")).alias("p"))
+    out = diff.kruskal(a, "grp", GROUPS, log2=False)
+    # an even number of degrees of freedom has a closed form; h is compared for all
+    return out.select("feature_id", "k", "n", rnd(F.col("h"), 5).alias("h"), F.when(F.col("k").isin(3, 5), rnd(F.col("p"))).alias("p"))
 
 
 @add(
@@ -258,14 +283,15 @@ def p_histogram(spark, sf):
 @add(
     "diff_group_heatmap",
     f"""WITH {CELLS}, {SAMPLES}, g AS (SELECT feature_id, grp, count(*) AS n, avg(log2(1 + value)) AS m, var_samp(log2(1 + value)) AS v
-  FROM cells JOIN samples USING (sample_id) WHERE value <> 0 AND grp IN ('AFRICA', 'EUROPE', 'ASIA') GROUP BY 1, 2),
-t AS (SELECT feature_id, sum(n) - 3 AS d, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw FROM g WHERE n >= 2 GROUP BY 1 HAVING count(*) = 3),
-top AS (SELECT feature_id FROM t ORDER BY (1 + 2 * ((ssb / 2) / (ssw / d)) / d) ** (-d / 2.0), feature_id LIMIT 40)
+  FROM cells JOIN samples USING (sample_id) WHERE value <> 0 GROUP BY 1, 2),
+t AS (SELECT feature_id, count(*) - 1 AS d1, sum(n)::BIGINT - count(*) AS d2, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw FROM g WHERE n >= 2 GROUP BY 1 HAVING count(*) >= 2),
+f AS (SELECT feature_id, d1, d2, greatest(ssb, 0) / d1 / (ssw / d2) AS f FROM t),
+top AS (SELECT feature_id FROM f ORDER BY {f_tail('f', 'd1', 'd2')}, feature_id LIMIT 40)
 SELECT feature_id, grp AS "group", {R('m')} AS mean, {R('(m - avg(m) OVER w) / stddev_pop(m) OVER w', 5)} AS z FROM g WHERE feature_id IN (FROM top) WINDOW w AS (PARTITION BY feature_id)""",
 )
 def group_heatmap(spark, sf):
-    a, groups = assay(spark, sf), ["AFRICA", "EUROPE", "ASIA"]
-    tests = diff.anova(a, "grp", groups).filter("k = 3")
+    a, groups = assay(spark, sf), GROUPS
+    tests = diff.anova(a, "grp", groups)
     out = diff.group_heatmap(a, tests, "grp", groups)
     return out.select("feature_id", "group", rnd(F.col("mean")).alias("mean"), rnd(F.col("z"), 5).alias("z"))
 
