@@ -10,6 +10,7 @@ from assaygrid.model import Assay
 from assaygrid.operators import blocks
 from assaygrid.operators.meta import attach_meta
 from assaygrid.operators.ordination import sample_pca
+from assaygrid.operators.qc import histogram
 from assaygrid.operators.quantiles import group_quantiles
 from assaygrid.runtime import materialize
 
@@ -63,6 +64,11 @@ def batch_r2_summary(r2: DataFrame) -> DataFrame:
     return stats.withColumn("median", median)
 
 
+def r2_histogram(r2: DataFrame, bins: int = 20) -> DataFrame:
+    """``bin, n, bin_start``: features by the share that batch explains."""
+    return histogram(r2, "r2", 0.0, 1.0, 1.0 / bins)
+
+
 def eta_squared(scores: DataFrame, score: str, label: str) -> DataFrame:
     """Share of one score's variance between labels, in [0, 1]; 0 without spread."""
     per = scores.filter(F.col(score).isNotNull()).groupBy(label).agg(

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import is_missing
 from assaygrid.model import Assay
+from assaygrid.operators.qc import histogram
+from assaygrid.operators.quantiles import group_quantiles
 
 
 def keep_rows(assay: Assay, passed: DataFrame) -> Assay:
@@ -228,7 +230,7 @@ def site_filter(
 
 
 def filter_summary(before: Assay, after: Assay) -> DataFrame:
-    """Rows, cells quantified, sparsity mean and median, and median CV of both matrices."""
+    """Rows, sparsity mean and median, and mean CV of both matrices."""
     out = None
     for label, assay in (("before", before), ("after", after)):
         v = F.when(~is_missing(F.col("value")), F.col("value"))
@@ -246,6 +248,30 @@ def filter_summary(before: Assay, after: Assay) -> DataFrame:
     return out
 
 
+def cv_histogram(before: Assay, after: Assay, width: float = 0.1, high: float = 2.0) -> DataFrame:
+    """``stage, bin, n, bin_start``: rows by their coefficient of variation, before and after; larger ones in the last bin."""
+    out = None
+    for label, assay in (("before", before), ("after", after)):
+        v = F.when(~is_missing(F.col("value")), F.col("value"))
+        cv = assay.cells.groupBy("feature_id").agg((F.stddev_samp(v) / F.avg(v)).alias("cv"))
+        capped = cv.select(F.lit(label).alias("stage"), F.least("cv", F.lit(high)).alias("cv"))
+        one = histogram(capped, "cv", 0.0, high, width, ("stage",))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def column_boxes(before: Assay, after: Assay) -> DataFrame:
+    """Per stage and sample: completeness, and quartiles and extremes of log10(1 + value)."""
+    out = None
+    for label, assay in (("before", before), ("after", after)):
+        logs = assay.observed("positive", F.log10(1 + F.col("value")))
+        boxes = group_quantiles(logs, ["sample_id"], "value", {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}, assay.n_samples)
+        rows = assay.cells.agg(F.count_distinct("feature_id")).scalar()
+        one = boxes.withColumn("completeness", F.col("n") / rows).withColumn("stage", F.lit(label)).drop("n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def search(df: DataFrame, text: str, sort: str, descending: bool = True, n: int = 100, offset: int = 0) -> DataFrame:
     """Rows with ``text`` in any column, sorted with missing values last, one page of them."""
     needle = text.lower()

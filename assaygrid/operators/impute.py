@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assaygrid.functions.missing import is_missing
 from assaygrid.functions.rng import normal
 from assaygrid.model import Assay
+from assaygrid.operators.qc import kde
 from assaygrid.operators import blocks
 from assaygrid.operators.quantiles import group_quantiles
 from assaygrid.runtime import materialize
@@ -259,3 +260,10 @@ def impute_summary(result: DataFrame) -> DataFrame:
         F.avg(F.when(~F.col("imputed"), log)).alias("mean_measured"),
         F.avg(F.when(F.col("imputed"), log)).alias("mean_imputed"),
     )
+
+
+def impute_densities(result: DataFrame, grid: int = 64) -> DataFrame:
+    """``stage, point, x, density`` of log10(1 + value): ``before`` over the measured cells, ``after`` over all."""
+    logs = result.select(F.log10(1 + F.col("value")).alias("value"), "imputed")
+    both = logs.filter("NOT imputed").withColumn("stage", F.lit("before")).unionByName(logs.withColumn("stage", F.lit("after")))
+    return kde(both, "value", grid, ["stage"], 2)

@@ -202,6 +202,32 @@ def summary(spark, sf):
     return out.select("stage", "n_rows", *[rnd(F.col(c)).alias(c) for c in ("sparsity_mean", "sparsity_median", "cv_mean")])
 
 
+@add(
+    "filter_cv_histogram",
+    f"""WITH {CELLS}, {SAMPLES}, r AS (SELECT feature_id, least(stddev_samp(value) / avg(value), 2) AS cv, count(*) AS n FROM cells GROUP BY 1),
+b AS (SELECT 'before' AS stage, cv FROM r UNION ALL SELECT 'after', cv FROM r WHERE n >= ceil((SELECT count(*) FROM samples) * 70 / 100))
+SELECT stage, least(floor(cv / 0.1), 19)::BIGINT AS bin, count(*) AS n, {R('least(floor(cv / 0.1), 19) * 0.1')} AS bin_start FROM b WHERE cv IS NOT NULL GROUP BY 1, 2, 4""",
+)
+def cv_histogram(spark, sf):
+    a = assay(spark, sf)
+    after = flt.keep_rows(a, flt.valid_rows(a, pct=70).filter("passed"))
+    return flt.cv_histogram(a, after).withColumn("bin_start", rnd(F.col("bin_start")))
+
+
+@add(
+    "filter_column_boxes",
+    f"""WITH {CELLS}, {SAMPLES}, k AS (SELECT feature_id FROM cells GROUP BY 1 HAVING count(*) >= ceil((SELECT count(*) FROM samples) * 70 / 100)),
+b AS (SELECT 'before' AS stage, * FROM cells UNION ALL SELECT 'after', * FROM cells WHERE feature_id IN (FROM k)), n AS (SELECT stage, count(DISTINCT feature_id) AS rows FROM b GROUP BY 1)
+SELECT stage, sample_id, {R('count(*) / any_value(rows)')} AS completeness, {R('min(log10(1 + value))')} AS low, {R('quantile_cont(log10(1 + value), 0.25)')} AS q1,
+{R('median(log10(1 + value))')} AS median, {R('quantile_cont(log10(1 + value), 0.75)')} AS q3, {R('max(log10(1 + value))')} AS high FROM b JOIN n USING (stage) GROUP BY 1, 2""",
+)
+def column_boxes(spark, sf):
+    a = assay(spark, sf)
+    after = flt.keep_rows(a, flt.valid_rows(a, pct=70).filter("passed"))
+    out = flt.column_boxes(a, after)
+    return out.select("stage", "sample_id", *[rnd(F.col(c)).alias(c) for c in ("completeness", "low", "q1", "median", "q3", "high")])
+
+
 @add(
     "filter_search",
     """SELECT p_partkey AS feature_id, p_name AS name, p_retailprice AS price FROM part

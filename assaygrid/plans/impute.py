@@ -102,6 +102,21 @@ def summary(spark, sf):
     return out.select("sample_id", *[rnd(F.col(c)).alias(c) for c in ("missing_before", "mean_measured", "mean_imputed")])
 
 
+@add(
+    "impute_densities",
+    f"""{BASE}, m AS (SELECT sample_id, median(value) AS fill FROM cells GROUP BY 1), d AS (SELECT value, log10(1 + coalesce(value, fill)) AS x FROM dense JOIN m USING (sample_id)),
+v AS (SELECT 'before' AS stage, x FROM d WHERE value IS NOT NULL UNION ALL SELECT 'after', x FROM d),
+sp AS (SELECT stage, count(*) AS n, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi, list_sort(list(x)) AS l FROM v GROUP BY 1),
+bw AS (SELECT *, 0.9 * least(sd, (l[floor(0.75 * (n - 1))::INT + 1] - l[floor(0.25 * (n - 1))::INT + 1]) / 1.34) * n ** -0.2 AS h FROM sp),
+g AS (SELECT *, p AS point, lo - 2.5 * h + (hi - lo + 5 * h) * p / 15 AS gx FROM bw, range(16) t(p))
+SELECT g.stage, point::INT AS point, {R('gx')} AS x, {R('sum(exp(-0.5 * ((gx - x) / h) ** 2)) / (any_value(n) * any_value(h))')} AS density
+FROM g JOIN v ON g.stage = v.stage GROUP BY g.stage, point, gx""",
+)
+def densities(spark, sf):
+    out = impute.impute_densities(impute.simple(assay(spark, sf), "median"), 16)
+    return out.select("stage", "point", rnd(F.col("x")).alias("x"), rnd(F.col("density")).alias("density"))
+
+
 BAT = f"""WITH {CELLS}, {SAMPLES}, w AS (SELECT feature_id, sample_id, batch, grp, log10(value) AS x FROM cells JOIN samples USING (sample_id))"""
 R2 = """per AS (SELECT feature_id, batch, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM w GROUP BY 1, 2),
 r2 AS (SELECT feature_id, sum(n)::BIGINT AS n, CASE WHEN sum(n) < 2 OR count(*) < 2 OR ssb + sum(n * v) <= 1e-12 THEN 0 ELSE ssb / (ssb + sum(n * v)) END AS r2
@@ -123,6 +138,11 @@ def batch_r2_summary(spark, sf):
     return out.select("n_features", *[rnd(F.col(c)).alias(c) for c in ("mean", "median", "high_share")])
 
 
+@add("batch_r2_histogram", f"{BAT}, {R2} SELECT least(floor(r2 * 20), 19)::BIGINT AS bin, count(*) AS n, {R('least(floor(r2 * 20), 19) / 20')} AS bin_start FROM r2 GROUP BY 1, 3")
+def batch_r2_histogram(spark, sf):
+    return batch.r2_histogram(batch.batch_r2(assay(spark, sf), "batch")).withColumn("bin_start", rnd(F.col("bin_start")))
+
+
 @add("batch_work_scale", f"WITH {CELLS} SELECT CASE WHEN avg((value > 100)::INT) > 0.5 THEN 'log10' ELSE 'raw' END AS scale FROM cells")
 def work_scale(spark, sf):
     return spark.createDataFrame([(batch.work_scale(assay(spark, sf)),)], "scale string")

@@ -74,7 +74,11 @@ def read_gmt(spark: SparkSession, path: str, leaf: str | None = None) -> DataFra
 
 
 def collection(sets: DataFrame, leaves: Sequence[str]) -> DataFrame:
-    """Sets of the chosen leaves; a name in several leaves keeps the members of the first leaf given."""
+    """Sets of the chosen leaves; a name in several leaves keeps the members of the first leaf given.
+
+    A branch of the tree, such as ``C2``, stands for all its leaves.
+    """
+    leaves = list(dict.fromkeys(x for leaf in leaves for x in COLLECTIONS.get(leaf, [leaf])))
     rank = F.array_position(F.array(*[F.lit(x) for x in leaves]), F.col("leaf"))
     kept = sets.filter(F.col("leaf").isin(list(leaves))).withColumn("_r", rank)
     first = kept.groupBy("set_name").agg(F.min("_r").alias("_r"))
