@@ -1,14 +1,16 @@
 """All-pairs work on vectors, block against block.
 
-Items are hashed into blocks of bounded size and each block is one row of packed arrays. Pairs of
-blocks meet by an equi join on the block number; a task reduces a block pair to what the caller
-needs (nearest neighbours, sums per label, nearest item outside a component), so item pairs are
+Items are hashed into blocks of bounded size and each block is one row of packed arrays. Blocks
+meet in the cells of a grid; a task reduces the block pairs of a cell to what the caller needs
+ (nearest neighbours, sums per label, nearest item outside a component), so item pairs are
 never rows of a table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,17 +41,37 @@ def pack(vectors: DataFrame, n_blocks: int, prefix: str, extra: str | None = Non
     return rows.select(f"{prefix}_block", *cols)
 
 
-def block_pairs(queries: DataFrame, donors: DataFrame, n_donor_blocks: int, width: int) -> DataFrame:
-    """Every query block beside every donor block, spread over the cluster by an equi join on the donor block.
+CELL = 8  # blocks on a side of a cell at most, which bounds what a task holds
 
-    A query block is copied once per donor block, so ``width`` (query blocks) copies of a donor
-    block meet it; donors carry a salt so that one donor block is served by several tasks.
+
+@dataclass(frozen=True)
+class Pairs:
+    """Every query block beside every donor block, in cells of a grid.
+
+    A cell holds a few query blocks and a few donor blocks and is one task's work: a block is copied once per
+    cell of its row or column, not once per block it meets, and travels to Python once per cell.
     """
-    salts = max(1, min(width, 16))
-    wanted = queries.withColumn("d_block", F.explode(F.sequence(F.lit(0), F.lit(n_donor_blocks - 1))))
-    wanted = wanted.withColumn("salt", F.pmod(F.col("q_block"), F.lit(salts)))
-    spread = donors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return wanted.join(spread, ["d_block", "salt"])
+
+    queries: DataFrame
+    donors: DataFrame
+    n_queries: int
+    n_donors: int
+
+    def reduce(self, kernel: Callable[[dict], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        """What ``kernel`` makes of each block pair (``q_*`` and ``d_*`` arrays), as one frame."""
+        # cells are smaller while there are few blocks, so that all cores have work
+        side = max(1, min(CELL, math.isqrt(self.n_queries * self.n_donors // 64)))
+        rows, cols = -(-self.n_queries // side), -(-self.n_donors // side)
+        q = self.queries.withColumn("_i", F.expr(f"q_block div {side}")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cols - 1).cast("bigint"))))
+        d = self.donors.withColumn("_j", F.expr(f"d_block div {side}")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))))
+        names = [f.split(":")[0].strip().split(" ")[0] for f in schema.split(",")]
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            ours, theirs = left.to_dict("records"), right.to_dict("records")
+            found = [part for mine in ours for other in theirs for part in kernel({**mine, **other})]
+            return pd.concat(found) if found else pd.DataFrame(columns=names)
+
+        return q.groupBy("_i", "_j").cogroup(d.groupBy("_i", "_j")).applyInPandas(meet, schema)
 
 
 def matrix(values: np.ndarray, rows: int) -> np.ndarray:
@@ -81,28 +103,17 @@ def top_k(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return rows[place < k], order[cols[place < k]]
 
 
-def per_pair(kernel: Callable[[pd.Series], Iterator[pd.DataFrame]]):
-    """Run ``kernel`` on every block pair of a partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                yield from kernel(row)
-
-    return run
-
-
-def self_pairs(vectors: DataFrame, extra: str | None = None) -> DataFrame:
+def self_pairs(vectors: DataFrame, extra: str | None = None) -> Pairs:
     """Block pairs of a set with itself. ``vectors`` should be a stored table."""
     first = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     n = block_count(first["n"], first["dim"] or 1)
-    return block_pairs(pack(vectors, n, "q", extra), pack(vectors, n, "d", extra), n, n)
+    return Pairs(pack(vectors, n, "q", extra), pack(vectors, n, "d", extra), n, n)
 
 
-def nearest(pairs: DataFrame, k: int, id_type: str = "bigint") -> DataFrame:
+def nearest(pairs: Pairs, k: int, id_type: str = "bigint") -> DataFrame:
     """The ``k`` nearest other items of every item: ``item_id, neighbor, distance, rank``; ties by id."""
 
-    def kernel(row: pd.Series) -> Iterator[pd.DataFrame]:
+    def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
         dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
         dist[q_ids[:, None] == d_ids[None, :]] = np.inf
@@ -110,18 +121,18 @@ def nearest(pairs: DataFrame, k: int, id_type: str = "bigint") -> DataFrame:
         yield pd.DataFrame({"item_id": q_ids[i], "neighbor": d_ids[j], "distance": dist[i, j]})
 
     schema = f"item_id {id_type}, neighbor {id_type}, distance double"
-    found = pairs.mapInPandas(per_pair(kernel), schema)
+    found = pairs.reduce(kernel, schema)
     w = Window.partitionBy("item_id").orderBy("distance", "neighbor")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def label_distances(pairs: DataFrame, label: str = "label", id_type: str = "bigint", label_type: str = "string") -> DataFrame:
+def label_distances(pairs: Pairs, label: str = "label", id_type: str = "bigint", label_type: str = "string") -> DataFrame:
     """Sum of distances from every item to the members of every label: ``item_id, own, label, total, n``.
 
     The item itself is left out.
     """
 
-    def kernel(row: pd.Series) -> Iterator[pd.DataFrame]:
+    def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
         own, labels = np.asarray(row[f"q_{label}"]), np.asarray(row[f"d_{label}"])
         dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
@@ -140,7 +151,7 @@ def label_distances(pairs: DataFrame, label: str = "label", id_type: str = "bigi
             )
 
     schema = f"item_id {id_type}, own {label_type}, label {label_type}, total double, n long"
-    parts = pairs.mapInPandas(per_pair(kernel), schema)
+    parts = pairs.reduce(kernel, schema)
     return parts.groupBy("item_id", "own", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -162,10 +173,10 @@ def silhouette(vectors: DataFrame, label: str = "label") -> DataFrame:
     return per.withColumn("silhouette", F.coalesce(value, F.lit(0.0)))
 
 
-def nearest_outside(pairs: DataFrame, label: str, id_type: str = "bigint") -> DataFrame:
+def nearest_outside(pairs: Pairs, label: str, id_type: str = "bigint") -> DataFrame:
     """For every label the closest pair leading out of it: ``label, other, distance, lo, hi``; ties by ids."""
 
-    def kernel(row: pd.Series) -> Iterator[pd.DataFrame]:
+    def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
         own, others = np.asarray(row[f"q_{label}"]), np.asarray(row[f"d_{label}"])
         dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
@@ -184,6 +195,6 @@ def nearest_outside(pairs: DataFrame, label: str, id_type: str = "bigint") -> Da
         yield out.sort_values(["label", "distance", "lo", "hi"]).groupby("label", sort=False).head(1)
 
     schema = f"label {id_type}, other {id_type}, distance double, lo {id_type}, hi {id_type}"
-    found = pairs.mapInPandas(per_pair(kernel), schema)
+    found = pairs.reduce(kernel, schema)
     best = F.min(F.struct("distance", "lo", "hi", "other")).alias("e")
     return found.groupBy("label").agg(best).select("label", "e.*")

@@ -65,11 +65,11 @@ def min_prob(assay: Assay, downshift: float = 1.8, width: float = 0.3, seed: int
 
 
 def _row_vectors(assay: Assay, rule: str, by: str | None = None) -> DataFrame:
-    """One row per feature: values in sample order (null where missing), the count of missing ones and,
-    with ``by``, the largest missing fraction of any sample group."""
+    """One row per feature: values in sample order (null where missing), the same as they were (``raw``), the count of
+    missing ones and, with ``by``, the largest missing fraction of any sample group."""
     cells = grid(assay, rule)
     value = F.when(~F.col("missing"), F.col("value"))
-    entry = F.struct("sample_id", value.alias("v"))
+    entry = F.struct("sample_id", value.alias("v"), F.col("value").alias("raw"))
     aggs = [F.sort_array(F.collect_list(entry)).alias("e"), F.sum(F.col("missing").cast("int")).alias("n_missing")]
     if by is None:
         rows = cells.groupBy("feature_id").agg(*aggs)
@@ -83,13 +83,13 @@ def _row_vectors(assay: Assay, rule: str, by: str | None = None) -> DataFrame:
             F.sort_array(F.flatten(F.collect_list("e"))).alias("e"), F.sum("m").alias("n_missing"),
             F.max(F.col("m") / F.col("size")).alias("worst"),
         )
-    return rows.select(F.col("feature_id").alias("item_id"), F.col("e.v").alias("vec"), *rows.columns[2:])
+    return rows.select(F.col("feature_id").alias("item_id"), F.col("e.v").alias("vec"), F.col("e.raw").alias("raw"), *rows.columns[2:])
 
 
 def _distance_kernel(metric: str, min_shared: int, k: int):
     """Nearest complete rows of every incomplete row, over the columns the incomplete row has."""
 
-    def kernel(row: pd.Series) -> Iterator[pd.DataFrame]:
+    def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
         q, d = blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))
         w = (~np.isnan(q)).astype(float)
@@ -122,27 +122,30 @@ def _distance_kernel(metric: str, min_shared: int, k: int):
                     dist = np.where((sqq == 0) | (sdd == 0), 1.0, np.maximum(1 - sqd / np.sqrt(sqq * sdd), 0))
         dist[(n < max(min_shared, 1)).repeat(len(d), 1)] = np.inf
         i, j = blocks.top_k(dist, d_ids, k)
-        yield pd.DataFrame({"item_id": q_ids[i], "donor": d_ids[j], "distance": dist[i, j], "values": list(d[j])})
+        yield pd.DataFrame({"item_id": q_ids[i], "donor": d_ids[j], "distance": dist[i, j]})
 
-    return blocks.per_pair(kernel)
+    return kernel
 
 
 def _neighbours(incomplete: DataFrame, donors: DataFrame, k: int, metric: str, min_shared: int) -> DataFrame:
-    """Top ``k`` donors of every incomplete row with their values: ``item_id, donor, distance, values, rank``."""
+    """Top ``k`` donors of every incomplete row with their values: ``item_id, donor, distance, values, rank``.
+
+    Only ids and distances leave the block pairs; the values are joined to the donors that remain.
+    """
     size = donors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     kind = dict(incomplete.dtypes)["item_id"]
-    schema = f"item_id {kind}, donor {kind}, distance double, values array<double>"
+    schema = f"item_id {kind}, donor {kind}, distance double"
     if not size["n"]:
-        return incomplete.sparkSession.createDataFrame([], schema + ", rank int")
+        return incomplete.sparkSession.createDataFrame([], schema + ", values array<double>, rank int")
     n_queries = blocks.block_count(incomplete.count(), size["dim"])
     n_donors = blocks.block_count(size["n"], size["dim"])
     nan = F.transform("vec", lambda v: F.coalesce(v, F.lit(float("nan"))))
     q = blocks.pack(incomplete.select("item_id", nan.alias("vec")), n_queries, "q")
     d = blocks.pack(donors.select("item_id", "vec"), n_donors, "d")
-    pairs = blocks.block_pairs(q, d, n_donors, n_queries)
-    found = pairs.mapInPandas(_distance_kernel(metric, min_shared, k), schema)
+    found = blocks.Pairs(q, d, n_queries, n_donors).reduce(_distance_kernel(metric, min_shared, k), schema)
     w = Window.partitionBy("item_id").orderBy("distance", "donor")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.join(donors.select(F.col("item_id").alias("donor"), F.col("vec").alias("values")), "donor").select("item_id", "donor", "distance", "values", "rank")
 
 
 def _weighted(neighbours: DataFrame, weight: str) -> DataFrame:
@@ -194,6 +197,7 @@ def knn(
     in any group of ``by``) stay as they are and are no donors.
     """
     grouped = by if max_missing_group < 1 else None
+    assay = assay.with_cells(materialize(assay.cells))
     rows = _row_vectors(assay, rule, grouped)
     n = assay.n_samples
     over = (F.col("n_missing") > max_missing * n) if max_missing < 1 else F.lit(False)
@@ -217,23 +221,24 @@ def knn(
     complete = work.filter("n_missing = 0").select("item_id", "vec")
     incomplete = work.filter("n_missing > 0")
     if mode == "complete":
-        done = [fill(incomplete, complete)]
+        done = fill(incomplete, complete)
     else:
         # at most one wave per possible count of missing cells
         counts = sorted(r[0] for r in incomplete.select("n_missing").distinct().collect())
-        pool, done = complete, []
+        pool, done = complete, None
         for c in counts:
             wave = materialize(fill(incomplete.filter(F.col("n_missing") == c), pool))
-            done.append(wave)
+            done = wave if done is None else done.unionByName(wave)
             pool = pool.unionByName(wave)
-    result = complete
-    for part in done:
-        result = result.unionByName(part)
-    result = result.withColumn("_names", names)
-    new = result.select(
-        F.col("item_id").alias("feature_id"), F.inline(F.arrays_zip(F.col("_names").alias("sample_id"), F.col("vec").alias("new")))
+        done = complete.limit(0) if done is None else done
+    # the row vectors hold all that the result needs
+    whole = rows.select("item_id", "vec", "raw").join(done.withColumnRenamed("vec", "new"), "item_id", "left").withColumn("_names", names)
+    new = F.coalesce("new", F.array_repeat(F.lit(None).cast("double"), F.size("vec")))
+    cells = whole.select(
+        F.col("item_id").alias("feature_id"),
+        F.inline(F.arrays_zip(F.col("_names").alias("sample_id"), F.col("raw").alias("value"), F.col("vec").alias("seen"), new.alias("new"))),
     )
-    return _filled(grid(assay, rule).join(new, ["feature_id", "sample_id"], "left"), F.col("new"))
+    return _filled(cells.withColumn("missing", F.col("seen").isNull()), F.col("new"))
 
 
 def knn_then_minprob(assay: Assay, seed: int = 1, rule: str = "zero", **options) -> DataFrame:

@@ -220,15 +220,13 @@ def affinities(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
     kind = dict(vectors.dtypes)["item_id"]
     stored = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec")))
 
-    def distances(row: pd.Series) -> Iterator[pd.DataFrame]:
+    def distances(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
         sq = blocks.euclidean(blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))) ** 2
         sq[q_ids[:, None] == d_ids[None, :]] = 0
         yield pd.DataFrame({"item_id": q_ids, "ids": [d_ids] * len(q_ids), "sq": list(sq)})
 
-    parts = blocks.self_pairs(stored).mapInPandas(
-        blocks.per_pair(distances), f"item_id {kind}, ids array<{kind}>, sq array<double>"
-    )
+    parts = blocks.self_pairs(stored).reduce(distances, f"item_id {kind}, ids array<{kind}>, sq array<double>")
     rows = parts.groupBy("item_id").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("sq")).alias("sq"))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

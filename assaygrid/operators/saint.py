@@ -58,7 +58,7 @@ def impute_controls(assay: Assay, normalise: bool = False) -> DataFrame:
     if normalise:
         cells = cells.withColumn("_f", control_scale(assay).scalar()).withColumn("value", F.col("value") * F.col("_f")).drop("_f")
     v = F.when(_present(F.col("value")), F.col("value"))
-    cells = cells.withColumn("value", v)
+    cells = materialize(cells.withColumn("value", v))
     by_column = cells.groupBy("prey", "sample_id").agg(F.min("value").alias("_col"), F.count("*").alias("_n"))
     by_prey = cells.groupBy("prey").agg(F.min("value").alias("_prey"))
     lowest = cells.agg(F.coalesce(F.min("value"), F.lit(1.0))).scalar()
@@ -180,8 +180,9 @@ def bfdr(scores: DataFrame) -> DataFrame:
 
 def saint(assay: Assay, normalise: bool = False, top_control: int | None = None, top_rep: int | None = None) -> DataFrame:
     """The whole analysis: ``bait, prey, n_rep, avg_p, bfdr, confidence``."""
+    assay = assay.with_cells(materialize(assay.cells))
     control = control_stats(impute_controls(assay, normalise), top_control)
-    tests = test_cells(assay)
+    tests = materialize(test_cells(assay))
     lik = materialize(likelihoods(tests, control, test_stats(tests)))
     scores = materialize(avg_p(lik, assay.samples, fit_prior(lik)["beta"], top_rep))
     return confidence(bfdr(scores))

@@ -68,7 +68,8 @@ def test_stats(spark, sf):
 
 def _lik(spark, sf):
     a = bait_assay(spark, sf)
-    tests = saint.test_cells(a)
+    a = a.with_cells(materialize(a.cells))
+    tests = materialize(saint.test_cells(a))
     return a, saint.likelihoods(tests, saint.control_stats(saint.impute_controls(a)), saint.test_stats(tests))
 
 
