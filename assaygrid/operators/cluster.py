@@ -20,7 +20,7 @@ from assaygrid.operators import blocks
 from assaygrid.operators.filters import keep_rows
 from assaygrid.operators.ordination import pca
 from assaygrid.operators.ranking import row_numbers
-from assaygrid.runtime import materialize
+from assaygrid.runtime import broadcast_if, materialize
 
 VIEW_SIZES = [500, 250, 100, 50, 20, 10]
 LEVELS = 11
@@ -46,7 +46,7 @@ def assignments(clustered: DataFrame, with_silhouette: bool = True) -> DataFrame
     """Cluster, cluster size, silhouette and first two components of every item."""
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size"))
     scores, _, _ = pca(clustered, 2)
-    out = clustered.select("item_id", "cluster").join(F.broadcast(sizes), "cluster").join(scores, "item_id")
+    out = clustered.select("item_id", "cluster").join(sizes, "cluster").join(scores, "item_id")
     if with_silhouette:
         sil = blocks.silhouette(clustered, "cluster").select("item_id", "silhouette")
         out = out.join(sil, "item_id")
@@ -188,7 +188,7 @@ def som_quality(matches: DataFrame, rows: int, cols: int, topology: str = "hex")
     steps = lattice_distance(topology, rows, cols)
     far = [(int(i), int(j)) for i, j in zip(*np.nonzero(steps > 1.0001))]
     lookup = matches.sparkSession.createDataFrame(far, "unit int, second int").withColumn("bad", F.lit(1))
-    marked = matches.join(F.broadcast(lookup), ["unit", "second"], "left")
+    marked = matches.join(broadcast_if(lookup, len(far)), ["unit", "second"], "left")
     return marked.agg(F.avg("distance").alias("quantization_error"), F.avg(F.coalesce("bad", F.lit(0))).alias("topographic_error"))
 
 
@@ -200,7 +200,7 @@ def som_units(matches: DataFrame, code: np.ndarray, rows: int, cols: int, topolo
     table = [(i, i // cols, i % cols, float(u[i])) for i in range(rows * cols)]
     units = matches.sparkSession.createDataFrame(table, "unit int, row int, col int, u_distance double")
     hits = matches.groupBy("unit").agg(F.count("*").alias("hits"))
-    return units.join(F.broadcast(hits), "unit", "left").fillna(0, ["hits"])
+    return units.join(broadcast_if(hits, rows * cols), "unit", "left").fillna(0, ["hits"])
 
 
 def som_clusters(spark, code: np.ndarray, k: int | None = None, seed: int = 42) -> DataFrame:
@@ -326,4 +326,4 @@ def row_views(assay: Assay, sizes: Sequence[int] = VIEW_SIZES) -> DataFrame:
 def top_variance(assay: Assay, n: int) -> Assay:
     """Cells of the ``n`` most variable features (population variance, missing as 0)."""
     top = row_views(assay, [n]).filter("kind = 'variance'").select("feature_id")
-    return keep_rows(assay, F.broadcast(top))
+    return keep_rows(assay, broadcast_if(top, n))

@@ -12,6 +12,7 @@ from assaygrid.functions import special
 from assaygrid.functions.missing import is_missing
 from assaygrid.model import Assay
 from assaygrid.operators.qc import zscore_rows
+from assaygrid.runtime import broadcast_if
 
 
 def tested_cells(assay: Assay, col: str, log2: bool = True, zero_missing: bool = True) -> DataFrame:
@@ -189,7 +190,7 @@ def ma(df: DataFrame) -> DataFrame:
 def group_heatmap(assay: Assay, tests: DataFrame, col: str, groups: Sequence[str], n: int = 40, zscore: bool = True) -> DataFrame:
     """Group means of the ``n`` features with the smallest p, optionally z-scored per feature."""
     top = tests.filter(F.col("p").isNotNull()).orderBy("p", "feature_id").limit(n).select("feature_id")
-    per = _group_stats(assay, col, groups, True, True).join(F.broadcast(top), "feature_id", "left_semi")
+    per = _group_stats(assay, col, groups, True, True).join(broadcast_if(top, n), "feature_id", "left_semi")
     means = per.select("feature_id", F.col("group").alias("sample_id"), F.col("mean").alias("value"))
     out = zscore_rows(means, ddof=0) if zscore else means.withColumn("z", F.col("value"))
     return out.select("feature_id", F.col("sample_id").alias("group"), F.col("value").alias("mean"), "z")

@@ -12,7 +12,7 @@ from assaygrid.functions.missing import is_placeholder
 from assaygrid.model import Assay
 from assaygrid.operators.joins import clean_file_name
 from assaygrid.operators.ranking import row_numbers
-from assaygrid.runtime import BROADCAST_ROWS, materialize
+from assaygrid.runtime import BROADCAST_ROWS, broadcast_if, materialize
 
 SEPARATORS = r"[_\-. ]"
 # Fixed value: what reads as a duration.
@@ -251,7 +251,7 @@ def flow_links(samples: DataFrame, cols: Sequence[str], max_nodes: int = 30) ->
         per = kept.groupBy(c).agg(F.count("*").alias("_n"))
         top = per.orderBy(F.desc("_n"), c).limit(limit - 1).select(c, F.lit(True).alias("_top"))
         n_values = per.agg(F.count("*")).scalar()
-        marked = kept.join(F.broadcast(top), c, "left").withColumn("_d", n_values)
+        marked = kept.join(broadcast_if(top, limit), c, "left").withColumn("_d", n_values)
         many = (F.col("_d") > limit) & F.col("_top").isNull()
         other = F.concat(F.lit("(other "), (F.col("_d") - (limit - 1)).cast("string"), F.lit(")"))
         kept = marked.withColumn(c, F.when(many, other).otherwise(F.col(c))).drop("_top", "_d")

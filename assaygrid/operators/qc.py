@@ -9,6 +9,7 @@ from assaygrid.functions.missing import is_missing, transformed
 from assaygrid.model import Assay
 from assaygrid.operators.quantiles import group_quantiles
 from assaygrid.operators.ranking import ordered, row_numbers
+from assaygrid.runtime import broadcast_if
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -202,7 +203,7 @@ def kde(df: DataFrame, col: str, grid: int, groups: list[str], n_groups: int) ->
     counts = data.groupBy(*groups, F.col(col).alias("v")).agg(F.count("*").alias("c"))
     z = (F.col("x") - F.col("v")) / F.col("bw")
     return (
-        counts.join(F.broadcast(shape) if n_groups * grid <= 1_000_000 else shape, groups)
+        counts.join(broadcast_if(shape, n_groups, 16 * grid + 64), groups)
         .select(*groups, "n", "bw", "v", "c", F.posexplode("xs").alias("point", "x"))
         .groupBy(*groups, "point")
         .agg(

@@ -159,7 +159,7 @@ def avg_p(lik: DataFrame, samples: DataFrame, beta: float, top: int | None = Non
     if top is not None:
         w = Window.partitionBy("bait", "prey").orderBy(F.desc("s"))  # one value per replicate
         per_rep = per_rep.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
-    total = per_rep.groupBy("bait", "prey").agg(F.sum("s").alias("s")).join(F.broadcast(reps), "bait")
+    total = per_rep.groupBy("bait", "prey").agg(F.sum("s").alias("s")).join(reps, "bait")
     raw = F.col("s") / (F.col("n_rep") if top is None else F.least("n_rep", F.lit(top)))
     return total.select("bait", "prey", "n_rep", (F.floor(raw * 10000 + 0.5) / 10000).alias("avg_p"))
 

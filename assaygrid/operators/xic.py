@@ -35,9 +35,14 @@ def write_sorted(x: DataFrame, path: str, files: int) -> None:
     laid.write.mode("overwrite").parquet(path)
 
 
-def index(x: DataFrame, n_runs: int = 10_000) -> DataFrame:
-    """First and last row (from 0) of every precursor in a run's precursor-sorted rows."""
+def index(x: DataFrame, n_runs: int | None = None) -> DataFrame:
+    """First and last row (from 0) of every precursor in a run's precursor-sorted rows.
+
+    ``n_runs`` is an upper bound for the number of runs; they are counted unless it is given.
+    """
     counts = x.groupBy("run", "pr").agg(F.count("*").alias("n"))
+    if n_runs is None:
+        n_runs = counts.select("run").distinct().count()
     run = ordered(counts, [("pr", True)], ["run"], n_runs).running("upto", "sum", F.col("n")).result()
     return run.select("run", "pr", (F.col("upto") - F.col("n")).alias("first"), (F.col("upto") - 1).alias("last"))
 

@@ -186,7 +186,7 @@ def largest_tail(spark, sf):
     a = assay(spark, sf)
     n1, n2 = hybrid.group_sizes(a, "grp", A, B)
     counts = hybrid.presence_counts(a, "grp", A, B).withColumn("pooled", F.col("y1") + F.col("y2"))
-    tails = F.broadcast(hybrid.exact_tails(spark, n1, n2))
+    tails = hybrid.exact_tails(spark, n1, n2)
     return counts.join(tails, "pooled").select("feature_id", rnd(hybrid.largest_tail(F.col("tails"), F.lit(0.2))).alias("f0"))
 
 

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A frame is broadcast only when its row count is known to be at most this.
+# A frame is broadcast only when its rows are known to be at most so many, and at most so many bytes.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +61,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast when ``rows`` (a proven upper bound) allows it, else leave the choice to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def broadcast_if(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Hint a broadcast when ``rows`` (a proven upper bound) of ``row_bytes`` each allow it, else leave the choice to Spark."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
