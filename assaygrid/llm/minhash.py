@@ -6,10 +6,11 @@ register keeps the least. A level can only fill registers that all levels before
 when none is empty. ``BANDS`` bands of ``ROWS`` registers give buckets; a pair of similarity 0.8 shares none
 with probability (1 - 0.8^6)^48 = 5e-7.
 
-Links are confirmed on full sets. Members of a bucket already in one component need no comparison, so a bucket is
-compared with few of its members at first, and with more of them only while it holds several components, until
-every pair of members in different components has been compared: no cap, no pair lost, and a bucket of copies costs
-as many comparisons as it has members.
+Links are confirmed on full sets. Members of a bucket already in one component need no comparison, so each is first
+compared with the first member of its buckets. Where a bucket then still holds several components, the pairs
+between them that can be similar at all are found by their rarest shingles: two sets of similarity 0.8 share one
+of the first few, and few shingles of a set that differs from all others are shared at all. No cap, no pair lost,
+and a bucket of copies costs about as many comparisons as it has members.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; equal rows are in one class; a null id never is a
@@ -39,7 +40,6 @@ BANDS, ROWS = 48, 6
 SHARE = 80  # per cent of the union that the intersection must reach
 CHUNK = 20_000  # shingles whose orders of registers are held at once
 LEVEL = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * STEP
-GROWTH = 8  # times as many members a bucket is compared with in the next round
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -151,33 +151,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(sizes).withColumn("common", common).filter((F.size("a") + F.size("b") - F.col("common")) * SHARE <= F.col("common") * 100).select("lo", "hi")
 
 
+def apart(buckets: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, label, minor): members of buckets that hold several components; ``minor`` outside a bucket's largest."""
+    labelled = buckets.join(state.withColumnRenamed("item_id", "id"), "id")
+    parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    members = labelled.join(main, "bucket").select("id", "label", (F.col("label") != F.col("main")).alias("minor"))
+    return members.groupBy("id").agg(F.first("label").alias("label"), F.max("minor").alias("minor"))
+
+
+def possible(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lo, hi): the pairs between components that can reach the similarity, one member minor.
+
+    Shingles are put in order from rare to frequent. Two sets of n and m shingles must share
+    o = SHARE (n + m) / (100 + SHARE) of them, hence one among the first n - o + 1 of the one and m - o + 1 of the other.
+    """
+    shingled = sets.join(members, "id").select("id", "label", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    seen = shingled.groupBy("shingle").agg(F.count("*").alias("seen"))
+    ranked = shingled.join(seen, "shingle").groupBy("id", "label", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("s"))
+    short = F.slice("s", 1, F.expr(f"n - ({SHARE} * n + 99) div 100 + 1").cast("int"))
+    firsts = materialize(ranked.select("id", "label", "minor", "n", F.posexplode(short).alias("at", "x")).select("id", "label", "minor", "n", "at", "x.shingle"))
+    a, b = firsts.filter("minor").alias("a"), firsts.alias("b")
+    shared = F.expr(f"({SHARE} * (a.n + b.n) + {99 + SHARE}) div {100 + SHARE}")
+    fits = (F.col("a.at") <= F.col("a.n") - shared) & (F.col("b.at") <= F.col("b.n") - shared)
+    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * SHARE
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.label") != F.col("b.label")) & sizes & fits)
+    return met.select(F.least("a.id", "b.id").alias("lo"), F.greatest("a.id", "b.id").alias("hi")).distinct()
+
+
 def linked(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """(item_id, label): components of the members of ``buckets`` (bucket, id, lo = its least id)."""
+    state = materialize(buckets.select(F.col("id").alias("item_id")).distinct().withColumn("label", F.col("item_id")))
     first = buckets.filter("lo < id").groupBy(F.col("id").alias("hi")).agg(F.min("lo").alias("lo"))
-    tried = materialize(first.select("lo", "hi"))
-    nodes = materialize(buckets.select(F.col("id").alias("item_id")).distinct().withColumn("label", F.col("item_id")))
-    state = merge_labels(nodes, materialize(confirmed(tried, sets)))
-    share = F.pmod(F.xxhash64("id"), F.lit(2**30)) / F.lit(float(2**30))
-    pivots, largest = 1, None
-    while True:
-        labelled = buckets.join(state.withColumnRenamed("item_id", "id"), "id")
-        apart = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
-        open_ = materialize(labelled.join(apart.select("bucket", "size"), "bucket"))
-        largest = open_.agg(F.max("size")).first()[0]
-        if largest is None:
-            return state
-        chosen = open_.filter((share * F.col("size") < pivots) | (F.col("id") == F.col("lo")))
-        chosen = chosen.select("bucket", F.col("id").alias("pivot"), F.col("label").alias("side"))
-        met = chosen.join(open_, "bucket").filter("label <> side")
-        pairs = met.select(F.least("pivot", "id").alias("lo"), F.greatest("pivot", "id").alias("hi")).distinct()
-        new = materialize(pairs.join(tried, ["lo", "hi"], "left_anti"))
-        found = materialize(confirmed(new, sets))
-        if not found.isEmpty():
-            state = merge_labels(state, found)
-        if pivots >= largest:
-            return state
-        tried = materialize(tried.unionByName(new))
-        pivots *= GROWTH
+    state = merge_labels(state, materialize(confirmed(first.select("lo", "hi"), sets)))
+    label = lambda c: state.select(F.col("item_id").alias(c), F.col("label").alias(f"{c}_label"))
+    others = buckets.filter("lo < id").select("lo", F.col("id").alias("hi")).distinct().join(label("lo"), "lo").join(label("hi"), "hi")
+    others = others.filter("lo_label <> hi_label").select("lo", "hi").join(first, ["lo", "hi"], "left_anti")
+    state = merge_labels(state, materialize(confirmed(others, sets)))
+    members = materialize(apart(buckets, state))
+    return merge_labels(state, materialize(confirmed(materialize(possible(members, sets)), sets)))
 
 
 def components(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:

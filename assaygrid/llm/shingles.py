@@ -63,7 +63,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     n = len(hashes)
     run = np.zeros(n, np.uint64)
     for j in range(width):
-        run[: n - j] = mixed((run[: n - j] ^ hashes[j:]) + STEP)
+        m = max(n - j, 0)
+        run[:m] = mixed((run[:m] ^ hashes[n - m :]) + STEP)
     out = []
     for at, k in zip(np.cumsum(n_words) - n_words, n_words):
         if k >= width:
