@@ -130,8 +130,8 @@ def counts(labelled: DataFrame) -> Model | None:
         context[v] = a, b
     for x, a, b, n in pairs.groupBy("w").agg(F.sum("n0"), F.sum("n1"), F.count("*")).collect():
         follows[x] = a, b, n
-    kept = pairs.filter("n0 + n1 > 1 AND w > 0").orderBy(F.expr("n0 + n1").desc(), "v", "w").limit(BIGRAMS).toPandas()
-    return kneser_ney(words, kept.to_numpy(np.int64).reshape(-1, 4), context, follows, size[1] / (size[0] + size[1]))
+    kept = pairs.filter("n0 + n1 > 1 AND w > 0").orderBy(F.expr("n0 + n1").desc(), "v", "w").limit(BIGRAMS).toArrow()
+    return kneser_ney(words, np.stack([kept[c].to_numpy().astype(np.int64) for c in ("v", "w", "n0", "n1")], 1), context, follows, size[1] / (size[0] + size[1]))
 
 
 def differences(text: Column, model: Model, spark: SparkSession) -> Column:
