@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import fresh, row_key, whole
+from assaygrid.llm.common import broadcast_small, fresh, row_key, whole
 from assaygrid.llm.shingles import STEP, U, mixed
 from assaygrid.llm.suffixes import reaches
 from assaygrid.plans.bind import Catalog, table
@@ -32,7 +32,7 @@ from assaygrid.runtime import materialize
 
 catalog = Catalog()
 LENGTH = 200
-GRAM = 24
+GRAM = 48
 BLOCK = 1 << 20  # bytes whose grams are hashed at once
 HOT = 20_000  # contexts of one gram that a task sorts; beyond it strings are matched by hash
 ROWS = 40_000  # contexts sorted together
@@ -174,9 +174,13 @@ def by_string(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """(gram, key, at, low, high, anchors): anchors whose gram is the anchor of several strings."""
-    one = rows.join(rows.groupBy("print").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-    flat = one.select("key", F.explode(F.arrays_zip("gram", "at", "low", "high")).alias("a")).select("key", "a.*")
+    """(gram, id, at, back, ahead, anchors): anchors whose gram is the anchor of several strings; of equal texts only one's."""
+    per_text = rows.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    copies = materialize(rows.select("print", "id").join(per_text, "print").filter("id <> first").select("id"))
+    one = rows.select("id", "gram", "at", "low", "high").join(broadcast_small(copies, F.lit(8)), "id", "left_anti")
+    flat = one.select("id", F.explode(F.arrays_zip("gram", "at", "low", "high")).alias("a"))
+    # small numbers in place of hashes and absolute places: less to shuffle
+    flat = flat.select("a.gram", "id", "a.at", (F.col("a.at") - F.col("a.low")).alias("back"), (F.col("a.high") - F.col("a.at")).alias("ahead"))
     counted = flat.groupBy("gram").agg(F.count("*").alias("anchors")).filter("anchors > 1")
     return flat.join(counted, "gram")
 
@@ -214,14 +218,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     keyed = docs.withColumn(key, row_key(doc_id, text))
     plain = keyed.select(F.col(key).alias("key"), whole(F.col(text)).alias("text"))
     listed = plain.select("key", F.unhex(F.md5("text")).alias("print"), F.octet_length("text").alias("n_bytes"), anchor_lists(F.col("text")).alias("a"))
-    rows = materialize(listed.select("key", "print", "n_bytes", "a.*"))
+    rows = materialize(listed.select(F.monotonically_increasing_id().alias("id"), "key", "print", "n_bytes", "a.*"))
     repeated = materialize(repeated_anchors(rows.filter(F.size("gram") > 0)))
-    places = repeated.groupBy("key").agg(F.collect_set(F.struct("gram", "at", "low", "high", "anchors")).alias("places"))
+    places = repeated.groupBy("id").agg(F.collect_list(F.struct("gram", "at", "back", "ahead", "anchors")).alias("places"))
+    places = places.join(rows.select("id", "key"), "id").drop("id")
     # the texts are shuffled once: naming all columns here makes this join and the last one read the same exchange
     unused = F.hash(*[c for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.lit(0)
     cut = keyed.join(places.withColumnRenamed("key", key), key).select(F.col(key).alias("key"), F.col(text).cast("binary").alias("raw"), F.explode("places").alias("p"), unused.alias(other))
-    context = F.substring("raw", F.col("p.low") + 1, F.col("p.high") - F.col("p.low"))
-    contexts = cut.select("p.gram", "key", "p.at", "p.low", context.alias("context"), "p.anchors", other)
+    context = F.substring("raw", F.col("p.at") - F.col("p.back") + 1, F.col("p.back") + F.col("p.ahead"))
+    contexts = cut.select("p.gram", "key", "p.at", (F.col("p.at") - F.col("p.back")).alias("low"), context.alias("context"), "p.anchors", other)
     sortable = contexts.filter(F.col("anchors") <= HOT).drop("anchors")
     spans = sortable.repartition("gram").sortWithinPartitions("gram").mapInArrow(shared_bytes, "key bigint, start bigint, end bigint")
     if not repeated.filter(F.col("anchors") > HOT).isEmpty():
