@@ -156,3 +156,16 @@ def test_spearman(spark):
         both = ~np.isnan(x[:, r["i"]]) & ~np.isnan(x[:, r["j"]])
         want = np.corrcoef(ranks(x[both, r["i"]]), ranks(x[both, r["j"]]))[0, 1]
         assert r["r"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [19_999, 20_000, 20_001, 20_050])
+def test_quantiles_at_the_border(spark, n):
+    """Groups on either side of the bracket's border have the quantiles of the sorted values."""
+    from assaygrid.operators.quantiles import WHOLE, group_quantiles
+
+    assert abs(n - WHOLE) <= 50
+    rows = spark.range(n).select(F.lit("g").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(50_000)) / 7.0).alias("v"))
+    got = group_quantiles(rows, ["g"], "v", {"a": 0.001, "b": 0.25, "c": 0.5, "d": 0.999}, 1).first()
+    values = np.array([r[0] for r in rows.select("v").collect()])
+    assert got["n"] == n
+    assert [got[c] for c in "abcd"] == pytest.approx(list(np.quantile(values, [0.001, 0.25, 0.5, 0.999])), abs=1e-12)
