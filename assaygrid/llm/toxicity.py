@@ -121,8 +121,11 @@ def counts(labelled: DataFrame) -> Model | None:
     ids = broadcast_small(labelled.sparkSession.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, id int"), F.octet_length("word") + 16)
     id_of = lambda c: ids.select(F.col("word").alias(c), F.col("id").alias(c[0]))
     w = F.col("w")
-    beside = F.array_distinct(F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("vw"), F.slice(w, 2, F.size(w)).alias("ww")))
-    coded = tokens.select("toxic", F.explode(beside).alias("p")).select("toxic", "p.vw", "p.ww").join(id_of("vw"), "vw", "left").join(id_of("ww"), "ww", "left")
+    # as strings, since only flat values are made distinct by hashing; words hold no blank
+    beside = F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+    told = tokens.select("toxic", F.explode(beside).alias("p"))
+    told = told.select("toxic", F.substring_index("p", " ", 1).alias("vw"), F.substring_index("p", " ", -1).alias("ww"))
+    coded = told.join(id_of("vw"), "vw", "left").join(id_of("ww"), "ww", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     pairs = materialize(coded.select("toxic", zero("v"), zero("w")).groupBy("v", "w").agg(*ones))
     context, follows = np.zeros((len(words) + 1, 2), np.int64), np.zeros((len(words) + 1, 3), np.int64)
