@@ -64,7 +64,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """The base counts of each document, and its two histograms: ``_char`` and ``_word``, each with the rest last."""
     docs = docs.withColumn("_t", whole()).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
-    runs = F.filter(F.split(F.lower("_t"), r"\P{L}+"), lambda x: x != "")
+    runs = F.array_remove(F.split(F.lower("_t"), r"\P{L}+"), "")
     docs = repeat_words(docs, "_w", "n_repeat_words").withColumns({"_lines": lines, "_runs": runs})
     docs = docs.withColumn("_common", F.filter("_runs", lambda x: x.isin(VOCABULARY)))
     per_class = [F.regexp_count("_t", F.lit(c)) for c in CLASSES]
@@ -82,6 +82,7 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.concat("_classes", F.array(rest)).alias("_char"), F.array(*per_word, F.size("_runs") - F.size("_common")).alias("_word"),
+        F.col("word_chars").alias("_char_total"), F.size("_runs").alias("_word_total"),
     )
 
 
@@ -99,8 +100,8 @@ def references(counted: DataFrame) -> dict[str, dict[str, list[float]]]:
 
 
 def distance(histogram: str, reference: list[float], guard: int) -> Column:
-    """Jensen-Shannon distance of a histogram of counts from shares; 0 below the guard."""
-    total = F.aggregate(histogram, F.lit(0), lambda a, x: a + x)
+    """Jensen-Shannon distance of a histogram of counts, whose total is a column, from shares; 0 below the guard."""
+    total = F.col(f"{histogram}_total")
     pairs = F.arrays_zip(F.col(histogram).alias("n"), F.array(*map(F.lit, reference)).alias("q"))
 
     def term(acc: Column, x: Column) -> Column:
@@ -109,6 +110,7 @@ def distance(histogram: str, reference: list[float], guard: int) -> Column:
         half = lambda s: F.when(s > 0, s * F.log2(s / m)).otherwise(0.0)
         return acc + (half(p) + half(q)) / 2
 
+    # the total is a column, since a lambda computes what it refers to for every element
     return F.when(total >= guard, F.sqrt(F.greatest(F.aggregate(pairs, F.lit(0.0), term), F.lit(0.0)))).otherwise(0.0)
 
 
