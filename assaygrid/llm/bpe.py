@@ -14,6 +14,7 @@ through untouched.
 from __future__ import annotations
 
 import base64
+import re
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,25 @@ from assaygrid.llm.common import fresh, whole
 from assaygrid.plans.bind import Catalog, table
 
 catalog = Catalog()
-MEMO = 200_000  # pretokens and pairs remembered by a worker; then the memory starts afresh
+ROWS = 100  # texts decoded at once
+MEMO = 250_000  # pretokens and pairs remembered by a worker; then the memory starts afresh
+
+
+def ascii_form(pattern: str) -> str:
+    """The pattern with letters, numbers and white space spelled out, for texts of ASCII only and the faster engine."""
+    spelled = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "}
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        part = next((k for k in (*spelled, r"\S") if pattern.startswith(k, at)), pattern[at])
+        at += len(part)
+        if part in "[]" and not (out and out[-1] == "\\"):
+            inside = part == "["
+        if part == r"\S" and not inside:
+            out.append(f"[^{spelled[chr(92) + 's']}]")
+        else:
+            known = spelled.get(part)
+            out.append(part if known is None else known if inside else f"[{known}]")
+    return "".join(out)
 
 
 class Encoder:
@@ -84,7 +103,7 @@ class Encoder:
                     return True
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "memo", "find")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "memo", "find", "find_ascii", "sizes")}
 
     def ready(self) -> Encoder:
         if not hasattr(self, "automaton"):
@@ -92,37 +111,52 @@ class Encoder:
 
             automaton = ahocorasick.Automaton()
             for n, t in enumerate(self.tokens):
-                automaton.add_word(t.decode("latin-1"), (n, len(t)))
+                automaton.add_word(t.decode("latin-1"), n)
             automaton.make_automaton()
             self.automaton, self.memo, self.find = automaton, {}, regex.compile(self.pattern).findall
+            self.find_ascii = re.compile(ascii_form(self.pattern)).findall
+            self.sizes = list(map(len, self.tokens))
         return self
 
     def piece(self, text: str) -> tuple[int, ...]:
         """The ids of one pretoken."""
         raw = text.encode().decode("latin-1")
-        size = len(raw)
+        # mostly the longest match after the longest match fits all the way
+        out = [n for _, n in self.automaton.iter_long(raw)]
+        fits = self.fits
+        for pair in zip(out, out[1:]):
+            if not (fits[pair] if pair in fits else self._pair(*pair)):
+                return self._backtrack(raw)
+        return tuple(out)
+
+    def _backtrack(self, raw: str) -> tuple[int, ...]:
+        sizes, shorter, fits, size = self.sizes, self.shorter, self.fits, len(raw)
         longest = [-1] * size
-        for end, (n, length) in self.automaton.iter(raw):
-            start = end - length + 1
-            known = longest[start]
-            if known < 0 or len(self.tokens[known]) < length:
-                longest[start] = n
+        for end, n in self.automaton.iter(raw):
+            longest[end + 1 - sizes[n]] = n  # ends come in order, so the last match from a place is its longest
         out: list[int] = []
-        dead = bytearray(size + 1)
+        dead = set()
         at, token = 0, longest[0]
         while True:
-            end = at + len(self.tokens[token])
-            if not dead[end] and (not out or self._pair(out[-1], token)):
-                out.append(token)
-                if end == size:
-                    return tuple(out)
-                at, token = end, longest[end]
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+            end = at + sizes[token]
+            if end not in dead:
+                if out:
+                    pair = (out[-1], token)
+                    good = fits[pair] if pair in fits else self._pair(*pair)
+                else:
+                    good = True
+                if good:
+                    out.append(token)
+                    if end == size:
+                        return tuple(out)
+                    at, token = end, longest[end]
+                    continue
+            if shorter[token] >= 0:
+                token = shorter[token]
             else:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
-                at -= len(self.tokens[token])
+                at -= sizes[token]
 
     def _pair(self, a: int, b: int) -> bool:
         known = self.fits.get((a, b))
@@ -134,17 +168,18 @@ class Encoder:
 
     def encode(self, text: str) -> list[tuple[int, ...]]:
         """The ids of a whole text, pretoken by pretoken."""
-        out = []
+        words = (self.find_ascii if text.isascii() else self.find)(text)
         memo = self.memo
-        for word in self.find(text):
-            ids = memo.get(word)
-            if ids is None:
-                ids = self.piece(word)
-                if len(word) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = ids
-            out.append(ids)
+        out = list(map(memo.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    word = words[i]
+                    out[i] = ids = memo.get(word) or self.piece(word)
+                    if len(word) <= 64:
+                        memo[word] = ids
+            if len(memo) >= MEMO:
+                memo.clear()
         return out
 
 
@@ -177,7 +212,14 @@ def decode(ids: Column, shared) -> Column:
     @F.arrow_udf("binary")
     def run(lists: pa.Array) -> pa.Array:
         tokens = shared.value.tokens
-        return pa.array([b"".join(map(tokens.__getitem__, x.as_py() or ())) for x in lists], pa.binary())
+        out = []
+        # a few texts at a time: ids as Python numbers take much more room than in an array
+        for at in range(0, len(lists), ROWS):
+            part = lists.slice(at, ROWS)
+            flat = list(map(tokens.__getitem__, part.flatten().to_numpy().tolist()))
+            ends = np.cumsum([0, *part.value_lengths().fill_null(0).to_pylist()]).tolist()
+            out += [b"".join(flat[a:b]) for a, b in zip(ends, ends[1:])]
+        return pa.array(out, pa.binary())
 
     return run(ids)
 
