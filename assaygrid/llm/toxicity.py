@@ -5,10 +5,13 @@ logistic curve fitted on documents that the counts left out. Bigrams back off to
 those to shared backoff counts: how many different words a word follows, in both classes together. A rare
 expression is thus about as likely under either model and decides nothing.
 
-Counts are of documents with the expression, over all labelled rows, so that a repeated line counts once. Where the
-split of an expression over the classes is within chance (below ``TRUST`` standard deviations), the classes share
-its counts. What is kept is bounded: the ``VOCABULARY`` most frequent words (all others are one unknown word) and
-the ``BIGRAMS`` most frequent pairs of them.
+Counts are of documents with the expression, so that a repeated line counts once; every word and pair is counted,
+by Spark and as strings. Where the split of an expression over the classes is within chance (below ``TRUST``
+standard deviations), the classes share its counts: such an expression weighs nothing. All others are kept, however
+many, in a written table of weights that add up over a text: of a word, of a context, and what a pair adds to those
+of its parts. Weights are whole multiples of 1 / ``UNIT``, so that sums are the same in every order. The most
+frequent ones, as far as they are measured to fit ``BROADCAST_BYTES``, are summed where a text is read; what may be
+among the others (by a filter of ``BITS`` bits) is joined with them by shuffle.
 
 Defined results: a null text counts as empty; a text without a word has difference 0; without labels of both
 classes every score is 0; a null id or label teaches nothing; equal texts get equal scores; texts of any length are read
@@ -17,6 +20,8 @@ whole; an empty table gives an empty result; other columns pass through untouche
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,19 +31,23 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import broadcast_small, fresh, held_out, remainder, whole
+from assaygrid.llm.common import BROADCAST_BYTES, broadcast_small, fresh, held_out, remainder, whole
 from assaygrid.plans.bind import Catalog, table
 from assaygrid.runtime import materialize
 
 catalog = Catalog()
-VOCABULARY = 50_000
-BIGRAMS = 300_000
 DISCOUNT = 0.75
 TRUST = 4.0
 FOLDS = 4  # one part of the texts fits the curve, the others are counted
 CALIBRATION = 4000  # expected documents for the logistic curve, at most twice as many
 BETWEEN = r"[^\p{L}\p{N}]+"
 THRESHOLD = 0.3
+UNIT = 2**30
+BITS = 2**27
+
+
+def words_of(text: str, between=regex.compile(BETWEEN)) -> list[str]:
+    return [w for w in between.split(text.lower()) if w]
 
 
 @dataclass
@@ -50,12 +59,10 @@ class Model:
     backoff: np.ndarray
     pairs: np.ndarray
     bigram: np.ndarray
-    slope: float = 0.0
-    shift: float = 0.0
 
-    def difference(self, text: str, between=regex.compile(BETWEEN)) -> float:
+    def difference(self, text: str) -> float:
         """The difference of the two log-likelihoods per word."""
-        found = [w for w in between.split(text.lower()) if w]
+        found = words_of(text)
         if not found:
             return 0.0
         w = np.fromiter(map(self.ids.get, found, [0] * len(found)), np.int64, len(found))
@@ -67,8 +74,61 @@ class Model:
             rest = np.where(self.pairs[at] == key, self.bigram[at], rest)
         return float(rest.mean())
 
-    def probability(self, difference: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * difference + self.shift, -50, 50))))
+
+class Near:
+    """The weights that every task holds, and the filter of the others.
+
+    An expression is a word ``w``, a context ``v `` or a pair ``v w``; the context of the first word is empty.
+    """
+
+    def __init__(self, expressions: list[str], weights: np.ndarray, bits: np.ndarray | None) -> None:
+        cut = [e.partition(" ") for e in expressions]
+        self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(x for v, blank, w in cut for x in ((v, w) if w else (v,))))}
+        size = len(self.ids) + 1
+        self.word, self.context = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        pairs = {}
+        for (v, blank, w), x in zip(cut, weights.tolist()):
+            if not blank:
+                self.word[self.ids[v]] = x
+            elif not w:
+                self.context[self.ids[v]] = x
+            else:
+                pairs[self.ids[v] * size + self.ids[w]] = x
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        self.bits = bits
+
+    def read(self, text: str) -> tuple[int, int, list[dict]]:
+        """Sum of the weights held here, number of words, and how often each expression occurs that may have another."""
+        found = words_of(text)
+        if not found:
+            return 0, 0, []
+        before = ["", *found[:-1]]
+        w = np.fromiter(map(self.ids.get, found, [0] * len(found)), np.int64, len(found))
+        v = np.concatenate([[self.ids.get("", 0)], w[:-1]])
+        total = int(self.word[w].sum() + self.context[v].sum())
+        if len(self.pairs):
+            key = v * len(self.word) + w
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            total += int(self.pair[at[self.pairs[at] == key]].sum())
+        if self.bits is None:
+            return total, len(found), []
+        times = Counter(found)
+        times.update(x + " " for x in before)
+        times.update(f"{a} {b}" for a, b in zip(before, found))
+        place = np.fromiter((zlib.crc32(e.encode()) % BITS for e in times), np.int64, len(times))
+        maybe = (self.bits[place // 8] >> (place % 8).astype(np.uint8)) & 1
+        return total, len(found), [{"e": e, "k": k} for (e, k), m in zip(times.items(), maybe.tolist()) if m]
+
+
+@dataclass
+class Weights:
+    """``near`` is in every task; ``far`` (expression, weight) is joined, None if ``near`` holds all."""
+
+    near: Near
+    far: DataFrame | None
+    slope: float = 0.0
+    shift: float = 0.0
 
 
 def trusted(ordinary: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
@@ -78,7 +138,7 @@ def trusted(ordinary: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray
 
 
 def kneser_ney(words: list[str], pairs: np.ndarray, context: np.ndarray, follows: np.ndarray, share: float) -> Model:
-    """The model from counts; ``share`` is that of toxic documents.
+    """The model from counts in memory, as ``weights`` makes it from tables; ``share`` is that of toxic documents.
 
     ``pairs``: rows (context id, word id, ordinary, toxic). ``context``: (ordinary, toxic) counts per id as a
     context, all pairs included. ``follows``: (ordinary, toxic, different words before) per id. Id 0 is the unknown word.
@@ -106,46 +166,110 @@ def kneser_ney(words: list[str], pairs: np.ndarray, context: np.ndarray, follows
     return Model(ids, ratio(np.log(uni)), ratio(np.log(left)), np.sort(key), ratio(bigram))
 
 
-def counts(labelled: DataFrame) -> Model | None:
-    """Fit on ``labelled`` (text, toxic 0 or 1): counted over all rows, None without both classes."""
+def counts(labelled: DataFrame) -> tuple[DataFrame, float] | None:
+    """(v, w, n0, n1) for every pair of neighbours in ``labelled`` (text, toxic 0 or 1), and the share of toxic rows.
+
+    None without both classes or without a word.
+    """
     size = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return None
-    tokens = labelled.select("toxic", F.concat(F.array(F.lit("")), F.array_remove(F.split(F.lower(whole()), BETWEEN), "")).alias("w"))
-    ones = [F.sum(F.when(F.col("toxic") == c, 1).otherwise(0)).alias(n) for c, n in ((0, "n0"), (1, "n1"))]
-    per_word = tokens.select("toxic", F.explode(F.array_distinct("w")).alias("word")).filter("word <> ''").groupBy("word").agg(*ones)
-    top = per_word.filter("n0 + n1 > 1").orderBy(F.expr("n0 + n1").desc(), "word").limit(VOCABULARY)
-    words = [r[0] for r in top.select("word").collect()]
-    if not words:
-        return None
-    ids = broadcast_small(labelled.sparkSession.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, id int"), F.octet_length("word") + 16)
-    id_of = lambda c: ids.select(F.col("word").alias(c), F.col("id").alias(c[0]))
     w = F.col("w")
+    tokens = labelled.select("toxic", F.concat(F.array(F.lit("")), F.array_remove(F.split(F.lower(whole()), BETWEEN), "")).alias("w"))
     # as strings, since only flat values are made distinct by hashing; words hold no blank
     beside = F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    told = tokens.select("toxic", F.explode(beside).alias("p"))
-    told = told.select("toxic", F.substring_index("p", " ", 1).alias("vw"), F.substring_index("p", " ", -1).alias("ww"))
-    coded = told.join(id_of("vw"), "vw", "left").join(id_of("ww"), "ww", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    pairs = materialize(coded.select("toxic", zero("v"), zero("w")).groupBy("v", "w").agg(*ones))
-    context, follows = np.zeros((len(words) + 1, 2), np.int64), np.zeros((len(words) + 1, 3), np.int64)
-    for v, a, b in pairs.groupBy("v").agg(F.sum("n0"), F.sum("n1")).collect():
-        context[v] = a, b
-    for x, a, b, n in pairs.groupBy("w").agg(F.sum("n0"), F.sum("n1"), F.count("*")).collect():
-        follows[x] = a, b, n
-    kept = pairs.filter("n0 + n1 > 1 AND w > 0").orderBy(F.expr("n0 + n1").desc(), "v", "w").limit(BIGRAMS).toArrow()
-    return kneser_ney(words, np.stack([kept[c].to_numpy().astype(np.int64) for c in ("v", "w", "n0", "n1")], 1), context, follows, size[1] / (size[0] + size[1]))
-
-
-def differences(text: Column, model: Model, spark: SparkSession) -> Column:
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
+    ones = [F.sum(F.when(F.col("toxic") == c, 1).otherwise(0)).alias(n) for c, n in ((0, "n0"), (1, "n1"))]
+    told = tokens.select("toxic", F.explode(beside).alias("p")).groupBy("p").agg(*ones)
+    pairs = materialize(told.select(F.substring_index("p", " ", 1).alias("v"), F.substring_index("p", " ", -1).alias("w"), "n0", "n1"))
+    return None if pairs.isEmpty() else (pairs, size[1] / (size[0] + size[1]))
+
+
+def weights(pairs: DataFrame, share: float) -> DataFrame:
+    """(expression, n, weight): all that do not weigh nothing, with the number of documents they are in."""
+
+    def trust(a: str, b: str) -> Column:
+        n = F.col(a) + F.col(b)
+        return F.abs(F.col(b) - n * share) >= TRUST * F.sqrt(n * share * (1 - share))
+
+    def ratio(a: str, b: str) -> Column:
+        return F.log(b) - F.log(a)
+
+    def discounted(c: str) -> Column:
+        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+
+    follows = materialize(pairs.groupBy("w").agg(F.sum("n0").alias("f0"), F.sum("n1").alias("f1"), F.count("*").alias("f2")))
+    t = follows.agg(*[F.sum(c).alias(c) for c in ("f0", "f1", "f2")], *[F.sum(discounted(c)).alias("k" + c) for c in ("f0", "f1")], F.count("*").alias("size")).first()
+    backoff = (F.col("f2") + 0.5) / (t.f2 + 0.5 * (t.size + 1))  # with a word never seen
+    own = {c: discounted(c) / max(t[c], 1) + (1 - t["k" + c] / max(t[c], 1)) * backoff for c in ("f0", "f1")}
+    pooled = (F.col("f0") + F.col("f1")) / (t.f0 + t.f1)
+    words = follows.select("w", (F.col("f0") + F.col("f1")).alias("n"), *[F.when(trust("f0", "f1"), own[c]).otherwise(pooled).alias(u) for c, u in (("f0", "u0"), ("f1", "u1"))])
+    contexts = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+    seen = [(discounted(n) / F.greatest(F.col(c), F.lit(1))).alias(s) for n, c, s in (("n0", "c0", "s0"), ("n1", "c1", "s1"))]
+    told = materialize(pairs.filter(trust("n0", "n1")).join(contexts, "v").select("v", "w", (F.col("n0") + F.col("n1")).alias("n"), F.col("c0") + F.col("c1"), *seen).toDF("v", "w", "n", "c", "s0", "s1"))
+    left = materialize(told.groupBy("v").agg(F.max("c").alias("c"), *[F.greatest(1 - F.sum(s), F.lit(1e-9)).alias(x) for s, x in (("s0", "l0"), ("s1", "l1"))]))
+    both = told.join(left.drop("c"), "v").join(words.drop("n"), "w")
+    bigram = F.log(F.col("s1") + F.col("l1") * F.col("u1")) - F.log(F.col("s0") + F.col("l0") * F.col("u0"))
+    found = [
+        words.select("w", "n", ratio("u0", "u1")),
+        left.select(F.concat("v", F.lit(" ")), "c", ratio("l0", "l1")),
+        both.select(F.concat("v", F.lit(" "), "w"), "n", bigram - ratio("l0", "l1") - ratio("u0", "u1")),
+    ]
+    whole_units = lambda x: F.round(x * UNIT).cast("bigint")
+    every = [f.toDF("e", "n", "x").select("e", "n", whole_units(F.col("x")).alias("x")) for f in found]
+    return every[0].unionByName(every[1]).unionByName(every[2]).filter("x <> 0")
+
+
+def placed(table: DataFrame) -> Weights:
+    """The written table, its most frequent expressions as far as they fit near, the others far."""
+    table = materialize(table.withColumn("level", F.floor(F.log2("n"))))
+    size = {r[0]: r[1] for r in table.groupBy("level").agg(F.sum(F.octet_length("e") + 32)).collect()}
+    used, cut = 0, None
+    for level in sorted(size, reverse=True):
+        used += size[level]
+        if used > BROADCAST_BYTES:
+            break
+        cut = level
+    near = table.filter(F.col("level") >= cut if cut is not None else F.lit(False)).toArrow()
+    far = bits = None
+    if used > BROADCAST_BYTES:
+        far = table.filter(F.col("level") < cut) if cut is not None else table
+        place = F.crc32(F.col("e").cast("binary")) % BITS
+        marks = far.select(F.floor(place / 8).cast("int").alias("at"), F.pmod(place, F.lit(8)).cast("int").alias("bit"))
+        marks = marks.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("byte")).toArrow()
+        bits = np.zeros(BITS // 8, np.uint8)
+        bits[marks["at"].to_numpy()] = marks["byte"].to_numpy()
+        far = far.select("e", "x")
+    return Weights(Near(near["e"].to_pylist(), near["x"].to_numpy(), bits), far)
+
+
+def differences(docs: DataFrame, model: Weights, name: str) -> DataFrame:
+    """``docs`` with the difference of a text's two log-likelihoods per word."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model.near)
+    kind = "struct<total:bigint,n:int,rest:array<struct<e:string,k:int>>>"
+
+    @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        types = [pa.int64(), pa.int32(), pa.list_(pa.struct([("e", pa.string()), ("k", pa.int32())]))]
         for texts in batches:
-            yield pa.array([shared.value.difference(t.as_py()) for t in texts], pa.float64())
-
-    return run(whole(text))
+            columns = list(zip(*[shared.value.read(t.as_py()) for t in texts])) or [[], [], []]
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["total", "n", "rest"])
+
+    def mean(total: Column, n: Column) -> Column:
+        return F.coalesce(F.try_divide(total, n * F.lit(float(UNIT))), F.lit(0.0))
+
+    (part,) = fresh(docs.columns, "part")
+    if model.far is None:
+        return docs.withColumn(part, run(whole())).withColumn(name, mean(F.col(part).total, F.col(part).n)).drop(part)
+    # equal texts are read once: a key of 128 bits stands for the text, so that no group of copies is hot
+    key, far = fresh([*docs.columns, part], "key", "far")
+    keyed = F.struct(F.xxhash64(whole()).alias("a"), F.xxhash64(F.lit("b"), whole()).alias("b"))
+    texts = docs.select(keyed.alias("key"), whole().alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    read = materialize(texts.select("key", run(F.col("text")).alias("part")).select("key", "part.*"))
+    maybe = read.select("key", F.explode("rest").alias("r")).select("key", "r.*")
+    extra = maybe.join(model.far, "e").groupBy("key").agg(F.sum(F.col("k") * F.col("x")).alias("extra"))
+    told = read.join(extra, "key", "left").select(F.col("key").alias(key), mean(F.col("total") + F.coalesce("extra", F.lit(0)), F.col("n")).alias(far))
+    return docs.withColumn(key, keyed).join(told, key, "left").withColumn(name, F.col(far)).drop(key, far)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -160,16 +284,17 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def fit(labelled: DataFrame) -> Model | None:
+def fit(labelled: DataFrame) -> Weights | None:
     """Counts from all but one of ``FOLDS`` parts of the texts, by hash; the curve from a sample of that one."""
     fold = F.pmod(F.xxhash64(whole()), F.lit(FOLDS))
-    model = counts(labelled.filter(fold > 0))
-    if model is None:
+    counted = counts(labelled.filter(fold > 0))
+    if counted is None:
         return None
+    model = placed(weights(*counted))
     apart = labelled.filter(fold == 0)
     n = apart.count()
     chosen = apart.filter(F.pmod(F.xxhash64(whole(), F.lit("curve")), F.lit(2**30)) < F.lit(2**30 * min(1.0, CALIBRATION / max(n, 1)))).limit(2 * CALIBRATION)
-    rows = chosen.select(differences(F.col("text"), model, labelled.sparkSession).alias("x"), "toxic").toPandas()
+    rows = differences(chosen, model, "x").select("x", "toxic").toPandas()
     if rows["toxic"].nunique() == 2:
         model.slope, model.shift = logistic(rows["x"].to_numpy(float), rows["toxic"].to_numpy(float))
     else:
@@ -177,12 +302,12 @@ def fit(labelled: DataFrame) -> Model | None:
     return model
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
+def score(docs: DataFrame, model: Weights | None) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``, renamed if the input has such columns; they come last."""
     diff, prob, predicted = fresh(docs.columns, "difference", "score", "predicted")
     if model is None:
         return docs.withColumns({prob: F.lit(0.0), predicted: F.lit(0)})
-    out = docs.withColumn(diff, differences(F.col("text"), model, docs.sparkSession))
+    out = differences(docs, model, diff)
     curve = 1 / (1 + F.exp(-(F.col(diff) * model.slope + model.shift)))
     return out.withColumn(prob, F.round(curve, 6)).withColumn(predicted, (F.col(prob) >= THRESHOLD).cast("int")).drop(diff)
 
