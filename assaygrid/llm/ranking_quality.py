@@ -2,9 +2,9 @@
 
 A document has a score w.x over its features; of a good and a bad document the good one is preferred with the
 logistic of the difference of their scores. The weights minimise that loss over pairs of labelled documents, each
-good one drawn against several bad ones, on the differences of their features. The threshold is a quantile of the
-learned documents' scores: as many lie below it as are labelled bad; the published score is a logistic curve in
-the distance from the threshold, with 0.3 there.
+good one drawn against several bad ones, on the differences of their features. Only the weights are learned from a
+sample. The threshold is an exact quantile of the scores of all rows that may teach, at the share of bad labels; the
+published score is a logistic curve in the distance from the threshold, with 0.3 there, and as wide as those scores.
 
 Defined results: a null text counts as empty, whose features are all 0 but one that marks it; without labels of both
 kinds every score is 0; a null id or label teaches nothing; equal texts get equal scores; texts of any length
@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaygrid.llm.common import broadcast_small, fresh, held_out, remainder, whole
+from assaygrid.operators.quantiles import group_quantiles
 from assaygrid.plans.bind import Catalog, table
+from assaygrid.runtime import materialize
 
 catalog = Catalog()
 SAMPLE = 4000  # expected labelled documents per class, at most twice as many
@@ -120,9 +122,6 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, rounds: int = 400, rate: fl
         lost = 1 / (1 + np.exp(np.clip(gap @ model.weight, -50, 50)))
         move = 0.9 * move + gap.T @ lost / len(part) - pull * model.weight
         model.weight = model.weight + rate * move
-    scores = np.sort(model.raw(both))
-    model.threshold = float(np.quantile(model.raw(both), 0.5))
-    model.spread = float(np.quantile(scores, 0.9) - np.quantile(scores, 0.1)) / 8 or 1.0
     return model
 
 
@@ -135,28 +134,39 @@ def feature_rows(text: Column) -> Column:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from a sample, by hash, of ``labelled`` (text, quality 0 or 1); None without both classes.
+    """Weights from a sample, by hash, of ``labelled`` (text, quality 0 or 1), threshold and spread from all of it.
 
-    The threshold is the quantile of all classes as they are labelled, so each class counts by its size.
+    None without both classes.
     """
     size = {r[0]: r[1] for r in labelled.groupBy("quality").count().collect()}
     if not size.get(0) or not size.get(1):
         return None
     rate = F.when(F.col("quality") == 1, min(1.0, sample / size[1])).otherwise(min(1.0, sample / size[0]))
-    drawn = labelled.filter(F.pmod(F.xxhash64(whole()), F.lit(2**30)) < rate * 2**30).limit(4 * sample)
-    rows = drawn.select("quality", feature_rows(F.col("text")).alias("x")).collect()
+    known = materialize(labelled.select("quality", F.xxhash64(whole()).alias("h"), feature_rows(F.col("text")).alias("x")))
+    rows = known.filter(F.pmod("h", F.lit(2**30)) < rate * 2**30).limit(4 * sample).select("quality", "x").collect()
     good, bad = (np.array(sorted(r[1] for r in rows if r[0] == c)) for c in (1, 0))
     if not len(good) or not len(bad):
         return None
     model = bradley_terry(good, bad)
-    scores = np.concatenate([model.raw(good), model.raw(bad)])
-    weight = np.concatenate([np.full(len(good), size[1] / len(good)), np.full(len(bad), size[0] / len(bad))])
-    order = np.argsort(scores)
-    below = np.cumsum(weight[order]) / weight.sum()
-    model.threshold = float(scores[order][np.searchsorted(below, size[0] / (size[0] + size[1]))])
+    # of n scores in order, the one at the place of the last bad label
+    n = size[0] + size[1]
+    probs = {"low": 0.1, "at": (size[0] - 0.5) / (n - 1), "high": 0.9}
+    found = group_quantiles(known.select(raw_scores(F.col("x"), model, known.sparkSession).alias("s")), [], "s", probs, 1, interpolate=False).first()
+    model.threshold, model.spread = found["at"], (found["high"] - found["low"]) / 8 or 1.0
     return model
 
 
+def raw_scores(x: Column, model: Model, spark: SparkSession) -> Column:
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten().to_numpy()
+        return pa.array(shared.value.raw(flat.reshape(len(rows), -1)) if len(rows) else flat, pa.float64())
+
+    return run(x)
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``, renamed if the input has such columns; they come last."""
     prob, predicted = fresh(docs.columns, "score", "predicted")

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from assaygrid.llm import toxicity
+from assaygrid.llm import ranking_quality, toxicity
 
 
 def plain_kneser_ney(rows):
@@ -58,3 +58,15 @@ def test_words_past_any_fixed_number(spark):
     counted = toxicity.counts(spark.createDataFrame(rows, "text string, toxic int"))
     table = toxicity.weights(*counted)
     assert table.filter("e = 'vile' AND x > 0").count() == 1
+
+
+def test_threshold_covers_all_rows(spark):
+    """However small the sample, the threshold is the rank of all rows, and so is the spread."""
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice("abcdef") * rng.randrange(1, 9) for _ in range(rng.randrange(5, 60))) + ".", 1) for _ in range(400)]
+    rows += [("# 1 2 " * rng.randrange(1, 30) + " ".join(rng.choice("xyz") * 3 for _ in range(rng.randrange(1, 9))), 0) for _ in range(150)]
+    rows += [rows[0]] * 250
+    model = ranking_quality.fit(spark.createDataFrame(rows, "text string, quality int"), sample=20)
+    scores = np.sort([model.raw(np.array(ranking_quality.features(t))) for t, _ in rows])
+    assert model.threshold == pytest.approx(scores[149], abs=1e-9)
+    assert model.spread == pytest.approx((scores[int(0.9 * 799)] - scores[int(0.1 * 799)]) / 8, abs=1e-9)
