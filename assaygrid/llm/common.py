@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaygrid.runtime import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,3 +60,31 @@ def broadcast_small(df: DataFrame, size: Column) -> DataFrame:
     """Hint a broadcast when the sum of ``size`` (bytes per row) is measured to be small."""
     total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def text_key(text: Column | str = "text") -> list[Column]:
+    """``a`` and ``b``, 128 bits that stand for a text."""
+    return [F.xxhash64(whole(text)).alias("a"), F.xxhash64(F.lit("b"), whole(text)).alias("b")]
+
+
+def draw(rows: DataFrame, label: str, bound: int) -> DataFrame:
+    """(label, a, b, weight): at most ``bound`` different texts of ``rows`` (label, a, b) for each label.
+
+    Priority sampling: of texts that n rows have, those with the least u / n are drawn, u by hash, and weigh n, or the
+    inverse of the first value not drawn if that is more. A large group of copies is thus drawn once, with its own
+    number of rows, and a label's weights add up to its rows as expected; if all texts are drawn, exactly.
+    """
+    u = (F.pmod(F.xxhash64(F.lit("draw"), "a", "b"), F.lit(2**52)) + 1) / F.lit(float(2**52))
+    texts = rows.groupBy(label, "a", "b").agg(F.count("*").alias("n")).withColumn("p", u / F.col("n"))
+    order = Window.partitionBy(label).orderBy("p", "a", "b")
+    first = materialize(texts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= bound + 1))
+    ends = first.filter(F.col("r") > bound).select(label, (1 / F.col("p")).alias("least"))
+    drawn = first.filter(F.col("r") <= bound).join(ends, label, "left")
+    return drawn.select(label, "a", "b", F.greatest(F.col("n").cast("double"), F.col("least")).alias("weight"))
+
+
+def drawn_rows(rows: DataFrame, label: str, bound: int, *values: str) -> DataFrame:
+    """(label, weight, values): ``draw`` with the values of one row of each text."""
+    drawn = F.broadcast(draw(rows.select(label, "a", "b"), label, bound))
+    one = rows.join(drawn, [label, "a", "b"]).groupBy(label, "a", "b", "weight").agg(*[F.any_value(v).alias(v) for v in values])
+    return one.select(label, "weight", *values)

@@ -3,7 +3,8 @@
 A text is read in windows of ``WINDOW`` bytes, from both ends at once. At every position the states of the two
 directions give a distribution over languages; a document's probabilities are the means over all its positions.
 The network is trained in numpy by backpropagation through time on windows of labelled documents: a bounded
-sample, as many per language, drawn by hash from everywhere in the texts.
+sample of different texts, as many per language, from everywhere in them; a text counts by its number of rows, and each
+language as much as another.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text when there is
 nothing to learn from; a null language teaches nothing and a null id is never learned from; repeated rows get the
@@ -20,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import fresh, held_out, remainder, whole
+from assaygrid.llm.common import drawn_rows, fresh, held_out, remainder, text_key, whole
 from assaygrid.plans.bind import Catalog, table
 
 catalog = Catalog()
 WINDOW = 64
 PAD = 256
 HIDDEN = 8
-SAMPLE = 1500  # training windows per language, as expected value; at most twice as many
-PER_DOC = 3  # windows drawn from one document
+SAMPLE = 1500  # training windows per language at most
+PER_DOC = 3  # windows drawn from one text
 EPOCHS = 4
 STEPS = 400  # training steps at least, however few the windows
 BATCH = 64
@@ -104,14 +105,14 @@ class Network:
         logits /= logits.sum(1, keepdims=True)
         return logits
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean cross entropy over all positions that are not padding, by backpropagation through time."""
         steps, h, w = x.shape[1], HIDDEN, self.w
         logits, rows, kept = self.states(x, keep=True)
         delta = self.softmax(logits)
         delta[:, y, np.arange(len(y))] -= 1
-        real = (x.T != PAD)[:, None]
-        delta *= real / delta.dtype.type(max(real.sum(), 1))
+        real = (x.T != PAD)[:, None] * (np.ones(len(y)) if weight is None else weight).astype(delta.dtype)
+        delta *= real / delta.dtype.type(max(real.sum(), 1e-6))
         grad = {n: np.zeros_like(a) for n, a in w.items()}
         grad["bias"] = delta.sum((0, 2))
         back = np.zeros_like(kept[0][0])
@@ -135,7 +136,7 @@ class Network:
         grad["emb"] = flip(by_byte)
         return grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 11) -> Network:
+    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 11) -> Network:
         """Adam over shuffled batches, with a rate that falls to zero."""
         rng = np.random.default_rng(seed)
         first = {n: np.zeros_like(a) for n, a in self.w.items()}
@@ -144,7 +145,7 @@ class Network:
         batches = [b for _ in range(epochs) for b in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH))]
         for t, b in enumerate(batches):
             pace = rate * (1 - t / len(batches))
-            for n, g in self.gradients(x[b], y[b]).items():
+            for n, g in self.gradients(x[b], y[b], None if weight is None else weight[b]).items():
                 first[n] += 0.1 * (g - first[n])
                 second[n] += 0.01 * (g * g - second[n])
                 step = first[n] / (1 - 0.9 ** (t + 1)) / (np.sqrt(second[n] / (1 - 0.99 ** (t + 1))) + 1e-6)
@@ -180,17 +181,13 @@ def as_windows(pieces: list[str]) -> np.ndarray:
 
 
 def training_windows(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(lang, piece): windows from hashed places of documents chosen by hash, about ``sample`` per language."""
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("lang", "text")
-    per_lang = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not per_lang:
-        return known.select("lang", F.lit("").alias("piece")).limit(0)
-    rate = F.create_map(*[F.lit(v) for lang, n in sorted(per_lang.items()) for v in (lang, min(1.0, sample / PER_DOC / n))])
-    chance = lambda *salt: F.pmod(F.xxhash64("text", *map(F.lit, salt)), F.lit(2**30)) / F.lit(float(2**30))
-    drawn = known.filter(chance("row") < rate[F.col("lang")]).withColumn("at", F.explode(F.array(*[chance(n) for n in range(PER_DOC)])))
-    start = F.floor(F.col("at") * F.greatest(F.char_length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
-    # the same texts hash alike, so a group of copies could exceed the expected value: the bound is explicit
-    return drawn.select("lang", F.substring("text", start, F.lit(WINDOW)).alias("piece")).orderBy(F.xxhash64("piece")).limit(2 * sample * len(per_lang))
+    """(lang, weight, piece): windows from hashed places of different texts, at most ``sample`` per language."""
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    chance = lambda n: F.pmod(F.xxhash64("text", F.lit(n)), F.lit(2**30)) / F.lit(float(2**30))
+    start = lambda n: F.floor(chance(n) * F.greatest(F.char_length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
+    pieces = F.array(*[F.substring("text", start(n), F.lit(WINDOW)) for n in range(PER_DOC)])
+    drawn = drawn_rows(known.select("lang", *text_key(), pieces.alias("pieces")), "lang", -(-sample // PER_DOC), "pieces")
+    return drawn.select("lang", "weight", F.explode("pieces").alias("piece"))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Network | None:
@@ -200,7 +197,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Network | None:
         return None
     langs = sorted({r[0] for r in rows})
     y = np.array([langs.index(r[0]) for r in rows])
-    return Network(langs).train(as_windows([r[1] for r in rows]), y)
+    weight = np.array([r[1] for r in rows])
+    weight /= (np.bincount(y, weight) / np.bincount(y))[y]
+    return Network(langs).train(as_windows([r[2] for r in rows]), y, weight)
 
 
 def predict(text: Column, model: Network | None, spark: SparkSession) -> Column:

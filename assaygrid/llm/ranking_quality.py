@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import broadcast_small, fresh, held_out, remainder, whole
+from assaygrid.llm.common import broadcast_small, drawn_rows, fresh, held_out, remainder, text_key, whole
 from assaygrid.operators.quantiles import group_quantiles
 from assaygrid.plans.bind import Catalog, table
 from assaygrid.runtime import materialize
 
 catalog = Catalog()
-SAMPLE = 4000  # expected labelled documents per class, at most twice as many
+SAMPLE = 4000  # different labelled texts per class at most
 RIVALS = 8  # bad documents that a good one is compared with
 THRESHOLD = 0.3
 KINDS = ("lower", "upper", "digit", "space", "newline", "stop", "symbol", "high", "other")
@@ -109,12 +109,18 @@ def expand(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z / 6], -1)
 
 
-def bradley_terry(good: np.ndarray, bad: np.ndarray, rounds: int = 400, rate: float = 0.05, pull: float = 1e-4, seed: int = 5) -> Model:
-    """Weights from pairs (good, bad), by gradient descent with momentum on the logistic loss of the differences."""
+def bradley_terry(good: np.ndarray, bad: np.ndarray, good_weight: np.ndarray, bad_weight: np.ndarray, rounds: int = 400, rate: float = 0.05, pull: float = 1e-4, seed: int = 5) -> Model:
+    """Weights from pairs (good, bad), by gradient descent with momentum on the logistic loss of the differences.
+
+    A row counts by its weight: in the pairs of its class, which are as many for either class, and in the scales.
+    """
     both = np.concatenate([good, bad])
-    model = Model(both.mean(0), both.std(0) + 1e-6, np.zeros(2 * both.shape[1]))
+    part = [w / w.sum() for w in (good_weight, bad_weight)]
+    share = np.concatenate([part[0] * len(good), part[1] * len(bad)]) / len(both)
+    centre = share @ both
+    model = Model(centre, np.sqrt(share @ (both - centre) ** 2) + 1e-6, np.zeros(2 * both.shape[1]))
     rng = np.random.default_rng(seed)
-    first, second = (rng.integers(0, len(side), RIVALS * max(len(good), len(bad))) for side in (good, bad))
+    first, second = (rng.choice(len(p), RIVALS * max(len(good), len(bad)), p=p) for p in part)
     a, b = expand(good, model.centre, model.scale), expand(bad, model.centre, model.scale)
     move = np.zeros_like(model.weight)
     for part in np.array_split(rng.permutation(len(first)), 16) * (rounds // 16):
@@ -134,20 +140,17 @@ def feature_rows(text: Column) -> Column:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Weights from a sample, by hash, of ``labelled`` (text, quality 0 or 1), threshold and spread from all of it.
+    """Weights from a sample of the different texts of ``labelled`` (text, quality 0 or 1), threshold and spread from all of it.
 
     None without both classes.
     """
     size = {r[0]: r[1] for r in labelled.groupBy("quality").count().collect()}
     if not size.get(0) or not size.get(1):
         return None
-    rate = F.when(F.col("quality") == 1, min(1.0, sample / size[1])).otherwise(min(1.0, sample / size[0]))
-    known = materialize(labelled.select("quality", F.xxhash64(whole()).alias("h"), feature_rows(F.col("text")).alias("x")))
-    rows = known.filter(F.pmod("h", F.lit(2**30)) < rate * 2**30).limit(4 * sample).select("quality", "x").collect()
-    good, bad = (np.array(sorted(r[1] for r in rows if r[0] == c)) for c in (1, 0))
-    if not len(good) or not len(bad):
-        return None
-    model = bradley_terry(good, bad)
+    known = materialize(labelled.select("quality", *text_key(), feature_rows(F.col("text")).alias("x")))
+    rows = sorted(map(tuple, drawn_rows(known, "quality", sample, "x").collect()), key=lambda r: (r[2], r[1]))
+    good, bad = (np.array([r[2] for r in rows if r[0] == c]) for c in (1, 0))
+    model = bradley_terry(good, bad, *(np.array([r[1] for r in rows if r[0] == c]) for c in (1, 0)))
     # of n scores in order, the one at the place of the last bad label
     n = size[0] + size[1]
     probs = {"low": 0.1, "at": (size[0] - 0.5) / (n - 1), "high": 0.9}

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.llm.common import BROADCAST_BYTES, broadcast_small, fresh, held_out, remainder, whole
+from assaygrid.llm.common import BROADCAST_BYTES, broadcast_small, drawn_rows, fresh, held_out, remainder, text_key, whole
 from assaygrid.plans.bind import Catalog, table
 from assaygrid.runtime import materialize
 
@@ -39,7 +39,7 @@ catalog = Catalog()
 DISCOUNT = 0.75
 TRUST = 4.0
 FOLDS = 4  # one part of the texts fits the curve, the others are counted
-CALIBRATION = 4000  # expected documents for the logistic curve, at most twice as many
+CALIBRATION = 4000  # different texts per class for the logistic curve at most
 BETWEEN = r"[^\p{L}\p{N}]+"
 THRESHOLD = 0.3
 UNIT = 2**30
@@ -272,15 +272,15 @@ def differences(docs: DataFrame, model: Weights, name: str) -> DataFrame:
     return docs.withColumn(key, keyed).join(told, key, "left").withColumn(name, F.col(far)).drop(key, far)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift by Newton steps, with a light pull of the slope towards zero."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift by Newton steps on weighted points, with a light pull of the slope towards zero."""
     scale = float(np.std(x)) or 1.0
     z = np.stack([x / scale, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-6])
-        w -= np.linalg.solve(hess, z.T @ (p - y) + np.array([1e-2, 1e-6]) * w)
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-6])
+        w -= np.linalg.solve(hess, z.T @ (weight * (p - y)) + np.array([1e-2, 1e-6]) * w)
     return float(w[0] / scale), float(w[1])
 
 
@@ -292,11 +292,10 @@ def fit(labelled: DataFrame) -> Weights | None:
         return None
     model = placed(weights(*counted))
     apart = labelled.filter(fold == 0)
-    n = apart.count()
-    chosen = apart.filter(F.pmod(F.xxhash64(whole(), F.lit("curve")), F.lit(2**30)) < F.lit(2**30 * min(1.0, CALIBRATION / max(n, 1)))).limit(2 * CALIBRATION)
-    rows = differences(chosen, model, "x").select("x", "toxic").toPandas()
+    chosen = drawn_rows(apart.select("toxic", *text_key(), "text"), "toxic", CALIBRATION, "text")
+    rows = differences(chosen, model, "x").select("x", "toxic", "weight").toPandas().sort_values(["x", "toxic", "weight"])
     if rows["toxic"].nunique() == 2:
-        model.slope, model.shift = logistic(rows["x"].to_numpy(float), rows["toxic"].to_numpy(float))
+        model.slope, model.shift = logistic(rows["x"].to_numpy(float), rows["toxic"].to_numpy(float), rows["weight"].to_numpy(float))
     else:
         model.slope = 30.0
     return model

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from assaygrid.llm import ranking_quality, toxicity
+from assaygrid.llm import common, language, ranking_quality, toxicity
 
 
 def plain_kneser_ney(rows):
@@ -70,3 +70,23 @@ def test_threshold_covers_all_rows(spark):
     scores = np.sort([model.raw(np.array(ranking_quality.features(t))) for t, _ in rows])
     assert model.threshold == pytest.approx(scores[149], abs=1e-9)
     assert model.spread == pytest.approx((scores[int(0.9 * 799)] - scores[int(0.1 * 799)]) / 8, abs=1e-9)
+
+
+def test_copies_do_not_fill_a_sample(spark):
+    """A text that a third of the rows have is drawn once, with its rows as weight; the bound holds per label."""
+    rows = [(f"text {n}", n % 2) for n in range(2000)] + [("copy", 0)] * 1000
+    got = common.drawn_rows(spark.createDataFrame(rows, "text string, label int").select("label", *common.text_key(), "text"), "label", 100, "text").collect()
+    assert Counter(r.label for r in got) == {0: 100, 1: 100} and len({r.text for r in got}) == 200
+    assert [r.weight for r in got if r.text == "copy"] == [1000]
+    for label, n in ((0, 2000), (1, 1000)):
+        assert sum(r.weight for r in got if r.label == label) == pytest.approx(n, rel=0.3)
+    few = common.drawn_rows(spark.createDataFrame(rows, "text string, label int").select("label", *common.text_key(), "text"), "label", 5000, "text").collect()
+    assert len(few) == 2001 and sum(r.weight for r in few) == 3000
+
+
+def test_training_windows_of_copies(spark):
+    """Every language gets its windows, however many copies another one has."""
+    rows = [("the same text again " * 9, "en")] * 3000 + [(f"ein text {n} " * 9, "de") for n in range(50)] + [(f"text {n} " * 9, "en") for n in range(50)]
+    got = language.training_windows(spark.createDataFrame(rows, "text string, lang string"), sample=60).collect()
+    assert Counter(r.lang for r in got) == {"en": 60, "de": 60}
+    assert sum(r.piece.startswith(("the", "he", "e s")) or "same" in r.piece for r in got) == language.PER_DOC
