@@ -7,7 +7,7 @@ express it, the query's SQL.
 
 from importlib import import_module
 
-MODULES = ["mixing", "secrets", "rules", "language", "toxicity", "ranking_quality", "bpe", "repeats", "minhash", "search"]
+MODULES = ["mixing", "secrets", "rules", "language", "toxicity", "ranking_quality", "bpe", "repeats", "minhash", "search", "alignment", "token_files", "spelling"]
 
 
 def catalogs():
