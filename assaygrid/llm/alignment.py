@@ -6,6 +6,9 @@ once they differ: a stretch in which tokens match one to one is jumped, however
 differ, the two are walked to the next end they share; that irregular group changes the shift. Tokens whose bytes
 overlap are linked: a one-to-one pair once, and inside a group each step of the walk links the two tokens it stands on.
 
+Neither tokenizer lets a token cross a space between visible characters, nor go on from a letter to a mark like a comma, so a worker asks the
+libraries once for every different word between such places; a text with a piece that is not reproduced goes to them whole.
+
 Counts of linked id pairs are added up over the corpus by Spark and stored. Pairs whose counts exceed a cut, as many as
 fit ``TABLE`` entries, are looked up in Arrow batches; the links of all rarer pairs are joined to their counts by shuffle.
 
@@ -18,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,13 @@ from assaygrid.runtime import materialize
 
 catalog = Catalog()
 TABLE = 1_000_000  # pairs a task may hold, 17 bytes each
-CHUNK = 500_000  # characters encoded at once
+MEMO = 400_000  # pieces between spaces, and words in them, remembered by a worker; then the memory starts afresh
+Pair = tuple[bytes, bytes]
+# A space between visible characters: both tokenizers begin a token there, and at marks that follow a letter or digit.
+CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*").fullmatch
+MARKS = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([.,;:!?]+)", re.DOTALL).fullmatch
+CROSSED = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ][.,;:!?]").search
 TOKENS = "struct<ids_a:array<int>,ids_b:array<int>,ends_a:array<int>,ends_b:array<int>>"
 COUNTS = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,pairs:array<bigint>,times:array<int>>"
 
@@ -41,7 +52,7 @@ COUNTS = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha
 
 def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
     """How many ends from ``a[i]`` and ``b[j]`` on are equal, one to one."""
-    n, step = 0, 1
+    n, step = 0, 4
     while a[i + n : i + n + step] == b[j + n : j + n + step] and i + n < len(a):
         n += step
         step *= 2
@@ -132,18 +143,70 @@ class Models:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(n) else piece.replace("▁", " ").encode())
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
         numbers = [str(n) for n in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        # if no piece of the second vocabulary goes on behind a space, or from a letter to a mark, its tokens, as those of the first, cross neither
+        whole_pieces = [self.b.id_to_piece(n) for n in range(len(self.bytes_b))]
+        self.cuts = not any("▁" in p.lstrip("▁") or CROSSED(p) for p in whole_pieces) and len(self.b.encode("a")) == 1
+        self.memo: dict[str, Pair | None] = {}
+        self.words: dict[str, Pair | None] = {}
+        self.marks: dict[str, Pair] = {}
         self.inner, self.bar, self.close = (np.array([n + mark for n in numbers], object) for mark in (",", "|", ";"))
         return self
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    def _whole(self, texts: list[str]) -> Iterator[Pair | None]:
+        """Ids as bytes of space and each text by both libraries, None where they are not reproduced."""
+        found_a = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+        for text, a, b in zip(texts, found_a, self.b.encode(texts, num_threads=1)):
+            a, raw = a.ids, f" {text}".encode()
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            yield (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
+
+    def _mark(self, marks: str) -> Pair:
+        """Marks behind a letter: the first vocabulary begins a token there, the second is asked behind a letter of one token."""
+        if marks not in self.marks:
+            self.marks[marks] = array("i", self.a.encode(marks, add_special_tokens=False).ids).tobytes(), array("i", self.b.encode(f"a{marks}")[1:]).tobytes()
+        return self.marks[marks]
+
+    def _learn(self, pieces: list[str]) -> None:
+        cut = [(p, *m.groups()) if m else (p, p, "") for p, m in zip(pieces, map(MARKS, pieces))]
+        new = list({word for _, word, _ in cut if word not in self.words})
+        self.words.update(zip(new, self._whole(new)))
+        for piece, word, marks in cut:
+            pair = self.words[word]
+            if pair and marks:
+                more = self._mark(marks)
+                pair = pair[0] + more[0], pair[1] + more[1]
+            self.memo[piece] = pair
+
+    def pieces(self, text: str) -> list[str]:
+        """Cut at spaces between visible characters; each piece follows a space, the first the one that both sides add."""
+        if not self.cuts:
+            return [text]
+        if PLAIN(text) and not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "):
+            return text.split(" ")
+        first, *others = CUT.split(text)
+        return [first, *(p[1:] for p in others)]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of both sides, or None for a text without tokens."""
-        spaced = [f" {t}" for t in texts]
-        found_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        found_b = self.b.encode(texts, num_threads=1)
-        for text, spaced_text, a, b in zip(texts, spaced, found_a, found_b):
-            a, raw = a.ids, spaced_text.encode()
-            told = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            yield (np.array(a, np.int32), np.array(b, np.int32)) if told else None
+        if not text:
+            return None
+        memo = self.memo
+        if len(memo) > MEMO or len(self.words) > MEMO:
+            memo.clear()
+            self.words.clear()
+        pieces = self.pieces(text)
+        found = list(map(memo.get, pieces))
+        if None in found:
+            new = list({p for p, ids in zip(pieces, found) if ids is None})
+            self._learn(new)
+            found = list(map(memo.get, pieces))
+            for p in new:
+                if len(p) > 64:
+                    del memo[p]
+                    self.words.pop(p, None)
+            if None in found:  # a piece is not reproduced; the whole text may be
+                found = [next(self._whole([text]))]
+        return None if found == [None] else tuple(np.frombuffer(b"".join(ids), np.int32) for ids in zip(*found))
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return align(np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist())
@@ -165,18 +228,6 @@ def models(spark: SparkSession, path_a: str, path_b: str):
         return spark.sparkContext.broadcast(Models(a.read(), b.read()))
 
 
-def _chunks(texts: pa.Array) -> Iterator[list[str]]:
-    chunk, held = [], 0
-    for t in texts:
-        chunk.append(t.as_py() or "")
-        held += len(chunk[-1])
-        if held > CHUNK:
-            yield chunk
-            chunk, held = [], 0
-    if chunk:
-        yield chunk
-
-
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), kind))
@@ -190,9 +241,9 @@ def tokens(text: Column, shared) -> Column:
         none = (np.zeros(0, np.int64),) * 4
         for texts in batches:
             model, rows = shared.value.ready(), []
-            for chunk in _chunks(texts):
-                for pair in model.encode(chunk):
-                    rows.append(none if pair is None else (*pair, *(x + 1 for x in model.align(*pair)[:2])))
+            for text in texts:
+                pair = model.encode(text.as_py())
+                rows.append(none if pair is None else (*pair, *(x + 1 for x in model.align(*pair)[:2])))
             yield pa.StructArray.from_arrays([_lists([r[k] for r in rows], pa.int32()) for k in range(4)], ["ids_a", "ids_b", "ends_a", "ends_b"])
 
     return run(text)
@@ -206,19 +257,19 @@ def counted(text: Column, shared) -> Column:
         for texts in batches:
             model, rows, pairs, times = shared.value.ready(), [], [], []
             width = len(model.bytes_b)
-            for chunk in _chunks(texts):
-                for pair in model.encode(chunk):
-                    if pair is None:
-                        rows.append((0, 0, 0, 0, ""))
-                        found = n = np.zeros(0, np.int64)
-                    else:
-                        a, b = pair
-                        groups_a, groups_b, link_a, link_b = model.align(a, b)
-                        digest = hashlib.sha256(model.notation(a, b, groups_a, groups_b).encode()).hexdigest()
-                        rows.append((len(a), len(b), len(groups_a), len(link_a), digest))
-                        found, n = np.unique(a[link_a].astype(np.int64) * width + b[link_b], return_counts=True)
-                    pairs.append(found)
-                    times.append(n)
+            for text in texts:
+                pair = model.encode(text.as_py())
+                if pair is None:
+                    rows.append((0, 0, 0, 0, ""))
+                    found = n = np.zeros(0, np.int64)
+                else:
+                    a, b = pair
+                    groups_a, groups_b, link_a, link_b = model.align(a, b)
+                    digest = hashlib.sha256(model.notation(a, b, groups_a, groups_b).encode()).hexdigest()
+                    rows.append((len(a), len(b), len(groups_a), len(link_a), digest))
+                    found, n = np.unique(a[link_a].astype(np.int64) * width + b[link_b], return_counts=True)
+                pairs.append(found)
+                times.append(n)
             kinds = [pa.int64()] * 4 + [pa.string()]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.StructArray.from_arrays([*columns, _lists(pairs, pa.int64()), _lists(times, pa.int32())], ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])

@@ -54,44 +54,39 @@ def _part(lo: Column, hi: Column) -> Column:
     return F.substring("word", lo + 1, hi - lo)
 
 
-def _split(rows: DataFrame, key: list[Column], longer: Column) -> DataFrame:
+def _split(rows: DataFrame, key: list[Column]) -> DataFrame:
     """Each row twice: keyed by one half of its stretch (lo, hi) while the other half remains.
 
     The stretch of a word that is ``longer`` by one than its chunks' word is cut where that word's is, or one further.
     """
-    lo, hi = F.col("lo"), F.col("hi")
+    lo, hi, longer = F.col("lo"), F.col("hi"), F.col("longer")
     half = lo + F.floor((hi - lo - longer) / 2).cast("int")
     first = F.struct(F.xxhash64(*key, F.lit(0), _part(lo, half)).alias("key"), half.alias("lo"), hi.alias("hi"))
     second = F.struct(F.xxhash64(*key, F.lit(1), _part(half + longer, hi)).alias("key"), lo.alias("lo"), (half + longer).alias("hi"))
-    kept = [c for c in ("word", "n", "longer") if c in rows.columns]
-    return rows.select(*kept, F.explode(F.array(first, second)).alias("x")).select(*kept, "x.*")
+    return rows.select("word", "n", "longer", F.explode(F.array(first, second)).alias("x")).select("word", "n", "longer", "x.*")
 
 
 def near_pairs(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, a_n, b, b_n): every pair of the words (word, n; all different) that differ by exactly one edit, once."""
-    whole_words = words.select("word", "n", F.lit(0).alias("lo"), F.char_length("word").alias("hi"))
     size = F.char_length("word")
-    chunks = materialize(_split(whole_words, [size], F.lit(0)))
-    either = whole_words.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("longer")).filter(F.col("hi") > F.col("longer"))
-    grams = materialize(_split(either, [size - F.col("longer")], F.col("longer")))
+    either = words.select("word", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("longer"), F.lit(0).alias("lo"), size.alias("hi")).filter(size > F.col("longer"))
+    # a word's grams among words of its own length are its chunks
+    grams = materialize(_split(either, [size - F.col("longer")]))
     found = None
     while True:
-        groups = chunks.groupBy("key").agg(F.count("*").alias("chunks"), F.max(F.col("hi") - F.col("lo")).alias("rest"))
-        groups = groups.join(grams.groupBy("key").agg(F.count("*").alias("grams")), "key")
-        # a word's own gram is always there; alone it meets nothing
-        groups = materialize(groups.filter("grams > 1").withColumn("crowded", (F.least("chunks", "grams") > crowd) & (F.col("rest") > 1)))
-        few = groups.filter("not crowded").select("key")
-        a = chunks.join(few, "key", "left_semi").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
-        b = grams.join(few, "key", "left_semi").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), "longer")
+        groups = grams.groupBy("key").agg(F.count("*").alias("grams"), F.count_if(F.col("longer") == 0).alias("chunks"), F.max(F.col("hi") - F.col("lo") - F.col("longer")).alias("rest"))
+        crowded = materialize(groups.filter((F.least("chunks", "grams") > crowd) & (F.col("rest") > 1)).select("key"))
+        none = crowded.isEmpty()
+        few = grams if none else grams.join(crowded, "key", "left_anti")
+        a = few.filter("longer = 0").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
+        b = few.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"), "longer")
         met = a.join(b, "key").filter((F.col("longer") == 1) | (F.col("a") < F.col("b"))).filter(F.levenshtein("a", "b", 1) == 1)
         met = met.select("a", "a_n", "b", "b_n")
         found = met if found is None else found.unionByName(met)
-        many = groups.filter("crowded").select("key")
-        if many.isEmpty():
+        if none:
             return found.distinct()
         found = materialize(found)
-        chunks = materialize(_split(chunks.join(many, "key", "left_semi"), [F.col("key")], F.lit(0)))
-        grams = materialize(_split(grams.join(many, "key", "left_semi"), [F.col("key")], F.col("longer")))
+        grams = materialize(_split(grams.join(crowded, "key", "left_semi"), [F.col("key")]))
 
 
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:

@@ -11,7 +11,7 @@ Documents are range-partitioned by id and sorted inside a partition; each task s
 shard under a name of its own and returns a row of the manifest. A task that runs twice leaves a file that no manifest names, so
 lost executors and speculation do no harm. Ids that precede a shard are added up over the manifest, one row per shard.
 
-The tokenizer drops white space and lets no token cross it, so texts are cut at spaces and line ends, and a worker asks the library for
+The tokenizer encodes every piece of its own pre-tokenization by itself, so a worker cuts texts into such pieces and asks the library for
 every different piece once; the ids are those of the whole text.
 
 Defined results: a null text is empty and holds the end id alone; null document ids come first; equal ids are ordered by a hash of
@@ -22,9 +22,11 @@ extra columns are not stored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,7 +44,10 @@ MAGIC = b"PFORIDS1"
 BLOCK = 1024  # ids of a block, a multiple of 8
 PERCENTILE = 90  # per cent of a block's ids that its width must hold
 CHUNK = 256  # blocks packed or read at once
-MEMO = 250_000  # pieces remembered by a worker; then the memory starts afresh
+MEMO = 500_000  # pieces remembered by a worker; then the memory starts afresh
+# The tokenizer's own pieces on plain text, where its letters are these and its numbers ASCII digits.
+PLAIN = r"[ -~\nÀ-ÖØ-öø-ÿ]*"
+WORDS = r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ÿ0-9]+"
 END = 2
 HEAD, HEAD_SIZE = "<IBH", 7
 TAIL, TAIL_SIZE = "<qqq", 24
@@ -195,13 +200,18 @@ class Reader:
 
 
 class Pieces:
-    """The library's ids of whole texts, each different piece between spaces asked for once; broadcast as its definition."""
+    """The library's ids of whole texts, each different piece asked for once; broadcast as its definition.
 
-    def __init__(self, definition: str) -> None:
-        self.definition = definition
+    ``words`` finds the pieces of a plain text in lower case: those of the tokenizer itself, for texts of printable ASCII, spaces,
+    line ends and Latin letters, which normalisation only lowers. Other texts are cut at spaces and line ends, and of their parts
+    the plain ones are cut further; what is not plain, and what holds a special token's string, goes to the library as it is.
+    """
+
+    def __init__(self, definition: str, words: str = WORDS) -> None:
+        self.definition, self.words = definition, words
 
     def __getstate__(self) -> dict:
-        return {"definition": self.definition}
+        return {"definition": self.definition, "words": self.words}
 
     def ready(self) -> Pieces:
         if not hasattr(self, "tokenizer"):
@@ -209,20 +219,30 @@ class Pieces:
             from tokenizers import Tokenizer
 
             self.tokenizer, self.memo = Tokenizer.from_str(self.definition), {}
+            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.plain, self.find = re.compile(PLAIN).fullmatch, re.compile(self.words).findall
         return self
 
+    def cut(self, text: str) -> list[str]:
+        if self.plain(text) and not any(s in text for s in self.special):
+            return self.find(text.lower())
+        parts = text.replace("\n", " ").split(" ")
+        return [text] if len(parts) == 1 else list(chain.from_iterable(map(self.cut, parts)))
+
     def ids(self, text: str) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in set(pieces) if p not in memo]
-        memo.update((p, e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        ids = np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.uint32)
-        for p in new:
-            if len(p) > 64:
-                del memo[p]
-        return ids
+        pieces = self.cut(text)
+        found = list(map(memo.get, pieces))
+        if None in found:
+            new = list({p for p, ids in zip(pieces, found) if ids is None})
+            memo.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+            found = list(map(memo.get, pieces))
+            for p in new:
+                if len(p) > 64:
+                    del memo[p]
+        return np.frombuffer(b"".join(found), np.uint32)
 
 
 def opened(path: str):
