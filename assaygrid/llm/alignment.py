@@ -24,6 +24,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from assaygrid.runtime import materialize
 
 catalog = Catalog()
 TABLE = 1_000_000  # pairs a task may hold, 17 bytes each
+PROBE = 4  # tokens compared first
+CHUNK = 500_000  # characters of texts whose new words are asked for at once
 MEMO = 400_000  # pieces between spaces, and words in them, remembered by a worker; then the memory starts afresh
 Pair = tuple[bytes, bytes]
 # A space between visible characters: both tokenizers begin a token there, and at marks that follow a letter or digit.
@@ -50,35 +53,31 @@ COUNTS = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha
 # --- two token sequences -----------------------------------------------------------------------------------
 
 
-def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from ``a[i]`` and ``b[j]`` on are equal, one to one."""
-    n, step = 0, 4
-    while a[i + n : i + n + step] == b[j + n : j + n + step] and i + n < len(a):
-        n += step
-        step *= 2
-    while step > 1:
-        step //= 2
-        if a[i + n : i + n + step] == b[j + n : j + n + step] and i + n < len(a):
-            n += step
-    return min(n, len(a) - i, len(b) - j)
-
-
 def align(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rising ends that finish alike: the last tokens of each group on both sides, and the linked tokens."""
     i = j = 0
+    a, b = [*a, -1], [*b, -2]  # marks that differ end the last stretch
     runs: list[tuple[int, int, int]] = []
     last_a: list[int] = []
     last_b: list[int] = []
     link_a: list[int] = []
     link_b: list[int] = []
-    size = len(a)
+    size = len(a) - 1
     while i < size:
         if a[i] == b[j]:
-            n = stretch(a, b, i, j)
-            runs.append((i, j, n))
-            i += n
-            j += n
-            continue
+            # slices double while both sides agree at this shift, then halve towards the first difference
+            first, shift, step = i, j - i, PROBE
+            while a[i : i + step] == b[i + shift : i + shift + step]:
+                i += step
+                step += step
+            while step > 1:
+                step >>= 1
+                if a[i : i + step] == b[i + shift : i + shift + step]:
+                    i += step
+            runs.append((first, j, i - first))
+            j = i + shift
+            if i == size:
+                break
         u, v = a[i], b[j]
         link_a.append(i)
         link_b.append(j)
@@ -166,10 +165,28 @@ class Models:
             self.marks[marks] = array("i", self.a.encode(marks, add_special_tokens=False).ids).tobytes(), array("i", self.b.encode(f"a{marks}")[1:]).tobytes()
         return self.marks[marks]
 
+    def _pairs(self, texts: list[str]) -> Iterator[Pair | None]:
+        """As ``_whole``, verified together: all bytes in a row, and each text's number of bytes."""
+        spaced = [f" {t}" for t in texts]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1)
+        raw = [t.encode() for t in spaced]
+        sizes, joined, out = list(map(len, raw)), b"".join(raw), []
+        for ids, parts, widths in ((ids_a, self.bytes_a, self.sizes_a), (ids_b, self.bytes_b, self.sizes_b)):
+            flat = np.fromiter(chain.from_iterable(ids), np.int32)
+            ends = np.cumsum(list(map(len, ids)))
+            told = np.diff(np.append(0, np.cumsum(widths[flat]))[ends], prepend=0)
+            if told.tolist() != sizes or b"".join(map(parts.__getitem__, chain.from_iterable(ids))) != joined:
+                return self._whole(texts)
+            held, cuts = flat.tobytes(), (4 * ends).tolist()
+            out.append([held[x:y] for x, y in zip([0, *cuts], cuts)])
+        return zip(*out)
+
     def _learn(self, pieces: list[str]) -> None:
         cut = [(p, *m.groups()) if m else (p, p, "") for p, m in zip(pieces, map(MARKS, pieces))]
         new = list({word for _, word, _ in cut if word not in self.words})
-        self.words.update(zip(new, self._whole(new)))
+        if new:
+            self.words.update(zip(new, self._pairs(new)))
         for piece, word, marks in cut:
             pair = self.words[word]
             if pair and marks:
@@ -186,27 +203,27 @@ class Models:
         first, *others = CUT.split(text)
         return [first, *(p[1:] for p in others)]
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of both sides, or None for a text without tokens."""
-        if not text:
-            return None
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of both sides of each text, or None for a text without tokens."""
         memo = self.memo
         if len(memo) > MEMO or len(self.words) > MEMO:
             memo.clear()
             self.words.clear()
-        pieces = self.pieces(text)
-        found = list(map(memo.get, pieces))
-        if None in found:
-            new = list({p for p, ids in zip(pieces, found) if ids is None})
+        cut = [self.pieces(t) if t else [] for t in texts]
+        found = [list(map(memo.get, pieces)) for pieces in cut]
+        new = list({p for pieces, pairs in zip(cut, found) if None in pairs for p, pair in zip(pieces, pairs) if pair is None})
+        if new:
             self._learn(new)
-            found = list(map(memo.get, pieces))
-            for p in new:
-                if len(p) > 64:
-                    del memo[p]
-                    self.words.pop(p, None)
-            if None in found:  # a piece is not reproduced; the whole text may be
-                found = [next(self._whole([text]))]
-        return None if found == [None] else tuple(np.frombuffer(b"".join(ids), np.int32) for ids in zip(*found))
+        for text, pieces, pairs in zip(texts, cut, found):
+            if None in pairs:
+                pairs = [memo[p] if pair is None else pair for p, pair in zip(pieces, pairs)]
+                if None in pairs:  # a piece is not reproduced; the whole text may be
+                    pairs = [next(self._whole([text]))]
+            yield tuple(np.frombuffer(b"".join(ids), np.int32) for ids in zip(*pairs)) if pairs and pairs != [None] else None
+        for p in new:
+            if len(p) > 64:
+                del memo[p]
+                self.words.pop(p, None)
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return align(np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist())
@@ -228,6 +245,18 @@ def models(spark: SparkSession, path_a: str, path_b: str):
         return spark.sparkContext.broadcast(Models(a.read(), b.read()))
 
 
+def _encoded(texts: pa.Array, model: Models) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """The ids of each text; texts whose lengths add up to ``CHUNK`` share their calls of the libraries."""
+    chunk, held = [], 0
+    for t in texts:
+        chunk.append(t.as_py() or "")
+        held += len(chunk[-1])
+        if held > CHUNK:
+            yield from model.encode(chunk)
+            chunk, held = [], 0
+    yield from model.encode(chunk)
+
+
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), kind))
@@ -241,8 +270,7 @@ def tokens(text: Column, shared) -> Column:
         none = (np.zeros(0, np.int64),) * 4
         for texts in batches:
             model, rows = shared.value.ready(), []
-            for text in texts:
-                pair = model.encode(text.as_py())
+            for pair in _encoded(texts, model):
                 rows.append(none if pair is None else (*pair, *(x + 1 for x in model.align(*pair)[:2])))
             yield pa.StructArray.from_arrays([_lists([r[k] for r in rows], pa.int32()) for k in range(4)], ["ids_a", "ids_b", "ends_a", "ends_b"])
 
@@ -257,8 +285,7 @@ def counted(text: Column, shared) -> Column:
         for texts in batches:
             model, rows, pairs, times = shared.value.ready(), [], [], []
             width = len(model.bytes_b)
-            for text in texts:
-                pair = model.encode(text.as_py())
+            for pair in _encoded(texts, model):
                 if pair is None:
                     rows.append((0, 0, 0, 0, ""))
                     found = n = np.zeros(0, np.int64)

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -166,8 +168,8 @@ class Encoder:
             known = self.fits[a, b] = self._fit(a, b)
         return known
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The ids of a whole text, pretoken by pretoken."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text, four bytes each."""
         words = (self.find_ascii if text.isascii() else self.find)(text)
         memo = self.memo
         out = list(map(memo.get, words))
@@ -175,12 +177,20 @@ class Encoder:
             for i, ids in enumerate(out):
                 if ids is None:
                     word = words[i]
-                    out[i] = ids = memo.get(word) or self.piece(word)
+                    out[i] = ids = memo.get(word) or array("i", self.piece(word)).tobytes()
                     if len(word) <= 64:
                         memo[word] = ids
             if len(memo) >= MEMO:
                 memo.clear()
-        return out
+        return b"".join(out)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each list of ``ids``; list n goes from ``ends[n]`` to ``ends[n + 1]``."""
+        # a few texts at a time: ids as Python numbers take much more room than in an array
+        cuts = ends[[*range(0, len(ends) - 1, ROWS), len(ends) - 1]].tolist()
+        data = b"".join(b"".join(map(self.tokens.__getitem__, ids[a:b].tolist())) for a, b in zip(cuts, cuts[1:]))
+        offsets = np.append(0, np.cumsum(np.array(self.sizes)[ids]))[ends].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def encoder(spark: SparkSession, path: str, pattern: str):
@@ -189,19 +199,18 @@ def encoder(spark: SparkSession, path: str, pattern: str):
         return spark.sparkContext.broadcast(Encoder(file.read(), pattern))
 
 
-def encode(text: Column, shared) -> Column:
-    """array<int>: the ids of each whole text."""
+def coded(text: Column, shared) -> Column:
+    """struct: the ids of each whole text, and the bytes that these ids stand for."""
 
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        model = shared.value.ready()
-        sizes, parts = [0], []
-        for t in texts:
-            ids = np.fromiter(chain.from_iterable(model.encode(t.as_py() or "")), np.int32)
-            parts.append(ids)
-            sizes.append(sizes[-1] + len(ids))
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # a few texts at a time leave the worker before the next are read
+        for texts in chain.from_iterable((b.slice(at, ROWS) for at in range(0, max(1, len(b)), ROWS)) for b in batches):
+            model = shared.value.ready()
+            raw = [model.encode(t.as_py() or "") for t in texts]
+            ids, ends = np.frombuffer(b"".join(raw), np.int32), np.cumsum([0, *map(len, raw)]) // 4
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+            yield pa.StructArray.from_arrays([lists, model.decode(ids, ends)], ["ids", "decoded"])
 
     return run(text)
 
@@ -211,15 +220,8 @@ def decode(ids: Column, shared) -> Column:
 
     @F.arrow_udf("binary")
     def run(lists: pa.Array) -> pa.Array:
-        tokens = shared.value.tokens
-        out = []
-        # a few texts at a time: ids as Python numbers take much more room than in an array
-        for at in range(0, len(lists), ROWS):
-            part = lists.slice(at, ROWS)
-            flat = list(map(tokens.__getitem__, part.flatten().to_numpy().tolist()))
-            ends = np.cumsum([0, *part.value_lengths().fill_null(0).to_pylist()]).tolist()
-            out += [b"".join(flat[a:b]) for a, b in zip(ends, ends[1:])]
-        return pa.array(out, pa.binary())
+        ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+        return shared.value.ready().decode(lists.flatten().to_numpy(), ends)
 
     return run(ids)
 
@@ -227,8 +229,9 @@ def decode(ids: Column, shared) -> Column:
 def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with ``ids`` and ``decoded``, renamed if the input has such columns; they come last."""
     shared = encoder(docs.sparkSession, path, pattern)
-    ids, decoded = fresh(docs.columns, "ids", "decoded")
-    return docs.withColumn(ids, encode(whole(), shared)).withColumn(decoded, decode(F.col(ids), shared))
+    found, ids, decoded = fresh(docs.columns, "coded", "ids", "decoded")
+    out = docs.withColumn(found, coded(whole(), shared))
+    return out.select(*docs.columns, F.col(found)["ids"].alias(ids), F.col(found)["decoded"].alias(decoded))
 
 
 def digests(tokenized: DataFrame) -> list[Column]:

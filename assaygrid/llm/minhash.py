@@ -7,10 +7,12 @@ when none is empty. ``BANDS`` bands of ``ROWS`` registers give buckets; a pair o
 with probability (1 - 0.8^6)^48 = 5e-7.
 
 Links are confirmed on full sets. Members of a bucket already in one component need no comparison, so each is first
-compared with the first member of its buckets. Where a bucket then still holds several components, the pairs
-between them that can be similar at all are found by their rarest shingles: two sets of similarity 0.8 share one
-of the first few, and few shingles of a set that differs from all others are shared at all. No cap, no pair lost,
-and a bucket of copies costs about as many comparisons as it has members.
+compared with the first member of its buckets. Where a bucket then still holds several components, sets that can be similar at
+all meet in the lists of their rarest shingles: two sets of similarity 0.8 share one of the first few, and few
+shingles of a set that differs from all others are shared at all. In rounds, one member of every component in a list is
+compared with one of a component drawn there, which merges a group of near copies by as many comparisons as its lists have
+entries; when rounds merge little more, the pairs between what is still apart are compared, none twice. No cap and no pair lost.
+Components are found by passing on the least label, which stands for the union-find of one machine.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; equal rows are in one class; a null id never is a
@@ -160,18 +162,23 @@ def apart(buckets: DataFrame, state: DataFrame) -> DataFrame:
     return members.groupBy("id").agg(F.first("label").alias("label"), F.max("minor").alias("minor"))
 
 
-def possible(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(lo, hi): the pairs between components that can reach the similarity, one member minor.
+def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n, at, shingle): of each member's n shingles in order from rare to frequent, those one of which a similar set must share.
 
-    Shingles are put in order from rare to frequent. Two sets of n and m shingles must share
-    o = SHARE (n + m) / (100 + SHARE) of them, hence one among the first n - o + 1 of the one and m - o + 1 of the other.
+    Two sets of n and m shingles must share o = SHARE (n + m) / (100 + SHARE) of them, hence one among the first n - o + 1 of the
+    one and m - o + 1 of the other.
     """
-    shingled = sets.join(members, "id").select("id", "label", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shingled = sets.join(members.select("id"), "id").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     seen = shingled.groupBy("shingle").agg(F.count("*").alias("seen"))
-    ranked = shingled.join(seen, "shingle").groupBy("id", "label", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("s"))
+    ranked = shingled.join(seen, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("s"))
     short = F.slice("s", 1, F.expr(f"n - ({SHARE} * n + 99) div 100 + 1").cast("int"))
-    firsts = materialize(ranked.select("id", "label", "minor", "n", F.posexplode(short).alias("at", "x")).select("id", "label", "minor", "n", "at", "x.shingle"))
-    a, b = firsts.filter("minor").alias("a"), firsts.alias("b")
+    return materialize(ranked.select("id", "n", F.posexplode(short).alias("at", "x")).select("id", "n", "at", "x.shingle"))
+
+
+def possible(members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(lo, hi): the pairs between components that can reach the similarity, one member minor."""
+    listed = firsts.join(members, "id")
+    a, b = listed.filter("minor").alias("a"), listed.alias("b")
     shared = F.expr(f"({SHARE} * (a.n + b.n) + {99 + SHARE}) div {100 + SHARE}")
     fits = (F.col("a.at") <= F.col("a.n") - shared) & (F.col("b.at") <= F.col("b.n") - shared)
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * SHARE
@@ -179,6 +186,33 @@ def possible(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.least("a.id", "b.id").alias("lo"), F.greatest("a.id", "b.id").alias("hi")).distinct()
 
 
+def met_in_rounds(firsts: DataFrame, sets: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The state after comparing, round by round, one member of each component in a shingle's list with one of a component drawn there.
+
+    A round's pairs are at most as many as the entries of the lists. Rounds end when one merges less than a tenth of the components
+    that it saw. With the state come the pairs (lo, hi) that turned out not to be similar.
+    """
+    refuted, number = None, 0
+    while True:
+        at = firsts.select("id", "shingle").join(state.withColumnRenamed("item_id", "id"), "id")
+        one = at.groupBy("shingle", "label").agg(F.min_by("id", F.xxhash64("id", F.lit(number))).alias("id"))
+        drawn = one.groupBy("shingle").agg(F.min_by(F.struct("id", "label"), F.xxhash64("label", F.lit(number))).alias("d"), F.count("*").alias("parts"))
+        met = one.join(drawn.filter("parts > 1"), "shingle").filter(F.col("label") != F.col("d.label"))
+        pairs = met.select(F.least("id", "d.id").alias("lo"), F.greatest("id", "d.id").alias("hi"), "label").dropDuplicates(["lo", "hi"])
+        pairs = materialize(pairs if refuted is None else pairs.join(refuted, ["lo", "hi"], "left_anti"))
+        links = materialize(confirmed(pairs.select("lo", "hi"), sets))
+        before = pairs.agg(F.count_distinct("label")).first()[0]
+        refuted_now = pairs.select("lo", "hi").join(links, ["lo", "hi"], "left_anti")
+        refuted = materialize(refuted_now if refuted is None else refuted.unionByName(refuted_now))
+        if links.isEmpty():
+            return state, refuted
+        merged = merge_labels(state, links)
+        changed = state.join(merged.withColumnRenamed("label", "new"), "item_id").filter("label <> new").agg(F.count_distinct("label")).first()[0]
+        state, number = merged, number + 1
+        if changed * 10 < before:
+            return state, refuted
+
+
 def linked(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """(item_id, label): components of the members of ``buckets`` (bucket, id, lo = its least id)."""
     state = materialize(buckets.select(F.col("id").alias("item_id")).distinct().withColumn("label", F.col("item_id")))
@@ -189,7 +223,13 @@ def linked(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     others = others.filter("lo_label <> hi_label").select("lo", "hi").join(first, ["lo", "hi"], "left_anti")
     state = merge_labels(state, materialize(confirmed(others, sets)))
     members = materialize(apart(buckets, state))
-    return merge_labels(state, materialize(confirmed(materialize(possible(members, sets)), sets)))
+    if members.isEmpty():
+        return state
+    firsts = prefixes(members, sets)
+    state, refuted = met_in_rounds(firsts, sets, state)
+    pairs = possible(materialize(apart(buckets, state)), firsts)
+    pairs = materialize(pairs if refuted is None else pairs.join(refuted, ["lo", "hi"], "left_anti"))
+    return merge_labels(state, materialize(confirmed(pairs, sets)))
 
 
 def components(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:

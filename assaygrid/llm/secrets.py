@@ -11,7 +11,7 @@ length changes the method; an empty table gives an empty result; other columns p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as sre
@@ -24,6 +24,7 @@ from assaygrid.llm.common import fresh, row_key, whole
 from assaygrid.plans.bind import Catalog, table
 
 catalog = Catalog()
+RUN = 256  # numbers that grow element by element in a running sum
 ALTERNATIVES = 64  # strings kept apart while a query is derived; beyond it the query gets weaker, never wrong
 
 
@@ -158,6 +159,30 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], key: str, text: Column) -
     return hits.filter("n = size").groupBy(key).agg(F.collect_set("kind").alias("rules"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` and lambdas in it refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def prefix(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``op`` over an array of numbers.
+
+    Runs of ``RUN`` numbers grow element by element, then the results of earlier runs are added, so that an array of n numbers costs
+    n RUN / 2 + (n / RUN)^2 / 2 copies and not the square of n.
+    """
+    grow = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, op(F.element_at(acc, -1), x)).otherwise(x)))
+    none = F.array().cast("array<bigint>")
+
+    def carried(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.get(r, F.size(r) - 1))
+        before = F.concat(F.array(F.lit(None).cast("bigint")), F.aggregate(totals, none, grow))
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), F.slice(before, 1, F.size(runs)).alias("c")), lambda x: F.transform(x["run"], lambda v: F.when(x["c"].isNull(), v).otherwise(op(x["c"], v)))))
+
+    starts = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+    runs = lambda v: F.transform(starts(v), lambda c: F.aggregate(F.slice(v, c * RUN + 1, RUN), none, grow))
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(runs(v), carried)).otherwise(none))
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """(start, number, end) of the rule's matches, in code points.
 
@@ -167,14 +192,13 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     pattern = F.lit(rf"\G((?s:.)*?)({rule.regex})")
     part = lambda group: F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), lambda x: F.char_length(x).cast("bigint"))
     seen = F.arrays_zip(part(1).alias("gap"), part(2).alias("n"), (part(2 + rule.group) if rule.group else part(2)).alias("least"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin, end = acc["at"] + m["gap"], acc["at"] + m["gap"] + m["n"]
-        span = F.struct(begin.alias("start"), F.lit(number).alias("rule"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["least"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = prefix(F.transform(found, lambda m: m["gap"] + m["n"]), lambda a, b: a + b)
+        every = F.transform(F.arrays_zip(found.alias("m"), ends.alias("end")), lambda x: F.struct((x["end"] - x["m"]["n"]).alias("start"), F.lit(number).alias("rule"), x["end"].alias("end"), x["m"]["least"].alias("least")))
+        return F.transform(F.filter(every, lambda x: x["least"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end")))
 
-    return F.aggregate(seen, start, step, lambda acc: acc["out"])
+    return bound(seen, placed)
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -202,15 +226,28 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]
     found = scan(docs, rules)
     spans = found.columns[-1]
     text = F.col("text")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh_span = (s["start"] > acc["at"]) | ((s["start"] == 0) & (acc["at"] == 0))
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh_span, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def replaced(part: Column) -> Column:
+        """The text from the first of these spans' places to the end of their last, cut out once."""
+        base = F.get(part, F.lit(0))["before"]
+        cut = F.substring(text, (base + 1).cast("int"), (F.get(part, F.size(part) - 1)["upto"] - base).cast("int"))
+
+        def piece(held: Column, s: Column) -> Column:
+            gap = F.substring(held, (s["before"] - base + 1).cast("int"), (s["start"] - s["before"]).cast("int"))
+            return F.when((s["start"] > s["before"]) | ((s["start"] == 0) & (s["before"] == 0)), F.concat(gap, F.lit(mark))).otherwise("")
+
+        return bound(cut, lambda held: F.array_join(F.transform(part, lambda s: piece(held, s)), ""))
+
+    def clean(found: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda c: F.slice(found, c * RUN + 1, RUN))
+        rest = F.substring(text, (F.element_at(found, -1)["upto"] + 1).cast("int"), F.lit(2**31 - 1))
+        return F.concat(F.array_join(F.transform(parts, replaced), ""), rest)
 
-    clean = F.aggregate(F.col(spans), begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)
+    # how far the spans up to each reach, so that overlapping ones count once
+    upto = prefix(F.transform(F.col(spans), lambda s: s["end"]), F.greatest)
+    marked = bound(upto, lambda u: F.zip_with(F.col(spans), F.arrays_zip(u.alias("upto"), F.concat(F.array(F.lit(0).cast("bigint")), u).alias("before")), lambda s, r: F.struct(s["start"].alias("start"), r["before"].alias("before"), r["upto"].alias("upto"))))
+    marked = F.slice(marked, 1, F.size(spans))
+    return found.withColumn("text", F.when(F.size(spans) > 0, bound(marked, clean)).otherwise(text)).select(*docs.columns)
 
 
 def _sql() -> str:
