@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from assaygrid.runtime import materialize
 
 BLOCK_VALUES = 500_000  # numbers per block
+NEAR_VALUES = 2_000_000  # numbers of the differences taken at once
+BOUND_VALUES = 4_000_000  # numbers of all blocks' centres and corners that tasks may hold; beyond it every pair of blocks is computed
 
 
 def block_count(n: int, dim: int) -> int:
@@ -80,11 +82,13 @@ def matrix(values: np.ndarray, rows: int) -> np.ndarray:
 
 def euclidean(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Distances with the direct difference where the expanded form loses digits."""
-    sq = (q * q).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2 * q @ d.T
-    near = sq < 1e-6 * ((q * q).sum(1)[:, None] + (d * d).sum(1)[None, :])
-    for i, j in zip(*np.nonzero(near)):
-        diff = q[i] - d[j]
-        sq[i, j] = diff @ diff
+    qq, dd = (q * q).sum(1), (d * d).sum(1)
+    sq = qq[:, None] + dd[None, :] - 2 * q @ d.T
+    i, j = np.nonzero(sq < 1e-6 * (qq[:, None] + dd[None, :]))
+    step = max(1, NEAR_VALUES // max(1, q.shape[1]))
+    for at in range(0, len(i), step):
+        diff = q[i[at : at + step]] - d[j[at : at + step]]
+        sq[i[at : at + step], j[at : at + step]] = (diff * diff).sum(1)
     return np.sqrt(np.maximum(sq, 0))
 
 
@@ -110,20 +114,211 @@ def self_pairs(vectors: DataFrame, extra: str | None = None) -> Pairs:
     return Pairs(pack(vectors, n, "q", extra), pack(vectors, n, "d", extra), n, n)
 
 
-def nearest(pairs: Pairs, k: int, id_type: str = "bigint") -> DataFrame:
-    """The ``k`` nearest other items of every item: ``item_id, neighbor, distance, rank``; ties by id."""
+# ---- blocks of near items, and the pairs of them that can matter ----------------------------------
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """Of every block: its number, its items, centre and radius, and its corners (least and largest of each dimension)."""
+
+    block: np.ndarray
+    size: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def least(self, q: np.ndarray, have: np.ndarray | None = None) -> np.ndarray:
+        """Rows x blocks: no item of the block is nearer to the row than this, less what rounding can lose.
+
+        With ``have`` (1 where a row has the dimension, else 0) distances are roots of mean squares over those.
+        """
+        out = np.empty((len(q), len(self.block)))
+        for b in range(len(self.block)):
+            gap = np.maximum(np.maximum(self.low[b] - q, q - self.high[b]), 0)
+            if have is None:
+                out[:, b] = np.maximum(np.sqrt((gap * gap).sum(1)), np.sqrt(((q - self.centre[b]) ** 2).sum(1)) - self.radius[b])
+            else:
+                out[:, b] = np.sqrt((gap * gap * have).sum(1) / np.maximum(have.sum(1), 1))
+        return out * (1 - 1e-9) - 1e-9 * (1 + np.abs(q).max(initial=0.0))
+
+
+@dataclass(frozen=True)
+class Near:
+    """Vectors in blocks of near items: stored rows (block, ids, vecs and what else they carry), and the blocks' bounds.
+
+    Without ``bounds`` (too many blocks for tasks to hold) nothing is known of them and no pair is left out.
+    """
+
+    rows: DataFrame
+    bounds: Bounds | None
+    n_blocks: int
+
+
+def near_blocks(vectors: DataFrame, extra: str | None = None) -> Near:
+    """Items by the nearest of some pivots, large sets split by a hash, so that blocks are bounded whatever the data.
+
+    The pivots are a sample of the items, as many as there are blocks of full size. Null and NaN entries of a vector
+    count as absent: they have no part in its distance to a pivot, and bounds are only for vectors without them.
+    """
+    first = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    n, dim = first["n"], first["dim"] or 1
+    wanted = max(1, min(block_count(n, dim), BLOCK_VALUES // dim))
+    sample = vectors.orderBy(F.xxhash64("item_id")).limit(wanted).select("vec").collect()  # at most BLOCK_VALUES numbers
+    pivots = np.nan_to_num(np.array([[np.nan if v is None else v for v in r["vec"]] for r in sample], float).reshape(len(sample), -1))
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]])
+                have = ~np.isnan(x)
+                x0 = np.nan_to_num(x)
+                d = (x0 * x0).sum(1)[:, None] - 2 * x0 @ p.T + have.astype(float) @ (p * p).T
+                yield pdf.assign(pivot=d.argmin(1).astype("int32"))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+    placed = materialize(vectors.mapInPandas(assign, kinds + ", pivot int"))
+    size = max(16, min(2048, BLOCK_VALUES // dim))
+    # one row per pivot
+    counts = sorted(map(tuple, placed.groupBy("pivot").agg(F.count("*")).collect()))
+    parts = [max(1, -(-c // size)) for _, c in counts]
+    starts = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    table = vectors.sparkSession.createDataFrame([(p, s, k) for (p, _), s, k in zip(counts, starts, parts)], "pivot int, _first int, _parts int")
+    numbered = placed.join(F.broadcast(table), "pivot").withColumn("block", (F.col("_first") + F.pmod(F.xxhash64("item_id"), F.col("_parts"))).cast("int"))
+    fields = ["item_id", "vec"] + ([extra] if extra else [])
+    packed = numbered.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("r"))
+    cols = [F.col("r.item_id").alias("ids"), F.flatten("r.vec").alias("vecs")] + ([F.col(f"r.{extra}").alias(extra)] if extra else [])
+    rows = materialize(packed.select("block", *cols))
+    total = starts[-1]
+    return Near(rows, _bounds(rows) if total * dim * 3 <= BOUND_VALUES else None, total)
+
+
+def _bounds(rows: DataFrame) -> Bounds:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for block, ids, vecs in zip(pdf["block"], pdf["ids"], pdf["vecs"]):
+                x = matrix(vecs, len(ids))
+                c = x.mean(0)
+                out.append((block, len(ids), c, float(np.sqrt(((x - c) ** 2).sum(1).max())), x.min(0), x.max(0)))
+            yield pd.DataFrame(out, columns=["block", "size", "centre", "radius", "low", "high"])
+
+    found = rows.select("block", "ids", "vecs").mapInPandas(measure, "block int, size int, centre array<double>, radius double, low array<double>, high array<double>")
+    pdf = found.toPandas().sort_values("block")  # at most BOUND_VALUES numbers
+    stack = lambda c: np.array(pdf[c].tolist(), float).reshape(len(pdf), -1)
+    return Bounds(pdf["block"].to_numpy(), pdf["size"].to_numpy(), stack("centre"), pdf["radius"].to_numpy(), stack("low"), stack("high"))
+
+
+def listed_pairs(rows: DataFrame, choose: Callable[[dict], np.ndarray]) -> DataFrame:
+    """(q_block, d_block): for each stored block of queries the blocks that ``choose`` names."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                chosen = np.asarray(choose(row))
+                yield pd.DataFrame({"q_block": np.full(len(chosen), row["block"], "int32"), "d_block": chosen.astype("int32")})
+
+    return materialize(rows.mapInPandas(run, "q_block int, d_block int"))
+
+
+def reduce_listed(pairs: DataFrame, queries: DataFrame, donors: DataFrame, kernel: Callable[[dict], Iterator[pd.DataFrame]], schema: str, side: int = 4) -> DataFrame:
+    """What ``kernel`` makes of each listed pair of blocks (``q_*`` and ``d_*`` fields); blocks that meet in a cell travel there once."""
+    cells = lambda p: pairs.select("*", F.expr(f"q_block div {side}").alias(f"_{p}i"), F.expr(f"d_block div {side}").alias(f"_{p}j"))
+    q = cells("q").groupBy("_qi", "_qj", "q_block").agg(F.collect_list("d_block").alias("q_wanted"))  # at most ``side`` each
+    named = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    q = q.join(named(queries, "q"), "q_block")
+    d = cells("d").select("_di", "_dj", "d_block").distinct().join(named(donors, "d"), "d_block")
+    names = [f.split(":")[0].strip().split(" ")[0] for f in schema.split(",")]
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = left.to_dict("records"), {r["d_block"]: r for r in right.to_dict("records")}
+        found = [part for mine in ours for b in mine["q_wanted"] for part in kernel({**mine, **theirs[b]})]
+        return pd.concat(found) if found else pd.DataFrame(columns=names)
+
+    return q.groupBy("_qi", "_qj").cogroup(d.groupBy("_di", "_dj")).applyInPandas(meet, schema)
+
+
+@dataclass(frozen=True)
+class Nearest:
+    """``neighbors(item_id, <donor>, distance, rank)``, and how many pairs of blocks there are and were computed."""
+
+    neighbors: DataFrame
+    pairs: int
+    computed: int
+
+
+def nearest_pruned(queries: Near, donors: Near, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], id_type: str, donor: str = "neighbor", masked: bool = False, own: bool = True) -> Nearest:
+    """The exact ``k`` nearest donors of every query, ties by id, from the pairs of blocks that can hold one.
+
+    First every block of queries meets the blocks that come nearest to it. The k-th distance that a query then has is a bound: a
+    block whose items all lie farther is never computed for it. ``own`` leaves out equal ids.
+    """
+    bounds = donors.bounds
+    shared = queries.rows.sparkSession.sparkContext.broadcast(bounds)
+    blocks_d = np.arange(donors.n_blocks)
+
+    def least(q: np.ndarray) -> np.ndarray:
+        return shared.value.least(np.nan_to_num(q), (~np.isnan(q)).astype(float)) if masked else shared.value.least(q)
+
+    def first(row: dict) -> np.ndarray:
+        if shared.value is None:
+            return blocks_d
+        q = matrix(row["vecs"], len(row["ids"]))
+        # blocks that may hold a row's nearest, those wanted by most rows first, until they hold k items
+        low = least(q)
+        centre = np.nan_to_num(np.nanmean(q, axis=0)) if len(q) else np.zeros(q.shape[1])
+        order = np.lexsort((((shared.value.centre - centre) ** 2).sum(1), low.mean(0)))
+        upto = int(np.searchsorted(np.cumsum(shared.value.size[order]), 2 * k + 1)) + 1
+        return shared.value.block[order[: max(2, upto)]]
 
     def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
-        dist[q_ids[:, None] == d_ids[None, :]] = np.inf
-        i, j = top_k(dist, d_ids, k)
-        yield pd.DataFrame({"item_id": q_ids[i], "neighbor": d_ids[j], "distance": dist[i, j]})
-
-    schema = f"item_id {id_type}, neighbor {id_type}, distance double"
-    found = pairs.reduce(kernel, schema)
-    w = Window.partitionBy("item_id").orderBy("distance", "neighbor")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        q = matrix(row["q_vecs"], len(q_ids))
+        kth = np.full(len(q_ids), np.inf)
+        if row.get("q_kth") is not None:
+            known = dict(zip(row["q_known"], row["q_kth"]))
+            kth = np.array([known.get(i, np.inf) for i in q_ids.tolist()])
+            at = np.flatnonzero(shared.value.block == row["d_block"])[0]
+            one = Bounds(*(getattr(shared.value, f)[at : at + 1] for f in ("block", "size", "centre", "radius", "low", "high")))
+            low = (one.least(np.nan_to_num(q), (~np.isnan(q)).astype(float)) if masked else one.least(q))[:, 0]
+            near = low <= kth
+            q_ids, q, kth = q_ids[near], q[near], kth[near]
+        if len(q_ids):
+            dist = distance(q, matrix(row["d_vecs"], len(d_ids)))
+            if own:
+                dist[q_ids[:, None] == d_ids[None, :]] = np.inf
+            dist[dist > kth[:, None]] = np.inf
+            i, j = top_k(dist, d_ids, k)
+            yield pd.DataFrame({"item_id": q_ids[i], donor: d_ids[j], "distance": dist[i, j]})
+
+    schema = f"item_id {id_type}, {donor} {id_type}, distance double"
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("distance", donor))
+    best = lambda found: found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    begun = listed_pairs(queries.rows, first)
+    found = materialize(best(reduce_listed(begun, queries.rows, donors.rows, kernel, schema)))
+    total, done = queries.n_blocks * donors.n_blocks, begun.count()
+    if done == total:
+        return Nearest(found, total, done)
+    kth = found.filter(F.col("rank") == k).select("item_id", "distance")
+    members = queries.rows.select("block", F.explode("ids").alias("item_id"))
+    known = members.join(kth, "item_id").groupBy("block").agg(F.collect_list("item_id").alias("known"), F.collect_list("distance").alias("kth"))
+    listed = begun.groupBy(F.col("q_block").alias("block")).agg(F.collect_list("d_block").alias("begun"))
+    bounded = materialize(queries.rows.join(known, "block", "left").join(listed, "block", "left"))
+
+    def needed(row: dict) -> np.ndarray:
+        ids = np.asarray(row["ids"])
+        have = dict(zip(row["known"], row["kth"])) if row["known"] is not None else {}
+        limit = np.array([have.get(i, np.inf) for i in ids.tolist()])
+        wanted = (least(matrix(row["vecs"], len(ids))) <= limit[:, None]).any(0)
+        return np.setdiff1d(shared.value.block[wanted], np.asarray(row["begun"] if row["begun"] is not None else [], int))
+
+    rest = listed_pairs(bounded, needed)
+    empty = F.array().cast(f"array<{id_type}>"), F.array().cast("array<double>")
+    ready = bounded.select("block", "ids", "vecs", F.coalesce("known", empty[0]).alias("known"), F.coalesce("kth", empty[1]).alias("kth"))
+    more = reduce_listed(rest, ready, donors.rows.select("block", "ids", "vecs"), kernel, schema)
+    return Nearest(materialize(best(found.drop("rank").unionByName(more))), total, done + rest.count())
 
 
 def label_distances(pairs: Pairs, label: str = "label", id_type: str = "bigint", label_type: str = "string") -> DataFrame:
@@ -173,28 +368,79 @@ def silhouette(vectors: DataFrame, label: str = "label") -> DataFrame:
     return per.withColumn("silhouette", F.coalesce(value, F.lit(0.0)))
 
 
-def nearest_outside(pairs: Pairs, label: str, id_type: str = "bigint") -> DataFrame:
-    """For every label the closest pair leading out of it: ``label, other, distance, lo, hi``; ties by ids."""
+def nearest_outside(near: Near, labels: DataFrame, known: DataFrame | None, id_type: str = "bigint") -> tuple[DataFrame, int]:
+    """Ways out of every label: ``label, other, distance, lo, hi``, among them the shortest (ties by ids); and the block pairs computed.
+
+    ``labels(item_id, label)``; ``known`` are ways between items found before, which bound what has to be looked at: a block is computed
+    for an item only if it holds another label and can be as near as the shortest way out of the item's label known by then.
+    """
+    shared = near.rows.sparkSession.sparkContext.broadcast(near.bounds)
+
+    def with_labels(limits: DataFrame | None) -> DataFrame:
+        members = near.rows.select("block", F.posexplode("ids").alias("place", "item_id")).join(labels, "item_id")
+        if limits is not None:
+            members = members.join(limits, "label", "left")
+        limit = F.coalesce("limit", F.lit(float("inf"))) if limits is not None else F.lit(float("inf"))
+        packed = members.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "label", limit.alias("limit")))).alias("m"))
+        return near.rows.join(packed, "block").select("block", "ids", "vecs", F.col("m.label").alias("label"), F.col("m.limit").alias("limit"))
 
     def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        own, others = np.asarray(row[f"q_{label}"]), np.asarray(row[f"d_{label}"])
-        dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
-        dist[own[:, None] == others[None, :]] = np.inf
+        own, others = np.asarray(row["q_label"]), np.asarray(row["d_label"])
+        q, limit = matrix(row["q_vecs"], len(q_ids)), np.asarray(row["q_limit"], float)
+        use = np.ones(len(q_ids), bool)
+        if shared.value is not None and np.isfinite(limit).any():
+            at = np.flatnonzero(shared.value.block == row["d_block"])[0]
+            one = Bounds(*(getattr(shared.value, f)[at : at + 1] for f in ("block", "size", "centre", "radius", "low", "high")))
+            use = one.least(q)[:, 0] <= limit
+        if len(set(others.tolist())) == 1:
+            use &= own != others[0]
+        q_ids, own, q, limit = q_ids[use], own[use], q[use], limit[use]
+        if not len(q_ids):
+            return
+        dist = euclidean(q, matrix(row["d_vecs"], len(d_ids)))
+        dist[(own[:, None] == others[None, :]) | (dist > limit[:, None])] = np.inf
         low = dist.min(axis=1, keepdims=True)
         i, j = np.nonzero((dist == low) & np.isfinite(dist))
-        out = pd.DataFrame(
-            {
-                "label": own[i],
-                "other": others[j],
-                "distance": dist[i, j],
-                "lo": np.minimum(q_ids[i], d_ids[j]),
-                "hi": np.maximum(q_ids[i], d_ids[j]),
-            }
-        )
+        out = pd.DataFrame({"label": own[i], "other": others[j], "distance": dist[i, j], "lo": np.minimum(q_ids[i], d_ids[j]), "hi": np.maximum(q_ids[i], d_ids[j])})
         yield out.sort_values(["label", "distance", "lo", "hi"]).groupby("label", sort=False).head(1)
 
     schema = f"label {id_type}, other {id_type}, distance double, lo {id_type}, hi {id_type}"
-    found = pairs.reduce(kernel, schema)
-    best = F.min(F.struct("distance", "lo", "hi", "other")).alias("e")
-    return found.groupBy("label").agg(best).select("label", "e.*")
+
+    def shortest(found: DataFrame) -> DataFrame:
+        return found.groupBy("label").agg(F.min(F.struct("distance", "lo", "hi", "other")).alias("e")).select("label", "e.*")
+
+    def limits_of(found: DataFrame) -> DataFrame:
+        return found.groupBy("label").agg(F.min("distance").alias("limit"))
+
+    ways = None
+    if known is not None:
+        a, b = (labels.select(F.col("item_id").alias(c), F.col("label").alias(f"l_{c}")) for c in ("lo", "hi"))
+        both = known.select("lo", "hi", "distance").distinct().join(a, "lo").join(b, "hi").filter("l_lo <> l_hi")
+        sides = F.array(*[F.struct(F.col(f"l_{x}").alias("label"), F.col(f"l_{y}").alias("other"), "distance", "lo", "hi") for x, y in (("lo", "hi"), ("hi", "lo"))])
+        ways = materialize(both.select(F.explode(sides).alias("e")).select("e.*"))
+    start = materialize(with_labels(None if ways is None else limits_of(ways)))
+    mixed = start.filter(F.size(F.array_distinct("label")) > 1)
+    inside = materialize(reduce_listed(mixed.select(F.col("block").alias("q_block"), F.col("block").alias("d_block")), start, start, kernel, schema))
+    ways = inside if ways is None else materialize(ways.unionByName(inside))
+    ready = materialize(with_labels(limits_of(ways)))
+    everywhere = np.arange(near.n_blocks)
+    single = {r["block"]: r["label"] for r in ready.filter(F.size(F.array_distinct("label")) == 1).select("block", F.col("label")[0].alias("label")).toLocalIterator()}
+
+    def needed(row: dict) -> np.ndarray:
+        others = everywhere[everywhere != row["block"]]
+        own, limit = np.asarray(row["label"]), np.asarray(row["limit"], float)
+        if shared.value is None:
+            return others
+        can = least_of(row) <= limit[:, None]
+        for n, b in enumerate(shared.value.block.tolist()):
+            if b in single:
+                can[:, n] &= own != single[b]
+        return np.setdiff1d(shared.value.block[can.any(0)], [row["block"]])
+
+    def least_of(row: dict) -> np.ndarray:
+        return shared.value.least(matrix(row["vecs"], len(row["ids"])))
+
+    rest = listed_pairs(ready, needed)
+    found = materialize(reduce_listed(rest, ready, ready, kernel, schema))
+    return materialize(shortest(ways.unionByName(found))), mixed.count() + rest.count()

@@ -246,26 +246,30 @@ def merge_labels(state: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(state.join(merged, "label", "left").select("item_id", F.coalesce("_to", "label").alias("label")))
 
 
-def spanning_tree(vectors: DataFrame) -> DataFrame:
+def spanning_tree(vectors: DataFrame, computed: list[int] | None = None) -> DataFrame:
     """Minimum spanning tree of the Euclidean distances: ``lo, hi, distance``, ties by ids.
 
-    Each round every component finds its shortest way out (block against block) and components merge,
-    so there are at most log2(items) rounds. The tree holds all merge heights of single linkage.
+    Each round every component finds its shortest way out and components merge, so there are at most log2(items)
+    rounds. Items lie in blocks of near ones; a block is computed for an item only if it holds another component and can be
+    as near as the shortest way known out of the item's own, at first from its own block and from ways found in earlier
+    rounds. ``computed`` receives the number of block pairs of each round. The tree holds all merge heights of single linkage.
     """
     kind = dict(vectors.dtypes)["item_id"]
     data = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec")))
-    labelled = data.withColumn("label", F.col("item_id"))
-    tree = None
+    near = blocks.near_blocks(data)
+    labels, tree, known = materialize(data.select("item_id", F.col("item_id").alias("label"))), None, None
     while True:
-        labelled = materialize(labelled)
-        if labelled.select("label").distinct().limit(2).count() < 2:
+        if labels.select("label").distinct().limit(2).count() < 2:
             return tree
-        found = materialize(blocks.nearest_outside(blocks.self_pairs(labelled, "label"), "label", kind))
+        found, pairs = blocks.nearest_outside(near, labels, known, kind)
+        if computed is not None:
+            computed.append(pairs)
+        known = found if known is None else materialize(known.unionByName(found))
         edges = found.select("lo", "hi", "distance").distinct()
         tree = materialize(edges if tree is None else tree.unionByName(edges))
         merged = components(found.select(F.col("label").alias("item_id")), found.select(F.col("label").alias("lo"), F.col("other").alias("hi")))
         new = merged.select(F.col("item_id").alias("label"), F.col("label").alias("merged"))
-        labelled = labelled.join(new, "label").select("item_id", "vec", F.col("merged").alias("label"))
+        labels = materialize(labels.join(new, "label").select("item_id", F.col("merged").alias("label")))
 
 
 def threshold_clusters(vectors: DataFrame, height: float, tree: DataFrame | None = None) -> DataFrame:

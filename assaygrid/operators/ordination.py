@@ -9,17 +9,18 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import is_missing
 from assaygrid.model import Assay
-from assaygrid.operators import blocks
-from assaygrid.operators.pairs import index_samples, pair_sums
+from assaygrid.operators import blocks, eigen
+from assaygrid.operators.pairs import index_samples
 from assaygrid.operators.qc import zscore_rows
+from assaygrid.operators.ranking import row_numbers
 from assaygrid.runtime import materialize
 
-DRIVER_ITEMS = 20_000  # largest item x item matrix solved on the driver
 CHI2_95 = 5.991464547107979  # fixed value: 95% point of chi-square with 2 degrees of freedom
 
 
@@ -53,38 +54,31 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(signs == 0, 1, signs)
 
 
-def _gram(assay: Assay, cells: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Sums over features for all sample pairs, brought to the driver: samples x samples numbers."""
-    if assay.n_samples > DRIVER_ITEMS:
-        raise ValueError(f"{assay.n_samples} samples; the sample matrix is solved on the driver up to {DRIVER_ITEMS}")
+def _rows(assay: Assay, cells: DataFrame) -> tuple[list[str], DataFrame]:
+    """Sample names by place, and each feature's ``idx`` and ``x``; stored, since every product reads them."""
     index = index_samples(assay.samples)
-    names = [r["sample_id"] for r in index.orderBy("idx").collect()]
-    entries = cells.join(assay.per_sample(index), "sample_id")
-    pdf = pair_sums(entries, "feature_id", assay.n_samples).toPandas()
-    out = {}
-    for c in ("n", "sx", "sy", "sxx", "sxy"):
-        m = np.zeros((len(names), len(names)))
-        m[pdf["i"], pdf["j"]] = pdf[c]
-        out[c] = m
-    return names, out
-
-
-def _solve(names: list[str], cov: np.ndarray, k: int, spark, total: float | None = None) -> Ordination:
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1][:k]
-    values_k, vectors_k = np.maximum(values[order], 0), _signed(vectors[:, order])
-    scores = vectors_k * np.sqrt(values_k)
-    k = len(order)
-    cols = ", ".join(f"pc{i + 1} double" for i in range(k))
-    rows = [(n, *map(float, s)) for n, s in zip(names, scores)]
-    everything = float(np.maximum(values, 0).sum()) if total is None else total
-    extracted = float(values_k.sum())
+    names = [r["sample_id"] for r in index.orderBy("idx").toLocalIterator()]
+    entry = F.struct(F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("x"))
+    rows = cells.join(assay.per_sample(index), "sample_id").groupBy("feature_id").agg(F.collect_list(entry).alias("e"))
+    return names, materialize(rows.select(F.col("e.idx").alias("idx"), F.col("e.x").alias("x")))
+
+
+def _squares(rows: DataFrame) -> float:
+    return float(rows.agg(F.coalesce(F.sum(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)), F.lit(0.0))).first()[0])
+
+
+def _reported(names: list[str], found: eigen.Eigen, spark, total: float, grow: float = 1.0) -> Ordination:
+    """Scores (vectors times the roots of the eigenvalues, times ``grow``) and shares of ``total``."""
+    values = np.maximum(found.values, 0)
+    scores = _signed(found.vectors) * np.sqrt(values) * grow
+    cols = ", ".join(f"pc{i + 1} double" for i in range(len(values)))
+    extracted = float(values.sum())
     shares = [
-        (i + 1, float(e), float(e / extracted) if extracted else 0.0, float(e / everything) if everything else 0.0)
-        for i, e in enumerate(values_k)
+        (i + 1, float(e), float(e / extracted) if extracted else 0.0, float(e / total) if total > 0 else 0.0)
+        for i, e in enumerate(values)
     ]
     return Ordination(
-        spark.createDataFrame(rows, f"sample_id string, {cols}"),
+        spark.createDataFrame([(n, *map(float, s)) for n, s in zip(names, scores)], f"sample_id string, {cols}"),
         spark.createDataFrame(shares, "component int, eigenvalue double, share_extracted double, share_total double"),
     )
 
@@ -92,34 +86,34 @@ def _solve(names: list[str], cov: np.ndarray, k: int, spark, total: float | None
 def sample_pca(assay: Assay, k: int = 2) -> Ordination:
     """PCA in sample space: samples centred over features, covariance over (features - 1).
 
-    Missing cells sit at the sample's mean. The features x samples work is a block-wise Gram matrix in
-    Spark; only the samples x samples covariance is solved on the driver.
+    Missing cells sit at the sample's mean. The covariance of the samples is never formed: its leading vectors come
+    from products with blocks of vectors, so samples x (k + 8) numbers are all that leaves Spark.
     """
-    names, s = _gram(assay, assay.cells.filter(~is_missing(F.col("value"), "null")))
-    n_rows = assay.cells.agg(F.count_distinct("feature_id")).first()[0]
-    n_own, total = np.diag(s["n"]), np.diag(s["sx"])
-    mean = np.divide(total, n_own, out=np.zeros_like(total), where=n_own > 0)
-    upper = s["sxy"] - mean[None, :] * s["sx"] - mean[:, None] * s["sy"] + s["n"] * np.outer(mean, mean)
-    cov = np.triu(upper) + np.triu(upper, 1).T
-    return _solve(names, cov / max(n_rows - 1, 1), k, assay.cells.sparkSession)
+    seen = assay.cells.filter(~is_missing(F.col("value"), "null"))
+    means = seen.groupBy("sample_id").agg(F.avg("value").alias("_m"))
+    moved = seen.join(assay.per_sample(means), "sample_id").withColumn("value", F.col("value") - F.col("_m"))
+    names, rows = _rows(assay, moved)
+    free = max(assay.cells.agg(F.count_distinct("feature_id")).first()[0] - 1, 1)
+    product = eigen.gram(rows)
+    found = eigen.leading(lambda q: product(q) / free, len(names), k)
+    return _reported(names, found, assay.cells.sparkSession, _squares(rows) / free)
 
 
 def sample_scores(assay: Assay, cells: DataFrame, k: int | None = None) -> Ordination:
-    """PCA of samples as items with features as dimensions (features centred), through the sample Gram matrix.
+    """PCA of samples as items with features as dimensions (features centred), through products with the sample Gram matrix.
 
     With all components the scores keep every Euclidean distance between samples, so clustering can
-    run on them instead of on vectors as long as the feature list.
+    run on them instead of on vectors as long as the feature list; samples x k numbers reach the driver.
     """
-    names, s = _gram(assay, cells)
+    names, rows = _rows(assay, cells)
     n = len(names)
-    gram = np.triu(s["sxy"]) + np.triu(s["sxy"], 1).T
-    centre = np.eye(n) - np.ones((n, n)) / n
-    kernel = centre @ gram @ centre / max(n - 1, 1)
-    out = _solve(names, kernel, k or n, assay.cells.sparkSession)
+    free = max(n - 1, 1)
+    found = eigen.leading(eigen.centred(eigen.gram(rows), 1 / free), n, k or n)
+    # features centred: squares less n times the squared means
+    means = F.aggregate("x", F.lit(0.0), lambda a, x: a + x)
+    lost = rows.agg(F.coalesce(F.sum(means * means), F.lit(0.0))).first()[0] / max(n, 1)
     # eigenvalues are variances; scores carry sqrt(n - 1) times the unit vectors
-    cols = [c for c in out.scores.columns if c != "sample_id"]
-    grown = [(F.col(c) * float(np.sqrt(max(n - 1, 1)))).alias(c) for c in cols]
-    return Ordination(out.scores.select("sample_id", *grown), out.variance)
+    return _reported(names, found, assay.cells.sparkSession, (_squares(rows) - lost) / free, np.sqrt(free))
 
 
 def to_vectors(scores: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -180,77 +174,136 @@ def ellipses(scores: DataFrame, group: str, x: str = "pc1", y: str = "pc2") -> D
     )
 
 
-def pcoa(distances: DataFrame, k: int = 3) -> Ordination:
+def pcoa(distances: DataFrame, k: int = 3, negative: int | None = None) -> Ordination:
     """Principal coordinates of a frame ``a, b, distance`` (each pair once).
 
-    Negative eigenvalues get share 0 and are reported with component 0: their part of all inertia.
+    The doubly centred matrix is never formed. Negative eigenvalues get share 0 and are reported with component 0: the
+    lowest eigenvalue, and the part of all inertia that negative ones carry. They are sought at the lower end until
+    one is not negative, or until ``negative`` of them are found, which makes that part a lower bound.
     """
     spark = distances.sparkSession
-    pdf = distances.select("a", "b", "distance").toPandas()
-    names = sorted(set(pdf["a"]) | set(pdf["b"]))
-    if len(names) > DRIVER_ITEMS:
-        raise ValueError("too many items for a driver-side solution")
-    pos = {n: i for i, n in enumerate(names)}
-    d2 = np.zeros((len(names), len(names)))
-    i, j = pdf["a"].map(pos), pdf["b"].map(pos)
-    d2[i, j] = d2[j, i] = pdf["distance"] ** 2
+    ends = distances.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    index = materialize(row_numbers(ends, [("name", True)], out="place").select("name", (F.col("place") - 1).cast("int").alias("place")))
+    names = [r["name"] for r in index.orderBy("place").toLocalIterator()]
     n = len(names)
-    centre = np.eye(n) - np.ones((n, n)) / n
-    b = -0.5 * centre @ d2 @ centre
-    values = np.linalg.eigvalsh(b)
-    out = _solve(names, b, k, spark)
-    size = float(np.abs(values).sum())
-    negative = float(-values[values < 0].sum() / size) if size else 0.0
-    extra = spark.createDataFrame([(0, float(values.min()), 0.0, negative)], out.variance.schema)
+    left, right = (index.select(F.col("name").alias(c), F.col("place").alias(p)) for c, p in (("a", "i"), ("b", "j")))
+    pairs = materialize(distances.join(left, "a").join(right, "b").select("i", "j", (F.col("distance") * F.col("distance")).alias("w")))
+    product = eigen.centred(eigen.symmetric(pairs), -0.5)
+    found = eigen.leading(product, n, k)
+    trace = float(pairs.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]) / max(n, 1)
+    wanted = min(n, 8) if negative is None else min(n, max(negative, 1))
+    while True:
+        low = -eigen.leading(lambda q: -product(q), n, wanted).values
+        if negative is not None or wanted == n or low[-1] >= -1e-9 * max(abs(found.values).max(initial=0.0), abs(low[0])):
+            break
+        wanted = min(n, 2 * wanted)
+    size = float(-low[low < 0].sum())
+    out = _reported(names, found, spark, trace + size)
+    extra = spark.createDataFrame([(0, float(low[0]), 0.0, size / (trace + 2 * size) if trace + 2 * size else 0.0)], out.variance.schema)
     return Ordination(out.scores, out.variance.unionByName(extra))
 
 
+def knn_search(vectors: DataFrame, k: int) -> blocks.Nearest:
+    """The exact ``k`` nearest neighbours, and how many pairs of blocks that took."""
+    stored = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec")))
+    near = blocks.near_blocks(stored)
+    return blocks.nearest_pruned(near, near, k, blocks.euclidean, dict(vectors.dtypes)["item_id"])
+
+
 def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
     """Exact ``k`` nearest neighbours of every item: ``item_id, neighbor, distance, rank``."""
-    stored = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec")))
-    return blocks.nearest(blocks.self_pairs(stored), k, dict(vectors.dtypes)["item_id"])
+    return knn_search(vectors, k).neighbors
+
+
+LEVELS = 4  # bisections decided by one pass over the pairs
+STEPS, CLOSE = 50, 1e-3  # bisections at most, and the entropy's distance from its target that ends them
+LEAST_SHARE = 1e-20  # one-way shares that are not more count as 0
 
 
-def affinities(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
-    """Symmetric Gaussian affinities ``item_id, neighbor, p`` at a wanted perplexity.
+def bandwidths(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
+    """item_id, vec, sigma, total: the Gaussian width at which an item's shares have the wanted perplexity, and the sum of its weights.
 
-    Each item's distances are one row (as long as the item list); its bandwidth is bisected there.
-    An item's own weight counts in the normalisation and is then set to 0.
+    Widths are bisected between 1e-10 and 1e4. What a bisection needs are two sums over an item's distances; a pass over block pairs
+    adds them up for every width that the next ``LEVELS`` bisections can ask for, so no row holds an item's distances.
     """
     kind = dict(vectors.dtypes)["item_id"]
-    stored = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec")))
-
-    def distances(row: dict) -> Iterator[pd.DataFrame]:
+    state = vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec"))
+    state = materialize(state.select("*", F.lit(1e-10).alias("low"), F.lit(1e4).alias("high"), F.lit(0).alias("step"), F.lit(None).cast("double").alias("sigma"), F.lit(None).cast("double").alias("total")))
+    target = float(np.log(min(perplexity, max(state.count() - 1, 1))))
+    nodes = 2**LEVELS - 1
+
+    def candidates(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Items x nodes of the tree of bisections: the root first, then for each node the lower and the upper half's."""
+        lows, highs, out = {0: low}, {0: high}, []
+        for i in range(nodes):
+            mid = (lows[i] + highs[i]) / 2
+            out.append(mid)
+            lows[2 * i + 1], highs[2 * i + 1], lows[2 * i + 2], highs[2 * i + 2] = lows[i], mid, mid, highs[i]
+        return np.stack(out, axis=1)
+
+    def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        sq = blocks.euclidean(blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))) ** 2
+        ends = np.stack([np.asarray(r, float) for r in row["q_range"]])
+        open_ = np.flatnonzero(ends[:, 2] == 0)
+        if not len(open_):
+            return
+        q_ids, widths = q_ids[open_], candidates(ends[open_, 0], ends[open_, 1])
+        sq = blocks.euclidean(blocks.matrix(row["q_vecs"], len(ends))[open_], blocks.matrix(row["d_vecs"], len(d_ids))) ** 2
         sq[q_ids[:, None] == d_ids[None, :]] = 0
-        yield pd.DataFrame({"item_id": q_ids, "ids": [d_ids] * len(q_ids), "sq": list(sq)})
-
-    parts = blocks.self_pairs(stored).reduce(distances, f"item_id {kind}, ids array<{kind}>, sq array<double>")
-    rows = parts.groupBy("item_id").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("sq")).alias("sq"))
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.empty((len(q_ids), 2 * nodes))
+        for node in range(nodes):
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                e = np.exp(-sq / (2 * widths[:, node] ** 2)[:, None])
+            sums[:, node], sums[:, nodes + node] = e.sum(1), (sq * e).sum(1)
+        yield pd.DataFrame({"item_id": q_ids, "sums": list(sums)})
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            frames = []
-            for item, ids, sq in zip(pdf["item_id"], pdf["ids"], pdf["sq"]):
-                ids, sq = np.asarray(ids), np.asarray(sq)
-                target = np.log(min(perplexity, len(ids) - 1))
-                low, high = 1e-10, 1e4
-                for _ in range(50):
-                    sigma = (low + high) / 2
-                    p = np.exp(-sq / (2 * sigma * sigma))
-                    p = p / p.sum()
-                    p[ids == item] = 0
-                    used = p[p > 1e-20]
-                    entropy = -(used * np.log(used)).sum()
-                    if abs(entropy - target) < 1e-3:
+            rows = []
+            for item, low, high, step, sums in zip(pdf["item_id"], pdf["low"], pdf["high"], pdf["step"], pdf["sums"]):
+                sums, node, sigma, total = np.asarray(sums), 0, None, None
+                while node < nodes and step < STEPS:
+                    sigma, total = (low + high) / 2, sums[node]
+                    entropy = (sums[nodes + node] / (2 * sigma * sigma) + (total - 1) * np.log(total)) / total
+                    step += 1
+                    if abs(entropy - target) < CLOSE:
+                        step = STEPS
                         break
-                    low, high = (sigma, high) if entropy < target else (low, sigma)
-                keep = p > 0
-                frames.append(pd.DataFrame({"item_id": item, "neighbor": ids[keep], "p": p[keep]}))
-            yield pd.concat(frames)
-
-    one_way = rows.mapInPandas(weigh, f"item_id {kind}, neighbor {kind}, p double")
-    back = one_way.select(F.col("neighbor").alias("item_id"), F.col("item_id").alias("neighbor"), "p")
-    n = stored.agg(F.count("*")).scalar()
-    return one_way.unionByName(back).groupBy("item_id", "neighbor").agg(F.sum("p").alias("p")).withColumn("p", F.col("p") / (2 * n))
+                    low, high, node = (sigma, high, 2 * node + 2) if entropy < target else (low, sigma, 2 * node + 1)
+                rows.append((item, low, high, step, sigma, total))
+            yield pd.DataFrame(rows, columns=["item_id", "low", "high", "step", "sigma", "total"])
+
+    while not state.filter(F.col("step") < STEPS).isEmpty():
+        ranged = materialize(state.select("item_id", "vec", F.array("low", "high", (F.col("step") >= STEPS).cast("double")).alias("range")))
+        parts = blocks.self_pairs(ranged, "range").reduce(kernel, f"item_id {kind}, sums array<double>")
+        sums = parts.groupBy("item_id").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        going = state.filter(F.col("step") < STEPS).select("item_id", "low", "high", "step").join(sums, "item_id")
+        moved = going.mapInPandas(decide, f"item_id {kind}, low double, high double, step int, sigma double, total double")
+        still = state.filter(F.col("step") >= STEPS)
+        state = materialize(still.unionByName(state.select("item_id", "vec").join(moved, "item_id").select(*state.columns)))
+    return state.select("item_id", "vec", "sigma", "total")
+
+
+def affinities(vectors: DataFrame, perplexity: float = 30.0, widths: DataFrame | None = None) -> DataFrame:
+    """Symmetric Gaussian affinities ``item_id, neighbor, p`` at a wanted perplexity, or at given ``widths`` (as ``bandwidths``).
+
+    An item's own weight counts in the normalisation and is then set to 0. A pair is a row if either item's share of the other
+    is more than ``LEAST_SHARE``.
+    """
+    kind = dict(vectors.dtypes)["item_id"]
+    known = bandwidths(vectors, perplexity) if widths is None else widths
+    known = materialize(known.select("item_id", "vec", F.array("sigma", "total").alias("width")))
+    n = known.count()
+
+    def kernel(row: dict) -> Iterator[pd.DataFrame]:
+        q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
+        sq = blocks.euclidean(blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))) ** 2
+        q, d = (np.stack([np.asarray(r, float) for r in row[f"{side}_width"]]) for side in "qd")
+        one = np.exp(-sq / (2 * q[:, 0] ** 2)[:, None]) / q[:, 1, None]
+        two = np.exp(-sq / (2 * d[:, 0] ** 2)[None, :]) / d[None, :, 1]
+        p = np.where(one > LEAST_SHARE, one, 0) + np.where(two > LEAST_SHARE, two, 0)
+        p[q_ids[:, None] == d_ids[None, :]] = 0
+        i, j = np.nonzero(p)
+        yield pd.DataFrame({"item_id": q_ids[i], "neighbor": d_ids[j], "p": p[i, j] / (2 * n)})
+
+    return blocks.self_pairs(known, "width").reduce(kernel, f"item_id {kind}, neighbor {kind}, p double")

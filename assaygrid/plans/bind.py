@@ -133,3 +133,26 @@ REGION_CELLS = f"""{CELLS}, {SAMPLES}, rcells AS (SELECT feature_id, grp || '_'
 rsamples AS (SELECT DISTINCT grp || '_' || batch AS sample_id, grp, batch FROM samples),
 rdense AS (SELECT f.feature_id, s.sample_id, c.value FROM (SELECT DISTINCT feature_id FROM rcells) f CROSS JOIN rsamples s
   LEFT JOIN rcells c ON c.feature_id = f.feature_id AND c.sample_id = s.sample_id)"""
+
+
+def spectrum(source: str, k: str, squarings: int = 40) -> str:
+    """CTEs ``mat`` and ``eig``: eigenpairs of the symmetric matrix ``source(i, j, v)``, i and j from 1, the ``k`` largest by size.
+
+    The matrix is squared until its largest row is the leading eigenvector, which is then taken out; ``found`` has
+    c, value, and vec with the sign that makes its largest entry positive. Needs WITH RECURSIVE.
+    """
+    row = "{0}[({1}) * n + 1 : ({1}) * n + n]"
+    return f"""mat AS MATERIALIZED (SELECT list(v ORDER BY i, j) AS m, max(i)::INT AS n FROM {source}),
+eig AS (SELECT 0 AS c, 0 AS step, n, m, m AS p, NULL::DOUBLE AS value, NULL::DOUBLE[] AS vec FROM mat
+  UNION ALL SELECT CASE WHEN step < {squarings} THEN c ELSE c + 1 END, CASE WHEN step < {squarings} THEN step + 1 ELSE 0 END, n,
+    CASE WHEN step < {squarings} THEN m ELSE list_transform(range(n * n), lambda q: m[q + 1] - lam * u[q // n + 1] * u[q % n + 1]) END,
+    CASE WHEN step < {squarings} THEN list_transform(s, lambda x: x / top) ELSE list_transform(range(n * n), lambda q: m[q + 1] - lam * u[q // n + 1] * u[q % n + 1]) END,
+    CASE WHEN step = {squarings} THEN lam END, CASE WHEN step = {squarings} THEN u END
+  FROM (SELECT *, list_dot_product(u, list_transform(range(n), lambda a: list_dot_product({row.format("m", "a")}, u))) AS lam, list_max(list_transform(s, lambda x: abs(x))) AS top
+    FROM (SELECT *, list_transform(r, lambda x: x / sqrt(rr)) AS u
+      FROM (SELECT *, list_dot_product(r, r) AS rr
+        FROM (SELECT *, {row.format("p", "d - 1")} AS r, CASE WHEN step < {squarings} THEN list_transform(range(n * n), lambda q: list_dot_product({row.format("p", "q // n")}, {row.format("p", "q % n")})) END AS s
+          FROM (SELECT *, list_position(g, list_max(g)) AS d
+            FROM (SELECT *, list_transform(range(n), lambda a: p[a * n + a + 1]) AS g FROM eig WHERE c < {k}))))))),
+signs AS (SELECT c, value, vec, list_transform(vec, lambda x: abs(round(x, 9))) AS size FROM eig WHERE vec IS NOT NULL),
+found AS MATERIALIZED (SELECT c, value, list_transform(vec, lambda x: x * sign(vec[list_position(size, list_max(size))])) AS vec FROM signs)"""

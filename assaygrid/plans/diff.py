@@ -60,10 +60,11 @@ def log2fc_raw(spark, sf):
 
 @add(
     "diff_welch",
-    f"{WELCH} SELECT feature_id, {R('t', 5)} AS t, {R('df', 5)} AS df, {R('se')} AS se, {R(t_tail('t', 'df'))} AS p FROM tt",
+    f"""{WELCH}, done AS (SELECT feature_id, {R('t', 5)} AS t, {R('df', 5)} AS df, {R(t_tail('t', 'df'))} AS p FROM tt)
+SELECT mom.feature_id, t, df, CASE WHEN n_a >= 2 AND n_b >= 2 THEN {R('sqrt(var_a / n_a + var_b / n_b)')} END AS se, p FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""",
 )
 def welch(spark, sf):
-    out = diff.ttest(_moments(spark, sf), "welch").filter("t IS NOT NULL")
+    out = diff.ttest(_moments(spark, sf), "welch")
     return out.select("feature_id", rnd(F.col("t"), 5).alias("t"), rnd(F.col("df"), 5).alias("df"), rnd(F.col("se")).alias("se"), rnd(F.col("p")).alias("p"))
 
 
@@ -71,9 +72,10 @@ STUDENT = f"""WITH {CELLS}, {SAMPLES}, {MOMENTS}, v AS (SELECT *, n_a + n_b - 2
 tt AS (SELECT *, (mean_b - mean_a) / sqrt(s2 * (1 / n_a + 1 / n_b)) AS t FROM v WHERE s2 > 0)"""
 
 
-@add("diff_student", f"{STUDENT} SELECT feature_id, {R('t', 5)} AS t, df::DOUBLE AS df, {R(t_tail('t', 'df'))} AS p FROM tt")
+@add("diff_student", f"""{STUDENT}, done AS (SELECT feature_id, {R('t', 5)} AS t, df::DOUBLE AS df, {R(t_tail('t', 'df'))} AS p FROM tt)
+SELECT mom.feature_id, t, df, p FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""")
 def student(spark, sf):
-    out = diff.ttest(_moments(spark, sf), "student").filter("t IS NOT NULL")
+    out = diff.ttest(_moments(spark, sf), "student")
     return out.select("feature_id", rnd(F.col("t"), 5).alias("t"), "df", rnd(F.col("p")).alias("p"))
 
 
@@ -114,10 +116,11 @@ lim AS (SELECT v.*, d0, CASE WHEN isinf(d0) THEN s0 ELSE (d0 * s0 + df * s2) / (
 
 @add(
     "diff_moderated",
-    f"""{PRIOR} SELECT feature_id, {R('post')} AS s2_post, {R('(mean_b - mean_a) / sqrt(post * (1 / n_a + 1 / n_b))', 5)} AS t FROM lim""",
+    f"""{PRIOR}, done AS (SELECT feature_id, {R('post')} AS s2_post, {R('(mean_b - mean_a) / sqrt(post * (1 / n_a + 1 / n_b))', 5)} AS t FROM lim)
+SELECT mom.feature_id, s2_post, t FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""",
 )
 def moderated(spark, sf):
-    out = _limma(spark, sf).filter("t IS NOT NULL")
+    out = _limma(spark, sf)
     return out.select("feature_id", rnd(F.col("s2_post")).alias("s2_post"), rnd(F.col("t"), 5).alias("t"))
 
 
@@ -130,10 +133,11 @@ def effect_ci(spark, sf):
 @add(
     "diff_bh",
     f"""{WELCH}, pv AS (SELECT feature_id, {t_tail('t', 'df')} AS p FROM tt), r AS (SELECT *, count(*) OVER () * p / rank() OVER (ORDER BY p) AS raw FROM pv)
-SELECT feature_id, {R('p')} AS p, {R('least(1, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))')} AS p_adj FROM r""",
+, done AS (SELECT feature_id, {R('p')} AS p, {R('least(1, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))')} AS p_adj FROM r)
+SELECT mom.feature_id, p, p_adj FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""",
 )
 def bh(spark, sf):
-    out = multitest.p_adjust(diff.ttest(_moments(spark, sf), "welch").filter("t IS NOT NULL"), "bh")
+    out = multitest.p_adjust(diff.ttest(_moments(spark, sf), "welch"), "bh")
     return out.select("feature_id", rnd(F.col("p")).alias("p"), rnd(F.col("p_adj")).alias("p_adj"))
 
 
@@ -170,10 +174,11 @@ SMOOTHER = [float(multitest._smooth(np.array(multitest.LAMBDAS), row, 3.0)[-1])
 cu AS (SELECT l, count(*) FILTER (WHERE p >= round(l / 20, 2)) / count(*) / (1 - l / 20) AS y FROM pv, range(20) r(l) GROUP BY l),
 pi AS (SELECT greatest(0, least(1, sum(y * [{', '.join(map(repr, SMOOTHER))}][l + 1]))) AS pi0 FROM cu),
 r AS (SELECT *, count(*) OVER () * p / rank() OVER (ORDER BY p) AS raw FROM pv)
-SELECT feature_id, {R('p')} AS p, {R('least(1, min(pi0 * raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM r, pi""",
+, done AS (SELECT feature_id, {R('p')} AS p, {R('least(1, min(pi0 * raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM r, pi)
+SELECT mom.feature_id, p, q FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""",
 )
 def storey(spark, sf):
-    out = multitest.storey(diff.ttest(_moments(spark, sf), "welch").filter("t IS NOT NULL"))
+    out = multitest.storey(diff.ttest(_moments(spark, sf), "welch"))
     return out.select("feature_id", rnd(F.col("p")).alias("p"), rnd(F.col("q")).alias("q"))
 
 
@@ -247,26 +252,31 @@ def kruskal(spark, sf):
 @add(
     "diff_classify",
     f"""{WELCH}, pv AS (SELECT feature_id, mean_b - mean_a AS fc, {t_tail('t', 'df')} AS p FROM tt)
-SELECT CASE WHEN p <= 0.1 AND abs(fc) >= 0.5 THEN CASE WHEN fc > 0 THEN 'up' ELSE 'down' END ELSE 'ns' END AS sig, count(*) AS n FROM pv GROUP BY 1""",
+SELECT CASE WHEN p <= 0.1 AND abs(fc) >= 0.5 THEN CASE WHEN fc > 0 THEN 'up' ELSE 'down' END ELSE 'ns' END AS sig, count(*) AS n FROM mom LEFT JOIN pv ON pv.feature_id = mom.feature_id GROUP BY 1""",
 )
 def classify(spark, sf):
-    tests = diff.log2fc(diff.ttest(_moments(spark, sf), "welch").filter("t IS NOT NULL"))
+    tests = diff.log2fc(diff.ttest(_moments(spark, sf), "welch"))
     return diff.classify(tests, "p", 0.1, 0.5).groupBy("sig").agg(F.count("*").alias("n"))
 
 
 @add(
     "diff_sam_rule",
-    f"{WELCH} SELECT feature_id, {R('se')} AS sam_se, {R('abs(mean_b - mean_a) / (se + 0.05)', 5)} AS sam_t, {t_tail('abs(mean_b - mean_a) / (se + 0.05)', 'df')} <= 0.05 AS sam_pass FROM tt WHERE t <> 0",
+    f"""{WELCH}, done AS (SELECT feature_id, {R('se')} AS sam_se, {R('abs(mean_b - mean_a) / (se + 0.05)', 5)} AS sam_t, {t_tail('abs(mean_b - mean_a) / (se + 0.05)', 'df')} <= 0.05 AS sam_pass FROM tt WHERE t <> 0)
+SELECT mom.feature_id, sam_se, sam_t, coalesce(sam_pass, false) AS sam_pass FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""",
 )
 def sam_rule(spark, sf):
-    tests = diff.log2fc(diff.ttest(_moments(spark, sf), "welch").filter("t <> 0"))
+    tests = diff.log2fc(diff.ttest(_moments(spark, sf), "welch"))
     out = diff.sam_rule(tests)
     return out.select("feature_id", rnd(F.col("sam_se")).alias("sam_se"), rnd(F.col("sam_t"), 5).alias("sam_t"), "sam_pass")
 
 
-@add("diff_volcano", f"{WELCH} SELECT feature_id, {R('mean_b - mean_a')} AS x, {R('-log10(' + t_tail('t', 'df') + ')', 5)} AS y FROM tt")
+@add(
+    "diff_volcano",
+    f"""{WELCH}, done AS (SELECT feature_id, {R('-log10(' + t_tail('t', 'df') + ')', 5)} AS y FROM tt)
+SELECT mom.feature_id, {R('mean_b - mean_a')} AS x, y FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""",
+)
 def volcano(spark, sf):
-    tests = diff.log2fc(diff.ttest(_moments(spark, sf), "welch").filter("t IS NOT NULL"))
+    tests = diff.log2fc(diff.ttest(_moments(spark, sf), "welch"))
     return diff.volcano(tests, "p").select("feature_id", rnd(F.col("x")).alias("x"), rnd(F.col("y"), 5).alias("y"))
 
 

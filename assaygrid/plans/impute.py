@@ -117,7 +117,7 @@ def densities(spark, sf):
     return out.select("stage", "point", rnd(F.col("x")).alias("x"), rnd(F.col("density")).alias("density"))
 
 
-BAT = f"""WITH {CELLS}, {SAMPLES}, w AS (SELECT feature_id, sample_id, batch, grp, log10(value) AS x FROM cells JOIN samples USING (sample_id))"""
+BAT = f"""WITH {CELLS.replace('cells AS (', 'cells AS MATERIALIZED (')}, {SAMPLES}, w AS MATERIALIZED (SELECT feature_id, sample_id, batch, grp, log10(value) AS x FROM cells JOIN samples USING (sample_id))"""
 R2 = """per AS (SELECT feature_id, batch, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM w GROUP BY 1, 2),
 r2 AS (SELECT feature_id, sum(n)::BIGINT AS n, CASE WHEN sum(n) < 2 OR count(*) < 2 OR ssb + sum(n * v) <= 1e-12 THEN 0 ELSE ssb / (ssb + sum(n * v)) END AS r2
   FROM (SELECT *, sum(n * (m - gm) ** 2) OVER (PARTITION BY feature_id) AS ssb FROM (SELECT *, sum(n * m) OVER (PARTITION BY feature_id) / sum(n) OVER (PARTITION BY feature_id) AS gm FROM per))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaygrid.operators import blocks, cluster, ordination
-from assaygrid.operators.compare import corr_distance, corr_matrix
-from assaygrid.plans.bind import CELLS, DENSE, R, SAMPLES, Catalog, assay, part_features, rnd, vectors
+from assaygrid.operators.compare import corr_distance, corr_matrix, pair_distance
+from assaygrid.plans.bind import CELLS, DENSE, R, SAMPLES, Catalog, assay, part_features, rnd, spectrum, vectors
+from assaygrid.plans.compare import FILLED, LOGS, PAIRED
 from assaygrid.plans.impute import SIL
 
 catalog = Catalog()
@@ -38,25 +39,73 @@ def sample_pca_invariants(spark, sf):
     return variance.agg(F.count("*").alias("n"), rnd(F.sum(e)).alias("total"), rnd(F.sum(e * e)).alias("total_sq"))
 
 
-@add("ord_sample_pca")
+SAMPLE_COV = f"""WITH RECURSIVE {CELLS}, l AS (SELECT feature_id, sample_id, log10(value) AS x FROM cells), m AS (SELECT sample_id, avg(x) AS m FROM l GROUP BY 1),
+c AS (SELECT feature_id, sample_id, x - m AS x FROM l JOIN m USING (sample_id)), n AS (SELECT count(DISTINCT feature_id) - 1 AS n FROM cells),
+place AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS i FROM m),
+cov AS (SELECT p.i, q.i AS j, sum(a.x * b.x) / (SELECT n FROM n) AS v FROM c a JOIN c b USING (feature_id) JOIN place p ON p.sample_id = a.sample_id JOIN place q ON q.sample_id = b.sample_id GROUP BY 1, 2)"""
+
+
+def _entry(k: int, of: str) -> str:
+    return R(f"max({of}) FILTER (WHERE c = {k})") + f" AS pc{k}"
+
+
+@add(
+    "ord_sample_pca",
+    f"""{SAMPLE_COV}, {spectrum("cov", "3")}
+SELECT sample_id, {', '.join(_entry(k, 'vec[i] * sqrt(value)') for k in (1, 2, 3))} FROM found, place GROUP BY sample_id""",
+)
 def sample_pca(spark, sf):
     a = assay(spark, sf)
-    return ordination.sample_pca(a.with_cells(a.cells.withColumn("value", F.log10("value"))), 3).scores
+    scores = ordination.sample_pca(a.with_cells(a.cells.withColumn("value", F.log10("value"))), 3).scores
+    return scores.select("sample_id", *[rnd(F.col(f"pc{k}")).alias(f"pc{k}") for k in (1, 2, 3)])
+
+
+def _shares(variance):
+    return variance.select("component", *[(rnd(F.col(c)) + 0.0).alias(c) for c in ("eigenvalue", "share_extracted", "share_total")])
+
+
+@add(
+    "ord_sample_scree",
+    f"""{SAMPLE_COV}, {spectrum("cov", "3")}
+SELECT c AS component, {R('value')} AS eigenvalue, {R('value / sum(value) OVER ()')} AS share_extracted, {R('value / (SELECT sum(v) FROM cov WHERE i = j)')} AS share_total FROM found""",
+)
+def sample_scree(spark, sf):
+    a = assay(spark, sf)
+    return _shares(ordination.sample_pca(a.with_cells(a.cells.withColumn("value", F.log10("value"))), 3).variance)
+
 
+DIM_COV = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), size AS (SELECT max(len(v)) AS d FROM e),
+cov AS MATERIALIZED (SELECT i, j, covar_samp(v[i], v[j]) AS v FROM e, size, range(1, d + 1) a(i), range(1, d + 1) b(j) GROUP BY 1, 2),
+{spectrum("cov", "3", 22)}"""
 
-@add("ord_scree")
+
+@add(
+    "ord_scree",
+    f"""{DIM_COV} SELECT c AS component, {R('value')} AS eigenvalue, {R('value / sum(value) OVER ()')} AS share_extracted, {R('value / (SELECT sum(v) FROM cov WHERE i = j)')} AS share_total FROM found""",
+)
 def scree(spark, sf):
-    return ordination.pca(vectors(spark, sf), 3)[2]
+    return _shares(ordination.pca(vectors(spark, sf), 3)[2])
 
 
-@add("ord_pca_scores")
+@add(
+    "ord_pca_scores",
+    f"""{DIM_COV}, mean AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS m FROM e, size, range(1, d + 1) a(i) GROUP BY 1)),
+s AS (SELECT vec_id, c, list_dot_product(v, vec) - list_dot_product(m, vec) AS s FROM e, found, mean)
+SELECT vec_id AS item_id, {', '.join(_entry(k, 's') for k in (1, 2, 3))} FROM s GROUP BY 1""",
+)
 def pca_scores(spark, sf):
-    return ordination.pca(vectors(spark, sf), 3)[0]
+    out = ordination.pca(vectors(spark, sf), 3)[0]
+    return out.select("item_id", *[(rnd(F.col(f"pc{k}")) + 0.0).alias(f"pc{k}") for k in (1, 2, 3)])
 
 
-@add("ord_top_loadings")
+@add(
+    "ord_top_loadings",
+    f"""{DIM_COV}, l AS (SELECT c, (i - 1)::INT AS dim, vec[i] AS x FROM found, size, range(1, d + 1) a(i))
+SELECT dim, {', '.join(_entry(k, 'x') for k in (1, 2, 3))}, {R('max(abs(x))')} AS size FROM l GROUP BY dim ORDER BY max(abs(x)) DESC, dim LIMIT 10""",
+)
 def top_loadings(spark, sf):
-    return ordination.top_loadings(ordination.pca(vectors(spark, sf), 3)[1], 10)
+    out = ordination.top_loadings(ordination.pca(vectors(spark, sf), 3)[1], 10)
+    return out.select("dim", *[(rnd(F.col(c)) + 0.0).alias(c) for c in ("pc1", "pc2", "pc3", "size")])
 
 
 @add(
@@ -73,10 +122,51 @@ def ellipses(spark, sf):
     return out.select("label", "n", *[rnd(F.col(c)).alias(c) for c in ("cx", "cy", "major", "minor", "angle")])
 
 
-@add("ord_pcoa")
+# the doubly centred matrix of distances d(a, b, distance), and its whole spectrum
+CENTRED = f"""ends AS (SELECT a AS name FROM d UNION SELECT b FROM d), place AS (SELECT name, row_number() OVER (ORDER BY name) AS i FROM ends),
+sq AS (SELECT p.i, q.i AS j, coalesce(max(distance) ** 2, 0) AS w FROM place p CROSS JOIN place q LEFT JOIN d ON (d.a = p.name AND d.b = q.name) OR (d.a = q.name AND d.b = p.name) GROUP BY 1, 2),
+cov AS MATERIALIZED (SELECT i, j, -0.5 * (w - avg(w) OVER (PARTITION BY i) - avg(w) OVER (PARTITION BY j) + avg(w) OVER ()) AS v FROM sq),
+{spectrum("cov", "n - 1")}, ranked AS (SELECT *, row_number() OVER (ORDER BY value DESC) AS k FROM found)"""
+INERTIA = f"""SELECT k::INT AS component, {R('greatest(value, 0)')} AS eigenvalue, {R('value / sum(value) OVER ()')} AS share_extracted, {R('value / (SELECT sum(value) FROM found WHERE value > 0)')} AS share_total FROM ranked WHERE k <= 3
+UNION ALL SELECT 0, {R('least(min(value), 0)')}, 0.0, {R('coalesce(-sum(value) FILTER (WHERE value < 0), 0) / sum(abs(value))')} FROM found"""
+
+
+@add("ord_pcoa", f"WITH RECURSIVE {CELLS}, {LOGS}, {PAIRED}, d AS MATERIALIZED (SELECT a, b, sqrt(2 * (1 - corr(x, y))) AS distance FROM p GROUP BY a, b), {CENTRED} {INERTIA}")
 def pcoa(spark, sf):
     d = corr_distance(corr_matrix(assay(spark, sf)), "sqrt")
-    return ordination.pcoa(d, 3).variance
+    return _shares(ordination.pcoa(d, 3).variance)
+
+
+def _filled_distance(spark, sf, metric):
+    a = assay(spark, sf)
+    return pair_distance(a.with_cells(a.cells.withColumn("value", F.log10(1 + F.col("value")))), metric)
+
+
+FILLED_D = {"bray_curtis": "sum(abs(x - y)) / sum(x + y)", "cosine": "1 - sum(x * y) / sqrt(sum(x * x) * sum(y * y))", "manhattan": "sum(abs(x - y))"}
+
+
+def _centred(metric: str) -> str:
+    return f"{FILLED.replace('WITH', 'WITH RECURSIVE', 1)}, d AS MATERIALIZED (SELECT a, b, {FILLED_D[metric]} AS distance FROM p GROUP BY a, b), {CENTRED}"
+
+
+@add("ord_pcoa_bray_curtis", f"{_centred('bray_curtis')} {INERTIA}")
+def pcoa_bray_curtis(spark, sf):
+    return _shares(ordination.pcoa(_filled_distance(spark, sf, "bray_curtis"), 3).variance)
+
+
+@add("ord_pcoa_manhattan", f"{_centred('manhattan')} {INERTIA.replace(', 6) + 0)', ', 4) + 0)')}")
+def pcoa_manhattan(spark, sf):
+    out = ordination.pcoa(_filled_distance(spark, sf, "manhattan"), 3).variance
+    return out.select("component", *[(rnd(F.col(c), 4) + 0.0).alias(c) for c in ("eigenvalue", "share_extracted", "share_total")])
+
+
+@add(
+    "ord_pcoa_cosine_scores",
+    f"""{_centred('cosine')} SELECT name AS sample_id, {', '.join(_entry(k, f'vec[i] * sqrt(value)').replace('c =', 'k =') for k in (1, 2, 3))} FROM ranked, place WHERE k <= 3 GROUP BY name""",
+)
+def pcoa_cosine_scores(spark, sf):
+    out = ordination.pcoa(_filled_distance(spark, sf, "cosine"), 3).scores
+    return out.select("sample_id", *[(rnd(F.col(f"pc{k}")) + 0.0).alias(f"pc{k}") for k in (1, 2, 3)])
 
 
 @add(
@@ -88,12 +178,37 @@ def knn_graph(spark, sf):
     return ordination.knn_graph(vectors(spark, sf), 5).withColumn("distance", rnd(F.col("distance")))
 
 
-@add("ord_affinities")
+BISECTED = """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS MATERIALIZED (SELECT a.vec_id AS i, list(list_distance(a.v, b.v) ** 2 ORDER BY b.vec_id) AS sq FROM e a, e b GROUP BY 1), goal AS (SELECT ln(least(20.0, count(*) - 1)) AS goal FROM e),
+bis AS (SELECT i, 1e-10::DOUBLE AS low, 1e4::DOUBLE AS high, NULL::DOUBLE AS sigma, NULL::DOUBLE AS total, 0 AS step, false AS done FROM d
+  UNION ALL SELECT i, CASE WHEN h < goal THEN mid ELSE low END, CASE WHEN h < goal THEN high ELSE mid END, mid, s, step + 1, abs(h - goal) < 1e-3
+  FROM (SELECT *, (s2 / (2 * mid * mid) + (s - 1) * ln(s)) / s AS h FROM (SELECT i, low, high, mid, step, list_sum(w) AS s, list_sum(list_transform(w, lambda x, k: x * sq[k])) AS s2
+    FROM (SELECT i, low, high, mid, step, sq, list_transform(sq, lambda x: exp(-x / (2 * mid * mid))) AS w FROM (SELECT *, (low + high) / 2 AS mid FROM bis JOIN d USING (i) WHERE NOT done AND step < 50)))), goal),
+widths AS MATERIALIZED (SELECT i, arg_max(sigma, step) AS sigma, arg_max(total, step) AS total FROM bis GROUP BY 1)"""
+
+
+@add(
+    "ord_affinities",
+    f"""{BISECTED}, one AS (SELECT a.vec_id AS i, b.vec_id AS j, exp(-(list_distance(a.v, b.v) ** 2) / (2 * sigma * sigma)) / total AS p FROM e a JOIN widths ON i = a.vec_id JOIN e b ON a.vec_id <> b.vec_id),
+kept AS (SELECT * FROM one WHERE p > 1e-20), two_way AS (SELECT i, j, sum(p) AS p FROM (SELECT i, j, p FROM kept UNION ALL SELECT j, i, p FROM kept) GROUP BY 1, 2)
+SELECT i AS item_id, count(*) AS n, {R('sum(p) / (2 * (SELECT count(*) FROM e))', 8)} AS p FROM two_way GROUP BY 1""",
+)
 def affinities(spark, sf):
     out = ordination.affinities(vectors(spark, sf), 20.0)
     return out.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.sum("p"), 8).alias("p"))
 
 
+@add("ord_bandwidths", f"{BISECTED} SELECT i AS item_id, {R('sigma')} AS sigma, {R('total')} AS total FROM widths")
+def bandwidths(spark, sf):
+    return ordination.bandwidths(vectors(spark, sf), 20.0).select("item_id", rnd(F.col("sigma")).alias("sigma"), rnd(F.col("total")).alias("total"))
+
+
+@add("ord_knn_pruning")
+def knn_pruning(spark, sf):
+    found = ordination.knn_search(vectors(spark, sf), 5)
+    return found.neighbors.agg(F.count("*").alias("neighbors")).withColumns({"block_pairs": F.lit(found.pairs), "computed": F.lit(found.computed)})
+
+
 @add("cluster_silhouette", f"{SIL} SELECT item_id, label, {R('coalesce(CASE WHEN a IS NOT NULL THEN (b - a) / greatest(a, b) END, 0)')} AS silhouette FROM s")
 def silhouette(spark, sf):
     return blocks.silhouette(vectors(spark, sf)).select("item_id", "label", rnd(F.col("silhouette")).alias("silhouette"))

@@ -96,13 +96,10 @@ def composition(spark, sf):
     "qc_zscore_rows",
     f"""WITH {CELLS}, s AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, count(*) OVER w AS n
   FROM cells WINDOW w AS (PARTITION BY feature_id))
-SELECT feature_id, sample_id, CASE WHEN sd > 0 THEN {R('(value - m) / sd')} ELSE 0 END AS z FROM s WHERE n > 1""",
+SELECT feature_id, sample_id, CASE WHEN n > 1 AND sd > 0 THEN {R('(value - m) / sd')} ELSE 0.0 END AS z FROM s""",
 )
 def zscore_rows(spark, sf):
-    from pyspark.sql import Window
-
-    several = F.count("*").over(Window.partitionBy("feature_id")) > 1
-    z = qc.zscore_rows(assay(spark, sf).cells).withColumn("several", several).filter("several")
+    z = qc.zscore_rows(assay(spark, sf).cells)
     return z.select("feature_id", "sample_id", rnd(F.col("z")).alias("z"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaygrid import Assay
-from assaygrid.operators import batch, blocks, cluster, enrich, filters, hybrid, impute, ordination, saint
+from assaygrid.operators import batch, blocks, cluster, eigen, enrich, filters, hybrid, impute, ordination, saint
 
 
 def make(spark, x, names=None, meta=None):
@@ -345,3 +345,109 @@ def test_strict_replicates(spark):
     strict = back(filters.tech_repro(a, ["b"], strict="t").cells, x.shape, [f"s{j}" for j in range(4)])
     assert plain[1, 0] == 0 and plain[2, 3] == 0
     assert strict[1, 0] == 0 and strict[2, 3] == 1  # T1, T3 is no complete run
+
+
+def test_leading_eigenpairs():
+    """Against a full solution: clustered and negative spectra, low rank, and the zero matrix."""
+    rng = np.random.default_rng(21)
+    for n, values in ((60, rng.normal(size=60)), (200, np.r_[5, 4.999, 4.9, rng.random(197)]), (40, np.r_[3, 2, np.zeros(38)]), (30, -np.arange(30.0)), (12, np.zeros(12))):
+        q = np.linalg.qr(rng.normal(size=(n, n)))[0]
+        a = q @ np.diag(values) @ q.T
+        found = eigen.leading(lambda x: a @ x, n, 3)  # noqa: B023
+        assert found.values == pytest.approx(np.sort(values)[::-1][:3], abs=1e-8)
+        assert np.abs(a @ found.vectors - found.vectors * found.values).max() < 1e-7
+        assert found.vectors.T @ found.vectors == pytest.approx(np.eye(3), abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [eigen.COLUMN_BYTES, 100])
+def test_products(spark, monkeypatch, size):
+    """Products put together by tasks, whole and column by column."""
+    monkeypatch.setattr(eigen, "COLUMN_BYTES", size)
+    monkeypatch.setattr(eigen, "PART", 7)
+    monkeypatch.setattr(eigen, "DENSE", 50)
+    rng = np.random.default_rng(22)
+    x = np.where(rng.random((30, 20)) < 0.6, rng.normal(size=(30, 20)), 0)
+    rows = spark.createDataFrame([([int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for r in x], "idx array<int>, x array<double>")
+    q = rng.normal(size=(20, 4))
+    assert eigen.gram(rows)(q) == pytest.approx(x.T @ x @ q)
+    w = rng.random((20, 20))
+    w = np.triu(w, 1) + np.triu(w, 1).T
+    pairs = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(20) for j in range(i + 1, 20)], "i int, j int, w double")
+    assert eigen.symmetric(pairs)(q) == pytest.approx(w @ q)
+    j = np.eye(20) - 1 / 20
+    assert eigen.centred(eigen.symmetric(pairs), -0.5)(q) == pytest.approx(-0.5 * j @ w @ j @ q)
+
+
+def test_sample_pca_of_many_samples(spark):
+    """30,000 samples: their matrix would hold 900 million numbers. The leading components satisfy A v = e v."""
+    n, m = 30_000, 12
+    cells = spark.range(n * m).select((F.col("id") % m).alias("feature_id"), F.concat(F.lit("s"), F.lpad((F.col("id") / m).cast("int").cast("string"), 6, "0")).alias("sample_id"), "id")
+    u = lambda tag: F.pmod(F.xxhash64(F.lit(tag), "id"), F.lit(10_000)) / 10_000.0
+    trend = F.sin(F.col("feature_id") * 1.7) * (F.pmod(F.xxhash64("sample_id"), F.lit(100)) / 20.0)
+    cells = cells.withColumn("value", trend + u("a")).filter(u("b") < 0.9).select("feature_id", "sample_id", "value")
+    a = Assay(cells, cells.select("sample_id").distinct())
+    out = ordination.sample_pca(a, 2)
+    pdf = cells.toPandas()
+    codes, names = pdf["sample_id"].factorize(sort=True)
+    x = np.zeros((m, len(names)))
+    x[pdf["feature_id"], codes] = pdf["value"] - pdf.groupby("sample_id")["value"].transform("mean")
+    want = np.linalg.svd(x, compute_uv=False) ** 2 / (m - 1)
+    got = [r["eigenvalue"] for r in out.variance.orderBy("component").collect()]
+    assert got == pytest.approx(want[:2])
+    s = out.scores.toPandas().sort_values("sample_id")[["pc1", "pc2"]].to_numpy()
+    assert (s * s).sum(0) == pytest.approx(got)
+    assert np.abs(x.T @ (x @ s) / (m - 1) - s * got).max() < 1e-7
+    assert out.variance.filter("component = 1").first()["share_total"] == pytest.approx(want[0] / want.sum())
+
+
+def clumps(seed, items=300, dim=3):
+    """Tight groups far apart, with copies and equal distances."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(-40, 40, size=(12, dim)).astype(float)
+    v = centres[rng.integers(0, 12, items)] + rng.integers(0, 4, size=(items, dim)) / 4
+    v[items // 2 : items // 2 + 40] = v[0]
+    return v
+
+
+@pytest.mark.parametrize("size", [500_000, 60])
+def test_nearest_pruned(spark, monkeypatch, size):
+    """Equals brute force with ties and copies; far blocks are not computed."""
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", size)
+    v = clumps(31)
+    d = distances(v)
+    found = ordination.knn_search(points(spark, v), 5)
+    got = {(r["item_id"], r["rank"]): (r["neighbor"], r["distance"]) for r in found.neighbors.collect()}
+    for i in range(len(v)):
+        order = sorted((j for j in range(len(v)) if j != i), key=lambda j: (round(d[i, j], 9), j))[:5]
+        assert [got[i, r][0] for r in range(1, 6)] == order
+        assert [got[i, r][1] for r in range(1, 6)] == pytest.approx([d[i, j] for j in order], abs=1e-9)
+    assert found.computed <= found.pairs and (size > 60 or found.computed < 0.5 * found.pairs)
+    monkeypatch.setattr(blocks, "BOUND_VALUES", 0)
+    again = {(r["item_id"], r["rank"]): (r["neighbor"], r["distance"]) for r in ordination.knn_graph(points(spark, v), 5).collect()}
+    assert {k: x[0] for k, x in again.items()} == {k: x[0] for k, x in got.items()}
+
+
+def test_equal_vectors_are_fast():
+    import time
+
+    start = time.time()
+    assert blocks.euclidean(np.ones((2000, 30)), np.ones((2000, 30))).max() == 0
+    assert time.time() - start < 5
+
+
+def test_spanning_tree_prunes(spark, monkeypatch):
+    """The tree has the weights of a plain one; no round computes more than a part of the pairs of blocks."""
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", 60)
+    v = clumps(33, 250)
+    d = distances(v)
+    computed = []
+    tree = cluster.spanning_tree(points(spark, v), computed).collect()
+    inside, best = {0}, d[0].copy()
+    total = []
+    while len(inside) < len(v):
+        j = min((x for x in range(len(v)) if x not in inside), key=lambda x: best[x])
+        total.append(best[j])
+        inside.add(j)
+        best = np.minimum(best, d[j])
+    assert sorted(r["distance"] for r in tree) == pytest.approx(sorted(total), abs=1e-9)
+    assert sum(computed) < 0.5 * len(computed) * blocks.near_blocks(points(spark, v)).n_blocks ** 2

@@ -169,3 +169,23 @@ def test_quantiles_at_the_border(spark, n):
     values = np.array([r[0] for r in rows.select("v").collect()])
     assert got["n"] == n
     assert [got[c] for c in "abcd"] == pytest.approx(list(np.quantile(values, [0.001, 0.25, 0.5, 0.999])), abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["spaced", "ties", "skewed"])
+def test_quantiles_in_rounds(spark, monkeypatch, kind):
+    """Brackets that hold more than a task may order are split again; nothing is lost with ties and skew."""
+    monkeypatch.setattr(quantiles, "WHOLE", 50)
+    monkeypatch.setattr(quantiles, "ACCURACY", 20)
+    value = {"spaced": F.col("id") * 1.0, "ties": F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") % 11) * 1.0), "skewed": F.exp((F.col("id") % 9973) / 20.0)}[kind]
+    n = 1_000_000 if kind == "spaced" else 60_000
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), value.alias("v"))
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9137, "e": 1.0}
+    got = {r["g"]: r for r in quantiles.group_quantiles(df, ["g"], "v", probs, 2).collect()}
+    x = df.toPandas()
+    for g in (0, 1):
+        want = np.quantile(x["v"][x["g"] == g], list(probs.values()))
+        assert [got[g][p] for p in probs] == pytest.approx(list(want)) and got[g]["n"] == (x["g"] == g).sum()
+    whole = quantiles.group_quantiles(df, [], "v", {"m": 0.3}, 1).first()
+    assert whole["m"] == pytest.approx(np.quantile(x["v"], 0.3)) and whole["n"] == n
+    lower = quantiles.group_quantiles(df, [], "v", {"m": 0.3}, 1, interpolate=False).first()
+    assert lower["m"] == np.quantile(x["v"], 0.3, method="lower")
