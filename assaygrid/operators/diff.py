@@ -180,7 +180,9 @@ def sam_rule(df: DataFrame, s0: float = 0.05, alpha: float = 0.05) -> DataFrame:
 
 
 def volcano(df: DataFrame, y: str = "p_adj") -> DataFrame:
-    return df.select("feature_id", F.col("log2fc").alias("x"), (-F.log10(F.greatest(F.col(y), F.lit(1e-300)))).alias("y"))
+    """Effect against -log10 of the p-value, at most 300; without a p-value a feature has no height."""
+    height = F.when(F.col(y).isNotNull(), -F.log10(F.greatest(F.col(y), F.lit(1e-300))))
+    return df.select("feature_id", F.col("log2fc").alias("x"), height.alias("y"))
 
 
 def ma(df: DataFrame) -> DataFrame:

@@ -21,17 +21,17 @@ def site_protein(sites: DataFrame, col: str) -> DataFrame:
 
 
 def normalise_to_total(
-    sites: Assay, total: Assay, site_col: str, total_col: str, knn: bool = False, k: int = 5
+    sites: Assay, total: Assay, site_col: str, total_col: str, knn: bool = False, k: int = 5, **options
 ) -> DataFrame:
     """log2 site minus log2 protein in the same sample; a site without its protein there stays as it is.
 
     Of several rows for one protein the first (smallest feature id) counts. With ``knn`` both
-    matrices are imputed on the log scale first.
+    matrices are imputed on the log scale first; ``options`` go to ``impute.knn``.
     """
     a, b = (x.with_cells(log2_positive(x.cells)) for x in (sites, total))
     if knn:
-        a = a.with_cells(impute.knn(a, k=k, rule="null").drop("imputed"))
-        b = b.with_cells(impute.knn(b, k=k, rule="null").drop("imputed"))
+        a = a.with_cells(impute.knn(a, k=k, rule="null", **options).drop("imputed"))
+        b = b.with_cells(impute.knn(b, k=k, rule="null", **options).drop("imputed"))
     proteins = total.features.select("feature_id", F.trim(F.col(total_col)).alias("protein")).filter("protein <> ''")
     chosen = first_rows(proteins, "protein", F.col("feature_id"))
     cells = a.cells.join(site_protein(sites.features, site_col), "feature_id")

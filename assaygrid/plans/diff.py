@@ -124,9 +124,15 @@ def moderated(spark, sf):
     return out.select("feature_id", rnd(F.col("s2_post")).alias("s2_post"), rnd(F.col("t"), 5).alias("t"))
 
 
-@add("diff_effect_ci")
+@add(
+    "diff_effect_ci",
+    f"""{PRIOR}, dofs AS (SELECT DISTINCT df + d0 AS dof FROM lim),
+crit AS (SELECT dof, list_reduce(range(0, 60), lambda s, i: CASE WHEN {t_tail('((s[1] + s[2]) / 2)', 'dof')} > 0.05 THEN [(s[1] + s[2]) / 2, s[2]] ELSE [s[1], (s[1] + s[2]) / 2] END, [0.0::DOUBLE, 1000.0::DOUBLE]) AS s FROM dofs),
+done AS (SELECT feature_id, sqrt(post * (1 / n_a + 1 / n_b)) * (s[1] + s[2]) / 2 AS w FROM lim JOIN crit ON dof = df + d0)
+SELECT mom.feature_id, {R('mean_b - mean_a')} AS log2fc, {R('mean_b - mean_a - w')} AS ci_low, {R('mean_b - mean_a + w')} AS ci_high FROM mom LEFT JOIN done ON done.feature_id = mom.feature_id""",
+)
 def effect_ci(spark, sf):
-    out = diff.effect_ci(_limma(spark, sf)).filter("t IS NOT NULL")
+    out = diff.effect_ci(_limma(spark, sf))
     return out.select("feature_id", *[rnd(F.col(c)).alias(c) for c in ("log2fc", "ci_low", "ci_high")])
 
 

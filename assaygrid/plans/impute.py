@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from assaygrid.operators import batch, impute
-from assaygrid.plans.bind import CELLS, DENSE, R, REGION_CELLS, SAMPLES, Catalog, assay, region_assay, rnd, vectors
+from assaygrid.plans.bind import CELLS, DENSE, R, REGION_CELLS, SAMPLES, Catalog, assay, region_assay, rnd, spectrum, vectors
 
 catalog = Catalog()
 add = catalog.add
@@ -215,7 +217,39 @@ def correct_combat(spark, sf):
     return batch.correct(assay(spark, sf), "batch", "combat").withColumn("value", rnd(F.col("value"), 3))
 
 
-@add("batch_compare")
+def _stage(tag: str, cells: str) -> str:
+    """CTEs with one row ``m<tag>`` of the metrics of batch_compare over ``cells``."""
+    named = lambda sql, names: re.sub(rf"\b({names})\b", rf"\1{tag}", sql)
+    return named(
+        f"""w AS MATERIALIZED (SELECT feature_id, sample_id, batch, value, log10(value) AS x FROM {cells} JOIN samples USING (sample_id)),
+{R2},
+mean AS (SELECT sample_id, avg(value) AS mu FROM w GROUP BY 1), moved AS MATERIALIZED (SELECT feature_id, sample_id, value - mu AS y FROM w JOIN mean USING (sample_id)),
+place AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS i FROM mean),
+cov AS MATERIALIZED (SELECT o.i, q.i AS j, sum(l.y * r.y) / (SELECT count(DISTINCT feature_id) - 1 FROM w) AS v
+  FROM moved l JOIN moved r USING (feature_id) JOIN place o ON o.sample_id = l.sample_id JOIN place q ON q.sample_id = r.sample_id GROUP BY 1, 2),
+{spectrum('cov', '2')},
+score AS MATERIALIZED (SELECT sample_id, batch, max(vec[i] * sqrt(value)) FILTER (WHERE c = 1) AS pc1, max(vec[i] * sqrt(value)) FILTER (WHERE c = 2) AS pc2
+  FROM found, place JOIN samples USING (sample_id) GROUP BY 1, 2),
+away AS (SELECT l.sample_id, l.batch, r.batch AS other, avg(sqrt((l.pc1 - r.pc1) ** 2 + (l.pc2 - r.pc2) ** 2)) AS d FROM score l JOIN score r ON l.sample_id <> r.sample_id GROUP BY 1, 2, 3),
+sil AS (SELECT sample_id, coalesce(max(d) FILTER (WHERE batch = other), 0) AS near, min(d) FILTER (WHERE batch <> other) AS far FROM away GROUP BY 1),
+eta AS (SELECT sum(n * (b1 - g1) ** 2) / any_value(t1) AS e1, sum(n * (b2 - g2) ** 2) / any_value(t2) AS e2
+  FROM (SELECT batch, count(*) AS n, avg(pc1) AS b1, avg(pc2) AS b2 FROM score GROUP BY 1),
+    (SELECT avg(pc1) AS g1, avg(pc2) AS g2, var_pop(pc1) * count(*) AS t1, var_pop(pc2) * count(*) AS t2 FROM score)),
+m AS (SELECT avg(r2) AS mean, median(r2) AS median, avg((r2 >= 0.3)::INT) AS high_share, (SELECT avg((far - near) / greatest(far, near)) FROM sil) AS silhouette,
+  (SELECT e1 FROM eta) AS pc1_eta2, (SELECT e2 FROM eta) AS pc2_eta2 FROM r2)""",
+        "w|per|r2|moved|place|cov|mat|eig|signs|found|score|away|sil|eta|m(?= AS \\(SELECT avg)|mean(?= AS \\(SELECT sample)|mean(?= USING)|mean(?=\\),)",
+    )
+
+
+@add(
+    "batch_compare",
+    f"""{COMBAT.split(chr(10) + 'SELECT feature_id, sample_id')[0].replace('WITH ', 'WITH RECURSIVE ', 1)},
+fixed AS MATERIALIZED (SELECT feature_id, sample_id, CASE WHEN nf < 2 THEN c.value ELSE 10 ** (anchor + p * (x - anchor - la) / sa) END AS value FROM a JOIN adj USING (feature_id, batch) JOIN cells c USING (feature_id, sample_id)),
+{_stage('_0', 'cells')}, {_stage('_1', 'fixed')},
+b_0 AS (SELECT * FROM m_0 UNPIVOT (v FOR metric IN (mean, median, high_share, silhouette, pc1_eta2, pc2_eta2))), b_1 AS (SELECT * FROM m_1 UNPIVOT (v FOR metric IN (mean, median, high_share, silhouette, pc1_eta2, pc2_eta2)))
+SELECT metric, {R('b_0.v')} AS before, {R('b_1.v')} AS after, {R('b_1.v - b_0.v')} AS delta FROM b_0 JOIN b_1 USING (metric)""",
+)
 def compare(spark, sf):
     a = assay(spark, sf)
-    return batch.batch_compare(a, a.with_cells(batch.correct(a, "batch", "combat")), "batch")
+    out = batch.batch_compare(a, a.with_cells(batch.correct(a, "batch", "combat")), "batch")
+    return out.select("metric", *[rnd(F.col(c)).alias(c) for c in ("before", "after", "delta")])

@@ -315,6 +315,12 @@ def phospho_normalise(spark, sf):
     return phospho.normalise_to_total(sites, total, "proteins", "protein").withColumn("value", rnd(F.col("value")))
 
 
+@add("phospho_normalise_knn")
+def phospho_normalise_knn(spark, sf):
+    sites, total = _sites(spark, sf)
+    return phospho.normalise_to_total(sites, total, "proteins", "protein", knn=True, mode="complete").withColumn("value", rnd(F.col("value")))
+
+
 @add(
     "phospho_paired_profile",
     f"""WITH {CELLS}, {PHO} SELECT feature_id, sc.sample_id, {R('site')} AS site, {R('total')} AS total, {R('coalesce(site - total, site)')} AS normalised

@@ -451,3 +451,24 @@ def test_spanning_tree_prunes(spark, monkeypatch):
         best = np.minimum(best, d[j])
     assert sorted(r["distance"] for r in tree) == pytest.approx(sorted(total), abs=1e-9)
     assert sum(computed) < 0.5 * len(computed) * blocks.near_blocks(points(spark, v)).n_blocks ** 2
+
+
+@pytest.mark.parametrize("mode", ["waves", "complete"])
+def test_phospho_with_imputation(spark, mode):
+    """Both matrices are imputed on the log scale, then every site meets its protein in the same sample."""
+    from assaygrid.operators import phospho
+
+    rng = np.random.default_rng(41)
+    x, y = 2 ** rng.uniform(5, 12, (20, 5)), 2 ** rng.uniform(5, 12, (12, 5))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    y[rng.random(y.shape) < 0.2] = np.nan
+    x[:6], y[:5] = np.nan_to_num(x[:6], nan=100.0), np.nan_to_num(y[:5], nan=100.0)
+    sites, total = make(spark, x), make(spark, y)
+    sites = Assay(sites.cells, sites.samples, spark.createDataFrame([(i, f"p{i % 14};z") for i in range(20)], "feature_id long, proteins string"))
+    total = Assay(total.cells, total.samples, spark.createDataFrame([(i, f"p{i}") for i in range(12)], "feature_id long, protein string"))
+    names = [f"s{j}" for j in range(5)]
+    logs = lambda a, m: make(spark, np.log2(m))
+    a, b = (back(impute.knn(logs(n, m), k=3, rule="null", mode=mode), m.shape, names) for n, m in (("x", x), ("y", y)))
+    got = back(phospho.normalise_to_total(sites, total, "proteins", "protein", knn=True, k=3, mode=mode), x.shape, names)
+    want = np.stack([a[i] - (b[i % 14] if i % 14 < 12 else 0) for i in range(20)])
+    assert not np.isnan(got).any() and got == pytest.approx(want)
