@@ -186,31 +186,30 @@ def possible(members: DataFrame, firsts: DataFrame) -> DataFrame:
     return met.select(F.least("a.id", "b.id").alias("lo"), F.greatest("a.id", "b.id").alias("hi")).distinct()
 
 
-def met_in_rounds(firsts: DataFrame, sets: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def met_in_rounds(firsts: DataFrame, sets: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The state after comparing, round by round, one member of each component in a shingle's list with one of a component drawn there.
 
     A round's pairs are at most as many as the entries of the lists. Rounds end when one merges less than a tenth of the components
-    that it saw. With the state come the pairs (lo, hi) that turned out not to be similar.
+    that it saw. With the state come the pairs (lo, hi) that were compared.
     """
-    refuted, number = None, 0
+    compared, number = None, 0
     while True:
         at = firsts.select("id", "shingle").join(state.withColumnRenamed("item_id", "id"), "id")
         one = at.groupBy("shingle", "label").agg(F.min_by("id", F.xxhash64("id", F.lit(number))).alias("id"))
         drawn = one.groupBy("shingle").agg(F.min_by(F.struct("id", "label"), F.xxhash64("label", F.lit(number))).alias("d"), F.count("*").alias("parts"))
         met = one.join(drawn.filter("parts > 1"), "shingle").filter(F.col("label") != F.col("d.label"))
         pairs = met.select(F.least("id", "d.id").alias("lo"), F.greatest("id", "d.id").alias("hi"), "label").dropDuplicates(["lo", "hi"])
-        pairs = materialize(pairs if refuted is None else pairs.join(refuted, ["lo", "hi"], "left_anti"))
+        pairs = materialize(pairs if compared is None else pairs.join(compared, ["lo", "hi"], "left_anti"))
         links = materialize(confirmed(pairs.select("lo", "hi"), sets))
         before = pairs.agg(F.count_distinct("label")).first()[0]
-        refuted_now = pairs.select("lo", "hi").join(links, ["lo", "hi"], "left_anti")
-        refuted = materialize(refuted_now if refuted is None else refuted.unionByName(refuted_now))
+        compared = pairs.select("lo", "hi") if compared is None else compared.unionByName(pairs.select("lo", "hi"))
         if links.isEmpty():
-            return state, refuted
+            return state, compared
         merged = merge_labels(state, links)
         changed = state.join(merged.withColumnRenamed("label", "new"), "item_id").filter("label <> new").agg(F.count_distinct("label")).first()[0]
         state, number = merged, number + 1
         if changed * 10 < before:
-            return state, refuted
+            return state, compared
 
 
 def linked(buckets: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,9 +225,8 @@ def linked(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     if members.isEmpty():
         return state
     firsts = prefixes(members, sets)
-    state, refuted = met_in_rounds(firsts, sets, state)
-    pairs = possible(materialize(apart(buckets, state)), firsts)
-    pairs = materialize(pairs if refuted is None else pairs.join(refuted, ["lo", "hi"], "left_anti"))
+    state, compared = met_in_rounds(firsts, sets, state)
+    pairs = materialize(possible(materialize(apart(buckets, state)), firsts).join(compared, ["lo", "hi"], "left_anti"))
     return merge_labels(state, materialize(confirmed(pairs, sets)))
 
 
