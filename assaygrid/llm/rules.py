@@ -14,6 +14,8 @@ hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ COMMON = {
     "es": "de la que el en y los se del las un por con no una su para es al lo".split(),
 }
 VOCABULARY = list(dict.fromkeys(w for ws in COMMON.values() for w in ws))
+OTHERS = r"\P{Ll}+"
 CLASSES = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:?]", r"[!'\"()-]"]
+REST = "*"  # the bin of all other words
 GUARD = {"char": 100, "word": 30}
 LIMIT = {"char": 0.3, "word": 0.5}
 
@@ -40,13 +44,14 @@ LIMIT = {"char": 0.3, "word": 0.5}
 def repeat_words(df: DataFrame, w: str, out: str) -> DataFrame:
     """Add ``out``: how many of the words in array ``w`` lie in a window found twice or more.
 
-    Windows are sorted by hash; each that equals a neighbour is marked, and the marked places, in order, cover
-    up to ``WINDOW`` words each. n log n in the length of the text. Steps are columns of their own, so that no
+    A window's hash is that of its words' hashes. Windows are sorted by hash; each that equals a neighbour is marked,
+    and the marked places, in order, cover up to ``WINDOW`` words each. n log n in the length of the text. Steps are columns of their own, so that no
     lambda computes an array again.
     """
-    starts = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    hashes = df.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
-    placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    starts = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(0), F.size(w) - WINDOW)).otherwise(F.array().cast("array<int>"))
+    each = df.withColumn("_v", F.transform(w, lambda x: F.xxhash64(x)))
+    hashes = each.withColumn("_h", F.transform(starts, lambda i: F.xxhash64(*[F.get("_v", i + k) for k in range(WINDOW)])))
+    placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
     ordered = hashes.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).otherwise(empty))
     none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
@@ -54,21 +59,28 @@ def repeat_words(df: DataFrame, w: str, out: str) -> DataFrame:
     after = F.concat(F.slice("_s", 2, F.size("_s")), none)
     near = F.arrays_zip(F.col("_s").alias("x"), before.alias("b"), after.alias("a"))
     same = lambda r, side: F.coalesce(r["x"]["h"] == r[side]["h"], F.lit(False))
-    marked = F.array_sort(F.transform(F.filter(near, lambda r: r["x"].isNotNull() & (same(r, "b") | same(r, "a"))), lambda r: r["x"]["i"]))
+    marked = F.sort_array(F.transform(F.filter(near, lambda r: r["x"].isNotNull() & (same(r, "b") | same(r, "a"))), lambda r: r["x"]["i"]))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
     covered = F.aggregate(marked, start, lambda acc, i: F.struct((i + WINDOW).alias("end"), (acc["n"] + WINDOW - F.greatest(acc["end"] - i, F.lit(0))).alias("n")), lambda acc: acc["n"])
-    return ordered.withColumn(out, covered).drop("_h", "_s")
+    return ordered.withColumn(out, covered).drop("_v", "_h", "_s")
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """The base counts of each document, and its two histograms: ``_char`` and ``_word``, each with the rest last."""
+    """The base counts of each document, and its two histograms, each with the rest last.
+
+    ``_char`` holds a number per class, ``_word`` (bin, n) of the common words that occur.
+    """
     docs = docs.withColumn("_t", whole()).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
     runs = F.array_remove(F.split(F.lower("_t"), r"\P{L}+"), "")
     docs = repeat_words(docs, "_w", "n_repeat_words").withColumns({"_lines": lines, "_runs": runs})
     docs = docs.withColumn("_common", F.filter("_runs", lambda x: x.isin(VOCABULARY)))
-    per_class = [F.regexp_count("_t", F.lit(c)) for c in CLASSES]
-    per_word = [F.size("_common") - F.size(F.array_remove("_common", w)) for w in VOCABULARY]
+    # most characters are small letters: what is left without the others is counted, not cut into matches
+    small = F.char_length(F.regexp_replace("_t", OTHERS, ""))
+    per_class = [small, *[F.regexp_count("_t", F.lit(c)) for c in CLASSES[1:]]]
+    removed = lambda w: F.size("_common") - F.size(F.array_remove("_common", w))
+    found = F.transform(F.array_distinct("_common"), lambda w: F.struct(w.alias("bin"), removed(w).alias("n")))
+    rare = F.struct(F.lit(REST).alias("bin"), (F.size("_runs") - F.size("_common")).alias("n"))
     docs = docs.withColumns(
         {
             "n_words": F.size("_w").cast("bigint"),
@@ -81,7 +93,7 @@ def counts(docs: DataFrame) -> DataFrame:
     rest = F.col("word_chars").cast("int") - F.aggregate("_classes", F.lit(0), lambda a, x: a + x)
     return docs.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.concat("_classes", F.array(rest)).alias("_char"), F.array(*per_word, F.size("_runs") - F.size("_common")).alias("_word"),
+        F.concat("_classes", F.array(rest)).alias("_char"), F.concat(found, F.array(rare)).alias("_word"),
         F.col("word_chars").alias("_char_total"), F.size("_runs").alias("_word_total"),
     )
 
@@ -89,36 +101,58 @@ def counts(docs: DataFrame) -> DataFrame:
 def references(counted: DataFrame) -> dict[str, dict[str, list[float]]]:
     """Shares per language and histogram over all documents: as many numbers as listed languages and bins."""
     known = counted.filter(F.col("lang").isin(list(COMMON)))
+    bins = {"char": (F.posexplode("_char").alias("bin", "n"), range(len(CLASSES) + 1)), "word": (F.inline("_word").alias("bin", "n"), [*VOCABULARY, REST])}
     out: dict[str, dict[str, list[float]]] = {}
-    for kind in ("char", "word"):
-        bins = known.select("lang", F.posexplode(f"_{kind}").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-        for lang, n in bins.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n")))).collect():
-            total = sum(b["n"] for b in n)
+    for kind, (entries, names) in bins.items():
+        summed: dict[str, dict] = {}
+        for lang, name, n in known.select("lang", entries).groupBy("lang", "bin").agg(F.sum("n")).collect():
+            summed.setdefault(lang, {})[name] = n
+        for lang, n in summed.items():
+            total = sum(n.values())
             if total:
-                out.setdefault(lang, {})[kind] = [b["n"] / total for b in n]
+                out.setdefault(lang, {})[kind] = [n.get(name, 0) / total for name in names]
     return {lang: found for lang, found in sorted(out.items()) if len(found) == 2}
 
 
-def distance(histogram: str, reference: list[float], guard: int) -> Column:
-    """Jensen-Shannon distance of a histogram of counts, whose total is a column, from shares; 0 below the guard."""
+def half(s: Column, m: Column) -> Column:
+    """A share's part of the divergence from the middle ``m`` of two shares."""
+    return F.when(s > 0, s * F.log2(s / m)).otherwise(0.0)
+
+
+def distance(histogram: str, entries: Column | str, start: float, share: Callable[[Column], Column], guard: int) -> Column:
+    """Jensen-Shannon distance of a histogram, whose total is a column, from shares; 0 below the guard.
+
+    A bin that the text lacks adds half of its share. ``start`` is that sum over all bins, so that only the bins in ``entries``
+    need be visited: each adds what it differs by.
+    """
     total = F.col(f"{histogram}_total")
-    pairs = F.arrays_zip(F.col(histogram).alias("n"), F.array(*map(F.lit, reference)).alias("q"))
 
     def term(acc: Column, x: Column) -> Column:
-        p, q = x["n"] / total, x["q"]
+        p, q = x["n"] / total, share(x)
         m = (p + q) / 2
-        half = lambda s: F.when(s > 0, s * F.log2(s / m)).otherwise(0.0)
-        return acc + (half(p) + half(q)) / 2
+        return acc + (half(p, m) + half(q, m) - q) / 2
 
     # the total is a column, since a lambda computes what it refers to for every element
-    return F.when(total >= guard, F.sqrt(F.greatest(F.aggregate(pairs, F.lit(0.0), term), F.lit(0.0)))).otherwise(0.0)
+    return F.when(total >= guard, F.sqrt(F.greatest(F.aggregate(entries, F.lit(start), term), F.lit(0.0)))).otherwise(0.0)
 
 
 def judge(counted: DataFrame, refs: dict[str, dict[str, list[float]]]) -> DataFrame:
     """Add the closest language, its distances, ``base_failed`` and ``kept``."""
-    each = [F.struct(*[distance(f"_{k}", refs[lang][k], GUARD[k]).alias(k) for k in ("char", "word")], F.lit(lang).alias("lang")) for lang in refs]
+    langs = list(refs)
+    table_of = {b: [refs[lang]["word"][i] for lang in langs] for i, b in enumerate([*VOCABULARY, REST])}
+    shares = F.map_from_arrays(F.array(*map(F.lit, table_of)), F.array(*[F.array(*map(F.lit, q)) for q in table_of.values()]))
+    known = F.transform("_word", lambda x: F.struct(x["n"].alias("n"), F.element_at(shares, x["bin"]).alias("q")))
+
+    def distances(i: int, lang: str) -> Column:
+        q = refs[lang]
+        pairs = F.arrays_zip(F.col("_char").alias("n"), F.array(*map(F.lit, q["char"])).alias("q"))
+        char = distance("_char", pairs, sum(q["char"]) / 2, lambda x: x["q"], GUARD["char"])
+        word = distance("_word", "_known", sum(q["word"]) / 2, lambda x: x["q"][i], GUARD["word"])
+        return F.struct(char.alias("char"), word.alias("word"), F.lit(lang).alias("lang"))
+
     none = F.struct(F.lit(0.0).alias("char"), F.lit(0.0).alias("word"), F.lit(None).cast("string").alias("lang"))
-    scored = counted.withColumn("_each", F.array(*each) if each else F.array(none))
+    each = F.array(*[distances(i, lang) for i, lang in enumerate(langs)]) if langs else F.array(none)
+    scored = (counted.withColumn("_known", known) if langs else counted).withColumn("_each", each)
     ranked = F.array_min(F.transform("_each", lambda x: F.struct(F.round(x["char"] + x["word"], 9).alias("sum"), x["lang"].alias("lang"), x["char"].alias("char"), x["word"].alias("word"))))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     near = (F.col("_best.char") <= LIMIT["char"]) & (F.col("_best.word") <= LIMIT["word"])
