@@ -40,6 +40,7 @@ from assaygrid.runtime import materialize
 catalog = Catalog()
 BANDS, ROWS = 48, 6
 SHARE = 80  # per cent of the union that the intersection must reach
+PARITY = 512  # bits that bound from below how many shingles only one of two sets holds
 CHUNK = 20_000  # shingles whose orders of registers are held at once
 LEVEL = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * STEP
 
@@ -130,16 +131,35 @@ def prints(text: Column, width: int) -> Column:
     return run(text)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``PARITY`` bits per set, in 64-bit words: whether an odd number of its shingles fall on the bit.
+
+    Two rows differ in the parities of what only one of the sets holds, so in at most as many bits as there are such shingles.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (mixed(np.concatenate([np.zeros(0, np.uint64), *sets]) + STEP) % U(PARITY)).astype(np.int64)
+    odd = np.zeros((len(sets), PARITY), np.uint8)
+    np.bitwise_xor.at(odd.reshape(-1), owner * PARITY + at, 1)
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
 def full_sets(text: Column, width: int) -> Column:
-    """array<bigint>: the distinct shingles."""
+    """struct of the distinct shingles and their parities."""
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<shingles:array<bigint>,odd:array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sets = [s for chunk in _chunks(texts) for s in shingle_sets(chunk, width)]
+            sets, odd = [], [np.zeros((0, PARITY // 64), np.int64)]
+            for chunk in _chunks(texts):
+                found = shingle_sets(chunk, width)
+                sets += found
+                odd += [parities(found[at : at + 1000]) for at in range(0, len(found), 1000)]
             ends = np.cumsum([0, *map(len, sets)])
             values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            bits = np.concatenate(odd)
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
+            lists += [pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * bits.shape[1], pa.int32()), pa.array(bits.reshape(-1)))]
+            yield pa.StructArray.from_arrays(lists, ["shingles", "odd"])
 
     return run(text)
 
@@ -175,14 +195,21 @@ def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(ranked.select("id", "n", F.posexplode(short).alias("at", "x")).select("id", "n", "at", "x.shingle"))
 
 
-def possible(members: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(lo, hi): the pairs between components that can reach the similarity, one member minor."""
-    listed = firsts.join(members, "id")
+def possible(members: DataFrame, firsts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lo, hi): the pairs between components that can reach the similarity, one member minor.
+
+    They share a shingle of their prefixes, and their parities differ in no more bits than the sets may in shingles; so most of
+    the pairs of a group that is alike, but below the limit, end inside the join.
+    """
+    odd = [F.col("odd")[i].alias(f"odd{i}") for i in range(PARITY // 64)]
+    listed = firsts.join(members.join(sets.select("id", *odd), "id"), "id")
     a, b = listed.filter("minor").alias("a"), listed.alias("b")
     shared = F.expr(f"({SHARE} * (a.n + b.n) + {99 + SHARE}) div {100 + SHARE}")
     fits = (F.col("a.at") <= F.col("a.n") - shared) & (F.col("b.at") <= F.col("b.n") - shared)
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * SHARE
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.label") != F.col("b.label")) & sizes & fits)
+    differ = sum(F.bit_count(F.col(f"a.odd{i}").bitwiseXOR(F.col(f"b.odd{i}"))) for i in range(PARITY // 64))
+    near = differ <= F.col("a.n") + F.col("b.n") - 2 * shared
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.label") != F.col("b.label")) & sizes & fits & near)
     return met.select(F.least("a.id", "b.id").alias("lo"), F.greatest("a.id", "b.id").alias("hi")).distinct()
 
 
@@ -226,7 +253,7 @@ def linked(buckets: DataFrame, sets: DataFrame) -> DataFrame:
         return state
     firsts = prefixes(members, sets)
     state, compared = met_in_rounds(firsts, sets, state)
-    pairs = materialize(possible(materialize(apart(buckets, state)), firsts).join(compared, ["lo", "hi"], "left_anti"))
+    pairs = materialize(possible(materialize(apart(buckets, state)), firsts, sets).join(compared, ["lo", "hi"], "left_anti"))
     return merge_labels(state, materialize(confirmed(pairs, sets)))
 
 
@@ -244,7 +271,8 @@ def components(docs: DataFrame, width: int, text: str = "text", doc_id: str = "d
     wanted = classes.join(buckets.select("id").distinct(), "id").select("id", F.col("stays.key").alias("key"))
     # a key may be shared by equal rows, whose sets are the same; one of them is enough
     texts = plain.select("key", "text").join(broadcast_small(wanted, F.lit(24)), "key")
-    sets = materialize(texts.select("id", full_sets(F.col("text"), width).alias("shingles")).groupBy("id").agg(F.first("shingles").alias("shingles")))
+    known_sets = texts.select("id", full_sets(F.col("text"), width).alias("s")).groupBy("id").agg(F.first("s").alias("s"))
+    sets = materialize(known_sets.select("id", "s.shingles", "s.odd"))
     state = linked(buckets, sets)
     labelled = classes.drop("bands").join(state.withColumnRenamed("item_id", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = materialize(labelled)

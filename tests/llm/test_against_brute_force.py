@@ -73,6 +73,35 @@ def chained(n):
     return out
 
 
+def variants(n, places, seed):
+    """Texts of 100 words in which each of some places takes one of four words: many alike, few of them near enough."""
+    rng = random.Random(seed)
+    words = prose(seed, 100).split()
+    spots = rng.sample(range(100), places)
+    out = []
+    for _ in range(n):
+        for at in spots:
+            words[at] = f"choice{rng.randrange(4)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_duplicates_of_a_group_around_the_limit(spark):
+    docs = [(n, t) for places in (5, 9) for n, t in enumerate(variants(300, places, places), 1000 * places)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(pairs(spark, docs), 4).collect()}
+    assert got == plain_components(docs, 4)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in (0, 1, 40, 200, 210, 700, 5000)]
+    odd = np.unpackbits(minhash.parities(sets).view(np.uint8), axis=1, bitorder="little")
+    for a, s in zip(odd, sets):
+        assert a.tolist() == (np.bincount((shingles.mixed(s + shingles.STEP) % np.uint64(minhash.PARITY)).astype(int), minlength=minhash.PARITY) % 2).tolist()
+        for b, t in zip(odd, sets):
+            assert (a != b).sum() <= len(np.setxor1d(s, t))
+
+
 def test_near_duplicates(spark, sf):
     docs = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     docs += [(10_000 + n, t) for n, t in enumerate(chained(60))]
