@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from assaygrid.functions.missing import is_missing
 from assaygrid.runtime import materialize
 
-CHUNK = 4096
+CHUNK = 4096  # combinations counted together
+BLOCK = 100_000  # signatures in a block
 
 
 def presence(cells: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -32,45 +33,58 @@ def signatures(present: DataFrame) -> DataFrame:
     return per_feature.groupBy("members").agg(F.count("*").alias("n"))
 
 
-def _count_kernel(combos: list[tuple[int, ...]] | tuple[int, int, int], mode: str, n_sets: int):
-    """Count, per partition of signature rows, how many features each combination holds."""
-
-    def listed() -> Iterator[tuple[int, ...]]:
-        if isinstance(combos, list):
-            yield from combos
-        else:
-            low, high, n = combos
-            for degree in range(low, high + 1):
-                yield from combinations(range(n), degree)
+def _packed(n_sets: int):
+    """Signature rows into blocks: one bit per set and signature, and the counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, weights = [], []
         for pdf in batches:
-            for idx, n in zip(pdf["idx"], pdf["n"]):
-                bits = np.zeros(n_sets, dtype=bool)
-                bits[np.asarray(idx, dtype=int)] = True
-                rows.append(np.packbits(bits))
-                weights.append(n)
-            if len(rows) >= 100_000:
-                yield from count(rows, weights)
-                rows, weights = [], []
-        if rows:
-            yield from count(rows, weights)
-
-    def count(rows: list, weights: list) -> Iterator[pd.DataFrame]:
-        member = np.unpackbits(np.asarray(rows), axis=1)[:, :n_sets].astype(bool)
-        weight = np.asarray(weights, dtype=np.int64)
-        source = listed()
-        while chunk := list(islice(source, CHUNK)):
-            totals = [
-                int(weight[(member[:, c].all(axis=1) if mode == "intersection" else member[:, c].any(axis=1))].sum())
-                for c in map(list, chunk)
-            ]
-            yield pd.DataFrame({"combo": [list(c) for c in chunk], "n": totals}).query("n > 0")
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                member = np.zeros((len(part), n_sets), dtype=bool)
+                sizes = part["idx"].map(len)
+                member[np.repeat(np.arange(len(part)), sizes), np.concatenate([np.zeros(0, int), *part["idx"]]).astype(int)] = True
+                yield pd.DataFrame({"bits": [np.packbits(member, axis=1).tobytes()], "weights": [part["n"].to_numpy(np.int64).tobytes()]})
 
     return run
 
 
+def _totals(bits: bytes, weights: bytes, combos: list[tuple[int, ...]], mode: str, n_sets: int) -> pd.DataFrame:
+    """How many features of a block each combination holds (all its sets, or any)."""
+    weight = np.frombuffer(weights, np.int64)
+    member = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(weight), -1), axis=1)[:, :n_sets].T.astype(bool)
+    over = np.logical_and if mode == "intersection" else np.logical_or
+    totals = [int(weight[over.reduce(member[list(c)])].sum()) for c in combos]
+    return pd.DataFrame({"combo": [list(c) for c in combos], "n": totals}).query("n > 0")
+
+
+def _intersection_sizes(sigs: DataFrame, combos: DataFrame, n_sets: int) -> DataFrame:
+    """``combo, n`` of every combination in the table ``combos``: each block of signatures meets each part of the table."""
+    parts = max(1, -(-combos.count() // CHUNK))
+    lists = combos.groupBy(F.pmod(F.xxhash64("combo"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list("combo").alias("combos"))
+    blocks = sigs.mapInPandas(_packed(n_sets), "bits binary, weights binary")
+    met = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(lists, "part")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for bits, weights, asked in zip(pdf["bits"], pdf["weights"], pdf["combos"]):
+                yield _totals(bits, weights, asked, "intersection", n_sets)
+
+    return met.mapInPandas(run, "combo array<int>, n long").groupBy("combo").agg(F.sum("n").alias("n"))
+
+
+def _longer(alive: DataFrame, degree: int) -> DataFrame:
+    """Combinations of ``degree`` + 1 sets all of whose parts of ``degree`` sets are in ``alive`` (combo)."""
+    side = lambda c, last: alive.select(F.slice("combo", 1, degree - 1).alias("start"), F.col("combo").alias(c), F.element_at("combo", -1).alias(last))
+    grown = side("a", "x").join(side("b", "y"), "start").filter("x < y").select(F.concat("a", F.array("y")).alias("combo"))
+    if degree == 1:
+        return grown
+    places = F.sequence(F.lit(0), F.lit(degree))
+    part = F.filter("combo", lambda x, k: k != F.col("place"))
+    parts = grown.withColumn("place", F.explode(places)).select("combo", part.alias("part"))
+    whole = parts.join(alive.select(F.col("combo").alias("part")), "part").groupBy("combo").agg(F.count("*").alias("k"))
+    return whole.filter(F.col("k") == degree + 1).select("combo")
+
+
 def _indexed(sigs: DataFrame, names: Sequence[str]) -> DataFrame:
     lookup = F.array(*[F.lit(n) for n in names])
     positions = F.transform("members", lambda m: (F.array_position(lookup, m) - 1).cast("int"))
@@ -88,41 +102,38 @@ def top_intersections(present: DataFrame, names: Sequence[str], max_members: int
 
     Exact without listing every combination: a combination never holds more than its parts, so a
     level is built only from combinations that can still beat the current last place. On ties the
-    smaller degree wins, so deeper levels must be strictly larger than it.
+    smaller degree wins, so deeper levels must be strictly larger than it. Candidates are a table, grown by a
+    join on their common start and counted in parts; the driver sees the last place only.
     """
-    spark = present.sparkSession
     names = sorted(names)
     sigs = materialize(_indexed(signatures(present), names))
-    found: dict[tuple[int, ...], int] = {}
-    level: list[tuple[int, ...]] = [(i,) for i in range(len(names))]
+    level = sigs.sparkSession.range(len(names)).select(F.array(F.col("id").cast("int")).alias("combo"))
+    found = None
     for degree in range(1, max_members + 1):
-        if not level:
+        counts = materialize(_intersection_sizes(sigs, level, len(names)))
+        both = counts if found is None else found.unionByName(counts)
+        found = materialize(both.orderBy(F.desc("n"), F.size("combo"), "combo").limit(limit))
+        kept, least = found.agg(F.count("*"), F.min("n")).first()
+        level = materialize(_longer(counts.filter(F.col("n") > (least if kept == limit else 0)).select("combo"), degree))
+        if level.isEmpty():
             break
-        kernel = _count_kernel(level, "intersection", len(names))
-        counts = sigs.mapInPandas(kernel, "combo array<int>, n long").groupBy("combo").agg(F.sum("n").alias("n"))
-        found.update({tuple(r["combo"]): r["n"] for r in counts.collect()})  # one row per candidate
-        best = sorted(found.values(), reverse=True)
-        bar = best[limit - 1] if len(best) >= limit else 0
-        alive = sorted(c for c, n in found.items() if len(c) == degree and n > bar)
-        known = set(alive)
-        level = [
-            a + (b[-1],)
-            for k, a in enumerate(alive)
-            for b in alive[k + 1 :]
-            if a[:-1] == b[:-1] and all(s in known for s in combinations(a + (b[-1],), degree))
-        ]
-    kept = sorted(found.items(), key=lambda e: (-e[1], len(e[0]), e[0]))[:limit]
-    out = spark.createDataFrame([(list(c), n) for c, n in kept], "combo array<int>, n long")
-    return _named(out, names)
+    return _named(found.orderBy(F.desc("n"), F.size("combo"), "combo"), names)
 
 
 def unions(present: DataFrame, names: Sequence[str], min_members: int = 1, max_members: int = 5) -> DataFrame:
     """Union size of every combination of ``min_members``..``max_members`` sets."""
     names = sorted(names)
-    sigs = _indexed(signatures(present), names)
-    kernel = _count_kernel((min_members, max_members, len(names)), "union", len(names))
-    counts = sigs.mapInPandas(kernel, "combo array<int>, n long").groupBy("combo").agg(F.sum("n").alias("n"))
-    return _named(counts, names)
+    n_sets = len(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for bits, weights in zip(pdf["bits"], pdf["weights"]):
+                source = (c for degree in range(min_members, max_members + 1) for c in combinations(range(n_sets), degree))
+                while chunk := list(islice(source, CHUNK)):
+                    yield _totals(bits, weights, chunk, "union", n_sets)
+
+    blocks = _indexed(signatures(present), names).mapInPandas(_packed(n_sets), "bits binary, weights binary")
+    return _named(blocks.mapInPandas(run, "combo array<int>, n long").groupBy("combo").agg(F.sum("n").alias("n")), names)
 
 
 def display_order(combos: DataFrame, limit: int = 100, min_members: int = 1, max_members: int | None = None) -> DataFrame:

@@ -1,13 +1,14 @@
 """Iterative and randomised operators against brute force on small fixtures."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assaygrid import Assay
-from assaygrid.operators import batch, blocks, cluster, eigen, enrich, filters, hybrid, impute, ordination, saint
+from assaygrid.operators import batch, blocks, cluster, eigen, enrich, filters, hybrid, impute, ordination, saint, sets
 
 
 def make(spark, x, names=None, meta=None):
@@ -472,3 +473,23 @@ def test_phospho_with_imputation(spark, mode):
     got = back(phospho.normalise_to_total(sites, total, "proteins", "protein", knn=True, k=3, mode=mode), x.shape, names)
     want = np.stack([a[i] - (b[i % 14] if i % 14 < 12 else 0) for i in range(20)])
     assert not np.isnan(got).any() and got == pytest.approx(want)
+
+
+def test_top_intersections_of_many_sets(spark):
+    rng = np.random.default_rng(8)
+    held = rng.random((400, 300)) < np.linspace(0.02, 0.4, 300)
+    held[:60, 290:] = True
+    rows = [(int(f), f"s{int(s):03d}") for f, s in zip(*np.nonzero(held))]
+    present = spark.createDataFrame(rows, "feature_id int, sample_id string")
+    names = [f"s{n:03d}" for n in range(300)]
+    got = [(tuple(r.members), r.n) for r in sets.top_intersections(present, names, max_members=3, limit=500).collect()]
+    sizes = [((n,), int(held[:, n].sum())) for n in range(300)]
+    x = held.astype(np.int64)
+    two = x.T @ x
+    sizes += [((a, b), int(two[a, b])) for a, b in combinations(range(300), 2)]
+    for a, b in combinations(range(300), 2):
+        three = x[held[:, a] & held[:, b], b + 1 :].sum(0)
+        sizes += [((a, b, b + 1 + c), int(n)) for c, n in enumerate(three) if n >= 60]
+    want = sorted(sizes, key=lambda e: (-e[1], len(e[0]), e[0]))[:500]
+    assert want[-1][1] >= 60 and max(len(c) for c, _ in want) == 3
+    assert got == [(tuple(names[i] for i in c), n) for c, n in want]
