@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -277,6 +279,43 @@ def test_pruning_is_exact(spark):
         assert got[q] == [(i, round(-w)) for w, i in sorted(scores)[:10] if w < 0]
 
 
+def test_thresholds_rise_without_a_loss(monkeypatch):
+    """Several shards of many runs of blocks in one task, with ties: the k best of all are found, and less is handed out than k a shard."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 2500)
+    rng = random.Random(12)
+    words = [f"w{n}" for n in range(300)]
+    texts = [" ".join(words[min(int(rng.expovariate(0.03)), 299)] for _ in range(rng.randrange(1, 60))) for _ in range(6000)]
+    texts += texts[:900]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    built = list(search.shards(iter([batch])))
+    assert len(built) == 3
+    average = sum(len(t.split()) for t in texts) / len(texts)
+    df = Counter(w for t in texts for w in set(t.split()))
+    asked, want = [], []
+    for q in range(0, 6900, 460):
+        terms = sorted(set(texts[q].split()), key=lambda w: xxhash.xxh64_intdigest(w))
+        idf = {w: np.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w in terms}
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in terms], np.uint64).view(np.int64)
+        asked.append((q, q, hashes, np.array([idf[w] for w in terms]), 0.0))
+        scores = []
+        for i, t in enumerate(texts):
+            found = t.split()
+            norm = search.K1 * (1 - search.B + search.B * len(found) / average)
+            w = sum(np.floor(idf[x] * (n * (search.K1 + 1) / (n + norm)) * search.UNIT) for x, n in Counter(found).items() if x in idf)
+            scores.append((-w, i))
+        want.append(sorted(scores)[:10])
+
+    class shared:
+        value = asked
+
+    given = defaultdict(list)
+    for out in search.searcher(shared, average, 10)(iter(built)):
+        for r in out.to_pylist():
+            given[r["query_id"]].append((-r["weight"], r["doc_id"]))
+    assert [sorted(given[q])[:10] for q, *_ in asked] == want
+    assert sum(map(len, given.values())) < 3 * 10 * len(asked)
+
+
 # --- models
 
 
