@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaygrid.functions.missing import is_missing
@@ -308,26 +308,31 @@ def level_labels(vectors: DataFrame, levels: int = LEVELS) -> DataFrame:
 # ---- feature rankings --------------------------------------------------------
 
 
+def row_scores(assay: Assay) -> DataFrame:
+    """Population variance and absolute sum of each feature, missing cells as 0: ``feature_id, variance, abs_sum``."""
+    n = assay.n_samples
+    v = F.when(~is_missing(F.col("value"), "null"), F.col("value")).otherwise(0.0)
+    stats = assay.cells.groupBy("feature_id").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.sum(F.abs(v)).alias("abs_sum"))
+    return stats.select("feature_id", (F.col("ss") / n - F.pow(F.col("s") / n, F.lit(2))).alias("variance"), "abs_sum")
+
+
 def row_views(assay: Assay, sizes: Sequence[int] = VIEW_SIZES) -> DataFrame:
     """Rank of each feature by variance and by absolute sum, among the ``max(sizes)`` best of either.
 
     Missing cells count as 0. ``in_var`` and ``in_sum`` name the smallest view a feature belongs to.
     """
-    n = assay.n_samples
-    v = F.when(~is_missing(F.col("value"), "null"), F.col("value")).otherwise(0.0)
-    stats = assay.cells.groupBy("feature_id").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.sum(F.abs(v)).alias("abs_sum"))
-    stats = stats.withColumn("variance", F.col("ss") / n - F.pow(F.col("s") / n, F.lit(2)))
+    stats = row_scores(assay)
     limit = max(sizes)
     views = []
     for kind, col in (("variance", "variance"), ("abs_sum", "abs_sum")):
         top = stats.orderBy(F.desc(col), "feature_id").limit(limit).select("feature_id", F.col(col).alias("score"))
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), "feature_id"))  # at most max(sizes) rows
+        ranked = row_numbers(top, [("score", False), ("feature_id", True)]).withColumn("rank", F.col("rank").cast("int"))
         smallest = F.array_min(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("rank")))
-        views.append(top.withColumn("rank", rank).withColumn("view", smallest).withColumn("kind", F.lit(kind)))
+        views.append(ranked.withColumn("view", smallest).withColumn("kind", F.lit(kind)))
     return views[0].unionByName(views[1]).select("kind", "feature_id", "rank", "view", "score")
 
 
 def top_variance(assay: Assay, n: int) -> Assay:
     """Cells of the ``n`` most variable features (population variance, missing as 0)."""
-    top = row_views(assay, [n]).filter("kind = 'variance'").select("feature_id")
+    top = row_scores(assay).orderBy(F.desc("variance"), "feature_id").limit(n).select("feature_id")
     return keep_rows(assay, broadcast_if(top, n))
