@@ -207,7 +207,7 @@ def knn_search(vectors: DataFrame, k: int) -> blocks.Nearest:
     """The exact ``k`` nearest neighbours, and how many pairs of blocks that took."""
     stored = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec")))
     near = blocks.near_blocks(stored)
-    return blocks.nearest_pruned(near, near, k, blocks.euclidean, dict(vectors.dtypes)["item_id"])
+    return blocks.nearest_pruned(near, near, k, dict(vectors.dtypes)["item_id"])
 
 
 def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
