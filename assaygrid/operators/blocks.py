@@ -60,10 +60,13 @@ class Pairs:
     n_queries: int
     n_donors: int
 
-    def reduce(self, kernel: Callable[[dict], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-        """What ``kernel`` makes of each block pair (``q_*`` and ``d_*`` arrays), as one frame."""
+    def reduce(self, kernel: Callable[[dict], Iterator[pd.DataFrame]], schema: str, most: int = CELL) -> DataFrame:
+        """What ``kernel`` makes of each block pair (``q_*`` and ``d_*`` arrays), as one frame.
+
+        A task holds what a cell makes until it is done: ``most`` blocks on a side keep it small where that is much.
+        """
         # cells are smaller while there are few blocks, so that all cores have work
-        side = max(1, min(CELL, math.isqrt(self.n_queries * self.n_donors // 64)))
+        side = max(1, min(most, math.isqrt(self.n_queries * self.n_donors // 64)))
         rows, cols = -(-self.n_queries // side), -(-self.n_donors // side)
         q = self.queries.withColumn("_i", F.expr(f"q_block div {side}")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cols - 1).cast("bigint"))))
         d = self.donors.withColumn("_j", F.expr(f"d_block div {side}")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))))
@@ -82,15 +85,27 @@ def matrix(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def euclidean(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Distances with the direct difference where the expanded form loses digits."""
+    """Distances with the direct difference where the expanded form loses digits; in tiles that a core's cache holds."""
+    out = np.empty((len(q), len(d)))
+    step = max(1, TILE_VALUES // 2 // max(1, len(d)))
     qq, dd = (q * q).sum(1), (d * d).sum(1)
-    sq = qq[:, None] + dd[None, :] - 2 * q @ d.T
-    i, j = np.nonzero(sq < 1e-6 * (qq[:, None] + dd[None, :]))
-    step = max(1, NEAR_VALUES // max(1, q.shape[1]))
-    for at in range(0, len(i), step):
-        diff = q[i[at : at + step]] - d[j[at : at + step]]
-        sq[i[at : at + step], j[at : at + step]] = (diff * diff).sum(1)
-    return np.sqrt(np.maximum(sq, 0))
+    for at in range(0, len(q), step):
+        sq = out[at : at + step]
+        np.matmul(q[at : at + step], d.T, out=sq)
+        sq *= -2
+        sq += qq[at : at + step, None]
+        sq += dd[None, :]
+        # few pairs are below the largest bound; of them those below their own are measured
+        i, j = np.nonzero(sq < 1e-6 * (qq[at : at + step].max(initial=0.0) + dd.max(initial=0.0)))
+        close = sq[i, j] < 1e-6 * (qq[at + i] + dd[j])
+        i, j = i[close], j[close]
+        part = max(1, NEAR_VALUES // max(1, q.shape[1]))
+        for n in range(0, len(i), part):
+            diff = q[at + i[n : n + part]] - d[j[n : n + part]]
+            sq[i[n : n + part], j[n : n + part]] = (diff * diff).sum(1)
+        np.maximum(sq, 0, out=sq)
+        np.sqrt(sq, out=sq)
+    return out
 
 
 def top_k(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -450,20 +465,19 @@ def label_distances(pairs: Pairs, label: str = "label", id_type: str = "bigint",
     def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
         own, labels = np.asarray(row[f"q_{label}"]), np.asarray(row[f"d_{label}"])
-        dist = euclidean(matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids)))
-        same = q_ids[:, None] == d_ids[None, :]
-        dist[same] = 0
-        for name in pd.unique(labels):
-            members = labels == name
-            yield pd.DataFrame(
-                {
-                    "item_id": q_ids,
-                    "own": own,
-                    "label": name,
-                    "total": dist[:, members].sum(1),
-                    "n": members.sum() - same[:, members].sum(1),
-                }
-            )
+        names, member = np.unique(labels, return_inverse=True)
+        of = np.eye(len(names))[member]
+        q, d = matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids))
+        total, n = np.empty((len(q_ids), len(names))), np.empty((len(q_ids), len(names)))
+        step = max(1, TILE_VALUES // 2 // max(1, len(d_ids)))
+        for at in range(0, len(q_ids), step):
+            dist = euclidean(q[at : at + step], d)
+            i, j = np.nonzero(q_ids[at : at + step, None] == d_ids[None, :])
+            dist[i, j] = 0
+            total[at : at + step], n[at : at + step] = dist @ of, of.sum(0)
+            np.subtract.at(n, (at + i, member[j]), 1)
+        for c, name in enumerate(names):
+            yield pd.DataFrame({"item_id": q_ids, "own": own, "label": name, "total": total[:, c], "n": n[:, c].astype("int64")})
 
     schema = f"item_id {id_type}, own {label_type}, label {label_type}, total double, n long"
     parts = pairs.reduce(kernel, schema)

@@ -215,80 +215,157 @@ def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
     return knn_search(vectors, k).neighbors
 
 
-LEVELS = 4  # bisections decided by one pass over the pairs
 STEPS, CLOSE = 50, 1e-3  # bisections at most, and the entropy's distance from its target that ends them
 LEAST_SHARE = 1e-20  # one-way shares that are not more count as 0
+GUESSED = 1000  # sampled items whose distances give the first guess of a width
+ASKED = 7  # widths of an item that one pass over the pairs adds up
+
+
+def _advance(low: float, high: float, step: int, known: list[tuple], target: float) -> tuple:
+    """Bisections that are decided by ``known`` widths (width, sum of weights, entropy): low, high, step, and the width and sum found.
+
+    The entropy with an item's own term grows with the width, and so does the one without it where the weights sum to e or more.
+    So a middle beyond a width of too much entropy, or below one of too little, is decided without a sum of its own.
+    """
+    at = {w: (t, h) for w, t, h in known}
+    over = min((w for w, t, h in known if t >= np.e and h > target + CLOSE + 1e-9), default=np.inf)
+    under = max((w for w, t, h in known if h + np.log(t) / t < target - CLOSE - 1e-9), default=0.0)
+    steady = min((w for w, t, h in known if t >= np.e), default=np.inf)
+    below = max((w for w, t, h in known if h < target - CLOSE - 1e-9), default=0.0)
+    while step < STEPS:
+        mid = (low + high) / 2
+        if mid in at:
+            total, entropy = at[mid]
+            step += 1
+            if abs(entropy - target) < CLOSE or step == STEPS:
+                return low, high, STEPS, mid, total
+            low, high = (mid, high) if entropy < target else (low, mid)
+        elif step < STEPS - 1 and mid >= over:
+            high, step = mid, step + 1
+        elif step < STEPS - 1 and (mid <= under or steady <= mid <= below):
+            low, step = mid, step + 1
+        else:
+            break
+    return low, high, step, None, None
+
+
+def _ask(low: float, high: float, known: list[tuple], target: float) -> list[float]:
+    """Widths to add up next: the middle that has to be decided, those around the wanted entropy and the middles on the way there."""
+    first = (low + high) / 2
+    less = max(((w, h) for w, _, h in known if h <= target), default=None)
+    more = min(((w, h) for w, _, h in known if h > target and (less is None or w > less[0])), default=None)
+    if less is None or more is None:
+        spread = (1.25, 1.6, 2.2, 4.0, 16.0)
+        wide = [less[0] * f for f in spread] if less else [more[0] / f for f in spread] if more else []
+        return [first, *wide]
+    span, rise = np.log(more[0] / less[0]), more[1] - less[1]
+    at = lambda h: float(less[0] * np.exp(span * min(max((h - less[1]) / rise, 0.0), 1.0)))
+    off = max(2 * CLOSE, 0.1 * rise)
+    goal, path, lo, hi = at(target), [], low, high
+    slack = span / rise * CLOSE  # of the logarithm of a width
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        path.append(mid)
+        if abs(np.log(mid / goal)) < 0.4 * slack:
+            break
+        lo, hi = (mid, hi) if mid < goal else (lo, mid)
+    return [first, at(target - off), at(target + off), *path[1:][-(ASKED - 3):]]
 
 
 def bandwidths(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
     """item_id, vec, sigma, total: the Gaussian width at which an item's shares have the wanted perplexity, and the sum of its weights.
 
     Widths are bisected between 1e-10 and 1e4. What a bisection needs are two sums over an item's distances; a pass over block pairs
-    adds them up for every width that the next ``LEVELS`` bisections can ask for, so no row holds an item's distances.
+    adds them up for the few widths that decide most of the bisections, so no row holds an item's distances. Distances to a sample
+    give the first guess; it decides which widths are added up, not the result.
     """
     kind = dict(vectors.dtypes)["item_id"]
-    state = vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec"))
-    state = materialize(state.select("*", F.lit(1e-10).alias("low"), F.lit(1e4).alias("high"), F.lit(0).alias("step"), F.lit(None).cast("double").alias("sigma"), F.lit(None).cast("double").alias("total")))
-    target = float(np.log(min(perplexity, max(state.count() - 1, 1))))
-    nodes = 2**LEVELS - 1
-
-    def candidates(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Items x nodes of the tree of bisections: the root first, then for each node the lower and the upper half's."""
-        lows, highs, out = {0: low}, {0: high}, []
-        for i in range(nodes):
-            mid = (lows[i] + highs[i]) / 2
-            out.append(mid)
-            lows[2 * i + 1], highs[2 * i + 1], lows[2 * i + 2], highs[2 * i + 2] = lows[i], mid, mid, highs[i]
-        return np.stack(out, axis=1)
+    spark = vectors.sparkSession
+    data = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec")))
+    size = data.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    n, dim = size["n"], size["dim"] or 1
+    target = float(np.log(min(perplexity, max(n - 1, 1))))
+    near = max(1, min(GUESSED, blocks.BLOCK_VALUES // dim))
+    sample = data.orderBy(F.xxhash64("item_id")).limit(near).collect()  # at most BLOCK_VALUES numbers
+    shared = spark.sparkContext.broadcast((np.array([r["item_id"] for r in sample]), np.array([r["vec"] for r in sample], float).reshape(len(sample), -1)))
+
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, v = shared.value
+        for pdf in batches:
+            asked = []
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                sq = blocks.euclidean(np.stack([np.asarray(x, float) for x in part["vec"]]), v) ** 2
+                other = (part["item_id"].to_numpy()[:, None] != ids[None, :]) * max(n / len(ids), 1.0)
+                lows, highs = np.full(len(part), 1e-10), np.full(len(part), 1e4)
+                for _ in range(24):
+                    mid = (lows + highs) / 2 if _ < 8 else np.sqrt(lows * highs)
+                    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                        e = np.exp(-sq / (2 * mid**2)[:, None]) * other
+                    total = 1 + e.sum(1)
+                    little = ((sq * e).sum(1) / (2 * mid * mid) + (total - 1) * np.log(total)) / total < target
+                    lows, highs = np.where(little, mid, lows), np.where(little, highs, mid)
+                asked += [[float(m * f) for f in (0.7, 0.85, 0.95, 1.0, 1.05, 1.2, 1.5)] for m in mid]
+            yield pd.DataFrame({"item_id": pdf["item_id"], "low": 1e-10, "high": 1e4, "step": np.int32(0), "sigma": np.nan, "total": np.nan, "known": [[]] * len(pdf), "asked": asked})
 
     def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        ends = np.stack([np.asarray(r, float) for r in row["q_range"]])
-        open_ = np.flatnonzero(ends[:, 2] == 0)
-        if not len(open_):
+        going = np.flatnonzero([len(r) > 0 for r in row["q_asked"]])
+        if not len(going):
             return
-        q_ids, widths = q_ids[open_], candidates(ends[open_, 0], ends[open_, 1])
-        sq = blocks.euclidean(blocks.matrix(row["q_vecs"], len(ends))[open_], blocks.matrix(row["d_vecs"], len(d_ids))) ** 2
-        sq[q_ids[:, None] == d_ids[None, :]] = 0
-        sums = np.empty((len(q_ids), 2 * nodes))
-        for node in range(nodes):
-            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                e = np.exp(-sq / (2 * widths[:, node] ** 2)[:, None])
-            sums[:, node], sums[:, nodes + node] = e.sum(1), (sq * e).sum(1)
-        yield pd.DataFrame({"item_id": q_ids, "sums": list(sums)})
+        q_ids, widths = q_ids[going], np.full((len(going), ASKED), np.nan)
+        for i, g in enumerate(going):
+            r = row["q_asked"][g]
+            widths[i, : len(r)] = r
+        q, d = blocks.matrix(row["q_vecs"], len(row["q_ids"]))[going], blocks.matrix(row["d_vecs"], len(d_ids))
+        sums = np.zeros((len(q_ids), 2 * ASKED))
+        step = max(1, blocks.TILE_VALUES // 4 // max(len(d), 1))
+        for at in range(0, len(q), step):
+            rows = slice(at, at + step)
+            sq = blocks.euclidean(q[rows], d) ** 2
+            sq[q_ids[rows, None] == d_ids[None, :]] = 0
+            e = np.empty_like(sq)
+            for c in range(ASKED):
+                w = widths[rows, c]
+                if np.isnan(w).all():
+                    continue
+                with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                    np.multiply(sq, (-1 / (2 * w**2))[:, None], out=e)
+                    np.exp(e, out=e)
+                sums[rows, c], sums[rows, ASKED + c] = e.sum(1), np.einsum("ij,ij->i", sq, e)
+        yield pd.DataFrame({"item_id": q_ids, "sums": list(np.nan_to_num(sums))})
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for item, low, high, step, sums in zip(pdf["item_id"], pdf["low"], pdf["high"], pdf["step"], pdf["sums"]):
-                sums, node, sigma, total = np.asarray(sums), 0, None, None
-                while node < nodes and step < STEPS:
-                    sigma, total = (low + high) / 2, sums[node]
-                    entropy = (sums[nodes + node] / (2 * sigma * sigma) + (total - 1) * np.log(total)) / total
-                    step += 1
-                    if abs(entropy - target) < CLOSE:
-                        step = STEPS
-                        break
-                    low, high, node = (sigma, high, 2 * node + 2) if entropy < target else (low, sigma, 2 * node + 1)
-                rows.append((item, low, high, step, sigma, total))
-            yield pd.DataFrame(rows, columns=["item_id", "low", "high", "step", "sigma", "total"])
-
+            for item, low, high, step, known, asked, sums in zip(pdf["item_id"], pdf["low"], pdf["high"], pdf["step"], pdf["known"], pdf["asked"], pdf["sums"]):
+                facts = [tuple(known[i : i + 3]) for i in range(0, len(known), 3)]
+                for c, width in enumerate(asked):
+                    total = sums[c]
+                    if total > 0:
+                        facts.append((float(width), float(total), float((sums[ASKED + c] / (2 * width * width) + (total - 1) * np.log(total)) / total)))
+                low, high, step, sigma, total = _advance(low, high, step, facts, target)
+                asked = _ask(low, high, facts, target) if step < STEPS else []
+                asked = list(dict.fromkeys(w for w in asked if w not in {f[0] for f in facts}))[:ASKED]
+                rows.append((item, low, high, step, sigma, total, [float(x) for f in facts for x in f], asked))
+            yield pd.DataFrame(rows, columns=["item_id", "low", "high", "step", "sigma", "total", "known", "asked"])
+
+    fields = f"item_id {kind}, low double, high double, step int, sigma double, total double, known array<double>, asked array<double>"
+    state = materialize(data.dropDuplicates(["item_id"]).mapInPandas(guess, fields))
     while not state.filter(F.col("step") < STEPS).isEmpty():
-        ranged = materialize(state.select("item_id", "vec", F.array("low", "high", (F.col("step") >= STEPS).cast("double")).alias("range")))
-        parts = blocks.self_pairs(ranged, "range").reduce(kernel, f"item_id {kind}, sums array<double>")
+        asking = materialize(data.join(state.select("item_id", "asked"), "item_id"))
+        parts = blocks.self_pairs(asking, "asked").reduce(kernel, f"item_id {kind}, sums array<double>")
         sums = parts.groupBy("item_id").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-        going = state.filter(F.col("step") < STEPS).select("item_id", "low", "high", "step").join(sums, "item_id")
-        moved = going.mapInPandas(decide, f"item_id {kind}, low double, high double, step int, sigma double, total double")
-        still = state.filter(F.col("step") >= STEPS)
-        state = materialize(still.unionByName(state.select("item_id", "vec").join(moved, "item_id").select(*state.columns)))
-    return state.select("item_id", "vec", "sigma", "total")
+        moved = state.filter(F.col("step") < STEPS).join(sums, "item_id").mapInPandas(decide, fields)
+        state = materialize(state.filter(F.col("step") >= STEPS).unionByName(moved))
+    return data.join(state.select("item_id", "sigma", "total"), "item_id")
 
 
-def affinities(vectors: DataFrame, perplexity: float = 30.0, widths: DataFrame | None = None) -> DataFrame:
+def affinities(vectors: DataFrame, perplexity: float = 30.0, widths: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """Symmetric Gaussian affinities ``item_id, neighbor, p`` at a wanted perplexity, or at given ``widths`` (as ``bandwidths``).
 
     An item's own weight counts in the normalisation and is then set to 0. A pair is a row if either item's share of the other
-    is more than ``LEAST_SHARE``.
+    is more than ``LEAST_SHARE``. ``packed`` gives them as rows of arrays ``item_id, neighbors, p``, several an item.
     """
     kind = dict(vectors.dtypes)["item_id"]
     known = bandwidths(vectors, perplexity) if widths is None else widths
@@ -297,13 +374,26 @@ def affinities(vectors: DataFrame, perplexity: float = 30.0, widths: DataFrame |
 
     def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        sq = blocks.euclidean(blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))) ** 2
+        x, y = blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))
         q, d = (np.stack([np.asarray(r, float) for r in row[f"{side}_width"]]) for side in "qd")
-        one = np.exp(-sq / (2 * q[:, 0] ** 2)[:, None]) / q[:, 1, None]
-        two = np.exp(-sq / (2 * d[:, 0] ** 2)[None, :]) / d[None, :, 1]
-        p = np.where(one > LEAST_SHARE, one, 0) + np.where(two > LEAST_SHARE, two, 0)
-        p[q_ids[:, None] == d_ids[None, :]] = 0
-        i, j = np.nonzero(p)
-        yield pd.DataFrame({"item_id": q_ids[i], "neighbor": d_ids[j], "p": p[i, j] / (2 * n)})
-
-    return blocks.self_pairs(known, "width").reduce(kernel, f"item_id {kind}, neighbor {kind}, p double")
+        step = max(1, blocks.TILE_VALUES // 4 // max(len(d_ids), 1))
+        for at in range(0, len(q_ids), step):
+            rows = slice(at, at + step)
+            sq = blocks.euclidean(x[rows], y) ** 2
+            p = np.exp(-sq / (2 * q[rows, 0] ** 2)[:, None]) / q[rows, 1, None]
+            p[p <= LEAST_SHARE] = 0
+            two = np.exp(-sq / (2 * d[:, 0] ** 2)[None, :]) / d[None, :, 1]
+            two[two <= LEAST_SHARE] = 0
+            p += two
+            p[q_ids[rows, None] == d_ids[None, :]] = 0
+            i, j = np.nonzero(p)
+            ends = np.searchsorted(i, np.arange(1, len(p)))
+            shares, others = np.split(p[i, j] / (2 * n), ends), np.split(d_ids[j], ends)
+            some = [k for k, a in enumerate(shares) if len(a)]
+            yield pd.DataFrame({"item_id": q_ids[rows][some], "neighbors": [others[k] for k in some], "p": [shares[k] for k in some]})
+
+    # a cell holds rows for all of its pairs of items, so cells are small
+    found = blocks.self_pairs(known, "width").reduce(kernel, f"item_id {kind}, neighbors array<{kind}>, p array<double>", most=2)
+    if packed:
+        return found
+    return found.select("item_id", F.inline(F.arrays_zip(F.col("neighbors").alias("neighbor"), "p")))

@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from assaygrid.operators import blocks, impute
-from tests.test_models import back, make, points
+from assaygrid.operators import blocks, impute, ordination
+from tests.test_models import back, distances, make, points
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
@@ -52,3 +52,47 @@ def test_masked_search_is_lean():
     assert (j.reshape(600, 3) == np.argsort(want, axis=1, kind="stable")[:, :3]).all()
     k, m, again = blocks.nearest_in(q, d, np.arange(900), 3, dist.reshape(600, 3)[:, 2], masked=True)
     assert (k == i).all() and (m == j).all() and (again == dist).all()
+
+
+@pytest.mark.parametrize("items,perplexity", [(80, 12.0), (9, 30.0), (1, 30.0)])
+def test_bandwidths_follow_the_bisection(spark, items, perplexity, monkeypatch):
+    """Widths and sums are those of a plain bisection, in few passes over the pairs."""
+    rng = np.random.default_rng(54)
+    v = rng.normal(size=(items, 4))
+    v[: items // 8] = v[0]
+    passes = []
+    monkeypatch.setattr(ordination.blocks, "self_pairs", lambda *a, was=blocks.self_pairs: passes.append(1) or was(*a))
+    got = {r["item_id"]: (r["sigma"], r["total"]) for r in ordination.bandwidths(points(spark, v), perplexity).collect()}
+    sq, target = distances(v) ** 2, np.log(min(perplexity, max(items - 1, 1)))
+    for i in range(items):
+        low, high = 1e-10, 1e4
+        for _ in range(50):
+            mid = (low + high) / 2
+            with np.errstate(over="ignore"):
+                w = np.exp(-sq[i] / (2 * mid * mid))
+            total = w.sum()
+            entropy = ((sq[i] * w).sum() / (2 * mid * mid) + (total - 1) * np.log(total)) / total
+            if abs(entropy - target) < 1e-3:
+                break
+            low, high = (mid, high) if entropy < target else (low, mid)
+        assert got[i] == pytest.approx((mid, total), rel=1e-6)
+    assert items < 80 or ordination.ASKED * len(passes) < 60
+
+
+def test_packed_affinities(spark):
+    """Packed rows hold the same pairs as plain ones, and the distances from labels are summed without pair rows."""
+    v = np.random.default_rng(55).normal(size=(60, 4))
+    plain = {(r["item_id"], r["neighbor"]): r["p"] for r in ordination.affinities(points(spark, v), 8.0).collect()}
+    rows = ordination.affinities(points(spark, v), 8.0, packed=True).collect()
+    packed = {(r["item_id"], j): p for r in rows for j, p in zip(r["neighbors"], r["p"])}
+    assert len(plain) > 60 and packed == pytest.approx(plain)
+
+
+def test_tiled_distances(monkeypatch):
+    """Tiles change nothing, equal rows have distance 0 and label sums leave the item itself out."""
+    v = np.random.default_rng(56).normal(size=(90, 5))
+    v[40:50] = v[3]
+    whole = blocks.euclidean(v, v)
+    monkeypatch.setattr(blocks, "TILE_VALUES", 500)
+    assert (np.abs(blocks.euclidean(v, v) - whole) < 1e-12).all() and whole == pytest.approx(distances(v), abs=1e-9)
+    assert (whole[40:50, 3] == 0).all()
