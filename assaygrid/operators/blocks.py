@@ -9,7 +9,7 @@ never rows of a table.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -457,43 +457,50 @@ def nearest_pruned(queries: Near, donors: Near, k: int, id_type: str, donor: str
 
 
 def label_distances(pairs: Pairs, label: str = "label", id_type: str = "bigint", label_type: str = "string") -> DataFrame:
-    """Sum of distances from every item to the members of every label: ``item_id, own, label, total, n``.
+    """Sum of distances from every item to the members of every label: ``item_id, labelling, own, label, total, n``.
 
-    The item itself is left out.
+    ``label`` is an array with an item's label in each of some labellings; distances are computed once for all of them. The item
+    itself is left out.
     """
 
     def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        own, labels = np.asarray(row[f"q_{label}"]), np.asarray(row[f"d_{label}"])
-        names, member = np.unique(labels, return_inverse=True)
-        of = np.eye(len(names))[member]
+        own, labels = (list(zip(*row[f"{side}_{label}"])) for side in "qd")  # one tuple per labelling
+        coded = [np.unique(np.asarray(x), return_inverse=True) for x in labels]
+        starts = np.cumsum([0] + [len(names) for names, _ in coded])
+        member = np.stack([at + which for at, (_, which) in zip(starts, coded)])
+        of = np.zeros((len(d_ids), starts[-1]))
+        of[np.arange(len(d_ids)), member] = 1
         q, d = matrix(row["q_vecs"], len(q_ids)), matrix(row["d_vecs"], len(d_ids))
-        total, n = np.empty((len(q_ids), len(names))), np.empty((len(q_ids), len(names)))
+        total, n = np.empty((len(q_ids), starts[-1])), np.empty((len(q_ids), starts[-1]))
         step = max(1, TILE_VALUES // 2 // max(1, len(d_ids)))
         for at in range(0, len(q_ids), step):
             dist = euclidean(q[at : at + step], d)
             i, j = np.nonzero(q_ids[at : at + step, None] == d_ids[None, :])
             dist[i, j] = 0
             total[at : at + step], n[at : at + step] = dist @ of, of.sum(0)
-            np.subtract.at(n, (at + i, member[j]), 1)
-        for c, name in enumerate(names):
-            yield pd.DataFrame({"item_id": q_ids, "own": own, "label": name, "total": total[:, c], "n": n[:, c].astype("int64")})
-
-    schema = f"item_id {id_type}, own {label_type}, label {label_type}, total double, n long"
+            for column in member:
+                np.subtract.at(n, (at + i, column[j]), 1)
+        for which, (names, _) in enumerate(coded):
+            for c, name in enumerate(names):
+                at = starts[which] + c
+                yield pd.DataFrame({"item_id": q_ids, "labelling": which, "own": np.asarray(own[which]), "label": name, "total": total[:, at], "n": n[:, at].astype("int64")})
+
+    schema = f"item_id {id_type}, labelling int, own {label_type}, label {label_type}, total double, n long"
     parts = pairs.reduce(kernel, schema)
-    return parts.groupBy("item_id", "own", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return parts.groupBy("item_id", "labelling", "own", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def silhouette(vectors: DataFrame, label: str = "label") -> DataFrame:
-    """Euclidean silhouette of every item: ``item_id, label, a, b, silhouette``.
+def silhouettes(vectors: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Euclidean silhouette of every item in each labelling: ``labelling, item_id, label, a, b, silhouette``, from one pass over the pairs.
 
     A single member of a label has silhouette 0, as has an item when there is only one label.
     """
     kinds = dict(vectors.dtypes)
-    stored = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec"), F.col(label).alias("label")))
-    sums = label_distances(self_pairs(stored, "label"), "label", kinds["item_id"], kinds[label])
+    stored = materialize(vectors.select("item_id", F.col("vec").cast("array<double>").alias("vec"), F.array(*labels).alias("label")))
+    sums = label_distances(self_pairs(stored, "label"), "label", kinds["item_id"], kinds[labels[0]])
     mean = F.col("total") / F.col("n")
-    per = sums.groupBy("item_id", F.col("own").alias("label")).agg(
+    per = sums.groupBy("labelling", "item_id", F.col("own").alias("label")).agg(
         F.max(F.when((F.col("own") == F.col("label")) & (F.col("n") > 0), mean)).alias("a"),
         F.min(F.when((F.col("own") != F.col("label")) & (F.col("n") > 0), mean)).alias("b"),
     )
@@ -502,6 +509,11 @@ def silhouette(vectors: DataFrame, label: str = "label") -> DataFrame:
     return per.withColumn("silhouette", F.coalesce(value, F.lit(0.0)))
 
 
+def silhouette(vectors: DataFrame, label: str = "label") -> DataFrame:
+    """Euclidean silhouette of every item: ``item_id, label, a, b, silhouette``."""
+    return silhouettes(vectors, [label]).drop("labelling")
+
+
 def nearest_outside(near: Near, labels: DataFrame, known: DataFrame | None, id_type: str = "bigint") -> tuple[DataFrame, int]:
     """Ways out of every label: ``label, other, distance, lo, hi``, among them the shortest (ties by ids); and the block pairs computed.
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -30,15 +30,20 @@ def _features(vectors: DataFrame) -> DataFrame:
     return vectors.select("item_id", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
 
 
-def kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, init: str = "k-means||", max_iter: int = 300) -> tuple[DataFrame, float]:
-    """Best of ``n_init`` seeded runs by inertia: assignments ``item_id, vec, cluster`` and the inertia."""
-    data = materialize(_features(vectors))
+def _best_model(data: DataFrame, k: int, n_init: int, seed: int, init: str = "k-means||", max_iter: int = 300, out: str = "cluster") -> KMeansModel:
     best = None
     for i in range(n_init):
-        algorithm = KMeans(k=k, seed=seed + i, initMode=init, maxIter=max_iter, tol=1e-6, featuresCol="features", predictionCol="cluster")
+        algorithm = KMeans(k=k, seed=seed + i, initMode=init, maxIter=max_iter, tol=1e-6, featuresCol="features", predictionCol=out)
         model = algorithm.fit(data)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
+    return best
+
+
+def kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, init: str = "k-means||", max_iter: int = 300) -> tuple[DataFrame, float]:
+    """Best of ``n_init`` seeded runs by inertia: assignments ``item_id, vec, cluster`` and the inertia."""
+    data = materialize(_features(vectors))
+    best = _best_model(data, k, n_init, seed, init, max_iter)
     return best.transform(data).select("item_id", "vec", "cluster"), best.summary.trainingCost
 
 
@@ -54,13 +59,18 @@ def assignments(clustered: DataFrame, with_silhouette: bool = True) -> DataFrame
 
 
 def k_sweep(vectors: DataFrame, k_min: int = 2, k_max: int = 10, n_init: int = 3, seed: int = 42, with_silhouette: bool = True) -> DataFrame:
-    """Inertia and mean silhouette for every k."""
-    vectors = materialize(vectors)
-    rows = []
-    for k in range(k_min, k_max + 1):
-        clustered, inertia = kmeans(vectors, k, n_init, seed)
-        mean = blocks.silhouette(clustered, "cluster").agg(F.avg("silhouette")).first()[0] if with_silhouette else None
-        rows.append((k, float(inertia), mean))
+    """Inertia and mean silhouette for every k; the distances between items are computed once for all of them."""
+    data = materialize(_features(vectors))
+    sizes = list(range(k_min, k_max + 1))
+    models = [_best_model(data, k, n_init, seed, out=f"cluster_{k}") for k in sizes]
+    means = {}
+    if with_silhouette and sizes:
+        labelled = data
+        for model in models:
+            labelled = model.transform(labelled)
+        scored = blocks.silhouettes(labelled, [f"cluster_{k}" for k in sizes])
+        means = {r["labelling"]: r["mean"] for r in scored.groupBy("labelling").agg(F.avg("silhouette").alias("mean")).collect()}
+    rows = [(k, float(model.summary.trainingCost), means.get(i)) for i, (k, model) in enumerate(zip(sizes, models))]
     return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from assaygrid.operators import blocks, impute, ordination
+from assaygrid.operators import blocks, cluster, impute, ordination
 from tests.test_models import back, distances, make, points
 
 
@@ -96,3 +96,22 @@ def test_tiled_distances(monkeypatch):
     monkeypatch.setattr(blocks, "TILE_VALUES", 500)
     assert (np.abs(blocks.euclidean(v, v) - whole) < 1e-12).all() and whole == pytest.approx(distances(v), abs=1e-9)
     assert (whole[40:50, 3] == 0).all()
+
+
+def test_sweep_meets_pairs_once(spark, monkeypatch):
+    """All labellings share one pass over the pairs of blocks; each has the silhouettes of its own clusters."""
+    rng = np.random.default_rng(57)
+    v = rng.normal(size=(70, 3)) + rng.integers(0, 3, 70)[:, None] * 4
+    labels, passes, d = rng.integers(0, 4, (70, 3)), [], distances(v)
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", 60)
+    monkeypatch.setattr(blocks, "self_pairs", lambda *a, was=blocks.self_pairs: passes.append(1) or was(*a))
+    rows = [(i, [float(x) for x in v[i]], *map(int, labels[i])) for i in range(70)]
+    df = spark.createDataFrame(rows, "item_id long, vec array<double>, l0 int, l1 int, l2 int")
+    got = {(r["labelling"], r["item_id"]): (r["label"], r["silhouette"]) for r in blocks.silhouettes(df, ["l0", "l1", "l2"]).collect()}
+    assert len(passes) == 1 and len(got) == 210
+    for c in range(3):
+        for i in range(70):
+            mean = {x: d[i, (labels[:, c] == x) & (np.arange(70) != i)].mean() for x in range(4)}
+            a, b = mean[labels[i, c]], min(m for x, m in mean.items() if x != labels[i, c])
+            assert got[c, i] == (labels[i, c], pytest.approx((b - a) / max(a, b)))
+    assert [r["k"] for r in cluster.k_sweep(points(spark, v), 2, 4, 1).collect()] == [2, 3, 4] and len(passes) == 2
