@@ -158,6 +158,37 @@ def test_spearman(spark):
         assert r["r"] == pytest.approx(want)
 
 
+def test_spearman_in_parts(spark, monkeypatch):
+    """Parts of a bounded size, though most values of an item are equal; an item may come twice in a key, and a key may be null."""
+    from assaygrid.operators import pairs
+
+    monkeypatch.setattr(pairs, "SECTION", 700)
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((300, 70)) < 0.6, 2.0, rng.integers(0, 5, size=(300, 70)).astype(float))
+    x[rng.random(x.shape) < 0.8] = np.nan
+    at = list(zip(*np.nonzero(~np.isnan(x))))
+    rows = [(None if f == 7 else int(f), int(s), float(x[f, s])) for f, s in at]
+    df = spark.createDataFrame(rows, "f int, idx int, value double")
+    stored, longest = [], pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda d: stored.append(longest(d)) or stored[-1])
+    got = {(r["i"], r["j"]): r["r"] for r in rank_sums(df, "f", 70).withColumn("r", spearman(*[F.col(c) for c in ("n", "cross", "square_i", "square_j")])).collect()}
+    sizes = [r["count"] for r in stored[-1].groupBy(pairs.PART).count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 200
+
+    def ranks(v):
+        return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+    for (i, j), r in got.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        a, b = ranks(x[both, i]), ranks(x[both, j])
+        assert (r is None) == (a.std() == 0 or b.std() == 0)
+        if r is not None:
+            assert r == pytest.approx(np.corrcoef(a, b)[0, 1])
+    assert len(got) == sum(1 for i in range(70) for j in range(i) if (~np.isnan(x[:, i]) & ~np.isnan(x[:, j])).any())
+    twice = rank_sums(df.filter("idx < 4").unionByName(df.filter("idx < 4")), "f", 4).collect()
+    assert {(r["i"], r["j"]): r["n"] for r in twice} == {(i, j): (~np.isnan(x[:, i]) & ~np.isnan(x[:, j])).sum() for i in range(4) for j in range(i + 1, 4)}
+
+
 @pytest.mark.parametrize("n", [19_999, 20_000, 20_001, 20_050])
 def test_quantiles_at_the_border(spark, n):
     """Groups on either side of the bracket's border have the quantiles of the sorted values."""
