@@ -15,6 +15,8 @@ from assaygrid.operators.enrich import walk
 from assaygrid.operators.qc import zscore_rows
 from assaygrid.operators.ranking import average_ranks, row_numbers
 from assaygrid.runtime import materialize
+
+PAIRS = 500_000  # pairs of values whose kernel is computed together
 DIGITS = 9  # log odds are rounded, so that the order of a sum does not decide a rank
 # Abramowitz and Stegun 7.1.26.
 AS_P = 0.3275911
@@ -37,31 +39,38 @@ def _phi(z: np.ndarray) -> np.ndarray:
 
 
 def _log_odds(kernel: str):
-    """Kernel estimate of each gene's distribution at its own values, as log odds."""
+    """Kernel estimate of each gene's distribution at its own values, as log odds; many genes of one length at a time."""
+
+    def estimate(x: np.ndarray) -> np.ndarray:
+        own, others = x[:, :, None], x[:, None, :]
+        if kernel == "poisson":
+            shape = (*x.shape, x.shape[1])
+            k, rate = (np.broadcast_to(v, shape).ravel() for v in (np.floor(own), others + 0.5))
+            return np.where(k < 0, 0.0, np.where(rate <= 0, 1.0, _gamma_q_np(k + 1, np.maximum(rate, 1e-300)))).reshape(shape).mean(axis=2)
+        width = x.std(axis=1, ddof=1) / 4
+        width = np.where(width > 0, width, 0.001)
+        return _phi((own - others) / width[:, None, None]).mean(axis=2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            features, samples, scores = [], [], []
-            for feature, ids, values in zip(pdf["feature_id"], pdf["ids"], pdf["values"]):
-                x = np.asarray(values, dtype=float)
+            lengths = pdf["values"].map(len).to_numpy()
+            for length in np.unique(lengths):
+                rows = pdf[lengths == length]
+                x = np.stack([np.asarray(v, dtype=float) for v in rows["values"]])
+                # a series is as long as the largest value beside it needs, so genes of like size go together
+                order = np.argsort(x.max(axis=1), kind="stable")
                 if kernel == "poisson":
-                    if x.min() < -0.5:
+                    order = order[~(x[order].min(axis=1) < -0.5)]
+                for at in np.array_split(order, -(-len(order) * int(length) ** 2 // PAIRS) or 1):
+                    if not len(at):
                         continue
-                    k, rate = np.repeat(np.floor(x), len(x)), np.tile(x + 0.5, len(x))
-                    lt = np.where(k < 0, 0.0, np.where(rate <= 0, 1.0, _gamma_q_np(k + 1, np.maximum(rate, 1e-300)))).reshape(len(x), -1).mean(axis=1)
-                else:
-                    width = x.std(ddof=1) / 4
-                    width = width if width > 0 else 0.001
-                    lt = _phi((x[:, None] - x[None, :]) / width).mean(axis=1)
-                with np.errstate(divide="ignore"):
-                    z = -np.log((1 - lt) / lt)
-                features.append(np.repeat(feature, len(x)))
-                samples.append(np.asarray(ids))
-                scores.append(np.round(z, DIGITS))
-            if features:
-                yield pd.DataFrame(
-                    {"feature_id": np.concatenate(features), "sample_id": np.concatenate(samples), "value": np.concatenate(scores)}
-                )
+                    lt = estimate(x[at])
+                    with np.errstate(divide="ignore"):
+                        z = -np.log((1 - lt) / lt)
+                    ids = rows.iloc[at]
+                    yield pd.DataFrame(
+                        {"feature_id": np.repeat(ids["feature_id"].to_numpy(), length), "sample_id": np.concatenate(list(ids["ids"])), "value": np.round(z, DIGITS).ravel()}
+                    )
 
     return run
 

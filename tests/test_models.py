@@ -4,6 +4,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -493,3 +494,31 @@ def test_top_intersections_of_many_sets(spark):
     want = sorted(sizes, key=lambda e: (-e[1], len(e[0]), e[0]))[:500]
     assert want[-1][1] >= 60 and max(len(c) for c, _ in want) == 3
     assert got == [(tuple(names[i] for i in c), n) for c, n in want]
+
+
+@pytest.mark.parametrize("kernel", ["poisson", "gaussian"])
+def test_gene_kernels_by_the_batch(spark, monkeypatch, kernel):
+    """Genes of any size side by side have the log odds of their own values, and a batch takes few calls."""
+    from assaygrid.functions import special
+    from assaygrid.operators import gsva
+
+    rng = np.random.default_rng(8)
+    x = np.floor(np.exp(rng.uniform(0, 7, size=(400, 1))) * rng.uniform(0.5, 2, size=(400, 6)))
+    x[5, 2] = -3.0
+    pdf = pd.DataFrame({"feature_id": np.arange(400), "ids": [np.array(list("abcdef"))] * 400, "values": list(x)})
+    calls = []
+    monkeypatch.setattr(gsva, "_gamma_q_np", lambda *a: calls.append(1) or special._gamma_q_np(*a))
+    monkeypatch.setattr(gsva, "PAIRS", 2000)
+    got = pd.concat(gsva._log_odds(kernel)(iter([pdf, pdf.head(0)])))
+    assert len(calls) <= 20
+    assert set(got["feature_id"]) == set(range(400)) - ({5} if kernel == "poisson" else set())
+    got = got.set_index(["feature_id", "sample_id"])["value"]
+    for f in (0, 17, 399, int(np.argmax(x.max(axis=1)))):
+        v = x[f]
+        if kernel == "poisson":
+            lt = [np.mean([math.exp(-(r + 0.5)) * sum(math.exp(i * math.log(r + 0.5) - math.lgamma(i + 1)) for i in range(int(k) + 1)) if r < 600 else
+                           sum(math.exp(i * math.log(r + 0.5) - math.lgamma(i + 1) - (r + 0.5)) for i in range(int(k) + 1)) for r in v]) for k in v]
+        else:
+            lt = [np.mean([0.5 * (1 + math.erf((a - b) / (v.std(ddof=1) / 4) / math.sqrt(2))) for b in v]) for a in v]
+        want = [-math.log((1 - p) / p) if 0 < p < 1 else math.inf for p in lt]
+        assert [got[f, s] for s in "abcdef"] == pytest.approx(want, rel=1e-4, abs=1e-4)
