@@ -107,7 +107,8 @@ def batch_stats(assay: Assay, col: str) -> DataFrame:
 
 def batch_metrics(assay: Assay, col: str, scale: str = "auto") -> DataFrame:
     """One row: R2 mean, median and high share, mean silhouette, eta squared of PC1 and PC2."""
-    summary = batch_r2_summary(batch_r2(assay, col, scale))
+    assay = assay.with_cells(materialize(assay.cells))  # every metric reads them
+    summary = batch_r2_summary(materialize(batch_r2(assay, col, scale)))
     labels = assay.samples.select("sample_id", F.coalesce(F.nullif(F.trim(F.col(col)), F.lit("")), F.lit("(unassigned)")).alias("label"))
     scores = materialize(sample_pca(assay, 2).scores.join(labels, "sample_id"))
     vectors = scores.select(F.col("sample_id").alias("item_id"), F.array("pc1", "pc2").alias("vec"), "label")
