@@ -85,13 +85,13 @@ def number_duplicates(df: DataFrame, col: str, order: str) -> DataFrame:
     """Second and later rows of a name, by ``order``, get _2, _3, ... A name may hold any number of rows.
 
     Where such a name is already there, the later row gets a number in turn, until all names differ. Null
-    names stay null.
+    names stay null. ``df`` is stored first, as it is read several times.
     """
+    df = materialize(df)
     while True:
-        repeated = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_rn")).filter("_rn > 1").select(col)
+        repeated = materialize(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_rn")).filter("_rn > 1").select(col))
         if repeated.isEmpty():
             return df
-        repeated = materialize(repeated)
         ranked = row_numbers(df.join(repeated, col, "left_semi"), [(order, True)], [col], n_groups=BROADCAST_ROWS + 1, out="_rn")
         numbered = F.concat(F.col(col), F.lit("_"), F.col("_rn").cast("string"))
         renamed = ranked.withColumn(col, F.when(F.col("_rn") > 1, numbered).otherwise(F.col(col))).drop("_rn")
