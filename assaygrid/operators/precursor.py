@@ -12,6 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaygrid.runtime import materialize, shuffle_partitions
+
+ROWS = 250_000  # rows of a peptide table that one task sorts
+
 
 def blank_to_null(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
@@ -109,10 +113,33 @@ def protein_matrix(p: DataFrame, method: str = "maxlfq", intensity: str = "norma
     return out.orderBy(F.desc("total"), "protein_group")
 
 
-def _gene_rows(p: DataFrame) -> DataFrame:
+def _by_gene(p: DataFrame) -> DataFrame:
     genes = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col("genes"), F.lit("")), ";"), lambda g: F.trim(g)), lambda g: g != ""))
     some = F.when(F.size(genes) > 0, genes).otherwise(F.array(F.lit("Unknown")))
-    return p.withColumn("group_", group_key()).withColumn("key", F.explode(some)).withColumn("pep", sequence_key())
+    return p.withColumn("key", F.explode(some))
+
+
+def _gene_rows(p: DataFrame) -> DataFrame:
+    return _by_gene(p.withColumn("group_", group_key()).withColumn("pep", sequence_key()))
+
+
+def _gene_parts(p: DataFrame, method: str, intensity: str) -> DataFrame:
+    """Rows for every column of the gene matrix, stored once and not yet dealt to their genes; ``label`` holds the
+    precursor and its protein names.
+
+    Rows that agree in genes, protein group, run and peptide are merged.
+    """
+    named = p.withColumn("group_", group_key()).withColumn("pep", sequence_key())
+    keys = ["genes", "group_", "run", "pep"]
+    label = F.when(F.col("precursor_id").isNotNull(), F.struct("precursor_id", "protein_names"))
+    if method == "top3":
+        return materialize(named.select(*keys, intensity, "precursor_id", "maxlfq", "proteotypic", label.alias("label")))
+    first = F.min(F.when(F.col("maxlfq") > 0, F.struct("precursor_id", "maxlfq"))) if method == "maxlfq" else F.lit(None).cast("struct<precursor_id: string, maxlfq: double>")
+    merged = named.groupBy(*keys).agg(
+        F.sum(F.coalesce(F.col(intensity), F.lit(0.0))).alias(intensity), first.alias("m"),
+        F.max((F.col("proteotypic") == 1).cast("int")).alias("proteotypic"), F.min(label).alias("label"),
+    )
+    return materialize(merged.select(*keys, intensity, *[F.col("m")[c].alias(c) for c in ("precursor_id", "maxlfq")], "proteotypic", "label"))
 
 
 def gene_values(p: DataFrame, method: str = "maxlfq", intensity: str = "normalised") -> DataFrame:
@@ -125,14 +152,23 @@ def gene_groups(p: DataFrame) -> DataFrame:
     return _gene_rows(p).select(F.col("key").alias("gene"), F.col("group_").alias("protein_group")).distinct()
 
 
+def gene_tables(p: DataFrame, method: str = "maxlfq", intensity: str = "normalised") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``gene_matrix`` (in no order), ``gene_values`` and ``gene_groups`` give, from one reading of ``p``."""
+    rows = _gene_parts(p, method, intensity)
+    values = materialize(_run_values(_by_gene(rows), method, intensity))
+    # what a gene needs is merged by the genes as they are listed before it is dealt to each of them
+    groups = materialize(_by_gene(rows.select("genes", "group_").distinct()).select("key", "group_").distinct())
+    counts = groups.groupBy("key").agg(F.count("*").alias("n_protein_groups"))
+    labels = _by_gene(rows.groupBy("genes").agg(F.min("label").alias("label"))).groupBy("key").agg(F.min("label")["protein_names"].alias("protein_names"))
+    peps = rows.groupBy("genes", "pep").agg(F.max((F.col("proteotypic") == 1).cast("int")).alias("proteotypic"))
+    matrix = _summary(values, _by_gene(peps)).join(counts, "key").join(labels, "key").withColumnRenamed("key", "gene")
+    groups = groups.select(F.col("key").alias("gene"), F.col("group_").alias("protein_group"))
+    return matrix, values.withColumnRenamed("key", "gene"), groups
+
+
 def gene_matrix(p: DataFrame, method: str = "maxlfq", intensity: str = "normalised") -> DataFrame:
     """One row per gene with its summary and the number of protein groups, largest total first."""
-    rows = _gene_rows(p)
-    summary = _summary(_run_values(rows, method, intensity), rows)
-    groups = rows.select("key", "group_").distinct().groupBy("key").agg(F.count("*").alias("n_protein_groups"))
-    labels = rows.groupBy("key").agg(F.min_by("protein_names", "precursor_id").alias("protein_names"))
-    out = summary.join(groups, "key").join(labels, "key").withColumnRenamed("key", "gene")
-    return out.orderBy(F.desc("total"), "gene")
+    return gene_tables(p, method, intensity)[0].orderBy(F.desc("total"), "gene")
 
 
 def precursor_key() -> Column:
@@ -155,24 +191,37 @@ def of_group(p: DataFrame, group: str | None = None, gene: str | None = None) ->
     return p
 
 
-def peptide_matrix(p: DataFrame, intensity: str = "normalised", order: str = "rt") -> DataFrame:
-    """One row per precursor: labels, smallest q-values (1 when none), quantification summary."""
-    rows = p.withColumn("precursor_id", precursor_key())
+def peptide_table(p: DataFrame, run_names: Sequence[str] = (), intensity: str = "normalised", order: str = "rt") -> DataFrame:
+    """``peptide_matrix`` in no order, with a column of ``peptide_values`` for each named run.
+
+    One shuffle by precursor into as many partitions as the rows need, so a task's sort stays bounded; rows of a
+    precursor are merged per run first.
+    """
     label_cols = ["stripped_sequence", "modified_sequence", "charge", "protein_group", "protein_names", "genes", "proteotypic", "mz", "rt"]
-    per = rows.groupBy("precursor_id").agg(
-        F.min_by(F.struct(*label_cols), F.struct(order, "run")).alias("l"),
-        *[F.coalesce(F.min(c), F.lit(1.0)).alias(c) for c in ("q_value", "global_q_value", "pg_q_value")],
+    q_cols = ["q_value", "global_q_value", "pg_q_value"]
+    parts = max(shuffle_partitions(p.sparkSession), -(-p.count() // ROWS))
+    rows = p.withColumn("precursor_id", precursor_key())
+    rows = rows.select(*dict.fromkeys(["precursor_id", "run", *label_cols, *q_cols, intensity, order])).repartition(parts, "precursor_id")
+    place, x = F.struct(order, "run"), F.col(intensity)
+    per_run = rows.groupBy("precursor_id", "run").agg(
+        F.max(F.when(x > 0, F.struct(order, intensity)))[intensity].alias("_v"), F.min(place).alias("_o"), F.min_by(F.struct(*label_cols), place).alias("l"), *[F.min(c).alias(c) for c in q_cols]
     )
-    quant = peptide_values(p, intensity, order).groupBy("precursor_id").agg(
-        F.count("value").alias("detected_runs"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.max("value").alias("max")
+    v = F.col("_v")
+    summary = {"detected_runs": F.count(v), "total": F.sum(v), "mean": F.avg(v), "max": F.max(v)}
+    per = per_run.groupBy("precursor_id").agg(
+        F.min_by("l", "_o").alias("l"),
+        *[F.coalesce(F.min(c), F.lit(1.0)).alias(c) for c in q_cols],
+        *[F.coalesce(f, F.lit(0)).alias(c) for c, f in summary.items()],
+        *[F.max(F.when(F.col("run") == r, v)).alias(r) for r in run_names],
     )
-    joined = per.join(quant, "precursor_id", "left").fillna(0, ["detected_runs", "total", "mean", "max"])
     yes = F.when(F.col("l.proteotypic") == 1, "Yes").otherwise("No")
-    out = joined.select(
-        "precursor_id", *[F.col(f"l.{c}").alias(c) for c in label_cols if c != "proteotypic"], yes.alias("proteotypic"),
-        "q_value", "global_q_value", "pg_q_value", "detected_runs", "total", "mean", "max",
-    )
-    return out.orderBy(F.desc("total"), "precursor_id")
+    runs_ = ["`" + r.replace("`", "``") + "`" for r in run_names]
+    return per.select("precursor_id", *[F.col(f"l.{c}").alias(c) for c in label_cols if c != "proteotypic"], yes.alias("proteotypic"), *q_cols, *summary, *runs_)
+
+
+def peptide_matrix(p: DataFrame, intensity: str = "normalised", order: str = "rt") -> DataFrame:
+    """One row per precursor: labels, smallest q-values (1 when none), quantification summary."""
+    return peptide_table(p, (), intensity, order).orderBy(F.desc("total"), "precursor_id")
 
 
 def to_cells(values: DataFrame, key: str) -> DataFrame:

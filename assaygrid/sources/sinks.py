@@ -29,10 +29,10 @@ def write_pg_matrix(p: DataFrame, path: str, runs: Sequence[str], method: str =
 
 def write_gene_matrix(p: DataFrame, path: str, runs: Sequence[str], method: str = "maxlfq", intensity: str = "normalised") -> None:
     """Gene matrix with counts and the list of protein groups."""
-    values = precursor.wide(precursor.gene_values(p, method, intensity), "gene", runs)
-    groups = precursor.gene_groups(p).groupBy("gene").agg(F.array_join(F.sort_array(F.collect_list("protein_group")), "; ").alias("groups"))
-    labels = precursor.gene_matrix(p, method, intensity).join(groups, "gene")
-    out = labels.join(values, "gene").select(
+    labels, long, members = precursor.gene_tables(p, method, intensity)
+    values = precursor.wide(long, "gene", runs)
+    groups = members.groupBy("gene").agg(F.array_join(F.sort_array(F.collect_list("protein_group")), "; ").alias("groups"))
+    out = labels.join(groups, "gene").join(values, "gene").select(
         F.col("gene").alias("Genes"), F.col("protein_names").alias("Protein.Names"), F.col("n_sequences").alias("N.Sequences"),
         F.col("n_proteotypic").alias("N.Proteotypic.Sequences"), F.col("n_protein_groups").alias("N.Protein.Groups"),
         F.col("groups").alias("Protein.Groups"), *runs,
@@ -42,13 +42,12 @@ def write_gene_matrix(p: DataFrame, path: str, runs: Sequence[str], method: str
 
 def write_peptide_matrix(p: DataFrame, path: str, runs: Sequence[str], intensity: str = "normalised") -> None:
     """Peptide matrix: eleven label columns, then one column per run."""
-    values = precursor.wide(precursor.peptide_values(p, intensity), "precursor_id", runs)
     names = {
         "precursor_id": "Precursor.Id", "stripped_sequence": "Stripped.Sequence", "modified_sequence": "Modified.Sequence", "charge": "Precursor.Charge",
         "protein_group": "Protein.Group", "protein_names": "Protein.Names", "genes": "Genes", "proteotypic": "Proteotypic", "q_value": "Q.Value",
         "global_q_value": "Global.Q.Value", "pg_q_value": "PG.Q.Value",
     }
-    out = precursor.peptide_matrix(p, intensity).join(values, "precursor_id", "left")
+    out = precursor.peptide_table(p, runs, intensity)
     _write(out.select(*[F.col(a).alias(b) for a, b in names.items()], *runs), path, "\t")
 
 
