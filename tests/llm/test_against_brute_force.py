@@ -316,6 +316,39 @@ def test_thresholds_rise_without_a_loss(monkeypatch):
     assert sum(map(len, given.values())) < 3 * 10 * len(asked)
 
 
+def test_few_rows_are_handed_out(spark, monkeypatch):
+    """However many shards there are: k rows a query from a task, and a few times k rows a query in all."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 40)
+    rng = random.Random(15)
+    words = [f"w{n}" for n in range(400)]
+    texts = [" ".join(words[min(int(rng.expovariate(0.02)), 399)] for _ in range(rng.randrange(30, 60))) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts[:2000])], ["doc_id", "text"])
+    terms = [np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in set(t.split())), np.uint64)).view(np.int64) for t in texts[:100]]
+
+    class shared:
+        value = [(q, q, t, np.ones(len(t)), 0.0) for q, t in enumerate(terms)]
+
+    assert sum(out.num_rows for out in search.searcher(shared, 45.0, 10)(search.shards(iter([batch])))) == 100 * 10
+
+    handed, best = [], search.best
+    monkeypatch.setattr(search, "best", lambda found, k: handed.append(found.count()) or best(found, k))
+    docs = pairs(spark, list(enumerate(texts))).repartition(50)
+    got = search.top_k(docs, docs.filter("doc_id % 50 = 0"), 10).collect()
+    assert len(got) == 80 * 10
+    assert sum(handed) < 250 * 80, handed
+
+
+def test_like_rows_become_neighbours():
+    rng = np.random.default_rng(3)
+    kind = rng.permutation(np.repeat(np.arange(4), 200))
+    x = (rng.random((800, 40)) < np.where(np.arange(40) // 10 == kind[:, None], 0.6, 0.02)).astype(np.float32)
+    order = search.alike(x, 50)
+    assert sorted(order) == list(range(800))
+    assert (np.diff(kind[order]) != 0).sum() < 60  # some 600 in the given order
+    for odd in (np.zeros((0, 3)), np.zeros((90, 0)), np.ones((90, 5)), np.eye(90)):
+        assert sorted(search.alike(odd, 10)) == list(range(len(odd)))
+
+
 # --- models
 
 
