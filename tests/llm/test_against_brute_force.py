@@ -338,6 +338,26 @@ def test_few_rows_are_handed_out(spark, monkeypatch):
     assert sum(handed) < 250 * 80, handed
 
 
+def test_index_rows_are_small(spark, monkeypatch):
+    """A shard takes few bytes a posting, and files end their groups of rows after few shards, so that a task holds little of the index."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(search, "SHARD_ROWS", 200)
+    rng = random.Random(16)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.002)), 9999)}" for _ in range(100)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    built = list(search.shards(iter([batch])))
+    lists = [len(set(t.split())) for t in texts]
+    assert len(built) == 5 and sum(b.nbytes for b in built) < 6 * sum(lists)
+    assert sum(sum(b.column("sizes")[0].as_py()) for b in built) == sum(lists)
+
+    monkeypatch.setitem(search.GROUPS, "parquet.block.row.count.limit", 1)
+    docs = pairs(spark, list(enumerate(texts))).coalesce(1)
+    index = search.stored(docs.mapInArrow(search.shards, search.SHARD))
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    assert sum(g.num_row_groups for g in groups) == sum(g.num_rows for g in groups) == 5
+
+
 def test_like_rows_become_neighbours():
     rng = np.random.default_rng(3)
     kind = rng.permutation(np.repeat(np.arange(4), 200))
