@@ -14,8 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from assaygrid.runtime import materialize
 
@@ -79,6 +82,22 @@ class Pairs:
 
         return q.groupBy("_i", "_j").cogroup(d.groupBy("_i", "_j")).applyInPandas(meet, schema)
 
+    def reduce_once(self, kernel: Callable[[dict, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What ``kernel`` makes of each unordered pair of blocks of a set with itself (``block``, ``ids``, ``vecs`` and extra
+        fields of both); one pair is one task's work at a time."""
+        q = self.queries.withColumn("_j", F.explode(F.sequence(F.col("q_block"), F.lit(self.n_queries - 1))))
+        d = self.donors.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("d_block"))))
+
+        def fields(t: pa.Table, side: str) -> dict:
+            return {n.removeprefix(f"{side}_"): v for n, c in zip(t.column_names, t.columns) if n.startswith(f"{side}_") for v in [c[0]]}
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = list(kernel(fields(left, "q"), fields(right, "d"))) if left.num_rows and right.num_rows else []
+            return pa.Table.from_batches(found, None if found else kinds)
+
+        kinds = to_arrow_schema(_parse_datatype_string(schema))
+        return q.groupBy("q_block", "_j").cogroup(d.groupBy("_i", "d_block")).applyInArrow(meet, schema)
+
 
 def matrix(values: np.ndarray, rows: int) -> np.ndarray:
     return np.asarray(values, dtype=float).reshape(rows, -1)
@@ -89,6 +108,12 @@ def euclidean(q: np.ndarray, d: np.ndarray, tiled: bool = True) -> np.ndarray:
 
     Tiles can round a pair's distance differently from its two ends; the spanning tree goes without them.
     """
+    out = squares(q, d, tiled)
+    return np.sqrt(out, out=out)
+
+
+def squares(q: np.ndarray, d: np.ndarray, tiled: bool = True) -> np.ndarray:
+    """Squared distances, as in ``euclidean``."""
     out = np.empty((len(q), len(d)))
     step = max(1, TILE_VALUES // 2 // max(1, len(d)) if tiled else len(q))
     qq, dd = (q * q).sum(1), (d * d).sum(1)
@@ -107,7 +132,6 @@ def euclidean(q: np.ndarray, d: np.ndarray, tiled: bool = True) -> np.ndarray:
             diff = q[at + i[n : n + part]] - d[j[n : n + part]]
             sq[i[n : n + part], j[n : n + part]] = (diff * diff).sum(1)
         np.maximum(sq, 0, out=sq)
-        np.sqrt(sq, out=sq)
     return out
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -217,66 +219,96 @@ def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
 
 STEPS, CLOSE = 50, 1e-3  # bisections at most, and the entropy's distance from its target that ends them
 LEAST_SHARE = 1e-20  # one-way shares that are not more count as 0
-GUESSED = 1000  # sampled items whose distances give the first guess of a width
-ASKED = 7  # widths of an item that one pass over the pairs adds up
+GUESSED, REFINED = 1000, 3  # sampled items whose distances give the first guess of a width; Newton steps over a larger sample
+ASKED = 2  # widths of an item that one pass over the pairs adds up
+POWERS = 13  # sums of powers for each of them, which tell the sums of the widths around
 
 
-def _advance(low: float, high: float, step: int, known: list[tuple], target: float) -> tuple:
-    """Bisections that are decided by ``known`` widths (width, sum of weights, entropy): low, high, step, and the width and sum found.
+def _advance(low: float, high: float, step: int, known: list[tuple], target: float, near: Callable[[float], tuple | None]) -> tuple:
+    """Bisections that are decided by ``known`` widths (width, sum of weights, entropy) and by ``near`` (sum and entropy of a width,
+    if it can tell): low, high, step, and the width and sum found.
 
-    The entropy with an item's own term grows with the width, and so does the one without it where the weights sum to e or more.
-    So a middle beyond a width of too much entropy, or below one of too little, is decided without a sum of its own.
+    The entropy with an item's own term, log(t) / t more, grows with the width, and so does the one without it where the weights sum
+    to e or more; log(t) / t is at most 1 / e. So a middle beyond a width of too much entropy, or below one of too little, is decided
+    without a sum of its own.
     """
-    at = {w: (t, h) for w, t, h in known}
-    over = min((w for w, t, h in known if t >= np.e and h > target + CLOSE + 1e-9), default=np.inf)
+    over = min((w for w, t, h in known if h + (0 if t >= np.e else np.log(t) / t - 1 / np.e) > target + CLOSE + 1e-9), default=np.inf)
     under = max((w for w, t, h in known if h + np.log(t) / t < target - CLOSE - 1e-9), default=0.0)
     steady = min((w for w, t, h in known if t >= np.e), default=np.inf)
     below = max((w for w, t, h in known if h < target - CLOSE - 1e-9), default=0.0)
     while step < STEPS:
         mid = (low + high) / 2
-        if mid in at:
-            total, entropy = at[mid]
+        if step < STEPS - 1 and mid >= over:
+            high, step = mid, step + 1
+        elif step < STEPS - 1 and (mid <= under or steady <= mid <= below):
+            low, step = mid, step + 1
+        elif (found := near(mid)) is not None:
+            total, entropy = found
             step += 1
             if abs(entropy - target) < CLOSE or step == STEPS:
                 return low, high, STEPS, mid, total
             low, high = (mid, high) if entropy < target else (low, mid)
-        elif step < STEPS - 1 and mid >= over:
-            high, step = mid, step + 1
-        elif step < STEPS - 1 and (mid <= under or steady <= mid <= below):
-            low, step = mid, step + 1
         else:
             break
     return low, high, step, None, None
 
 
 def _ask(low: float, high: float, known: list[tuple], target: float) -> list[float]:
-    """Widths to add up next: the middle that has to be decided, those around the wanted entropy and the middles on the way there."""
-    first = (low + high) / 2
+    """Widths to add up next: the middle that has to be decided, and where the wanted entropy is expected."""
     less = max(((w, h) for w, _, h in known if h <= target), default=None)
     more = min(((w, h) for w, _, h in known if h > target and (less is None or w > less[0])), default=None)
+    far = 1.1 ** (2 ** min(len(known) // 5, 7))
+    first = (low + high) / 2
     if less is None or more is None:
-        spread = (1.25, 1.6, 2.2, 4.0, 16.0)
-        wide = [less[0] * f for f in spread] if less else [more[0] / f for f in spread] if more else []
-        return [first, *wide]
-    span, rise = np.log(more[0] / less[0]), more[1] - less[1]
-    at = lambda h: float(less[0] * np.exp(span * min(max((h - less[1]) / rise, 0.0), 1.0)))
-    off = max(2 * CLOSE, 0.1 * rise)
-    goal, path, lo, hi = at(target), [], low, high
-    slack = span / rise * CLOSE  # of the logarithm of a width
-    for _ in range(STEPS):
-        mid = (lo + hi) / 2
-        path.append(mid)
-        if abs(np.log(mid / goal)) < 0.4 * slack:
-            break
-        lo, hi = (mid, hi) if mid < goal else (lo, mid)
-    return [first, at(target - off), at(target + off), *path[1:][-(ASKED - 3):]]
+        wanted = [less[0] * far] if less else [more[0] / far] if more else []
+        return wanted if wanted and low < wanted[0] < high and len(known) < 60 else [first, *wanted]
+    # beyond what is known around the wanted entropy, a width on the way to the middle can decide more than the middle itself
+    first = min(first, more[0] * far) if first > more[0] else max(first, less[0] / far) if first < less[0] else first
+    return [first, float(less[0] * (more[0] / less[0]) ** min(max((target - less[1]) / (more[1] - less[1]), 0.0), 1.0))]
+
+
+def _around(width: float, centre: float, sums: np.ndarray, own: float, top: float) -> Callable[[float], tuple | None]:
+    """Sum of weights and entropy of a width near ``width``, from sums of exp(-(d - c) / 2 width^2) (d - c)^m over squared distances d,
+    c = ``centre``: the series of the exponential, where what it leaves out cannot change the entropy by 1e-10. No d is more than ``top``.
+    """
+    terms = [float(x) / math.factorial(m) for m, x in enumerate(sums)]
+    base, last = 1 / (2 * width * width), float(sums[-1])
+
+    def series(off: float, of: list[float]) -> float:
+        out = 0.0
+        for x in reversed(of):
+            out = x - off * out
+        return out
+
+    def at(w: float) -> tuple | None:
+        rate = 1 / (2 * w * w)
+        off = rate - base
+        if abs(off) > 2 * base or rate * centre > 700:
+            return None
+        scale = math.exp(-rate * centre)
+        # terms hold 1 / m! of their sums; those of the first derivative are one further on
+        zeroth, first = series(off, terms[:-1]), series(off, further)
+        total = own + scale * zeroth
+        if not total > 0:
+            return None
+        if off:
+            reach = max(off * centre, -off * (top - centre), 0.0)
+            most = scale * math.exp(reach) * last if reach < 600 else math.inf
+            lost = most * abs(off) ** (POWERS - 1) / math.factorial(POWERS - 1), most * abs(off) ** (POWERS - 2) / math.factorial(POWERS - 2)
+            if not rate * (centre * lost[0] + lost[1]) + lost[0] * (2 + abs(math.log(total))) < 1e-10 * total:
+                return None
+        return total, (scale * (centre * zeroth + first) * rate + (total - 1) * math.log(total)) / total
+
+    further = [float(x) / math.factorial(m) for m, x in enumerate(sums[1:-1])]
+    return at
 
 
 def bandwidths(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
     """item_id, vec, sigma, total: the Gaussian width at which an item's shares have the wanted perplexity, and the sum of its weights.
 
-    Widths are bisected between 1e-10 and 1e4. What a bisection needs are two sums over an item's distances; a pass over block pairs
-    adds them up for the few widths that decide most of the bisections, so no row holds an item's distances. Distances to a sample
+    Widths are bisected between 1e-10 and 1e4. What a bisection needs are two sums over an item's distances. A pass over block pairs
+    adds up, for one or two widths of an item, powers of the distances under their weights, which tell the sums of all widths
+    around (``_around``): mostly one pass decides all bisections, and no row holds an item's distances. Distances to a sample
     give the first guess; it decides which widths are added up, not the result.
     """
     kind = dict(vectors.dtypes)["item_id"]
@@ -285,115 +317,176 @@ def bandwidths(vectors: DataFrame, perplexity: float = 30.0) -> DataFrame:
     size = data.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 1
     target = float(np.log(min(perplexity, max(n - 1, 1))))
-    near = max(1, min(GUESSED, blocks.BLOCK_VALUES // dim))
+    near = max(1, min(n, blocks.BLOCK_VALUES // dim))
     sample = data.orderBy(F.xxhash64("item_id")).limit(near).collect()  # at most BLOCK_VALUES numbers
-    shared = spark.sparkContext.broadcast((np.array([r["item_id"] for r in sample]), np.array([r["vec"] for r in sample], float).reshape(len(sample), -1)))
+    points = np.array([r["vec"] for r in sample], float).reshape(len(sample), -1)
+    middle = points.mean(0) if len(points) else np.zeros(dim)
+    shared = spark.sparkContext.broadcast((np.array([r["item_id"] for r in sample]), points))
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, v = shared.value
         for pdf in batches:
-            asked = []
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                sq = blocks.euclidean(np.stack([np.asarray(x, float) for x in part["vec"]]), v) ** 2
-                other = (part["item_id"].to_numpy()[:, None] != ids[None, :]) * max(n / len(ids), 1.0)
+            asked, far = [], []
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                x = np.stack([np.asarray(x, float) for x in part["vec"]])
+                far += np.sqrt(((x - middle) ** 2).sum(1)).tolist()
+                all_sq = blocks.squares(x, v)
+                other = part["item_id"].to_numpy()[:, None] != ids[None, :]
                 lows, highs = np.full(len(part), 1e-10), np.full(len(part), 1e4)
-                for _ in range(24):
-                    mid = (lows + highs) / 2 if _ < 8 else np.sqrt(lows * highs)
-                    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                        e = np.exp(-sq / (2 * mid**2)[:, None]) * other
-                    total = 1 + e.sum(1)
-                    little = ((sq * e).sum(1) / (2 * mid * mid) + (total - 1) * np.log(total)) / total < target
-                    lows, highs = np.where(little, mid, lows), np.where(little, highs, mid)
-                asked += [[float(m * f) for f in (0.7, 0.85, 0.95, 1.0, 1.05, 1.2, 1.5)] for m in mid]
-            yield pd.DataFrame({"item_id": pdf["item_id"], "low": 1e-10, "high": 1e4, "step": np.int32(0), "sigma": np.nan, "total": np.nan, "known": [[]] * len(pdf), "asked": asked})
+                sq, others = all_sq[:, :GUESSED], other[:, :GUESSED] * max(n / len(ids[:GUESSED]), 1.0)
+                with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                    for _ in range(20):
+                        mid = (lows + highs) / 2 if _ < 8 else np.sqrt(lows * highs)
+                        e = np.exp(-sq / (2 * mid**2)[:, None]) * others
+                        total = 1 + e.sum(1)
+                        little = ((sq * e).sum(1) / (2 * mid * mid) + (total - 1) * np.log(total)) / total < target
+                        lows, highs = np.where(little, mid, lows), np.where(little, highs, mid)
+                    many, centre = max(n / len(ids), 1.0), np.zeros(len(part))
+                    for _ in range(REFINED):
+                        rate = 1 / (2 * mid * mid)
+                        e = np.exp(all_sq * -rate[:, None])
+                        e *= other
+                        one = np.einsum("ij,ij->i", e, all_sq)
+                        total = e.sum(1)
+                        mean = one / total
+                        e *= all_sq
+                        spread = np.einsum("ij,ij->i", e, all_sq) / total - mean * mean
+                        sums = 1 + many * total
+                        entropy = (rate * many * one + (sums - 1) * np.log(sums)) / sums
+                        slope = one * (1 - np.log(sums) - (sums - 1) / sums + entropy) - rate * (spread + mean * mean) * total
+                        turn = np.clip((target - entropy) * sums / (rate * many * slope), -0.5, 0.5)  # of the logarithm of the rate
+                        fine = np.isfinite(turn) & np.isfinite(mean)
+                        mid, centre = np.where(fine, mid * np.exp(-turn / 2), mid), np.where(fine, mean, centre)
+                asked += [[float(w), _centre(w, c)] for w, c in zip(mid, centre)]
+            yield pd.DataFrame({"item_id": pdf["item_id"], "low": 1e-10, "high": 1e4, "step": np.int32(0), "sigma": np.nan, "total": np.nan, "far": far, "known": [[]] * len(pdf), "asked": asked})
 
     def kernel(row: dict) -> Iterator[pd.DataFrame]:
         q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        going = np.flatnonzero([len(r) > 0 for r in row["q_asked"]])
-        if not len(going):
-            return
-        q_ids, widths = q_ids[going], np.full((len(going), ASKED), np.nan)
-        for i, g in enumerate(going):
-            r = row["q_asked"][g]
-            widths[i, : len(r)] = r
-        q, d = blocks.matrix(row["q_vecs"], len(row["q_ids"]))[going], blocks.matrix(row["d_vecs"], len(d_ids))
-        sums = np.zeros((len(q_ids), 2 * ASKED))
-        step = max(1, blocks.TILE_VALUES // 4 // max(len(d), 1))
+        widths = np.full((len(q_ids), ASKED, 2), np.nan)
+        for i, r in enumerate(row["q_asked"]):
+            widths[i, : len(r) // 2] = np.reshape(r, (-1, 2))
+        q, d = blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))
+        sums = np.zeros((len(q_ids), ASKED, POWERS))
+        own = np.zeros(len(q_ids))
+        step = max(1, blocks.TILE_VALUES // 8 // max(len(d), 1))
         for at in range(0, len(q), step):
-            rows = slice(at, at + step)
-            sq = blocks.euclidean(q[rows], d) ** 2
-            sq[q_ids[rows, None] == d_ids[None, :]] = 0
-            e = np.empty_like(sq)
+            sq = blocks.squares(q[at : at + step], d)
+            i, j = np.nonzero(q_ids[at : at + step, None] == d_ids[None, :])
+            np.add.at(own, at + i, 1)
             for c in range(ASKED):
-                w = widths[rows, c]
-                if np.isnan(w).all():
+                some = np.flatnonzero(~np.isnan(widths[at : at + step, c, 0]))
+                if not len(some):
                     continue
-                with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                    np.multiply(sq, (-1 / (2 * w**2))[:, None], out=e)
+                w, centre = widths[at + some, c].T
+                t = (sq if len(some) == len(sq) else sq[some]) - centre[:, None]
+                with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                    e = t * (-1 / (2 * w**2))[:, None]
                     np.exp(e, out=e)
-                sums[rows, c], sums[rows, ASKED + c] = e.sum(1), np.einsum("ij,ij->i", sq, e)
-        yield pd.DataFrame({"item_id": q_ids, "sums": list(np.nan_to_num(sums))})
+                    mine = np.isin(i, some)
+                    e[np.searchsorted(some, i[mine]), j[mine]] = 0
+                    ts = [None, t, t * t, None]
+                    ts[3] = ts[2] * t
+                    for m in range(0, POWERS, 4):
+                        sums[at + some, c, m] = e.sum(1)
+                        for more in range(1, min(4, POWERS - m)):
+                            sums[at + some, c, m + more] = np.einsum("ij,ij->i", e, ts[more])
+                        if m + 4 < POWERS:
+                            e *= ts[2]
+                            e *= ts[2]
+        yield pd.DataFrame({"item_id": q_ids, "sums": list(np.concatenate([np.nan_to_num(sums.reshape(len(q_ids), -1)), own[:, None]], axis=1))})
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for item, low, high, step, known, asked, sums in zip(pdf["item_id"], pdf["low"], pdf["high"], pdf["step"], pdf["known"], pdf["asked"], pdf["sums"]):
-                facts = [tuple(known[i : i + 3]) for i in range(0, len(known), 3)]
-                for c, width in enumerate(asked):
-                    total = sums[c]
-                    if total > 0:
-                        facts.append((float(width), float(total), float((sums[ASKED + c] / (2 * width * width) + (total - 1) * np.log(total)) / total)))
-                low, high, step, sigma, total = _advance(low, high, step, facts, target)
-                asked = _ask(low, high, facts, target) if step < STEPS else []
-                asked = list(dict.fromkeys(w for w in asked if w not in {f[0] for f in facts}))[:ASKED]
-                rows.append((item, low, high, step, sigma, total, [float(x) for f in facts for x in f], asked))
-            yield pd.DataFrame(rows, columns=["item_id", "low", "high", "step", "sigma", "total", "known", "asked"])
-
-    fields = f"item_id {kind}, low double, high double, step int, sigma double, total double, known array<double>, asked array<double>"
+            for item, low, high, step, far, known, asked, sums in zip(*(pdf[c] for c in ("item_id", "low", "high", "step", "far", "known", "asked", "sums"))):
+                top = (far + furthest) ** 2 * (1 + 1e-9)
+                told = [_around(w, c, sums[POWERS * i : POWERS * (i + 1)], sums[-1], top) for i, (w, c) in enumerate(np.reshape(asked, (-1, 2)).tolist())]
+                facts, centre = [tuple(known[i : i + 3]) for i in range(0, len(known), 3)], 0.0
+                for i, f in enumerate(told):
+                    for factor in (1.0, 0.99, 1.01, 0.97, 1.03, 0.94, 1.1):
+                        if (fact := f(asked[2 * i] * factor)) is not None:
+                            facts.append((float(asked[2 * i] * factor), *fact))
+                    zeroth, first = sums[POWERS * i : POWERS * i + 2]
+                    centre = asked[2 * i + 1] + first / zeroth if zeroth > 0 else centre
+                near = lambda w: next((x for f in told if (x := f(w)) is not None), None)  # noqa: B023, E731
+                low, high, step, sigma, total = _advance(low, high, step, facts, target, near)
+                wanted = list(dict.fromkeys(_ask(low, high, facts, target)))[:ASKED] if step < STEPS else []
+                rows.append((item, low, high, step, sigma, total, far, [float(x) for f in facts for x in f], [x for w in wanted for x in (float(w), _centre(w, centre))]))
+            yield pd.DataFrame(rows, columns=["item_id", "low", "high", "step", "sigma", "total", "far", "known", "asked"])
+
+    fields = f"item_id {kind}, low double, high double, step int, sigma double, total double, far double, known array<double>, asked array<double>"
     state = materialize(data.dropDuplicates(["item_id"]).mapInPandas(guess, fields))
-    while not state.filter(F.col("step") < STEPS).isEmpty():
-        asking = materialize(data.join(state.select("item_id", "asked"), "item_id"))
-        parts = blocks.self_pairs(asking, "asked").reduce(kernel, f"item_id {kind}, sums array<double>")
+    furthest = state.agg(F.coalesce(F.max("far"), F.lit(0.0))).first()[0]
+    n_blocks = blocks.block_count(n, dim)
+    donors = materialize(blocks.pack(data, n_blocks, "d"))
+    while going := state.filter(F.col("step") < STEPS).count():
+        asking = data.join(state.filter(F.col("step") < STEPS).select("item_id", "asked"), "item_id")
+        n_asking = blocks.block_count(going, dim)
+        parts = blocks.Pairs(blocks.pack(asking, n_asking, "q", "asked"), donors, n_asking, n_blocks).reduce(kernel, f"item_id {kind}, sums array<double>")
         sums = parts.groupBy("item_id").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
         moved = state.filter(F.col("step") < STEPS).join(sums, "item_id").mapInPandas(decide, fields)
         state = materialize(state.filter(F.col("step") >= STEPS).unionByName(moved))
     return data.join(state.select("item_id", "sigma", "total"), "item_id")
 
 
+def _centre(width: float, mean: float) -> float:
+    """The squared distance that powers are taken around: the mean under the weights, as long as exp stays in range."""
+    return float(max(min(mean, 600 * width * width), 0.0)) if np.isfinite(mean) else 0.0
+
+
 def affinities(vectors: DataFrame, perplexity: float = 30.0, widths: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """Symmetric Gaussian affinities ``item_id, neighbor, p`` at a wanted perplexity, or at given ``widths`` (as ``bandwidths``).
 
     An item's own weight counts in the normalisation and is then set to 0. A pair is a row if either item's share of the other
-    is more than ``LEAST_SHARE``. ``packed`` gives them as rows of arrays ``item_id, neighbors, p``, several an item.
+    is more than ``LEAST_SHARE``. ``packed`` gives them as rows of arrays ``item_id, neighbors, p, mass`` (the sum of p), several an item.
+    Distances of two blocks serve the rows of both.
     """
     kind = dict(vectors.dtypes)["item_id"]
     known = bandwidths(vectors, perplexity) if widths is None else widths
     known = materialize(known.select("item_id", "vec", F.array("sigma", "total").alias("width")))
     n = known.count()
 
-    def kernel(row: dict) -> Iterator[pd.DataFrame]:
-        q_ids, d_ids = np.asarray(row["q_ids"]), np.asarray(row["d_ids"])
-        x, y = blocks.matrix(row["q_vecs"], len(q_ids)), blocks.matrix(row["d_vecs"], len(d_ids))
-        q, d = (np.stack([np.asarray(r, float) for r in row[f"{side}_width"]]) for side in "qd")
-        step = max(1, blocks.TILE_VALUES // 4 // max(len(d_ids), 1))
-        for at in range(0, len(q_ids), step):
+    def packs(ids: pa.Array, others: pa.Array, p: np.ndarray) -> pa.RecordBatch:
+        """Rows of ``p`` without their zeros."""
+        flat, sizes = p.ravel(), np.count_nonzero(p, axis=1)
+        if sizes.sum() < len(flat):
+            places = np.flatnonzero(flat)
+            flat, places = flat[places], places % len(others)
+        else:
+            places = np.tile(np.arange(len(others)), len(ids))
+        ends = np.cumsum(sizes[sizes > 0])
+        offsets = pa.array(np.append(0, ends).astype("int32"))
+        lists = [pa.ListArray.from_arrays(offsets, a) for a in (others.take(pa.array(places)), pa.array(flat))]
+        return pa.RecordBatch.from_arrays([ids.filter(pa.array(sizes > 0)), *lists, pa.array(p.sum(1)[sizes > 0])], ["item_id", "neighbors", "p", "mass"])
+
+    def kernel(one: dict, two: dict) -> Iterator[pa.RecordBatch]:
+        q_ids, d_ids = one["ids"].values, two["ids"].values
+        x, y = (blocks.matrix(s["vecs"].values.to_numpy(zero_copy_only=False), len(s["ids"].values)) for s in (one, two))
+        q, d = (s["width"].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2) for s in (one, two))
+        p = np.empty((len(x), len(y)))
+        step = max(1, blocks.TILE_VALUES // 8 // max(len(y), 1))
+        for at in range(0, len(x), step):
             rows = slice(at, at + step)
-            sq = blocks.euclidean(x[rows], y) ** 2
-            p = np.exp(-sq / (2 * q[rows, 0] ** 2)[:, None]) / q[rows, 1, None]
-            p[p <= LEAST_SHARE] = 0
-            two = np.exp(-sq / (2 * d[:, 0] ** 2)[None, :]) / d[None, :, 1]
-            two[two <= LEAST_SHARE] = 0
-            p += two
-            p[q_ids[rows, None] == d_ids[None, :]] = 0
-            i, j = np.nonzero(p)
-            ends = np.searchsorted(i, np.arange(1, len(p)))
-            shares, others = np.split(p[i, j] / (2 * n), ends), np.split(d_ids[j], ends)
-            some = [k for k, a in enumerate(shares) if len(a)]
-            yield pd.DataFrame({"item_id": q_ids[rows][some], "neighbors": [others[k] for k in some], "p": [shares[k] for k in some]})
-
-    # a cell holds rows for all of its pairs of items, so cells are small
-    found = blocks.self_pairs(known, "width").reduce(kernel, f"item_id {kind}, neighbors array<{kind}>, p array<double>", most=2)
+            sq = blocks.squares(x[rows], y)
+            np.multiply(sq, (-1 / (2 * q[rows, 0] ** 2))[:, None], out=p[rows])
+            np.exp(p[rows], out=p[rows])
+            p[rows] /= q[rows, 1, None]
+            if p[rows].min(initial=1) <= LEAST_SHARE:
+                p[rows][p[rows] <= LEAST_SHARE] = 0
+            sq *= (-1 / (2 * d[:, 0] ** 2))[None, :]
+            np.exp(sq, out=sq)
+            sq /= d[None, :, 1]
+            if sq.min(initial=1) <= LEAST_SHARE:
+                sq[sq <= LEAST_SHARE] = 0
+            p[rows] += sq
+        p[q_ids.to_numpy(zero_copy_only=False)[:, None] == d_ids.to_numpy(zero_copy_only=False)[None, :]] = 0
+        p /= 2 * n
+        yield packs(q_ids, d_ids, p)
+        if one["block"].as_py() != two["block"].as_py():
+            yield packs(d_ids, q_ids, np.ascontiguousarray(p.T))
+
+    found = blocks.self_pairs(known, "width").reduce_once(kernel, f"item_id {kind}, neighbors array<{kind}>, p array<double>, mass double")
     if packed:
         return found
     return found.select("item_id", F.inline(F.arrays_zip(F.col("neighbors").alias("neighbor"), "p")))

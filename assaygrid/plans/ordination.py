@@ -196,7 +196,7 @@ SELECT i AS item_id, count(*) AS n, {R('sum(p) / (2 * (SELECT count(*) FROM e))'
 def affinities(spark, sf):
     out = ordination.affinities(vectors(spark, sf), 20.0, packed=True)
     sizes = F.sum(F.size("p").cast("bigint")).alias("n")
-    return out.groupBy("item_id").agg(sizes, F.round(F.sum(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)), 8).alias("p"))
+    return out.groupBy("item_id").agg(sizes, F.round(F.sum("mass"), 8).alias("p"))
 
 
 @add("ord_bandwidths", f"{BISECTED} SELECT i AS item_id, {R('sigma')} AS sigma, {R('total')} AS total FROM widths")

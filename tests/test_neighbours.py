@@ -79,6 +79,37 @@ def test_bandwidths_follow_the_bisection(spark, items, perplexity, monkeypatch):
     assert items < 80 or ordination.ASKED * len(passes) < 60
 
 
+def test_bandwidths_in_few_passes(spark, monkeypatch):
+    """One pass over the pairs decides nearly all bisections, whatever the middles on their way."""
+    v = np.random.default_rng(58).normal(size=(400, 8))
+    asked = []
+    monkeypatch.setattr(blocks, "pack", lambda df, *a, was=blocks.pack: asked.append(df.count()) or was(df, *a))
+    got = {r["item_id"]: (r["sigma"], r["total"]) for r in ordination.bandwidths(points(spark, v), 20.0).collect()}
+    assert asked[:2] == [400, 400] and sum(asked[2:]) < 800, asked
+    sq = distances(v) ** 2
+    for i in (0, 99, 399):
+        w = np.exp(-sq[i] / (2 * got[i][0] ** 2))
+        assert got[i][1] == pytest.approx(w.sum(), rel=1e-9)
+
+
+def test_affinities_meet_pairs_once(spark, monkeypatch):
+    """Blocks meet once for the rows of both; each packed row has the sum of its shares."""
+    monkeypatch.setattr(blocks, "BLOCK_VALUES", 60)
+    v = np.random.default_rng(59).normal(size=(70, 4))
+    met, plain = [], {}
+    monkeypatch.setattr(blocks.Pairs, "reduce_once", lambda self, kernel, schema, was=blocks.Pairs.reduce_once: met.append(1) or was(self, kernel, schema))
+    widths = spark.createDataFrame([(i, [float(x) for x in v[i]], 0.7 + i / 100, 3.0 + i) for i in range(70)], "item_id long, vec array<double>, sigma double, total double")
+    for r in ordination.affinities(points(spark, v), widths=widths, packed=True).collect():
+        assert r["mass"] == pytest.approx(sum(r["p"]))
+        plain.update({(r["item_id"], j): p for j, p in zip(r["neighbors"], r["p"])})
+    sq, sigma = distances(v) ** 2, np.array([0.7 + i / 100 for i in range(70)])
+    one = np.exp(-sq / (2 * sigma**2)[:, None]) / np.array([3.0 + i for i in range(70)])[:, None]
+    np.fill_diagonal(one, 0)
+    one[one <= ordination.LEAST_SHARE] = 0
+    both = (one + one.T) / 140
+    assert met and plain == pytest.approx({(i, j): both[i, j] for i in range(70) for j in range(70) if both[i, j] > 0})
+
+
 def test_packed_affinities(spark):
     """Packed rows hold the same pairs as plain ones, and the distances from labels are summed without pair rows."""
     v = np.random.default_rng(55).normal(size=(60, 4))
