@@ -42,6 +42,39 @@ def test_knn_by_blocks(spark, monkeypatch, metric):
     assert not np.isnan(pruned).any() and pruned == pytest.approx(whole, abs=1e-12)
 
 
+@pytest.mark.parametrize("metric,weight,mode", [("euclidean", "inverse", "waves"), ("manhattan", "rank", "complete"), ("pearson", "uniform", "complete"), ("cosine", "inverse", "complete")])
+def test_few_donors_are_held(spark, monkeypatch, metric, weight, mode):
+    """Rows filled beside few donors equal those whose donors are shuffled to them, and only the former shuffle no donors."""
+    rng = np.random.default_rng(61)
+    x = rng.uniform(1, 9, (200, 5))
+    x[20:60] = x[0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    names, met = [f"s{j}" for j in range(5)], []
+    monkeypatch.setattr(impute, "_neighbours", lambda *a, was=impute._neighbours: met.append(1) or was(*a))
+    options = {"metric": metric, "weight": weight, "mode": mode, "k": 3, "min_shared": 2}
+    held = back(impute.knn(make(spark, x), **options), x.shape, names)
+    assert not met
+    monkeypatch.setattr(impute, "FEW_DONORS", 0)
+    shuffled = back(impute.knn(make(spark, x), **options), x.shape, names)
+    assert met and not np.isnan(held).any() and held == pytest.approx(shuffled, abs=1e-9)
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    """What was shuffled for a stored table is removed with the job, and a discarded table is gone."""
+    import os
+
+    from assaygrid.runtime import discard, materialize
+
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses
+    before = kept().size()
+    stored = materialize(spark.range(1000).groupBy("id").count())
+    assert stored.count() == 1000 and kept().size() <= before + 1
+    path = stored.stored_at.removeprefix("file:")
+    assert os.path.exists(path)
+    discard(stored)
+    assert not os.path.exists(path)
+
+
 def test_masked_search_is_lean():
     """Far fewer than all pairs are measured exactly, with and without a bound."""
     rng = np.random.default_rng(53)
